@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import humanize, is_sensitive, name_tokens, value_shape
 from ledgerlens.operators.catalog.ontology import Ontology
+from ledgerlens.operators.catalog.profile import LISTED_LENGTH
+from ledgerlens.session import shared_checkpoint
 
 FIELD = ["dataset_id", "field"]
 MAX_VALUE_SET = 20
 MAX_CATEGORY_LENGTH = 40
-# Columns with longer values are texts: their values are profiled but not listed for classification.
-LISTED_LENGTH = 256
 # Name tokens of period columns, and the property datatypes each role accepts.
 PERIOD_TOKENS = ("year", "month", "quarter", "period")
 COMPATIBLE = {
@@ -28,18 +28,37 @@ def value_patterns(values: DataFrame) -> DataFrame:
     return shaped.select(*FIELD, F.when(one, F.col("low")).alias("value_pattern"))
 
 
-def identifier_classes(value: Column, ontology: Ontology) -> Column:
-    """The classes whose identifier pattern the whole value matches, as sorted text."""
-    known = sorted((c.id, c.id_pattern) for c in ontology.classes if c.id_pattern)
-    return F.concat_ws(",", *[F.when(value.rlike(f"^(?:{pattern})\\z"), F.lit(name)) for name, pattern in known])
+def class_tests(value: Column, ontology: Ontology) -> dict[str, Column]:
+    """Per class with an identifier pattern: whether the whole value matches it."""
+    return {c.id: value.rlike(f"^(?:{c.id_pattern})\\z") for c in ontology.classes if c.id_pattern}
+
+
+def identifier_aggregates(value: Column, ontology: Ontology) -> tuple[Column, Column]:
+    """Aggregates over a column's values: all are some identifier, and the one class they all name and no other.
+
+    Both are built from boolean aggregates, which combine on the map side in a hash table.
+    """
+    tests = class_tests(value, ontology)
+    matches = sum((t.cast("int") for t in tests.values()), F.lit(0))
+    only = F.coalesce(*[F.when(F.bool_and(t & (matches == 1)), F.lit(name)) for name, t in tests.items()])
+    return F.bool_and(matches > 0), only
 
 
 def identifier_by_values(values: DataFrame, ontology: Ontology) -> DataFrame:
     """Per column: whether every value is some identifier, and the class when all values name exactly that one."""
-    classes = identifier_classes(F.col("value"), ontology)
-    found = values.groupBy(*FIELD).agg(F.min(classes).alias("low"), F.max(classes).alias("high"))
-    single = (F.col("low") == F.col("high")) & (F.col("low") != "") & ~F.contains(F.col("low"), F.lit(","))
-    return found.select(*FIELD, (F.col("low") != "").alias("all_identifiers"), F.when(single, F.col("low")).alias("value_class"))
+    every, only = identifier_aggregates(F.col("value"), ontology)
+    return values.groupBy(*FIELD).agg(every.alias("all_identifiers"), only.alias("value_class"))
+
+
+def value_facts(values: DataFrame, profile: DataFrame, ontology: Ontology) -> DataFrame:
+    """Identifier facts and the shared shape of every column in one pass over its distinct values.
+
+    All values are compared with the shape of the column's least value, so only booleans are aggregated.
+    """
+    first = profile.filter(F.col("max_length") <= LISTED_LENGTH).select(*FIELD, value_shape(F.col("min_value")).alias("shape"))
+    every, only = identifier_aggregates(F.col("value"), ontology)
+    facts = values.join(first, FIELD).groupBy(*FIELD, "shape").agg(every.alias("all_identifiers"), only.alias("value_class"), F.bool_and(value_shape(F.col("value")) == F.col("shape")).alias("one_shape"))
+    return facts.select(*FIELD, "all_identifiers", "value_class", F.when(F.col("one_shape") & F.contains(F.col("shape"), F.lit(r"\d")), F.col("shape")).alias("value_pattern"))
 
 
 def name_mapping(fields: DataFrame, ontology: Ontology) -> DataFrame:
@@ -117,11 +136,11 @@ def classify(profile: DataFrame, values: DataFrame, ontology: Ontology) -> DataF
     that differ only by case are flagged and never mapped at full confidence.
     """
     spark = profile.sparkSession
-    by_values = identifier_by_values(values, ontology)
-    base = profile.join(by_values, FIELD, "left")
+    facts = shared_checkpoint(value_facts(values, profile, ontology))
+    base = profile.join(facts, FIELD, "left")
     keys = spark.createDataFrame([(c.id, c.key) for c in ontology.classes if c.key], "class_id string, property_id string")
     from_names = name_mapping(profile, ontology).withColumn("turn", F.lit(0))
-    from_values = by_values.filter("value_class IS NOT NULL").select(*FIELD, F.col("value_class").alias("class_id")).join(keys, "class_id").withColumn("turn", F.lit(1))
+    from_values = facts.filter("value_class IS NOT NULL").select(*FIELD, F.col("value_class").alias("class_id")).join(keys, "class_id").withColumn("turn", F.lit(1))
     rules = ontology.property_rules(spark)
     candidates = from_names.unionByName(from_values).join(rules.select("class_id", "property_id", "datatype"), ["class_id", "property_id"])
     with_role = candidates.join(base, FIELD).select(*FIELD, "class_id", "property_id", "turn", semantic_role(F.col("datatype")).alias("role"), (F.col("max_length") > LISTED_LENGTH).alias("truncated"))
@@ -133,7 +152,7 @@ def classify(profile: DataFrame, values: DataFrame, ontology: Ontology) -> DataF
     result = joined.withColumn("role", semantic_role(F.col("datatype")))
     result = result.withColumn("masked", is_sensitive(F.col("field")) | F.coalesce(F.col("pii"), F.lit(False)))
     shown = ~F.col("masked")
-    patterned = result.join(value_patterns(values.join(result.filter(F.col("role").isin("identifier", "date", "dimension")).select(*FIELD), FIELD, "left_semi")), FIELD, "left")
+    patterned = result.withColumn("value_pattern", F.when(F.col("role").isin("identifier", "date", "dimension"), F.col("value_pattern")))
     small = result.filter(shown & (F.col("role") == "dimension") & F.col("distinct_count").between(1, MAX_VALUE_SET)).select(*FIELD)
     sets = values.join(small, FIELD, "left_semi").groupBy(*FIELD).agg(F.array_sort(F.collect_set("value")).alias("value_set"))
     return patterned.join(sets, FIELD, "left").select(

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 NUMERIC = r"^-?[0-9]+(\.[0-9]+)?\z"
 ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
 LONG_VALUE = 64
+# Columns with longer values are texts: their values are profiled but not listed for classification.
+LISTED_LENGTH = 256
 STATS = ("empty_count", "min_value", "max_value", "max_length", "all_numeric", "all_dates")
 
 
@@ -45,36 +47,67 @@ def value_key(value: Column) -> Column:
     return F.when(F.length(value) <= LONG_VALUE, value).otherwise(F.concat(F.lit("sha256:"), F.sha2(value, 256)))
 
 
+def shape_tests(field: T.StructField, present: Column) -> tuple[Column, Column]:
+    """All-numeric and all-date tests; typed columns need no pattern matching."""
+    if isinstance(field.dataType, T.NumericType):
+        return present.isNotNull(), F.lit(False)
+    if isinstance(field.dataType, T.DateType):
+        return F.lit(False), present.isNotNull()
+    return present.rlike(NUMERIC), present.rlike(ISO_DATE)
+
+
 def column_stats(df: DataFrame, dataset_id: str) -> DataFrame:
     """One row per column from one aggregate without a shuffle of values."""
     fields = text_fields(df)
+    texts = df.select(*[as_text(f).alias(f"t{i}") for i, f in enumerate(fields)])
     parts = [F.count("*").alias("row_count")]
     for i, f in enumerate(fields):
-        text = as_text(f)
+        text = F.col(f"t{i}")
         present = F.when(text != "", text)
+        numeric, dates = shape_tests(f, present)
         parts.append(
             F.struct(
                 F.count_if(present.isNull()).alias("empty_count"), F.min(present).alias("min_value"), F.max(present).alias("max_value"),
-                F.coalesce(F.max(F.length(text)), F.lit(0)).alias("max_length"), F.coalesce(F.bool_and(present.rlike(NUMERIC)), F.lit(False)).alias("all_numeric"),
-                F.coalesce(F.bool_and(present.rlike(ISO_DATE)), F.lit(False)).alias("all_dates"),
+                F.coalesce(F.max(F.length(text)), F.lit(0)).alias("max_length"), F.coalesce(F.bool_and(F.when(present.isNotNull(), numeric)), F.lit(False)).alias("all_numeric"),
+                F.coalesce(F.bool_and(F.when(present.isNotNull(), dates)), F.lit(False)).alias("all_dates"),
             ).alias(f"c{i}")
         )
-    wide = df.agg(*parts)
+    wide = texts.agg(*parts)
     rows = F.array(
         *[F.struct(F.lit(f.name).alias("field"), F.lit(i + 1).alias("position"), F.lit(f.dataType.simpleString()).alias("data_type"), *[F.col(f"c{i}.{s}").alias(s) for s in STATS]) for i, f in enumerate(fields)]
     )
     return wide.select(F.lit(dataset_id).alias("dataset_id"), "row_count", F.inline(rows))
 
 
-def distinct_counts(df: DataFrame, dataset_id: str) -> DataFrame:
-    keyed = long_values(df, dataset_id).select("dataset_id", "field", value_key(F.col("value")).alias("key")).distinct()
-    return keyed.groupBy("dataset_id", "field").agg(F.count("*").alias("distinct_count"))
+def all_values(tables: dict[str, DataFrame], fields: dict[str, list[str]] | None = None) -> DataFrame:
+    """(dataset_id, field, value) of all tables, or of the chosen columns, as one frame."""
+    parts = []
+    for dataset_id, df in tables.items():
+        if fields is None:
+            parts.append(long_values(df, dataset_id))
+        elif fields.get(dataset_id):
+            parts.append(long_values(df.select(*[f"`{c}`" for c in fields[dataset_id]]), dataset_id))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def keyed_values(tables: dict[str, DataFrame]) -> DataFrame:
+    """Distinct (dataset_id, field, key, value): the key identifies the value, and short values are kept.
+
+    All tables share one shuffle.
+    """
+    value = F.col("value")
+    kept = F.when(F.length(value) <= LISTED_LENGTH, value).alias("value")
+    return all_values(tables).select("dataset_id", "field", value_key(value).alias("key"), kept).distinct()
+
 
+def profile(tables: dict[str, DataFrame], keyed: DataFrame | None = None) -> DataFrame:
+    """Profile of every column of every table, with null percentage and candidate-key flag.
 
-def profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """Profile of every column of every table, with null percentage and candidate-key flag."""
+    ``keyed`` may be a stored result of :func:`keyed_values`.
+    """
     stats = reduce(DataFrame.unionByName, [column_stats(df, d) for d, df in tables.items()])
-    counts = reduce(DataFrame.unionByName, [distinct_counts(df, d) for d, df in tables.items()])
+    keys = keyed if keyed is not None else all_values(tables).select("dataset_id", "field", value_key(F.col("value")).alias("key")).distinct()
+    counts = keys.groupBy("dataset_id", "field").agg(F.count("*").alias("distinct_count"))
     joined = stats.join(counts, ["dataset_id", "field"], "left").fillna(0, ["distinct_count"])
     has_values = F.col("distinct_count") > 0
     real_dates = F.try_to_date(F.col("min_value"), "yyyy-MM-dd").isNotNull() & F.try_to_date(F.col("max_value"), "yyyy-MM-dd").isNotNull()
@@ -87,13 +120,8 @@ def profile(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def distinct_values(tables: dict[str, DataFrame], fields: dict[str, list[str]] | None = None) -> DataFrame:
-    """Distinct (dataset_id, field, value) of the chosen columns, whole values."""
-    parts = []
-    for dataset_id, df in tables.items():
-        chosen = fields.get(dataset_id, []) if fields is not None else [f.name for f in text_fields(df)]
-        if chosen:
-            parts.append(long_values(df.select(*[f"`{c}`" for c in chosen]), dataset_id).distinct())
-    return reduce(DataFrame.unionByName, parts)
+    """Distinct (dataset_id, field, value) of the chosen columns, whole values, in one shuffle."""
+    return all_values(tables, fields).distinct()
 
 
 def masked_sample(df: DataFrame, order: list[str], masked: list[str], rows: int, text_limit: int = 80) -> DataFrame:

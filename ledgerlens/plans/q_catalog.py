@@ -6,8 +6,6 @@ folder in the shared checkpoint folder; catalog questions read it, as they would
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import value_shape
@@ -43,26 +41,17 @@ def profiled(spark, folder):
 
 
 class Harvest:
+    """A stored catalog: distinct values, profiles, classified fields and references."""
+
     def __init__(self, spark, folder):
-        source = tables(spark, folder)
+        self.source = tables(spark, folder)
         self.datasets = datasets(spark)
-        self.profile = shared_checkpoint(profile.profile(source))
-        # One row per column: metadata, read on the driver to choose the columns whose values are listed.
-        listed = {}
-        for row in self.profile.filter(F.col("max_length") <= classify.LISTED_LENGTH).select("dataset_id", "field").collect():
-            listed.setdefault(row.dataset_id, []).append(row.field)
-        self.values = profile.distinct_values(source, listed)
+        keyed = shared_checkpoint(profile.keyed_values(self.source))
+        self.values = keyed.filter("value IS NOT NULL").select("dataset_id", "field", "value")
+        self.profile = shared_checkpoint(profile.profile(self.source, keyed))
         self.fields = shared_checkpoint(classify.classify(self.profile, self.values, VOCABULARY))
         self.candidates = references.candidate_fields(self.fields, self.datasets)
-        self.references = shared_checkpoint(references.discover_references(self.candidates, self.key_values(source)))
-        self.source = source
-
-    def key_values(self, source):
-        """Values of identifier columns only; measures and texts are not read again."""
-        keys = {}
-        for row in self.fields.filter("role = 'identifier' AND NOT masked").select("dataset_id", "field").collect():
-            keys.setdefault(row.dataset_id, []).append(row.field)
-        return profile.distinct_values(source, keys)
+        self.references = shared_checkpoint(references.discover_references(self.candidates, self.values))
 
 
 def harvest(spark, folder) -> Harvest:
@@ -174,8 +163,7 @@ def shapes(spark, folder):
     " SELECT dataset_id, field, min(cls) <> '' AS all_identifiers, CASE WHEN min(cls) = max(cls) AND min(cls) <> '' AND NOT contains(min(cls), ',') THEN min(cls) END AS value_class FROM c GROUP BY 1, 2",
 )
 def identifier_by_values(spark, folder):
-    values = reduce(lambda a, b: a.unionByName(b), [profile.long_values(df, d) for d, df in tables(spark, folder).items()])
-    return classify.identifier_by_values(values, VOCABULARY)
+    return classify.identifier_by_values(profile.all_values(tables(spark, folder)), VOCABULARY)
 
 
 # The mapping that names and values must give, as the SQL side states it.
@@ -205,7 +193,7 @@ def semantic_role(spark, folder):
 
 @query("name_mapping", "WITH " + MAPPING + " SELECT dataset_id, field, concept FROM mapping WHERE field NOT IN ('s_name', 'c_name', 'p_brand') UNION ALL SELECT 'dependency.part', 'p_type', 'Part.type'")
 def name_mapping(spark, folder):
-    fields = reduce(lambda a, b: a.unionByName(b), [profile.column_stats(df, d).select("dataset_id", "field") for d, df in tables(spark, folder).items()])
+    fields = harvest(spark, folder).profile
     return classify.name_mapping(fields, VOCABULARY).select("dataset_id", "field", F.concat_ws(".", "class_id", "property_id").alias("concept"))
 
 

@@ -33,7 +33,7 @@ VOCABULARY = Ontology(
         Relation("IN_REGION", "Nation", "Region", "many_to_one"),
         Relation("LOCATED_IN", "Party", "Nation", "many_to_one"),
         Relation("OWNED_BY", "Order", "Customer", "many_to_one"),
-        Relation("DELIVERS", "Supplier", "Order"),
+        Relation("DELIVERS", "Supplier", "Order", "one_to_many"),
         Relation("SUPPORTS", "Supplier", "Part", disjoint_with=("USES_PORTAL",)),
         Relation("USES_PORTAL", "Supplier", "Part", disjoint_with=("SUPPORTS",)),
     ),
