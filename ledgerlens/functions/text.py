@@ -23,6 +23,11 @@ def value_shape(value: Column) -> Column:
     return F.concat(F.lit("^"), F.array_join(F.transform(runs, part), ""), F.lit("$"))
 
 
+def digit_mask(value: Column) -> Column:
+    """The value with every digit as 0. Two values have the same shape exactly when their masks are equal."""
+    return F.translate(value, "123456789", "000000000")
+
+
 def name_tokens(name: Column) -> Column:
     """Lower-case tokens of a camel-case or underscored name."""
     spaced = F.lower(F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])", "_"))

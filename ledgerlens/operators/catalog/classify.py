@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import humanize, is_sensitive, name_tokens, value_shape
+from ledgerlens.functions.text import digit_mask, humanize, is_sensitive, name_tokens, value_shape
 from ledgerlens.operators.catalog.ontology import Ontology
 from ledgerlens.operators.catalog.profile import LISTED_LENGTH
 from ledgerlens.session import shared_checkpoint
@@ -23,9 +23,11 @@ COMPATIBLE = {
 
 def value_patterns(values: DataFrame) -> DataFrame:
     """One shape per column, when all its values share it and it has digits; two aggregates decide, no set is built."""
-    shaped = values.groupBy(*FIELD).agg(F.min(value_shape(F.col("value"))).alias("low"), F.max(value_shape(F.col("value"))).alias("high"))
-    one = (F.col("low") == F.col("high")) & F.contains(F.col("low"), F.lit(r"\d"))
-    return shaped.select(*FIELD, F.when(one, F.col("low")).alias("value_pattern"))
+    mask = digit_mask(F.col("value"))
+    shaped = values.groupBy(*FIELD).agg(F.min(mask).alias("low"), F.max(mask).alias("high"))
+    shape = value_shape(F.col("low"))
+    one = (F.col("low") == F.col("high")) & F.contains(shape, F.lit(r"\d"))
+    return shaped.select(*FIELD, F.when(one, shape).alias("value_pattern"))
 
 
 def class_tests(value: Column, ontology: Ontology) -> dict[str, Column]:
@@ -53,11 +55,11 @@ def identifier_by_values(values: DataFrame, ontology: Ontology) -> DataFrame:
 def value_facts(values: DataFrame, profile: DataFrame, ontology: Ontology) -> DataFrame:
     """Identifier facts and the shared shape of every column in one pass over its distinct values.
 
-    All values are compared with the shape of the column's least value, so only booleans are aggregated.
+    All values are compared with the digit mask of the column's least value, so only booleans are aggregated.
     """
-    first = profile.filter(F.col("max_length") <= LISTED_LENGTH).select(*FIELD, value_shape(F.col("min_value")).alias("shape"))
+    first = profile.filter(F.col("max_length") <= LISTED_LENGTH).select(*FIELD, digit_mask(F.col("min_value")).alias("mask"), value_shape(F.col("min_value")).alias("shape"))
     every, only = identifier_aggregates(F.col("value"), ontology)
-    facts = values.join(first, FIELD).groupBy(*FIELD, "shape").agg(every.alias("all_identifiers"), only.alias("value_class"), F.bool_and(value_shape(F.col("value")) == F.col("shape")).alias("one_shape"))
+    facts = values.join(first, FIELD).groupBy(*FIELD, "mask", "shape").agg(every.alias("all_identifiers"), only.alias("value_class"), F.bool_and(digit_mask(F.col("value")) == F.col("mask")).alias("one_shape"))
     return facts.select(*FIELD, "all_identifiers", "value_class", F.when(F.col("one_shape") & F.contains(F.col("shape"), F.lit(r"\d")), F.col("shape")).alias("value_pattern"))
 
 

@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NUMERIC = r"^-?[0-9]+(\.[0-9]+)?\z"
-ISO_DATE = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}\z"
+NUMERIC = "^-?[0-9]+([.][0-9]+)?$"
+ISO_DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
 LONG_VALUE = 64
 # Columns with longer values are texts: their values are profiled but not listed for classification.
 LISTED_LENGTH = 256
-STATS = ("empty_count", "min_value", "max_value", "max_length", "all_numeric", "all_dates")
 
 
 def as_text(field: T.StructField) -> Column:
@@ -47,36 +46,28 @@ def value_key(value: Column) -> Column:
     return F.when(F.length(value) <= LONG_VALUE, value).otherwise(F.concat(F.lit("sha256:"), F.sha2(value, 256)))
 
 
-def shape_tests(field: T.StructField, present: Column) -> tuple[Column, Column]:
-    """All-numeric and all-date tests; typed columns need no pattern matching."""
+def stats_sql(field: T.StructField, text: str) -> str:
+    """The statistics of one text column as a struct. Typed columns need no pattern matching."""
+    present = f"nullif({text}, '')"
+    numeric, dates = f"{present} RLIKE '{NUMERIC}'", f"{present} RLIKE '{ISO_DATE}'"
     if isinstance(field.dataType, T.NumericType):
-        return present.isNotNull(), F.lit(False)
-    if isinstance(field.dataType, T.DateType):
-        return F.lit(False), present.isNotNull()
-    return present.rlike(NUMERIC), present.rlike(ISO_DATE)
+        numeric, dates = f"{present} IS NOT NULL", "false"
+    elif isinstance(field.dataType, T.DateType):
+        numeric, dates = "false", f"{present} IS NOT NULL"
+    every = lambda test: f"coalesce(bool_and(CASE WHEN {present} IS NOT NULL THEN {test} END), false)"
+    return (
+        f"struct(count_if({present} IS NULL) AS empty_count, min({present}) AS min_value, max({present}) AS max_value, coalesce(max(length({text})), 0) AS max_length,"
+        f" {every(numeric)} AS all_numeric, {every(dates)} AS all_dates)"
+    )
 
 
 def column_stats(df: DataFrame, dataset_id: str) -> DataFrame:
     """One row per column from one aggregate without a shuffle of values."""
     fields = text_fields(df)
     texts = df.select(*[as_text(f).alias(f"t{i}") for i, f in enumerate(fields)])
-    parts = [F.count("*").alias("row_count")]
-    for i, f in enumerate(fields):
-        text = F.col(f"t{i}")
-        present = F.when(text != "", text)
-        numeric, dates = shape_tests(f, present)
-        parts.append(
-            F.struct(
-                F.count_if(present.isNull()).alias("empty_count"), F.min(present).alias("min_value"), F.max(present).alias("max_value"),
-                F.coalesce(F.max(F.length(text)), F.lit(0)).alias("max_length"), F.coalesce(F.bool_and(F.when(present.isNotNull(), numeric)), F.lit(False)).alias("all_numeric"),
-                F.coalesce(F.bool_and(F.when(present.isNotNull(), dates)), F.lit(False)).alias("all_dates"),
-            ).alias(f"c{i}")
-        )
-    wide = texts.agg(*parts)
-    rows = F.array(
-        *[F.struct(F.lit(f.name).alias("field"), F.lit(i + 1).alias("position"), F.lit(f.dataType.simpleString()).alias("data_type"), *[F.col(f"c{i}.{s}").alias(s) for s in STATS]) for i, f in enumerate(fields)]
-    )
-    return wide.select(F.lit(dataset_id).alias("dataset_id"), "row_count", F.inline(rows))
+    wide = texts.selectExpr("count(*) AS row_count", *[f"{stats_sql(f, f't{i}')} AS c{i}" for i, f in enumerate(fields)])
+    rows = ", ".join(f"struct('{f.name}' AS field, {i + 1} AS position, '{f.dataType.simpleString()}' AS data_type, c{i} AS stats)" for i, f in enumerate(fields))
+    return wide.selectExpr(f"'{dataset_id}' AS dataset_id", "row_count", f"inline(array({rows}))").selectExpr("dataset_id", "row_count", "field", "position", "data_type", "stats.*")
 
 
 def all_values(tables: dict[str, DataFrame], fields: dict[str, list[str]] | None = None) -> DataFrame:

@@ -43,9 +43,9 @@ def review_queue(contracts: DataFrame, forecast_label: str = "forecast") -> Data
     over_budget = c("forecast_variance_pct") > OVER_BUDGET_PERCENT
     # The wording of reasons and of the action each one asks for.
     wording = [
-        (state == "past_notice", F.format_string("Renewal notice deadline passed on %s", c("renewal_decision_date")), "Confirm the renewal position now that the notice deadline has passed."),
-        (state == "notice_due", F.format_string("Renewal decision due %s (%d days)", c("renewal_decision_date"), c("days_to_decision")), "Prepare the renewal decision before the notice deadline."),
-        (state == "expiring", F.format_string("Contract expires %s (%d days)", c("end_date"), c("days_to_expiry")), "Confirm whether the contract should be renewed before it expires."),
+        (state == "past_notice", F.format_string("Renewal notice deadline passed on %s", c("renewal_decision_date").cast("string")), "Confirm the renewal position now that the notice deadline has passed."),
+        (state == "notice_due", F.format_string("Renewal decision due %s (%d days)", c("renewal_decision_date").cast("string"), c("days_to_decision")), "Prepare the renewal decision before the notice deadline."),
+        (state == "expiring", F.format_string("Contract expires %s (%d days)", c("end_date").cast("string"), c("days_to_expiry")), "Confirm whether the contract should be renewed before it expires."),
         (c("sla_breach"), F.format_string("SLA breach in %s: %s%% against a %s%% target", c("sla_period"), c("sla_actual").cast("string"), c("sla_target").cast("string")), "Start an SLA remediation review."),
         (high, F.format_string("Contract risk tier: %s", c("risk_tier")), "Review the risk position and mitigations."),
         (not_current, F.format_string("Risk assessment is %s", F.lower(c("risk_status"))), "Obtain a current risk assessment; no risk tier is inferred."),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.identity import entity_key, relationship_key
 from ledgerlens.operators.catalog.ontology import Ontology
+from ledgerlens.session import shared_checkpoint
 
 
 def property_columns(df: DataFrame, class_id: str, ontology: Ontology) -> dict[str, str]:
@@ -86,6 +87,7 @@ def topology_report(nodes: DataFrame, edges: DataFrame, ontology: Ontology, refe
     Every check is a grouping or an anti-join on keys; none pairs rows within a group.
     """
     spark = nodes.sparkSession
+    nodes, edges = shared_checkpoint(nodes), shared_checkpoint(edges)
     present = nodes.select("key", "class_id", "identity", *[c for c in ("contract_identity",) if c in nodes.columns])
     issue = lambda df, code, subject: df.select(F.lit(code).alias("code"), F.col(subject).alias("subject"))
     parts = [

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.ranking import exact_rank, first_per_root
+from ledgerlens.session import shared_checkpoint, spread
 
 # What counts as an identifier, a date, a number, a citation and a recommendation in text.
 LETTER_OR_DIGIT = r"[\p{L}\p{N}_]"
@@ -65,7 +66,7 @@ def extract_values(texts: DataFrame, key: str, text: str, source: str = "fact")
         body = blank(body, CITATION)
         long_dates = F.transform(all_matches(body, LONG_DATE), long_date_iso)
         body = blank(body, LONG_DATE)
-    prepared = texts.select(F.col(key), body.alias("_body"), long_dates.alias("_long"))
+    prepared = spread(texts).select(F.col(key), body.alias("_body"), long_dates.alias("_long"))
     numbers_in = blank(blank(F.col("_body"), IDENTIFIER), ISO_DATE)
     kinds = prepared.select(
         key, all_matches(F.col("_body"), IDENTIFIER).alias("_ids"), F.concat(all_matches(F.col("_body"), ISO_DATE), F.col("_long")).alias("_dates"),
@@ -90,8 +91,9 @@ def unsupported_claims(claims: DataFrame, cards: DataFrame, citations: DataFrame
     holds the value, up to three are named. The cards of a value are looked up by value and cut to three
     before they are joined, so a value held by very many cards stays cheap.
     """
-    wanted = extract_values(claims, claim, text, "claim")
-    held = extract_values(cards, card, text, "fact")
+    # Extracted once and stored: the values are far smaller than the texts and are joined several times.
+    wanted = shared_checkpoint(extract_values(claims, claim, text, "claim"))
+    held = shared_checkpoint(extract_values(cards, card, text, "fact"))
     cited = citations.join(held, card).select(claim, "kind", "value").distinct()
     in_some = held.filter("kind = 'id'").select("kind", "value").distinct()
     loose = wanted.filter("kind <> 'id'").join(cited, [claim, "kind", "value"], "left_anti")
@@ -139,7 +141,7 @@ TOKEN = rf"(?i){START}[A-Z]{{1,6}}(?:-[A-Z]{{1,4}})?-[0-9]{{2,6}}(?:-[A-Z]?[0-9]
 def text_identifiers(texts: DataFrame, key: str, text: str, patterns: dict[str, str]) -> DataFrame:
     """Business identifiers in whole texts with the first class (by name) whose pattern they match."""
     tokens = F.array_distinct(F.transform(all_matches(F.col(text), TOKEN), lambda t: F.upper(t)))
-    found = texts.select(key, F.explode(tokens).alias("identifier"))
+    found = spread(texts).select(key, F.explode(tokens).alias("identifier"))
     kind = F.coalesce(*[F.when(F.col("identifier").rlike(f"^(?:{p})\\z"), F.lit(name)) for name, p in sorted(patterns.items())])
     return found.withColumn("class_id", kind).filter("class_id IS NOT NULL")
 

@@ -71,9 +71,15 @@ both(
 both(
     "fn_aggregate",
     "SELECT o_orderpriority, count(*) AS n, CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS STRING) AS s, round(avg(o_totalprice), 4) AS av, min(o_totalprice) AS mn, max(o_totalprice) AS mx, round(stddev(o_totalprice), 2) AS sd, round(stddev_pop(o_totalprice), 2) AS sp, round(variance(o_totalprice) / 1000000, 2) AS va,"
-    " size(array_distinct(collect_list(o_orderstatus))) AS statuses, listagg(DISTINCT o_orderstatus, ',') WITHIN GROUP (ORDER BY o_orderstatus) AS la, count_if(o_orderstatus = 'F') AS closed, any_value(o_orderpriority) AS av1 FROM orders GROUP BY o_orderpriority",
+    " size(collect_set(o_orderstatus)) AS statuses, listagg(DISTINCT o_orderstatus, ',') WITHIN GROUP (ORDER BY o_orderstatus) AS la, count_if(o_orderstatus = 'F') AS closed, any_value(o_orderpriority) AS av1 FROM orders GROUP BY o_orderpriority",
     "SELECT o_orderpriority, count(*) AS n, CAST(CAST(sum(CAST(o_totalprice AS DECIMAL(12,2))) AS DECIMAL(18,2)) AS VARCHAR) AS s, round(avg(o_totalprice), 4) AS av, min(o_totalprice) AS mn, max(o_totalprice) AS mx, round(stddev(o_totalprice), 2) AS sd, round(stddev_pop(o_totalprice), 2) AS sp, round(variance(o_totalprice) / 1000000, 2) AS va,"
-    " len(list_distinct(list(o_orderstatus))) AS statuses, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS la, count_if(o_orderstatus = 'F') AS closed, any_value(o_orderpriority) AS av1 FROM orders GROUP BY o_orderpriority",
+    " count(DISTINCT o_orderstatus) AS statuses, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS la, count_if(o_orderstatus = 'F') AS closed, any_value(o_orderpriority) AS av1 FROM orders GROUP BY o_orderpriority",
+)
+both(
+    "fn_array_agg",
+    # Only distinct values are collected, so that no list grows with the data.
+    "SELECT kind, array_join(array_sort(array_agg(value)), ',') AS vals, string_agg(value, '|') WITHIN GROUP (ORDER BY value) AS piped FROM (SELECT DISTINCT 'status' AS kind, o_orderstatus AS value FROM orders UNION ALL SELECT DISTINCT 'priority', o_orderpriority FROM orders) GROUP BY kind",
+    "SELECT kind, string_agg(value, ',' ORDER BY value) AS vals, string_agg(value, '|' ORDER BY value) AS piped FROM (SELECT DISTINCT 'status' AS kind, o_orderstatus AS value FROM orders UNION ALL SELECT DISTINCT 'priority', o_orderpriority FROM orders) GROUP BY kind",
 )
 both(
     "fn_conditional",

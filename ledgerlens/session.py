@@ -19,6 +19,7 @@ def build_session(app: str = "ledgerlens", master: str | None = None, shuffle_pa
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = builder.master(master).config("spark.driver.memory", "8g")
@@ -39,3 +40,13 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="ledgerlens-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a frame with fewer partitions than cores over all cores before costly per-row work.
+
+    A large input already has more splits than the cluster has cores and is returned as it is, so the
+    shuffle happens only for inputs that a few tasks would otherwise process alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
