@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +17,16 @@ HIGH_TIERS = ("High", "Critical")
 OVER_BUDGET_PERCENT = 5
 
 
-def dashboard_contracts(records: DataFrame, terms: DataFrame, as_of, contract: str = "contract_id") -> DataFrame:
+def dashboard_contracts(records: DataFrame, terms: DataFrame, as_of, per_vendor: Sequence[DataFrame] = (), contract: str = "contract_id") -> DataFrame:
     """One line per contract with attention state, masked risk, service level and forecast variance.
 
-    Contracts without a renewal clause keep NULL terms. Ordered by decision date, else end date.
+    Contracts without a renewal clause keep NULL terms. ``per_vendor`` frames (assessments, measurements)
+    are joined by vendor after everything that shares the contract key, so that each key is shuffled
+    once. Ordered by decision date, else end date.
     """
     joined = records.join(terms.select(contract, "notice_days", "automatic_renewal", F.col("notice_deadline").alias("renewal_decision_date")), contract, "left")
+    for frame in per_vendor:
+        joined = joined.join(frame, "vendor_id", "left")
     over = F.col("forecast") - F.col("budget")
     usable = F.col("budget").isNotNull() & (F.col("budget") != 0)
     lines = (

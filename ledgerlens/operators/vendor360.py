@@ -5,6 +5,8 @@ Every input is already at vendor grain; the view only joins, so no amount is eve
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,14 @@ def evidence_status(limitations: DataFrame, keys=("vendor_id",), code: str = "co
     return limitations.groupBy(*keys).agg(gaps.alias("gap_codes")).withColumn("retrieval_status", F.when(F.size("gap_codes") > 0, "incomplete").otherwise("no_reported_gaps"))
 
 
-def vendor_360(identity: DataFrame, commercial: DataFrame, finance: DataFrame, workforce: DataFrame, dependencies: DataFrame, sla: DataFrame, risk: DataFrame, as_of, key: str = "vendor_id") -> DataFrame:
-    """One row per vendor with every section; an absent section stays NULL and becomes a gap code."""
+def vendor_360(identity: DataFrame, sections: Sequence[DataFrame], as_of, key: str = "vendor_id") -> DataFrame:
+    """One row per vendor with every section; an absent section stays NULL and becomes a gap code.
+
+    Sections bring contract dates, finance, workforce, dependencies, service levels and risk. Sources that
+    share a computation can bring several of them in one frame.
+    """
     view = identity
-    for section in (commercial, finance, workforce, dependencies, sla, risk):
+    for section in sections:
         view = view.join(section, key, "left")
     view = view.withColumn("days_to_expiry", days_until(F.col("end_date"), as_of))
     gaps = F.array_compact(

@@ -38,14 +38,13 @@ from ledgerlens.plans.tables import (
 def vendor_contracts(spark, folder):
     """Per vendor: contract interval, distinct owners served (assignments) and open orders (issues).
 
-    Lines collapse to one row per vendor and order, then per vendor and owner, so that every distinct
-    count becomes a plain count and each step combines on the map side.
+    Lines meet their order first; the grouping by vendor and order then needs no further shuffle. One row
+    per vendor and order, then per vendor and owner, turns every distinct count into a plain count.
     """
-    per_order = table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").alias("vendor_id"), F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last")
-    )
+    lines = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("vendor_id"), F.col("l_orderkey").alias("o_orderkey"), "l_shipdate")
     orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    per_owner = per_order.join(orders, "o_orderkey").groupBy("vendor_id", "o_custkey").agg(
+    per_order = lines.join(orders, "o_orderkey").groupBy("o_orderkey", "vendor_id", "o_custkey", "o_orderstatus").agg(F.min("l_shipdate").alias("first"), F.max("l_shipdate").alias("last"))
+    per_owner = per_order.groupBy("vendor_id", "o_custkey").agg(
         F.min("first").alias("first"), F.max("last").alias("last"), F.count_if(F.col("o_orderstatus") == "O").alias("open")
     )
     return per_owner.groupBy("vendor_id").agg(
@@ -54,13 +53,11 @@ def vendor_contracts(spark, folder):
 
 
 def view(spark, folder):
-    linked = vendor_contracts(spark, folder)
     finance = q_spend.finance(spark, folder).select("vendor_id", "budget", "forecast", "actual_ytd", "forecast_variance_amount", "forecast_variance_pct", "actual_ytd_variance_amount", "actual_ytd_variance_pct")
-    return vendor360.vendor_360(
-        identity=vendors(spark, folder), commercial=linked.select("vendor_id", "start_date", "end_date"), finance=finance,
-        workforce=linked.select("vendor_id", "assignment_count", "open_issue_count"), dependencies=risk.dependency_counts(bridge(spark, folder)),
-        sla=risk.breach_rollup(q_risk.measured(spark, folder)), risk=risk.status_rollup(assessments(spark, folder), ["vendor_id"]), as_of=AS_OF,
-    )
+    sections = [
+        vendor_contracts(spark, folder), finance, risk.dependency_counts(bridge(spark, folder)), risk.breach_rollup(q_risk.measured(spark, folder)), risk.status_rollup(assessments(spark, folder), ["vendor_id"]),
+    ]
+    return vendor360.vendor_360(vendors(spark, folder), sections, AS_OF)
 
 
 VIEW = [
@@ -141,12 +138,9 @@ MAX_GROUP = 64
 
 
 def keys(spark, folder):
-    used = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("vendor_id"), F.col("l_partkey").alias("key")).distinct()
-    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("key"), "p_brand", "p_type")
-    described = used.join(parts, "key")
-    return overlap.vendor_keys(
-        application=used, product=described.select("vendor_id", F.col("p_brand").alias("key")).distinct(), service=described.select("vendor_id", F.col("p_type").alias("key")).distinct()
-    )
+    used = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("vendor_id"), "l_partkey").distinct()
+    parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
+    return overlap.vendor_keys(used.join(parts, "l_partkey"), {"application": "l_partkey", "product": "p_brand", "service": "p_type"})
 
 
 KEYS = (
@@ -198,8 +192,8 @@ def overlap_for_vendor(spark, folder):
 
 
 # -------------------------------------------------------------------- dashboard
-def dashboard_records(spark, folder):
-    """Contract records of the dashboard: order totals by scenario, the owner's assessment and latest measurement."""
+def dashboard_lines(spark, folder):
+    """Contract lines of the dashboard: order totals by scenario, the owner's assessment and latest measurement."""
     money = spend_lines(spark, folder, None).groupBy("contract_id").agg(
         cents(F.sum("budget")).alias("budget"), cents(F.sum("forecast")).alias("forecast"), cents(F.sum(F.when(F.col("month") <= q_spend.COMPARABLE_MONTHS, F.col("actual")))).alias("actual_ytd")
     )
@@ -208,11 +202,8 @@ def dashboard_records(spark, folder):
         .select("vendor_id", F.col("m.period").alias("sla_period"), F.col("m.actual").alias("sla_actual"), F.col("m.target").alias("sla_target"), F.col("m.breach").alias("sla_breach"))
     )
     owners = assessments(spark, folder).select("vendor_id", F.col("status").alias("risk_status"), F.col("tier").alias("risk_tier"))
-    return contracts(spark, folder).select("contract_id", "vendor_id", "end_date").join(money, "contract_id", "left").join(owners, "vendor_id", "left").join(latest, "vendor_id", "left")
-
-
-def dashboard_lines(spark, folder):
-    return dashboard.dashboard_contracts(dashboard_records(spark, folder), renewal_terms(spark, folder), AS_OF)
+    records = contracts(spark, folder).select("contract_id", "vendor_id", "end_date").join(money, "contract_id", "left")
+    return dashboard.dashboard_contracts(records, renewal_terms(spark, folder), AS_OF, [owners, latest])
 
 
 DASHBOARD = [

@@ -43,10 +43,11 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a frame with fewer partitions than cores over all cores before costly per-row work.
+    """Spread a scan with fewer splits than cores over all cores before costly per-row work.
 
     A large input already has more splits than the cluster has cores and is returned as it is, so the
-    shuffle happens only for inputs that a few tasks would otherwise process alone.
+    shuffle happens only for inputs that a few tasks would otherwise process alone. Only for plain scans:
+    counting the partitions of a frame with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
