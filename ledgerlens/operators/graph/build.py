@@ -46,7 +46,7 @@ def map_edges(pairs: DataFrame, relation: str, source_class: str, target_class:
     """Identity pairs to directed edges with endpoint keys; one edge per tuple however often it is cited."""
     distinct = pairs.select(F.col(source).cast("string").alias("s"), F.col(target).cast("string").alias("t"), *([revision.alias("r")] if revision is not None else [])).distinct()
     keyed = distinct.select(entity_key(namespace, source_class, F.col("s")).alias("src"), entity_key(namespace, target_class, F.col("t")).alias("dst"), (F.col("r") if revision is not None else F.lit(1)).cast("long").alias("revision"))
-    return keyed.select(relationship_key(namespace, relation, F.col("src"), F.col("dst")).alias("key"), F.lit(namespace).alias("namespace"), F.lit(relation).alias("type"), "src", "dst", "revision")
+    return keyed.select(relationship_key(namespace, relation, F.col("src"), F.col("dst")).alias("key"), F.lit(namespace).alias("namespace"), F.lit(relation).alias("type"), "src", "dst", "revision", F.lit(source_class).alias("src_class"), F.lit(target_class).alias("dst_class"))
 
 
 def props_text(props: Column) -> Column:
@@ -96,7 +96,7 @@ def topology_report(nodes: DataFrame, edges: DataFrame, ontology: Ontology, refe
     ]
     if references is not None:
         parts.append(issue(references.join(present.select(F.col("key").alias("reference")), "reference", "left_anti").select("subject").distinct(), "missing_reference", "subject"))
-    ends = edges.join(present.select(F.col("key").alias("src"), F.col("class_id").alias("src_class"), F.col("identity").alias("src_identity")), "src", "left")
+    ends = edges.select("key", "type", "src", "dst").join(present.select(F.col("key").alias("src"), F.col("class_id").alias("src_class"), F.col("identity").alias("src_identity")), "src", "left")
     target = [F.col("key").alias("dst"), F.col("class_id").alias("dst_class")] + ([F.col("contract_identity").alias("dst_contract")] if "contract_identity" in nodes.columns else [])
     ends = ends.join(present.select(*target), "dst", "left")
     whole = F.col("src_class").isNotNull() & F.col("dst_class").isNotNull()

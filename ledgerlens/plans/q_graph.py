@@ -130,7 +130,7 @@ def graph_nodes_edges(spark, folder):
 
 @query("graph_edges", with_sql(PAIRS, EDGES) + f"SELECT key, '{NS}' AS namespace, type, src, dst, CAST(1 AS BIGINT) AS revision FROM edges")
 def graph_edges(spark, folder):
-    return edges(spark, folder)
+    return edges(spark, folder).drop("src_class", "dst_class")
 
 
 @query("graph_counts", with_sql(NODES, PAIRS) + "SELECT 'node' AS kind, class_id AS name, count(*) AS records FROM nodes GROUP BY 2 UNION ALL SELECT 'edge', type, count(*) FROM ends GROUP BY 2")
@@ -314,12 +314,8 @@ def graph_bfs(spark, folder):
 
 @query("graph_relation_path", "SELECT 'Part' AS source, 'Region' AS target, 'Part <-SUPPORTS- Supplier -LOCATED_IN-> Nation -IN_REGION-> Region' AS path, 3 AS steps WHERE EXISTS (SELECT 1 FROM lineitem)")
 def graph_relation_path(spark, folder):
-    """Relations between classes as the stored edges use them."""
-    classes = nodes(spark, folder).select("key", "class_id")
-    used = (
-        edges(spark, folder).join(classes.select(F.col("key").alias("src"), F.col("class_id").alias("source")), "src")
-        .join(classes.select(F.col("key").alias("dst"), F.col("class_id").alias("target")), "dst").select("source", "type", "target").distinct()
-    )
+    """Relations between classes as the edges use them."""
+    used = edges(spark, folder).select(F.col("src_class").alias("source"), "type", F.col("dst_class").alias("target")).distinct()
     return traverse.relation_path(used, "Part", "Region")
 
 
