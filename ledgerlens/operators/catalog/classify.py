@@ -157,7 +157,7 @@ def classify(profile: DataFrame, values: DataFrame, ontology: Ontology) -> DataF
     patterned = result.withColumn("value_pattern", F.when(F.col("role").isin("identifier", "date", "dimension"), F.col("value_pattern")))
     small = result.filter(shown & (F.col("role") == "dimension") & F.col("distinct_count").between(1, MAX_VALUE_SET)).select(*FIELD)
     sets = values.join(small, FIELD, "left_semi").groupBy(*FIELD).agg(F.array_sort(F.collect_set("value")).alias("value_set"))
-    return patterned.join(sets, FIELD, "left").select(
+    classified = patterned.join(sets, FIELD, "left").select(
         *FIELD, "position", "data_type", "row_count", "distinct_count", "null_pct", "is_unique", "min_value", "max_value", "role", "class_id", "property_id",
         F.when(mapped, F.concat_ws(".", "class_id", "property_id")).alias("concept"), F.coalesce("is_key", F.lit(False)).alias("is_key"), "domain",
         F.when(mapped, F.when(F.col("name_collision"), 0.5).otherwise(1.0)).alias("confidence"),
@@ -165,6 +165,8 @@ def classify(profile: DataFrame, values: DataFrame, ontology: Ontology) -> DataF
         F.when(mapped, "classifier").otherwise("none").alias("basis"), "name_collision", "masked",
         F.coalesce("business_name", humanize(F.col("field"))).alias("business_name"), F.when(shown, F.col("value_pattern")).alias("value_pattern"), "value_set",
     )
+    # One row per column, read by every later catalog step.
+    return shared_checkpoint(classified)
 
 
 def merge_proposals(fields: DataFrame, proposals: DataFrame, ontology: Ontology, values: DataFrame, low: float = 0.6, high: float = 0.95) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.catalog.classify import FIELD
+from ledgerlens.session import shared_checkpoint
 
 MIN_DISTINCT = 2
 
@@ -43,6 +44,7 @@ def discover_references(candidates: DataFrame, values: DataFrame) -> DataFrame:
     One join on (group, value): each child value meets at most one home value, so the work is linear in
     the distinct values.
     """
+    candidates = shared_checkpoint(candidates)
     homes = home_keys(candidates).select("key_group", F.col("dataset_id").alias("home_dataset"), F.col("field").alias("home_field"), F.col("basis").alias("home_basis"), F.col("review_state").alias("home_state"))
     members = candidates.join(homes, "key_group").filter(~((F.col("dataset_id") == F.col("home_dataset")) & (F.col("field") == F.col("home_field"))))
     child_values = values.join(members.select(*FIELD, "key_group"), FIELD)

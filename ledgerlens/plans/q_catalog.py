@@ -49,8 +49,8 @@ class Harvest:
         keyed = shared_checkpoint(profile.keyed_values(self.source))
         self.values = keyed.filter("value IS NOT NULL").select("dataset_id", "field", "value")
         self.profile = shared_checkpoint(profile.profile(self.source, keyed))
-        self.fields = shared_checkpoint(classify.classify(self.profile, self.values, VOCABULARY))
-        self.candidates = references.candidate_fields(self.fields, self.datasets)
+        self.fields = classify.classify(self.profile, self.values, VOCABULARY)
+        self.candidates = shared_checkpoint(references.candidate_fields(self.fields, self.datasets))
         self.references = shared_checkpoint(references.discover_references(self.candidates, self.values))
 
 

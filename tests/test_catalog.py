@@ -1,10 +1,12 @@
 """Profiles, shapes, classification and key discovery on small tables."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import digit_mask, humanize, is_sensitive, name_tokens, value_shape
 from ledgerlens.operators.catalog import classify, profile, references
 from ledgerlens.operators.catalog.ontology import BusinessClass, Ontology, Property
+from ledgerlens.session import shared_checkpoint
 
 VOCABULARY = Ontology(
     classes=(
@@ -38,23 +40,24 @@ def tables(spark):
     return {"clm.master": master, "fin.facts": facts}
 
 
+@pytest.fixture(scope="module")
 def classified(spark):
     source = tables(spark)
-    keyed = profile.keyed_values(source)
-    prof = profile.profile(source, keyed)
+    keyed = shared_checkpoint(profile.keyed_values(source))
+    prof = shared_checkpoint(profile.profile(source, keyed))
     values = keyed.select("dataset_id", "field", "value")
     return prof, values, classify.classify(prof, values, VOCABULARY)
 
 
-def test_profile_counts_empty_text(spark):
-    prof, _, _ = classified(spark)
+def test_profile_counts_empty_text(classified):
+    prof, _, _ = classified
     row = prof.filter("field = 'Yearly_Cost'").first()
     assert (row.row_count, row.empty_count, row.distinct_count, row.is_numeric, row.is_unique, row.null_pct, row.max_length) == (3, 1, 2, True, False, 33.33, 4)
     assert prof.filter("field = 'Contract_End_Date'").first().is_date and prof.filter("field = 'Vendor_ID'").first().is_unique
 
 
-def test_classification_by_name_then_by_value(spark):
-    _, _, fields = classified(spark)
+def test_classification_by_name_then_by_value(classified):
+    _, _, fields = classified
     got = {(r.dataset_id, r.field): (r.role, r.concept) for r in fields.collect()}
     assert got[("clm.master", "Vendor_ID")] == ("identifier", "Vendor.vendor_id") and got[("fin.facts", "Supplier")] == ("identifier", "Vendor.vendor_id")
     assert got[("clm.master", "Contract_End_Date")] == ("date", "Contract.end_date")
@@ -62,8 +65,8 @@ def test_classification_by_name_then_by_value(spark):
     assert got[("fin.facts", "Other_ID")] == ("identifier", None) and got[("fin.facts", "record_id")][0] == "identifier"
 
 
-def test_references_need_full_containment(spark):
-    _, values, fields = classified(spark)
+def test_references_need_full_containment(spark, classified):
+    _, values, fields = classified
     datasets = spark.createDataFrame([("clm.master", "ownership", "Vendor_ID"), ("fin.facts", "spend", "record_id")], "dataset_id string, domain string, sole_key string")
     refs = references.discover_references(references.candidate_fields(fields, datasets), values)
     found = {(r.child_field, r.home_field, r.basis, r.confidence, r.review_state) for r in refs.collect()}
@@ -84,8 +87,8 @@ def test_case_collisions_are_unreviewed(spark):
     assert rows["VENDOR_ID"] == (True, "Vendor.vendor_id", 0.5, "unreviewed") and rows["Vendor_ID"][:2] == (True, None)
 
 
-def test_proposals_never_override_and_stay_unreviewed(spark):
-    _, values, fields = classified(spark)
+def test_proposals_never_override_and_stay_unreviewed(spark, classified):
+    _, values, fields = classified
     rows = [("fin.facts", "Other_ID", "Vendor", "vendor_id", 0.9, 1), ("clm.master", "Vendor_ID", "Contract", "contract_id", 0.9, 2), ("clm.master", "Vendor_Name", "Vendor", "name", 0.99, 3), ("clm.master", "Vendor_Name", "Vendor", "name", 0.7, 4)]
     merged = {r.field: r for r in classify.merge_proposals(fields, spark.createDataFrame(rows, "dataset_id string, field string, class_id string, property_id string, confidence double, seq int"), VOCABULARY, values).filter("dataset_id <> 'fin.facts' OR field = 'Other_ID'").collect()}
     assert merged["Other_ID"].class_id is None and merged["Other_ID"].review_state == "unreviewed"
