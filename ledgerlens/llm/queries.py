@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import quality
+from ledgerlens.llm import mixing, near_dedup, quality
 
 QUERIES = {
+    "op1_minhash_tensored": near_dedup.query,
+    "op4_mixing_weights": mixing.query,
     "op7_line_frequency": quality.query,
 }
 SQL: dict[str, str] = {}
