@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import mixing, near_dedup, quality
+from ledgerlens.llm import hash_search, katz, mixing, near_dedup, packing, quality, quotations, surrogates, url_filter
 
 QUERIES = {
     "op1_minhash_tensored": near_dedup.query,
+    "op2_packing_order_preserving": packing.query,
+    "op3_multi_index_hashing": hash_search.query,
     "op4_mixing_weights": mixing.query,
+    "op5_quotation_linking": quotations.query,
+    "op6_url_model_ratio": url_filter.query,
     "op7_line_frequency": quality.query,
+    "op8_katz_backoff": katz.query,
+    "op9_surrogates": surrogates.query,
 }
 SQL: dict[str, str] = {}
