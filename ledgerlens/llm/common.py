@@ -25,6 +25,22 @@ def ship(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
+def _shared_path(spark: SparkSession) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints"
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def store_by(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """``store``, bucketed by a key: what is later grouped by the key with it moves, the stored rows do not."""
+    spark = df.sparkSession
+    name = f"stored_{uuid.uuid4().hex}"
+    df.write.bucketBy(parts, key).option("path", _shared_path(spark)).saveAsTable(name)
+    stored = spark.table(name)
+    # Only the entry in the catalog goes; the files are the table's own.
+    spark.sql(f"DROP TABLE {name}")
+    return stored
+
+
 def store(df: DataFrame) -> DataFrame:
     """Write a table into the folder of ``spark.checkpoint.dir`` and read it back.
 
@@ -32,8 +48,7 @@ def store(df: DataFrame) -> DataFrame:
     where the setting is missing (a local session, tests) a folder below the warehouse is used.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.checkpoints"
-    path = f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    path = _shared_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

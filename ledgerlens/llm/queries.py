@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import hash_search, katz, mixing, near_dedup, packing, quality, quotations, surrogates, url_filter
+from ledgerlens.llm import hash_search, katz, mixing, near_dedup, packing, quality, quotations, suffix_dedup, surrogates, url_filter
 
 QUERIES = {
     "op1_minhash_tensored": near_dedup.query,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_line_frequency": quality.query,
     "op8_katz_backoff": katz.query,
     "op9_surrogates": surrogates.query,
+    "op10_bwt_merge_dedup": suffix_dedup.query,
 }
 SQL: dict[str, str] = {}
