@@ -60,3 +60,16 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast a stored table of at most ``rows`` rows; a larger one is joined by shuffle instead."""
     return F.broadcast(df) if len(df.head(rows + 1)) <= rows else df
+
+
+def boxed(docs: DataFrame, *columns: str) -> DataFrame:
+    """The named columns, and the whole row in ``_row``, so no further column can clash with added ones."""
+    return docs.select(*columns, F.struct(*docs.columns).alias("_row"))
+
+
+def unboxed(rows: DataFrame, columns: list[str], *more, **changed) -> DataFrame:
+    """The columns of ``_row`` again, some of them changed; n_chars follows a changed text."""
+    if "text" in changed and "n_chars" in columns:
+        kind = rows.schema["_row"].dataType["n_chars"].dataType
+        changed["n_chars"] = F.length(changed["text"]).cast(kind)
+    return rows.select(*(changed[c].alias(c) if c in changed else F.col("_row")[c].alias(c) for c in columns), *more)

@@ -126,7 +126,7 @@ def _probe(queries, block, coder, radius, k):
         index, codes, ids = BlockIndex(coder.codes(x)), coder.codes(q, True), block["c"].to_numpy()
         for i, query in enumerate(queries["c"].to_numpy()):
             found, r = index.within(codes[i], radius), radius
-            while len(found) <= k < len(x) and r < coder.planes.shape[1]:
+            while len(found) < min(k, len(x)) and r < coder.planes.shape[1]:
                 r += 8
                 found = index.within(codes[i], r)
             score = x[found] @ q[i]

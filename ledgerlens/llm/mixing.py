@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import documents, small_side, store
+from ledgerlens.llm.common import boxed, documents, small_side, store, unboxed
 from ledgerlens.operators.ranking import exact_rank
 
 WEIGHTS, SHARE, CAP, BINS, SEED = (3, 1, 2), 1.5, 2, 4096, 7
@@ -115,7 +115,7 @@ def amounts(docs: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself, columns as given: a row for every whole repeat, and one with the words drawn from the
     document that crosses its source's budget. Documents the mix does not take are absent."""
-    rows = sized(docs)
+    rows = sized(boxed(docs, "doc_id", "source", "text"))
     plan = plan_sources(store(rows.select("doc_id", "source", "_size", "_p")))
     taken = take(rows, plan)
     whole = F.floor(F.col("taken") / F.nullif("_size", F.lit(0))).cast("int")
@@ -125,8 +125,7 @@ def mix(docs: DataFrame) -> DataFrame:
     lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0)
     cut = F.array_join(F.slice(words, F.lit(1), part + lead), "")
     copies = F.concat(F.array_repeat(F.col("text"), F.coalesce(whole, F.lit(0))), F.when(part > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
-    out = taken.withColumn("_text", F.explode(copies)).select(*(F.col("_text").alias("text") if c == "text" else F.col(c) for c in docs.columns))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return unboxed(taken.withColumn("_text", F.explode(copies)), docs.columns, text=F.col("_text"))
 
 
 def query(spark, sf_dir):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm import textkernel as K
-from ledgerlens.llm.common import documents, ship, store
+from ledgerlens.llm.common import boxed, documents, ship, store, unboxed
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 #: Symbols of the base rules.
@@ -142,9 +142,9 @@ def judge(docs: DataFrame, share: float = 0.02, min_documents: int = 20, min_wor
 
 
 def _rewrite(batches):
-    """Drop the lines named by ``removed_lines`` from ``text``; other texts stay as they are."""
+    """Texts without the lines named beside them; other texts stay as they are."""
     for batch in batches:
-        at, lost = batch.schema.get_field_index("text"), batch.column("removed_lines").to_pylist()
+        at, lost = batch.schema.get_field_index("text"), batch.column(batch.num_columns - 1).to_pylist()
         texts = batch.column(at).to_pylist()
         for i, lines in enumerate(lost):
             if lines:
@@ -154,8 +154,8 @@ def _rewrite(batches):
                 _, normal, words, _, _ = _line_table(block)
                 stay = ~np.isin(K.signed(normal), np.array(lines, np.int64)) | (words == 0)
                 texts[i] = b"\n".join(data[a:b] for a, b in zip(starts[stay], ends[stay], strict=True)).decode()
-        names = [n for n in batch.schema.names if n != "removed_lines"]
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in names], names)
+        columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]
+        yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
 
 def clean(docs: DataFrame, **limits) -> DataFrame:
@@ -163,10 +163,10 @@ def clean(docs: DataFrame, **limits) -> DataFrame:
     judged = judge(docs, **limits)
     # Rejected and changed documents only; an untouched one needs no entry.
     touched = store(judged.where(~F.col("kept") | (F.col("removed_words") > 0)).select(*KEYS, "kept", "removed_lines").distinct())
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    rest = on_keys(keyed, touched).where(F.coalesce("kept", F.lit(True))).drop("kept", "text_key")
-    out = rest.mapInArrow(_rewrite, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    keyed = boxed(docs, "doc_id", "source", F.xxhash64("text").alias("text_key"))
+    rest = on_keys(keyed, touched).where(F.coalesce("kept", F.lit(True)))
+    out = unboxed(rest, docs.columns, F.col("removed_lines").alias("_removed_lines")).mapInArrow(_rewrite, docs.schema)
+    return unboxed(boxed(out, "text"), docs.columns, text=F.col("text"))
 
 
 def query(spark, sf_dir):

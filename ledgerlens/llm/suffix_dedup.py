@@ -116,7 +116,7 @@ class Chunk:
         return at, at[order[new]], least, of
 
 
-def _chunks(batches):
+def _chunks(batches, chunk_bytes):
     part, number, size, held = TaskContext.get().partitionId(), 0, 0, []
 
     def out():
@@ -137,7 +137,7 @@ def _chunks(batches):
         for rows, data, offsets in K.blocks(batch, "text"):
             held.append((batch.column("doc_id").slice(rows.start, rows.stop - rows.start).to_pylist(), data, np.diff(offsets), anchors(data, offsets)))
             size += len(data)
-            if size >= CHUNK_BYTES:
+            if size >= chunk_bytes:
                 yield out()
     if held:
         yield out()
@@ -316,14 +316,14 @@ def _finish(chunk, shared, masks, spans):
     return out
 
 
-def deduplicate(docs: DataFrame, spans: bool = True) -> DataFrame:
+def deduplicate(docs: DataFrame, spans: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document; with ``spans`` also the kept
     bytes and the removed ranges [from, to)."""
     ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(size // BUCKET_BYTES).bit_length()
-    chunks = store_by(rows.mapInArrow(_chunks, "chunk long, doc_ids array<long>, text binary, lengths binary, anchors binary, hashes binary"), "chunk", 1 << bits)
+    chunks = store_by(rows.mapInArrow(partial(_chunks, chunk_bytes=chunk_bytes), "chunk long, doc_ids array<long>, text binary, lengths binary, anchors binary, hashes binary"), "chunk", 1 << bits)
     asked = chunks.select("chunk", "lengths", "anchors", "hashes").mapInArrow(partial(_ask, bits=bits), "bucket int, chunk long, keys binary, several binary")
     shared = store(asked.groupBy("bucket").applyInPandas(lambda f: _shared(f), "bucket int, chunk long, answer binary, n int"))
     send = partial(_send, bits=bits)

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import documents, store
+from ledgerlens.llm.common import boxed, documents, store, unboxed
 
 KEY = "corpus-surrogates"
 #: Titles by gender, given names by gender and script, syllables by script.
@@ -242,8 +242,7 @@ def replace(docs: DataFrame, key: str = KEY, make=surrogate) -> DataFrame:
 
 def anonymise(docs: DataFrame) -> DataFrame:
     """``replace`` with the columns of the input; n_chars follows the text."""
-    out = replace(docs).select(*docs.columns)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    return unboxed(replace(boxed(docs, "text")), docs.columns, text=F.col("text"))
 
 
 def query(spark, sf_dir):
