@@ -28,10 +28,13 @@ def digit_mask(value: Column) -> Column:
     return F.translate(value, "123456789", "000000000")
 
 
+#: One part of a column or concept name: capitals with what follows them, or capitals alone.
+NAME_PART = "[A-Z]*[a-z0-9]+|[A-Z]+"
+
+
 def name_tokens(name: Column) -> Column:
-    """Lower-case tokens of a camel-case or underscored name."""
-    spaced = F.lower(F.regexp_replace(name, "(?<=[a-z0-9])(?=[A-Z])", "_"))
-    return F.filter(F.split(spaced, "[^0-9a-z]+"), lambda t: t != "")
+    """Lower-case parts of a camel-case or underscored name."""
+    return F.transform(F.regexp_extract_all(name, F.lit(NAME_PART), F.lit(0)), F.lower)
 
 
 def is_sensitive(name: Column) -> Column:

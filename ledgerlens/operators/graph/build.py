@@ -77,10 +77,6 @@ def apply_merge(existing: DataFrame, incoming: DataFrame, decided: DataFrame, ke
     return existing.join(decided.filter(F.col("action").isin("keep", "unchanged")).select(key), key, "left_semi").unionByName(written)
 
 
-def merge_summary(decided: DataFrame) -> DataFrame:
-    return decided.groupBy("action").agg(F.count("*").alias("records"))
-
-
 def topology_report(nodes: DataFrame, edges: DataFrame, ontology: Ontology, references: DataFrame | None = None) -> DataFrame:
     """Violations as (code, subject): duplicates, endpoints, references, classes, clause agreement, cardinality, disjointness.
 
@@ -161,7 +157,3 @@ def evidence_quality(cited: DataFrame) -> DataFrame:
     }
     flagged = cited.groupBy("subject_key").agg(*[value.alias(name) for name, value in notes.items()])
     return flagged.select("subject_key", F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in notes])).alias("notes"))
-
-
-def node_classes(nodes: DataFrame, classes: Sequence[str]) -> DataFrame:
-    return nodes.filter(F.col("class_id").isin(*classes))

@@ -98,11 +98,6 @@ def dedupe_conflicts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def collapse_duplicates(df: DataFrame) -> DataFrame:
-    """Exact duplicates become one row."""
-    return df.distinct()
-
-
 # ----------------------------------------------------------------- join rules
 def conformance_violations(fact: DataFrame, master: DataFrame, table: str, key: str, record: Sequence[str], shared: Mapping[str, str]) -> DataFrame:
     """Every fact row must meet a master row and agree with it on the shared columns.
@@ -138,60 +133,71 @@ def keyset_coverage(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> D
 
 
 # ------------------------------------------------------- typed record checks
+def _number(value: Column) -> Column:
+    return value.rlike(r"^-?[0-9]+(\.[0-9]+)?\z") & (F.abs(value.try_cast("double")) < float("inf"))
+
+
+def _whole(value: Column) -> Column:
+    """A whole number in the signed 64-bit range."""
+    return value.rlike(r"^-?[0-9]+\z") & value.try_cast("long").isNotNull()
+
+
+#: What a value of each datatype must be, in order, and the code of a value that is not.
+DATATYPES: dict[str, tuple] = {
+    "string": (),
+    "text": ((lambda v: v != "", "empty_value"),),
+    "identifier": ((lambda v: v != "", "empty_value"),),
+    "integer": ((_whole, "not_a_whole_number"),),
+    "money_cents": ((_whole, "not_a_whole_number"),),
+    "decimal": ((_number, "not_a_number"),),
+    "percentage": ((_number, "not_a_number"), (lambda v: v.try_cast("decimal(38,10)").between(0, 100), "out_of_range")),
+    "boolean": ((lambda v: v.isin("true", "false"), "not_a_boolean"),),
+    "date": ((lambda v: parse_iso_date(v).isNotNull(), "not_a_date"),),
+    "year_month": ((lambda v: v.rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])\z"), "not_a_month"),),
+}
+
+
 def property_error(value: Column, rule: Mapping) -> Column:
-    """Why a textual value breaks a property rule, else NULL.
+    """The code of the first condition of a property rule that a textual value misses, else NULL.
 
-    A rule has ``datatype`` and optionally ``required``, ``enum`` and ``pattern``. NULL and the empty
-    string are both "no value".
+    A rule has ``datatype`` and optionally ``required``, ``pattern`` and ``enum``. NULL is no value. Text at
+    rest cannot tell an empty string from none, so it is none as well, except for texts and identifiers.
     """
-    kind = rule["datatype"]
-    present = F.coalesce(value, F.lit("")) != ""
-    checks = [(~present & F.lit(bool(rule.get("required"))), "required value is null")]
-    whole = value.rlike(r"^-?[0-9]+\z")
-    number = value.rlike(r"^-?[0-9]+(\.[0-9]+)?\z")
-    if kind in ("integer", "money_cents"):
-        checks.append((present & ~(whole & value.try_cast("long").isNotNull()), f"expected {kind}"))
-    elif kind == "decimal":
-        checks.append((present & ~number, "expected decimal"))
-    elif kind == "percentage":
-        checks.append((present & ~number, "expected percentage"))
-        checks.append((present & ~value.try_cast("decimal(38,10)").between(0, 100), "percentage outside 0-100"))
-    elif kind == "boolean":
-        checks.append((present & ~value.isin("true", "false"), "expected boolean"))
-    elif kind == "date":
-        checks.append((present & parse_iso_date(value).isNull(), "invalid calendar date"))
-    elif kind == "year_month":
-        checks.append((present & ~value.rlike(r"^[0-9]{4}-(0[1-9]|1[0-2])\z"), "expected YYYY-MM"))
+    conditions = list(DATATYPES[rule["datatype"]])
     if rule.get("pattern"):
-        checks.append((present & ~value.rlike(f"^(?:{rule['pattern']})\\z"), "does not match pattern"))
+        conditions.append((lambda v: v.rlike(f"^(?:{rule['pattern']})\\z"), "pattern_mismatch"))
     if rule.get("enum") is not None:
-        checks.append((present & ~value.isin(*rule["enum"]), "not in allowed values"))
-    expression = None
-    for condition, message in checks:
-        expression = F.when(condition, message) if expression is None else expression.when(condition, message)
-    return expression
-
-
-def record_validation(df: DataFrame, class_id: str, key: Sequence[str], properties: Mapping[str, Mapping], allow_unmapped: bool = False) -> DataFrame:
-    """Validate flat records against property rules; field names may be property names or synonyms."""
-    lookup = {label: name for name, rule in properties.items() for label in (name, *rule.get("synonyms", ()))}
-    rules, seen = {}, set()
-    for field in df.columns:
-        name = lookup.get(field)
-        if name is None:
-            if not allow_unmapped and field not in key:
-                rules[field] = F.lit("maps to no property")
-            continue
-        seen.add(name)
-        rules[field] = property_error(F.col(field).cast("string"), properties[name])
-    for name, rule in properties.items():
-        if rule.get("required") and name not in seen:
-            rules[name] = F.lit("required property missing")
-    found = F.array_compact(
-        F.array(*[F.when(error.isNotNull(), F.struct(F.lit(f).alias("field"), error.alias("error"))) for f, error in rules.items()])
-    )
-    return (
-        df.select(text_key(key).alias("record_key"), found.alias("found"))
-        .select("record_key", F.inline("found"))
-        .select(F.lit(class_id).alias("class_id"), "record_key", "field", "error")
-    )
+        conditions.append((lambda v: v.isin(*rule["enum"]), "value_not_allowed"))
+    missing = value.isNull() if rule["datatype"] in ("text", "identifier") else F.coalesce(value, F.lit("")) == ""
+    codes = [F.when(~F.coalesce(holds(value), F.lit(False)), code) for holds, code in conditions]
+    return F.when(missing, F.lit("missing_value" if rule.get("required") else None)).otherwise(F.coalesce(*codes, F.lit(None).cast("string")))
+
+
+def field_error(df: DataFrame, field: str, rule: Mapping) -> Column:
+    """``property_error`` of a column that holds one value, or with ``many`` a list of values."""
+    value, is_list = F.col(field), df.schema[field].dataType.typeName() == "array"
+    if is_list != bool(rule.get("many")):
+        return F.when(value.isNotNull(), "not_a_list" if rule.get("many") else "is_a_list")
+    if not is_list:
+        return property_error(value.cast("string"), rule)
+    each = F.transform(value.cast("array<string>"), lambda v: F.when(v.isNull(), "null_element").otherwise(property_error(v, rule)))
+    none = F.when(value.isNull(), F.lit("missing_value" if rule.get("required") else None))
+    return F.coalesce(none, F.get(F.array_compact(each), F.lit(0)))
+
+
+def record_validation(df: DataFrame, class_id: str, key: Sequence[str], properties: Mapping[str, Mapping], allow_unmapped: bool = False, abstract: bool = False) -> DataFrame:
+    """Validate flat records against property rules; field names may be property names or synonyms.
+
+    An abstract class has no records of its own: each one is an error without a field.
+    """
+    label_of = {label: name for name, rule in properties.items() for label in (name, *rule.get("synonyms", ()))}
+    given = {field: label_of.get(field) for field in df.columns}
+    errors = {field: field_error(df, field, properties[name]) for field, name in given.items() if name is not None}
+    if not allow_unmapped:
+        errors |= {field: F.lit("unknown_field") for field, name in given.items() if name is None and field not in key}
+    errors |= {name: F.lit("missing_field") for name, rule in properties.items() if rule.get("required") and name not in given.values()}
+    listed = [F.when(error.isNotNull(), F.struct(F.lit(field).alias("field"), error.alias("error"))) for field, error in errors.items()]
+    if abstract:
+        listed.append(F.struct(F.lit(None).cast("string").alias("field"), F.lit("abstract_class").alias("error")))
+    found = df.select(text_key(key).alias("record_key"), F.inline(F.array_compact(F.array(*listed))))
+    return found.select(F.lit(class_id).alias("class_id"), "record_key", "field", "error")

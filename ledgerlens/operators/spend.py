@@ -161,7 +161,3 @@ def portfolio_records(records: DataFrame, drop: Sequence[str] = (), order: Seque
     """Every forecast record without lineage and narrative columns, in order."""
     hidden = [c for c in records.columns if c.startswith("_")] + list(drop)
     return records.drop(*hidden).orderBy(*order)
-
-
-def scenario_totals(records: DataFrame, amounts: Mapping[str, str]) -> DataFrame:
-    return records.agg(*[cents(F.sum(source)).alias(name) for name, source in amounts.items()])

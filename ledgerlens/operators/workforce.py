@@ -36,7 +36,7 @@ def cohort(df: DataFrame, filters: Mapping[str, str | None]) -> DataFrame:
     for column, wanted in filters.items():
         if wanted is not None:
             if not isinstance(wanted, str) or not wanted.strip():
-                raise ValueError("scenario categories must be nonempty strings")
+                raise ValueError(f"the filter on {column} needs some text")
             df = df.filter(F.lower(F.col(column).cast("string")) == F.lower(F.lit(wanted)))
     return df
 
@@ -67,7 +67,7 @@ def whatif(assignments: DataFrame, action: str, percent=0, filters: Mapping[str,
     """
     targets = dict(targets or {})
     if action not in ("baseline", "reduce", "shift"):
-        raise ValueError("unsupported workforce action")
+        raise ValueError("action is one of baseline, reduce, shift")
     if not 0 <= percent <= 100 or (action == "baseline" and percent != 0):
         raise ValueError("percentage must be between 0 and 100, and 0 for the baseline")
     if (action == "shift") != bool(targets):

@@ -139,10 +139,10 @@ PART_PROPERTIES = {
 @query(
     "record_validation",
     "WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS k, * FROM part)"
-    " SELECT 'Part' AS class_id, k AS record_key, 'p_type' AS field, 'not in allowed values' AS error FROM p WHERE p_type = 'MEDIUM'"
-    " UNION ALL SELECT 'Part', k, 'fill', 'percentage outside 0-100' FROM p WHERE p_size * 3 > 100"
-    " UNION ALL SELECT 'Part', k, 'p_brand', 'maps to no property' FROM p"
-    " UNION ALL SELECT 'Part', k, 'last_checked', 'required property missing' FROM p",
+    " SELECT 'Part' AS class_id, k AS record_key, 'p_type' AS field, 'value_not_allowed' AS error FROM p WHERE p_type = 'MEDIUM'"
+    " UNION ALL SELECT 'Part', k, 'fill', 'out_of_range' FROM p WHERE p_size * 3 > 100"
+    " UNION ALL SELECT 'Part', k, 'p_brand', 'unknown_field' FROM p"
+    " UNION ALL SELECT 'Part', k, 'last_checked', 'missing_field' FROM p",
 )
 def record_validation(spark, folder):
     parts = table(spark, folder, "part").select("p_partkey", "p_name", "p_type", "p_size", (F.col("p_size") * 3).alias("fill"), "p_brand")

@@ -93,9 +93,9 @@ def load(spark: SparkSession, tables: dict[str, DataFrame], target: str, force:
 def replace_namespace(df: DataFrame, path: str, namespace_prefix: str, column: str = "namespace") -> None:
     """Replace the partitions of the namespaces in ``df``, which must all start with the derived-data prefix."""
     if not namespace_prefix:
-        raise ValueError("a derived-data prefix is required")
+        raise ValueError("give the prefix of the namespaces that may be replaced")
     if not df.filter(~F.col(column).startswith(namespace_prefix)).isEmpty():
-        raise ValueError("replace is limited to namespaces with the derived-data prefix")
+        raise ValueError("a namespace lies outside the prefix that may be replaced")
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(column).parquet(path)
 
 
@@ -104,7 +104,7 @@ def upsert(existing: DataFrame, incoming: DataFrame, content: Column, path: str)
     decided = merge(existing, incoming, content).cache()
     summary = {row.action: row.n for row in decided.groupBy("action").agg(F.count("*").alias("n")).collect()}
     if summary.get("stale"):
-        raise ValueError("changed records require a strictly newer revision")
+        raise ValueError("content changed without a higher revision; nothing was written")
     apply_merge(existing, incoming, decided).write.mode("errorifexists").parquet(path)
     decided.unpersist()
     return summary

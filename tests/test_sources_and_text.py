@@ -133,6 +133,19 @@ def test_record_rules(spark):
     assert {r.record_key for r in found} == {"V-1"} and sorted(r.field for r in found) == ["Vendor", "day", "fee", "flag", "month", "pct"]
 
 
+def test_record_lists_empties_and_ranges(spark):
+    rules = {"id": {"datatype": "identifier"}, "note": {"datatype": "text"}, "n": {"datatype": "integer"}, "x": {"datatype": "decimal"}, "tags": {"datatype": "integer", "many": True, "required": True}, "one": {"datatype": "string"}}
+    rows = [("a", "ok", "9223372036854775807", "1.5", ["1", "2"], ["x"]), ("", "", "9223372036854775808", "9" * 400, ["1", None], None), ("b", None, "", "1e5", ["1", "z"], None), ("c", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "id string, note string, n string, x string, tags array<string>, one array<string>")
+    found = {(r.record_key, r.field): r.error for r in quality.record_validation(df, "Thing", ["id"], rules).collect()}
+    assert found == {
+        ("a", "one"): "is_a_list", ("", "id"): "empty_value", ("", "note"): "empty_value", ("", "n"): "not_a_whole_number", ("", "x"): "not_a_number", ("", "tags"): "null_element",
+        ("b", "x"): "not_a_number", ("b", "tags"): "not_a_whole_number", ("c", "tags"): "missing_value",
+    }
+    abstract = quality.record_validation(df.select("id"), "Thing", ["id"], {"id": rules["id"]}, abstract=True).collect()
+    assert [r.error for r in abstract].count("abstract_class") == 4
+
+
 def test_contradictions_compare_trimmed_text(spark):
     observed = spark.createDataFrame([("C1", " 2026-01-01 ", "A"), ("C2", "", "B")], "contract_id string, end_date string, owner string")
     certified = spark.createDataFrame([("C1", "2026-01-01", "Z"), ("C2", "2026-02-02", "B")], "contract_id string, end_date string, owner string")
