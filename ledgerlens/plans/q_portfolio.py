@@ -134,61 +134,99 @@ def evidence_status(spark, folder):
 
 
 # ---------------------------------------------------------------------- overlap
-MAX_GROUP = 64
+VENDOR = 7
 
 
 def keys(spark, folder):
     used = table(spark, folder, "lineitem").select(F.col("l_suppkey").alias("vendor_id"), "l_partkey").distinct()
     parts = table(spark, folder, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type")
-    return overlap.vendor_keys(used.join(parts, "l_partkey"), {"application": "l_partkey", "product": "p_brand", "service": "p_type"})
+    known = used.join(parts, "l_partkey").join(vendors(spark, folder).select("vendor_id", "organization_id"), "vendor_id")
+    return overlap.vendor_keys(known, {"application": "l_partkey", "product": "p_brand", "service": "p_type"}, keep=["organization_id"])
+
+
+def pair_context(spark, folder):
+    """One row per vendor: finances, contract end, assignments and application relations."""
+    finance = q_spend.finance(spark, folder).select("vendor_id", "forecast", "budget")
+    terms = vendor_contracts(spark, folder).select("vendor_id", F.col("end_date").cast("string").alias("end_date"), "assignment_count")
+    return finance.join(terms, "vendor_id", "full_outer").join(overlap.application_relations(bridge(spark, folder)), "vendor_id", "full_outer")
 
 
 KEYS = (
-    "keys AS (SELECT DISTINCT l_suppkey AS vendor_id, 'application' AS kind, CAST(l_partkey AS VARCHAR) AS key FROM lineitem"
-    " UNION ALL SELECT DISTINCT l_suppkey, 'product', p_brand FROM lineitem JOIN part ON l_partkey = p_partkey UNION ALL SELECT DISTINCT l_suppkey, 'service', p_type FROM lineitem JOIN part ON l_partkey = p_partkey)"
+    "keys AS (SELECT l_suppkey AS vendor_id, s_nationkey AS organization_id, kind, key FROM (SELECT DISTINCT l_suppkey, 'application' AS kind, CAST(l_partkey AS VARCHAR) AS key FROM lineitem"
+    " UNION ALL SELECT DISTINCT l_suppkey, 'product', p_brand FROM lineitem JOIN part ON l_partkey = p_partkey"
+    " UNION ALL SELECT DISTINCT l_suppkey, 'service', p_type FROM lineitem JOIN part ON l_partkey = p_partkey) JOIN supplier ON l_suppkey = s_suppkey)"
 )
-GROUPS = f"groups AS (SELECT kind, key, count(*) AS vendor_count, count(*) * (count(*) - 1) // 2 AS pair_count, count(*) <= {MAX_GROUP} AS listed FROM keys GROUP BY 1, 2 HAVING count(*) > 1)"
+GROUPS = "groups AS (SELECT kind, key, count(*) AS vendor_count, count(*) * (count(*) - 1) // 2 AS pair_count FROM keys GROUP BY 1, 2 HAVING count(*) > 1)"
+CONTEXT = [
+    *q_spend.RECORDS_SQL,
+    q_spend.FINANCE_SQL,
+    BRIDGE,
+    "terms AS (SELECT l_suppkey AS vendor_id, CAST(CAST(max(l_shipdate) AS DATE) AS VARCHAR) AS end_date, count(DISTINCT o_custkey) AS assignment_count FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)",
+    "relations AS (SELECT vendor_id, CAST(application_id AS VARCHAR) AS application, string_agg(DISTINCT relation, '+' ORDER BY relation) AS relation FROM bridge GROUP BY 1, 2)",
+]
+
+
+def _shared_sql(kind):
+    return f"coalesce(string_agg(key, ',' ORDER BY key) FILTER (kind = '{kind}'), '') AS shared_{kind}s"
+
+
+def _texts(found, *relations):
+    for kind in overlap.KINDS:
+        found = found.withColumn(f"shared_{kind}s", F.array_join(f"shared_{kind}s", ","))
+    return found.withColumns({r: F.array_join(r, ",") for r in relations})
 
 
 @query("overlap_groups", with_sql(KEYS, GROUPS) + "SELECT * FROM groups")
 def overlap_groups(spark, folder):
-    return overlap.overlap_groups(keys(spark, folder), MAX_GROUP)
+    return overlap.overlap_groups(keys(spark, folder))
 
 
-@query("overlap_members", with_sql(KEYS, GROUPS) + "SELECT keys.* FROM keys JOIN groups USING (kind, key) WHERE NOT listed")
+@query("overlap_members", with_sql(KEYS, GROUPS) + "SELECT vendor_id, kind, key FROM keys JOIN groups USING (kind, key)")
 def overlap_members(spark, folder):
     index = keys(spark, folder)
-    return overlap.overlap_members(index, overlap.overlap_groups(index, MAX_GROUP)).select("vendor_id", "kind", "key")
+    return overlap.overlap_members(index, overlap.overlap_groups(index)).select("vendor_id", "kind", "key")
 
 
 @query(
     "overlap_pairs",
     with_sql(
-        KEYS, GROUPS, "shared AS (SELECT a.vendor_id AS vendor_a, b.vendor_id AS vendor_b, kind, key FROM keys a JOIN keys b USING (kind, key) WHERE a.vendor_id < b.vendor_id)",
-        "pairs AS (SELECT DISTINCT vendor_a, vendor_b FROM shared JOIN groups USING (kind, key) WHERE listed)", VENDORS,
+        KEYS,
+        *CONTEXT,
+        "shared AS (SELECT organization_id, a.vendor_id AS vendor_a, b.vendor_id AS vendor_b, kind, key FROM keys a JOIN keys b USING (organization_id, kind, key) WHERE a.vendor_id < b.vendor_id)",
+        f"pairs AS (SELECT organization_id, vendor_a, vendor_b, {', '.join(map(_shared_sql, overlap.KINDS))} FROM shared GROUP BY 1, 2, 3)",
+        "related AS (SELECT vendor_a, vendor_b, coalesce(string_agg(key || '=' || a.relation, ',' ORDER BY key), '') AS relations_a, coalesce(string_agg(key || '=' || b.relation, ',' ORDER BY key), '') AS relations_b FROM shared"
+        " JOIN relations a ON a.vendor_id = vendor_a AND a.application = key JOIN relations b ON b.vendor_id = vendor_b AND b.application = key WHERE kind = 'application' GROUP BY 1, 2)",
+    )
+    + "SELECT pairs.*, coalesce(relations_a, '') AS relations_a, coalesce(relations_b, '') AS relations_b, "
+    + ", ".join(
+        f"CAST(f{x}.forecast AS VARCHAR) AS forecast_{x}, CAST(f{x}.budget AS VARCHAR) AS budget_{x}, t{x}.end_date AS end_date_{x}, t{x}.assignment_count AS assignment_count_{x}" for x in "ab"
     )
-    + "SELECT vendor_a, vendor_b, count(*) FILTER (kind = 'product') AS shared_products, count(*) FILTER (kind = 'application') AS shared_applications,"
-    " count(*) FILTER (kind = 'service') AS shared_services, a.organization_id = b.organization_id AS same_organization FROM pairs JOIN shared USING (vendor_a, vendor_b)"
-    " JOIN vendors a ON a.vendor_id = vendor_a JOIN vendors b ON b.vendor_id = vendor_b GROUP BY ALL",
+    + " FROM pairs LEFT JOIN related USING (vendor_a, vendor_b) "
+    + " ".join(f"LEFT JOIN finance f{x} ON f{x}.vendor_id = vendor_{x} LEFT JOIN terms t{x} ON t{x}.vendor_id = vendor_{x}" for x in "ab"),
 )
 def overlap_pairs(spark, folder):
-    pairs = overlap.overlap_pairs(keys(spark, folder), MAX_GROUP)
-    known = vendors(spark, folder)
-    a = known.select(F.col("vendor_id").alias("vendor_a"), F.col("organization_id").alias("_a"))
-    b = known.select(F.col("vendor_id").alias("vendor_b"), F.col("organization_id").alias("_b"))
-    return pairs.join(a, "vendor_a").join(b, "vendor_b").withColumn("same_organization", F.col("_a") == F.col("_b")).drop("_a", "_b")
+    """The candidates inside every organization, with what each side brings."""
+    pairs = overlap.overlap_pairs(keys(spark, folder), ["organization_id"])
+    pairs = overlap.with_context(pairs, {"vendor_a": "_a", "vendor_b": "_b"}, pair_context(spark, folder))
+    both = {f"relations_{x}": overlap.relations_of(F.col("shared_applications"), F.col(f"relations_{x}")) for x in "ab"}
+    return _texts(pairs.withColumns(both), *both)
 
 
 @query(
     "overlap_for_vendor",
-    with_sql(KEYS, *q_spend.RECORDS_SQL, q_spend.FINANCE_SQL, "own AS (SELECT kind, key FROM keys WHERE vendor_id = 7)")
-    + "SELECT vendor_id, count(*) FILTER (kind = 'product') AS shared_products, count(*) FILTER (kind = 'application') AS shared_applications, count(*) FILTER (kind = 'service') AS shared_services,"
-    " CAST(any_value(forecast) AS VARCHAR) AS forecast, CAST(any_value(budget) AS VARCHAR) AS budget FROM keys JOIN own USING (kind, key) LEFT JOIN finance USING (vendor_id) WHERE vendor_id <> 7 GROUP BY 1",
+    with_sql(KEYS, *CONTEXT, f"own AS (SELECT kind, key FROM keys WHERE vendor_id = {VENDOR})", f"others AS (SELECT * FROM keys JOIN own USING (kind, key) WHERE vendor_id <> {VENDOR})")
+    + f"SELECT vendor_id, any_value(organization_id) = (SELECT s_nationkey FROM supplier WHERE s_suppkey = {VENDOR}) AS same_organization, {', '.join(map(_shared_sql, overlap.KINDS))},"
+    " coalesce(string_agg(key || '=' || relation, ',' ORDER BY key) FILTER (kind = 'application'), '') AS relations, CAST(any_value(forecast) AS VARCHAR) AS forecast, CAST(any_value(budget) AS VARCHAR) AS budget,"
+    " any_value(end_date) AS end_date, any_value(assignment_count) AS assignment_count FROM others LEFT JOIN finance USING (vendor_id) LEFT JOIN terms USING (vendor_id)"
+    " LEFT JOIN relations ON relations.vendor_id = others.vendor_id AND application = key GROUP BY others.vendor_id",
 )
 def overlap_for_vendor(spark, folder):
-    """Counterparts of vendor 7, each with its own finances; amounts are never added up over pairs."""
-    found = overlap.overlap_for_vendor(keys(spark, folder), 7)
-    return found.join(q_spend.finance(spark, folder).select("vendor_id", "forecast", "budget"), "vendor_id", "left")
+    """Counterparts of one vendor in the whole portfolio, each with its own figures."""
+    found = overlap.with_context(overlap.overlap_for_vendor(keys(spark, folder), VENDOR), {"vendor_id": ""}, pair_context(spark, folder))
+    known = vendors(spark, folder).select("vendor_id", "organization_id")
+    own = known.filter(F.col("vendor_id") == VENDOR).select(F.col("organization_id").alias("_own"))
+    found = found.join(known, "vendor_id").withColumn("same_organization", F.col("organization_id") == own.scalar()).drop("organization_id")
+    return _texts(found.withColumn("relations", overlap.relations_of(F.col("shared_applications"), F.col("relations"))), "relations")
 
 
 # -------------------------------------------------------------------- dashboard

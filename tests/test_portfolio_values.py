@@ -163,20 +163,25 @@ def brute_pairs(index):
     return pairs
 
 
-@pytest.mark.parametrize("max_group", [2, 3, 100])
-def test_overlap_is_whole_at_every_group_size(spark, max_group):
-    """Pairs written out plus members of the groups kept together give exactly the brute-force pairs."""
+def test_overlap_is_whole(spark):
+    """Pairs, and groups with their members, give exactly the brute-force pairs."""
     index = [(v, "product", f"P{v % 2}") for v in range(7)] + [(v, "application", f"A{v // 2}") for v in range(7)] + [(1, "service", "S"), (6, "service", "S"), (3, "service", "S")]
     df = spark.createDataFrame(index, "vendor_id int, kind string, key string")
     wanted = brute_pairs(index)
-    listed = {(r.vendor_a, r.vendor_b): r for r in overlap.overlap_pairs(df, max_group).collect()}
+    listed = {(r.vendor_a, r.vendor_b): r for r in overlap.overlap_pairs(df).collect()}
+    assert set(listed) == set(wanted)
     for pair, row in listed.items():
-        assert (row.shared_products, row.shared_applications, row.shared_services) == tuple(len(wanted[pair].get(k, ())) for k in overlap.KINDS)
-    groups = overlap.overlap_groups(df, max_group)
+        assert [row.shared_products, row.shared_applications, row.shared_services] == [sorted(wanted[pair].get(k, ())) for k in overlap.KINDS]
     kept = {}
-    for r in overlap.overlap_members(df, groups).collect():
+    for r in overlap.overlap_members(df, overlap.overlap_groups(df)).collect():
         kept.setdefault((r.kind, r.key), set()).add(r.vendor_id)
-    from_groups = {(a, b) for members in kept.values() for a in members for b in members if a < b}
-    assert set(listed) | from_groups == set(wanted)
+    assert {(a, b) for members in kept.values() for a in members for b in members if a < b} == set(wanted)
     one = {r.vendor_id for r in overlap.overlap_for_vendor(df, 3).collect()}
     assert one == {b if a == 3 else a for a, b in wanted if 3 in (a, b)}
+
+
+def test_overlap_of_many_vendors_on_one_key(spark):
+    df = spark.range(300).selectExpr("id AS vendor_id", "'product' AS kind", "'P' AS key")
+    group = overlap.overlap_groups(df).first()
+    assert (group.vendor_count, group.pair_count) == (300, 44_850)
+    assert overlap.overlap_pairs(df).count() == 44_850 and overlap.overlap_for_vendor(df, 7).count() == 299
