@@ -90,10 +90,10 @@ def first_per_root(df: DataFrame, root: Sequence[str], order: Sequence[str], lim
 
 
 def bounded_fetch(df: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
-    """The first ``limit`` rows in order and whether more exist: fetch one extra row, then look at the count."""
-    fetched = df.orderBy(*order).limit(limit + 1)
-    counted = fetched.agg(F.count("*").alias("n")).scalar()
-    return fetched.orderBy(*order).limit(limit).withColumn("truncated", counted > limit)
+    """The first ``limit`` rows in order and whether more exist, from one run over ``limit`` + 1 rows."""
+    every = Window.partitionBy(F.lit(0))
+    fetched = df.orderBy(*order).limit(limit + 1).withColumn("truncated", F.count("*").over(every) > limit)
+    return fetched.withColumn("_rank", F.row_number().over(every.orderBy(*order))).filter(F.col("_rank") <= limit).drop("_rank")
 
 
 def latest_revision(df: DataFrame, keys: Sequence[str], revision: Sequence[str]) -> DataFrame:

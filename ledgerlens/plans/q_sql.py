@@ -7,17 +7,13 @@ from ledgerlens.plans.registry import query
 
 MASKED = {"customer": ("c_name",), "supplier": ("s_name",)}
 NAMESPACES = {"documents": ("lang", "en")}
-_SESSIONS: dict = {}
+NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents")
 
 
 def governed(spark, folder) -> GovernedSession:
-    """One governed session per folder, with names and texts of other languages out of reach."""
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _SESSIONS:
-        names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents"]
-        datasets = {n: GovernedDataset(lambda s, n=n: s.read.parquet(f"{folder}/{n}.parquet"), MASKED.get(n, ()), NAMESPACES.get(n)) for n in names}
-        _SESSIONS[key] = GovernedSession(spark, datasets)
-    return _SESSIONS[key]
+    """A governed session over a folder, with names and texts of other languages out of reach."""
+    datasets = {n: GovernedDataset(lambda s, n=n: s.read.parquet(f"{folder}/{n}.parquet"), MASKED.get(n, ()), NAMESPACES.get(n)) for n in NAMES}
+    return GovernedSession(spark, datasets)
 
 
 def both(name: str, spark_sql: str, duck_sql: str | None = None):
@@ -32,6 +28,14 @@ both(
     "governed_view",
     "SELECT c_mktsegment, count(*) AS customers, count(DISTINCT o_orderkey) AS contracts FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_mktsegment",
 )
+_TOP = "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity > 40 ORDER BY l_quantity DESC, l_orderkey, l_linenumber"
+
+
+@query("governed_capped", f"WITH q AS ({_TOP}) SELECT *, (SELECT count(*) FROM q) > 50 AS truncated FROM q ORDER BY l_quantity DESC, l_orderkey, l_linenumber LIMIT 50")
+def governed_capped(spark, folder):
+    return governed(spark, folder).capped(_TOP)
+
+
 both("governed_namespace", "SELECT source, count(*) AS documents FROM documents GROUP BY source", "SELECT source, count(*) AS documents FROM documents WHERE lang = 'en' GROUP BY source")
 both(
     "sql_union",

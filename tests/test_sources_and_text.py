@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlens.operators import grounding, quality, risk
+from ledgerlens.operators import grounding, quality, ranking, risk
 from ledgerlens.operators.governed import GovernedDataset, GovernedSession
 from ledgerlens.sources import sinks, tables
 
@@ -89,8 +89,39 @@ def test_governed_session_hides_and_refuses(spark):
         with pytest.raises(Exception):
             governed.query(bad).collect()
     assert governed.query("SELECT 'now' AS word FROM people").first().word == "now"
-    rows, more = governed.fetch("SELECT id FROM range(10)", 4)
-    assert len(rows) == 4 and more and governed.fetch("SELECT id FROM range(4)", 4)[1] is False
+
+
+def test_governed_session_decides_by_what_resolves(spark, small):
+    spark.range(3).createOrReplaceGlobalTempView("ungoverned")
+    spark.range(3).write.mode("overwrite").saveAsTable("ungoverned_table")
+    read = lambda s: s.read.parquet(f"{small}/customer.parquet").withColumn("now", F.lit("x"))
+    governed = GovernedSession(spark, {"customer": GovernedDataset(read, ("c_name",))})
+    try:
+        for bad in (
+            f"SELECT c_name FROM parquet.`{small}/customer.parquet`", f"SELECT * FROM parquet.`{small}/documents.parquet`", "SELECT reflect('java.lang.System', 'currentTimeMillis') FROM customer",
+            "SELECT unix_timestamp() FROM customer", "SELECT current_date FROM customer", "SELECT current_user FROM customer", "SELECT user FROM customer", "SELECT * FROM global_temp.ungoverned",
+            "SELECT * FROM ungoverned_table", "SELECT * FROM default.ungoverned_table", "SELECT * FROM range(5)", "VALUES (1)", "SELECT TRANSFORM(c_custkey) USING 'cat' AS (a) FROM customer",
+            "WITH q AS (SELECT c_custkey FROM customer) SELECT * FROM q WHERE EXISTS (SELECT current_timestamp FROM customer)", "WITH q AS (SELECT * FROM ungoverned_table) SELECT * FROM q",
+            "SELECT c_name FROM customer", "SELECT input_file_name() FROM customer", "SELECT rand() FROM customer", "SELECT explode(array(1)) FROM customer",
+        ):
+            with pytest.raises(Exception):
+                governed.query(bad).collect()
+    finally:
+        spark.sql("DROP TABLE ungoverned_table")
+        spark.catalog.dropGlobalTempView("ungoverned")
+    assert governed.query("SELECT now FROM customer LIMIT 1").first().now == "x"
+    assert governed.query("WITH q AS (SELECT c_custkey + 1 AS k FROM customer WHERE c_custkey BETWEEN 1 AND 2) SELECT upper('a') || k AS t FROM q ORDER BY 1").first().t == "A2"
+    rows, more = governed.fetch("SELECT c_custkey FROM customer ORDER BY c_custkey DESC", 4)
+    assert [r[0] for r in rows] == [149, 148, 147, 146] and more and governed.fetch("SELECT c_custkey FROM customer LIMIT 4", 4)[1] is False
+    with pytest.raises(ValueError):
+        governed.fetch("SELECT c_custkey FROM customer", 501)
+
+
+def test_bounded_fetch(spark):
+    df = spark.range(20).selectExpr("19 - id AS id", "'x' AS v")
+    found = ranking.bounded_fetch(df, ["id"], 5).collect()
+    assert [r.id for r in found] == [0, 1, 2, 3, 4] and all(r.truncated for r in found)
+    assert [r.truncated for r in ranking.bounded_fetch(df.limit(5), ["id"], 5).collect()] == [False] * 5
 
 
 def facts(spark):
