@@ -83,25 +83,28 @@ def topology_report(nodes: DataFrame, edges: DataFrame, ontology: Ontology, refe
     Every check is a grouping or an anti-join on keys; none pairs rows within a group.
     """
     spark = nodes.sparkSession
-    nodes, edges = shared_checkpoint(nodes), shared_checkpoint(edges)
-    present = nodes.select("key", "class_id", "identity", *[c for c in ("contract_identity",) if c in nodes.columns])
     issue = lambda df, code, subject: df.select(F.lit(code).alias("code"), F.col(subject).alias("subject"))
+    contract = F.col("contract_identity") if "contract_identity" in nodes.columns else F.lit(None).cast("string")
+    # Narrow tables only: a key with its class, an edge with its ends and what they are.
+    known = shared_checkpoint(nodes.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("class_id", F.col("identity").cast("string").alias("identity"), contract.cast("string").alias("contract"))).alias("node")))
+    source = known.select(F.col("key").alias("src"), F.col("node.class_id").alias("src_class"), F.col("node.identity").alias("src_identity"))
+    target = known.select(F.col("key").alias("dst"), F.col("node.class_id").alias("dst_class"), F.col("node.contract").alias("dst_contract"))
+    rules = ontology.relation_rules(spark).select("type", F.col("source_class").alias("src_class"), F.col("target_class").alias("dst_class"), F.lit(True).alias("allowed"))
+    ends = edges.select("key", "type", "src", "dst").join(source, "src", "left").join(target, "dst", "left").join(rules, ["type", "src_class", "dst_class"], "left")
+    whole = F.col("src_class").isNotNull() & F.col("dst_class").isNotNull()
+    ends = shared_checkpoint(ends.withColumn("state", F.when(~whole, "missing_endpoint").when(F.col("allowed").isNull(), "invalid_relationship").otherwise("valid")).drop("src_class", "dst_class", "allowed"))
     parts = [
-        issue(nodes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "duplicate_node", "key"),
-        issue(edges.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "duplicate_relationship", "key"),
+        issue(known.filter("n > 1"), "duplicate_node", "key"),
+        issue(ends.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "duplicate_relationship", "key"),
+        ends.filter("state <> 'valid'").select(F.col("state").alias("code"), F.col("key").alias("subject")),
     ]
     if references is not None:
-        parts.append(issue(references.join(present.select(F.col("key").alias("reference")), "reference", "left_anti").select("subject").distinct(), "missing_reference", "subject"))
-    ends = edges.select("key", "type", "src", "dst").join(present.select(F.col("key").alias("src"), F.col("class_id").alias("src_class"), F.col("identity").alias("src_identity")), "src", "left")
-    target = [F.col("key").alias("dst"), F.col("class_id").alias("dst_class")] + ([F.col("contract_identity").alias("dst_contract")] if "contract_identity" in nodes.columns else [])
-    ends = ends.join(present.select(*target), "dst", "left")
-    whole = F.col("src_class").isNotNull() & F.col("dst_class").isNotNull()
-    parts.append(issue(ends.filter(~whole), "missing_endpoint", "key"))
-    rules = ontology.relation_rules(spark).select("type", F.col("source_class").alias("src_class"), F.col("target_class").alias("dst_class"))
-    parts.append(issue(ends.filter(whole).join(rules, ["type", "src_class", "dst_class"], "left_anti"), "invalid_relationship", "key"))
+        parts.append(issue(references.join(known.select(F.col("key").alias("reference")), "reference", "left_anti").select("subject").distinct(), "missing_reference", "subject"))
+    # Cardinality, clauses and exclusion hold for relationships that are valid themselves.
+    valid = ends.filter("state = 'valid'")
     if "contract_identity" in nodes.columns:
-        parts.append(issue(ends.filter(whole & (F.col("type") == "HAS_CLAUSE") & ~F.col("dst_contract").eqNullSafe(F.col("src_identity"))), "clause_contract", "key"))
-    triples = edges.select("type", "src", "dst").distinct()
+        parts.append(issue(valid.filter((F.col("type") == "HAS_CLAUSE") & ~F.col("dst_contract").eqNullSafe(F.col("src_identity"))), "clause_contract", "key"))
+    triples = valid.select("type", "src", "dst").distinct()
     out_one = [r.type for r in ontology.relations if r.cardinality in ("one_to_one", "many_to_one")]
     in_one = [r.type for r in ontology.relations if r.cardinality in ("one_to_one", "one_to_many")]
     for types, side in ((out_one, "src"), (in_one, "dst")):

@@ -198,13 +198,13 @@ def latest_revision(spark, folder):
     "graph_topology",
     with_sql(
         NODES, PAIRS, EDGES, "kept AS (SELECT key, class_id FROM nodes WHERE NOT contains(props, 'status=P') UNION ALL SELECT key, class_id FROM nodes WHERE class_id = 'Region')",
-        "known AS (SELECT DISTINCT key, class_id FROM kept)",
+        "known AS (SELECT DISTINCT key, class_id FROM kept)", "valid AS (SELECT e.* FROM edges e JOIN known s ON e.src = s.key JOIN known d ON e.dst = d.key)",
     )
     + "SELECT 'duplicate_node' AS code, key AS subject FROM kept GROUP BY key HAVING count(*) > 1"
-    " UNION ALL SELECT 'missing_endpoint', e.key FROM edges e LEFT JOIN kept s ON e.src = s.key LEFT JOIN kept d ON e.dst = d.key WHERE s.key IS NULL OR d.key IS NULL"
+    " UNION ALL SELECT 'missing_endpoint', e.key FROM edges e LEFT JOIN known s ON e.src = s.key LEFT JOIN known d ON e.dst = d.key WHERE s.key IS NULL OR d.key IS NULL"
     f" UNION ALL SELECT DISTINCT 'missing_reference', {ek('Customer', 'o_custkey')} FROM orders WHERE {ek('Order', 'o_orderkey')} NOT IN (SELECT key FROM known)"
-    " UNION ALL SELECT 'cardinality', dst FROM edges WHERE type = 'DELIVERS' GROUP BY dst HAVING count(*) > 1"
-    " UNION ALL SELECT 'disjoint_relationships', src || '->' || dst FROM edges WHERE type IN ('SUPPORTS', 'USES_PORTAL') GROUP BY src, dst HAVING count(*) > 1",
+    " UNION ALL SELECT 'cardinality', dst FROM valid WHERE type = 'DELIVERS' GROUP BY dst HAVING count(*) > 1"
+    " UNION ALL SELECT 'disjoint_relationships', src || '->' || dst FROM valid WHERE type IN ('SUPPORTS', 'USES_PORTAL') GROUP BY src, dst HAVING count(*) > 1",
 )
 def graph_topology(spark, folder):
     """Pending orders are left out of the nodes and regions come twice, so that edges and references dangle and keys repeat."""

@@ -36,16 +36,23 @@ def json_props_extract(spark, folder):
     return parsed.groupBy("event_type").agg(F.count("*").alias("events"), F.sum("p.k").alias("total"), F.max("p.k").alias("largest"))
 
 
+# Every column of every table; (number), [list of numbers] and <time> are spelled as the digest spells them.
 COLUMNS = {
-    "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"],
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "lineitem": ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus"], "events": ["event_id", "user_id", "event_type", "props"], "documents": ["doc_id", "text", "lang", "source"],
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey (c_acctbal) c_mktsegment", "supplier": "s_suppkey s_name s_nationkey (s_acctbal)",
+    "part": "p_partkey p_name p_brand p_type p_size (p_retailprice)", "orders": "o_orderkey o_custkey o_orderstatus (o_totalprice) <o_orderdate> o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber (l_quantity) (l_extendedprice) (l_discount) (l_tax) l_returnflag l_linestatus <l_shipdate>",
+    "events": "event_id <ts> user_id event_type (value) props", "documents": "doc_id text lang source n_chars", "labels": "doc_id quality toxic", "embeddings": "vec_id [embedding] label",
+    "pages": "page_id url html", "benchmark": "item_id text", "conversations": "conv_id turn role text",
+}
+_SPELLED = {
+    "(": "CAST(CAST({} AS DECIMAL(38,6)) AS VARCHAR)", "<": "strftime({}, '%Y-%m-%d %H:%M:%S.%f')", "[": "'[' || array_to_string(list_transform({}, lambda x: CAST(CAST(CAST(x AS DOUBLE) AS DECIMAL(38,6)) AS VARCHAR)), ',') || ']'",
 }
 
 
 def _digest_sql(name: str, condition: str = "TRUE") -> str:
-    columns = COLUMNS[name]
-    values = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
-    header = ", ".join(f"'{c}'" for c in columns)
+    columns = COLUMNS[name].split()
+    values = ", ".join(f"coalesce({_SPELLED.get(c[0], 'CAST({} AS VARCHAR)').format(c.strip('()<>[]'))}, '')" for c in columns)
+    header = ", ".join(f"'{c.strip('()<>[]')}'" for c in columns)
     return (
         f"SELECT '{name}' AS table_name, count(*) AS row_count, sha256(CAST(to_json([{header}]) AS VARCHAR)) AS columns_hash, CAST(coalesce(sum(h), 0) AS DECIMAL(38,0)) AS hash_sum, coalesce(bit_xor(h), 0) AS hash_xor"
         f" FROM (SELECT ('0x' || substr(sha256(CAST(to_json([{values}]) AS VARCHAR)), 1, 15))::BIGINT AS h FROM {name} WHERE {condition})"
@@ -59,7 +66,7 @@ MANIFEST = "manifest AS (" + " UNION ALL ".join(_digest_sql(n, EARLIER.get(n, "T
 
 
 def sources(spark, folder, earlier=False):
-    found = {n: table(spark, folder, n).select(*c) for n, c in COLUMNS.items()}
+    found = {n: table(spark, folder, n) for n in COLUMNS}
     if earlier:
         found = {n: df.filter(EARLIER[n]) if n in EARLIER else df for n, df in found.items() if n != "part"}
     return found

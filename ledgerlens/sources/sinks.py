@@ -6,15 +6,29 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, DecimalType, DoubleType, FloatType, StructField, TimestampNTZType, TimestampType
 
 from ledgerlens.operators.graph.build import apply_merge, merge
 
 DIGEST = ["row_count", "columns_hash", "hash_sum", "hash_xor"]
 
 
-def row_hash(columns: list[str]) -> Column:
-    """60 bits of the SHA-256 of the row's values as a JSON array."""
-    values = F.to_json(F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in columns]))
+def digest_text(value: Column, kind: DataType) -> Column:
+    """One spelling for each value: fractional numbers to six places, times to the microsecond, lists by element."""
+    if isinstance(kind, ArrayType):
+        return F.concat(F.lit("["), F.array_join(F.transform(value, lambda v: F.coalesce(digest_text(v, kind.elementType), F.lit(""))), ","), F.lit("]"))
+    if isinstance(kind, (DoubleType, FloatType, DecimalType)):
+        number = value.cast("double") if isinstance(kind, FloatType) else value
+        # What a decimal cannot hold keeps its own spelling.
+        return F.coalesce(number.try_cast("decimal(38,6)").cast("string"), value.cast("string"))
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return value.cast("string")
+
+
+def row_hash(fields: list[StructField]) -> Column:
+    """60 bits of the SHA-256 of the row's values as a JSON array; no value is the empty string."""
+    values = F.to_json(F.array(*[F.coalesce(digest_text(F.col(f"`{f.name}`"), f.dataType), F.lit("")) for f in fields]))
     return F.conv(F.substring(F.sha2(values, 256), 1, 15), 16, 10).cast("long")
 
 
@@ -24,12 +38,11 @@ def content_digest(df: DataFrame, table: str) -> DataFrame:
     Sum and exclusive-or of the row hashes combine on the map side, so that a table of any size needs
     one scan and no sort. Equal rows count as often as they occur.
     """
-    columns = [c for c in df.columns if not c.startswith("_source_")]
-    hashed = df.select(row_hash(columns).alias("h"))
-    header = F.sha2(F.to_json(F.array(*[F.lit(c) for c in columns])), 256)
-    return hashed.agg(F.count("*").alias("row_count"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("hash_sum"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor")).select(
-        F.lit(table).alias("table_name"), "row_count", header.alias("columns_hash"), "hash_sum", "hash_xor"
-    )
+    fields = [f for f in df.schema.fields if not f.name.startswith("_source_")]
+    header = F.sha2(F.to_json(F.array(*[F.lit(f.name) for f in fields])), 256)
+    return df.select(row_hash(fields).alias("h")).agg(
+        F.count("*").alias("row_count"), F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("decimal(38,0)").alias("hash_sum"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor")
+    ).select(F.lit(table).alias("table_name"), "row_count", header.alias("columns_hash"), "hash_sum", "hash_xor")
 
 
 def digests(tables: dict[str, DataFrame]) -> DataFrame:

@@ -182,3 +182,18 @@ def test_contradictions_compare_trimmed_text(spark):
     certified = spark.createDataFrame([("C1", "2026-01-01", "Z"), ("C2", "2026-02-02", "B")], "contract_id string, end_date string, owner string")
     got = risk.contradictions(observed, certified, "contract_id", {"end_date": "Contract.end_date", "owner": "Contract.owner"}).collect()
     assert [(r.contract_id, r.concept, r.observed_value, r.certified_value) for r in got] == [("C1", "Contract.owner", "A", "Z")]
+
+
+def test_digest_sees_every_column(spark, small):
+    orders = spark.read.parquet(f"{small}/orders.parquet")
+    one = lambda c: F.when(F.col("o_orderkey") == 5, c)
+    changed = [
+        orders.withColumn("o_totalprice", F.coalesce(one(F.col("o_totalprice") + 0.01), "o_totalprice")),
+        orders.withColumn("o_orderdate", F.coalesce(one(F.col("o_orderdate") + F.expr("INTERVAL 1 DAY")), "o_orderdate")),
+        orders.withColumn("o_orderpriority", F.coalesce(one(F.lit("x")), "o_orderpriority")),
+    ]
+    digest = lambda df: sinks.content_digest(df, "orders").first()
+    before = digest(orders)
+    assert digest(orders.repartition(7)) == before and all(digest(df).hash_sum != before.hash_sum for df in changed)
+    lists = [spark.createDataFrame([(1, v)], "id int, v array<float>") for v in ([1.0, None], [None, 1.0], [1.0], None)]
+    assert len({digest(df).hash_sum for df in lists}) == 4
