@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import digit_mask, humanize, is_sensitive, name_tokens, value_shape
 from ledgerlens.operators.catalog.ontology import Ontology
-from ledgerlens.operators.catalog.profile import LISTED_LENGTH
 from ledgerlens.session import shared_checkpoint
 
 FIELD = ["dataset_id", "field"]
@@ -21,13 +22,20 @@ COMPATIBLE = {
 }
 
 
+#: Values of columns: a frame (dataset_id, field, value), or a function that reads the columns named by a frame.
+Values = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def _read(values: Values, fields: DataFrame) -> DataFrame:
+    return values if isinstance(values, DataFrame) else values(fields)
+
+
 def value_patterns(values: DataFrame) -> DataFrame:
     """One shape per column, when all its values share it and it has digits; two aggregates decide, no set is built."""
-    mask = digit_mask(F.col("value"))
-    shaped = values.groupBy(*FIELD).agg(F.min(mask).alias("low"), F.max(mask).alias("high"))
-    shape = value_shape(F.col("low"))
-    one = (F.col("low") == F.col("high")) & F.contains(shape, F.lit(r"\d"))
-    return shaped.select(*FIELD, F.when(one, shape).alias("value_pattern"))
+    mask = F.sha2(digit_mask(F.col("value")), 256)
+    shaped = values.groupBy(*FIELD).agg((F.min(mask) == F.max(mask)).alias("one"), F.min("value").alias("least"))
+    shape = value_shape(F.col("least"))
+    return shaped.select(*FIELD, F.when(F.col("one") & F.contains(shape, F.lit(r"\d")), shape).alias("value_pattern"))
 
 
 def class_tests(value: Column, ontology: Ontology) -> dict[str, Column]:
@@ -53,14 +61,18 @@ def identifier_by_values(values: DataFrame, ontology: Ontology) -> DataFrame:
 
 
 def value_facts(values: DataFrame, profile: DataFrame, ontology: Ontology) -> DataFrame:
-    """Identifier facts and the shared shape of every column in one pass over its distinct values.
+    """Identifier facts and the shared shape of every column in one pass over its values, repeats included.
 
-    All values are compared with the digit mask of the column's least value, so only booleans are aggregated.
+    Values share a shape if their digit masks are equal, so the least and the greatest digest of the masks
+    decide, and values of any length are combined on the map side without a shuffle of values.
     """
-    first = profile.filter(F.col("max_length") <= LISTED_LENGTH).select(*FIELD, digit_mask(F.col("min_value")).alias("mask"), value_shape(F.col("min_value")).alias("shape"))
     every, only = identifier_aggregates(F.col("value"), ontology)
-    facts = values.join(first, FIELD).groupBy(*FIELD, "mask", "shape").agg(every.alias("all_identifiers"), only.alias("value_class"), F.bool_and(digit_mask(F.col("value")) == F.col("mask")).alias("one_shape"))
-    return facts.select(*FIELD, "all_identifiers", "value_class", F.when(F.col("one_shape") & F.contains(F.col("shape"), F.lit(r"\d")), F.col("shape")).alias("value_pattern"))
+    mask = F.sha2(digit_mask(F.col("value")), 256)
+    facts = values.groupBy(*FIELD).agg(every.alias("all_identifiers"), only.alias("value_class"), (F.min(mask) == F.max(mask)).alias("one_shape"))
+    # One row per column: as many as the tables have columns.
+    shape = value_shape(F.col("min_value"))
+    joined = facts.join(F.broadcast(profile.select(*FIELD, "min_value")), FIELD)
+    return joined.select(*FIELD, "all_identifiers", "value_class", F.when(F.col("one_shape") & F.contains(shape, F.lit(r"\d")), shape).alias("value_pattern"))
 
 
 def name_mapping(fields: DataFrame, ontology: Ontology) -> DataFrame:
@@ -109,7 +121,7 @@ def semantic_role(mapped_datatype: Column) -> Column:
     )
 
 
-def compatible(candidates: DataFrame, values: DataFrame, ontology: Ontology) -> DataFrame:
+def compatible(candidates: DataFrame, values: Values, ontology: Ontology) -> DataFrame:
     """Candidates (dataset_id, field, role, class_id, property_id) whose datatype fits the role and whose values all satisfy the property."""
     rules = ontology.property_rules(candidates.sparkSession)
     ruled = candidates.join(rules, ["class_id", "property_id"])
@@ -118,12 +130,10 @@ def compatible(candidates: DataFrame, values: DataFrame, ontology: Ontology) ->
         test = (F.col("role") == role) & F.col("datatype").isin(*datatypes)
         accepts = test if accepts is None else accepts | test
     ruled = ruled.filter(accepts)
-    if "truncated" in candidates.columns:
-        # Columns whose values were not listed cannot be checked against an enum or a key pattern.
-        ruled = ruled.filter(~F.col("truncated") | (F.col("enum_values").isNull() & F.col("key_pattern").isNull()))
     whole = lambda p: F.concat(F.lit("^(?:"), p, F.lit(")\\z"))
     checked = ruled.filter("pattern IS NOT NULL OR key_pattern IS NOT NULL OR enum_values IS NOT NULL").select(*FIELD, "class_id", "property_id", "pattern", "key_pattern", "enum_values")
-    violating = checked.join(values, FIELD).filter(
+    # Rules per column: bounded by columns times properties.
+    violating = _read(values, checked).join(F.broadcast(checked), FIELD).filter(
         ~F.coalesce(F.rlike(F.col("value"), whole(F.col("pattern"))), F.lit(True))
         | ~F.coalesce(F.rlike(F.col("value"), whole(F.col("key_pattern"))), F.lit(True))
         | ~F.coalesce(F.array_contains("enum_values", F.col("value")), F.lit(True))
@@ -131,21 +141,21 @@ def compatible(candidates: DataFrame, values: DataFrame, ontology: Ontology) ->
     return ruled.join(violating.select(*FIELD, "class_id", "property_id").distinct(), [*FIELD, "class_id", "property_id"], "left_anti")
 
 
-def classify(profile: DataFrame, values: DataFrame, ontology: Ontology) -> DataFrame:
+def classify(profile: DataFrame, values: Values, ontology: Ontology) -> DataFrame:
     """Final classification of every column.
 
     A name match is tried first, then a value match; either must be compatible with the values. Names
     that differ only by case are flagged and never mapped at full confidence.
     """
     spark = profile.sparkSession
-    facts = shared_checkpoint(value_facts(values, profile, ontology))
+    facts = shared_checkpoint(value_facts(_read(values, profile), profile, ontology))
     base = profile.join(facts, FIELD, "left")
     keys = spark.createDataFrame([(c.id, c.key) for c in ontology.classes if c.key], "class_id string, property_id string")
     from_names = name_mapping(profile, ontology).withColumn("turn", F.lit(0))
     from_values = facts.filter("value_class IS NOT NULL").select(*FIELD, F.col("value_class").alias("class_id")).join(keys, "class_id").withColumn("turn", F.lit(1))
     rules = ontology.property_rules(spark)
     candidates = from_names.unionByName(from_values).join(rules.select("class_id", "property_id", "datatype"), ["class_id", "property_id"])
-    with_role = candidates.join(base, FIELD).select(*FIELD, "class_id", "property_id", "turn", semantic_role(F.col("datatype")).alias("role"), (F.col("max_length") > LISTED_LENGTH).alias("truncated"))
+    with_role = candidates.join(base, FIELD).select(*FIELD, "class_id", "property_id", "turn", semantic_role(F.col("datatype")).alias("role"))
     fitting = compatible(with_role, values, ontology)
     chosen = fitting.groupBy(*FIELD).agg(F.min_by(F.struct("class_id", "property_id", "datatype", "pii", "is_key", "domain", "business_name"), "turn").alias("m")).select(*FIELD, "m.*")
     collision = F.count("*").over(Window.partitionBy("dataset_id", F.lower("field"))) > 1
@@ -156,7 +166,7 @@ def classify(profile: DataFrame, values: DataFrame, ontology: Ontology) -> DataF
     shown = ~F.col("masked")
     patterned = result.withColumn("value_pattern", F.when(F.col("role").isin("identifier", "date", "dimension"), F.col("value_pattern")))
     small = result.filter(shown & (F.col("role") == "dimension") & F.col("distinct_count").between(1, MAX_VALUE_SET)).select(*FIELD)
-    sets = values.join(small, FIELD, "left_semi").groupBy(*FIELD).agg(F.array_sort(F.collect_set("value")).alias("value_set"))
+    sets = _read(values, small).join(F.broadcast(small), FIELD, "left_semi").groupBy(*FIELD).agg(F.array_sort(F.collect_set("value")).alias("value_set"))
     classified = patterned.join(sets, FIELD, "left").select(
         *FIELD, "position", "data_type", "row_count", "distinct_count", "null_pct", "is_unique", "min_value", "max_value", "role", "class_id", "property_id",
         F.when(mapped, F.concat_ws(".", "class_id", "property_id")).alias("concept"), F.coalesce("is_key", F.lit(False)).alias("is_key"), "domain",
@@ -169,21 +179,24 @@ def classify(profile: DataFrame, values: DataFrame, ontology: Ontology) -> DataF
     return shared_checkpoint(classified)
 
 
-def merge_proposals(fields: DataFrame, proposals: DataFrame, ontology: Ontology, values: DataFrame, low: float = 0.6, high: float = 0.95) -> DataFrame:
+def merge_proposals(fields: DataFrame, proposals: DataFrame, ontology: Ontology, values: Values, low: float = 0.6, high: float = 0.95) -> DataFrame:
     """Apply proposed mappings (dataset_id, field, class_id, property_id, confidence, seq).
 
     The first proposal of a column counts. It never overrides a deterministic mapping, must reach the
-    lower confidence bound and be compatible; it is capped at the upper bound and stays unreviewed.
+    lower confidence bound and be compatible; it is capped at the upper bound and stays unreviewed. A
+    mapping to a personal property masks the column and takes its values out of the catalog.
     """
     first = proposals.groupBy(*FIELD).agg(F.min_by(F.struct("class_id", "property_id", "confidence"), "seq").alias("p")).select(*FIELD, "p.*").filter(F.col("confidence").between(low, 1.0))
     open_fields = fields.filter(F.col("basis") != "classifier").select(*FIELD, "role")
     fitting = compatible(first.join(open_fields, FIELD), values, ontology).select(
-        *FIELD, F.col("class_id").alias("p_class"), F.col("property_id").alias("p_property"), F.round(F.least(F.col("confidence"), F.lit(high)), 2).alias("p_confidence")
+        *FIELD, F.col("class_id").alias("p_class"), F.col("property_id").alias("p_property"), F.round(F.least(F.col("confidence"), F.lit(high)), 2).alias("p_confidence"), F.col("pii").alias("p_pii")
     )
     accepted = F.col("p_class").isNotNull()
     touched = proposals.select(*FIELD).distinct().withColumn("proposed", F.lit(True))
+    masked = F.col("masked") | F.coalesce("p_pii", F.lit(False))
     return fields.join(fitting, FIELD, "left").join(touched, FIELD, "left").select(
         *FIELD, "role", F.coalesce("p_class", "class_id").alias("class_id"), F.coalesce("p_property", "property_id").alias("property_id"),
         F.coalesce("p_confidence", "confidence").alias("confidence"), F.when(accepted, "proposed").otherwise(F.col("basis")).alias("basis"),
         F.when(F.col("proposed"), "unreviewed").otherwise(F.col("review_state")).alias("review_state"),
+        masked.alias("masked"), F.when(~masked, F.col("value_set")).alias("value_set"), F.when(~masked, F.col("value_pattern")).alias("value_pattern"),
     )

@@ -1,8 +1,8 @@
 """Column profiles and distinct values.
 
 Statistics that combine on the map side (counts, extremes, lengths, all-numeric, all-date) come from one
-wide aggregate per table. Exact distinct counts come from a second pass that shuffles only (field, key),
-where the key of a long value is its digest, so whole texts are never shuffled.
+wide aggregate per table. Exact distinct counts come from a second pass that shuffles only (field, digest of
+the value), so values of any length are counted and compared and none is shuffled.
 """
 
 from __future__ import annotations
@@ -15,9 +15,6 @@ from pyspark.sql import types as T
 
 NUMERIC = "^-?[0-9]+([.][0-9]+)?$"
 ISO_DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-LONG_VALUE = 64
-# Columns with longer values are texts: their values are profiled but not listed for classification.
-LISTED_LENGTH = 256
 
 
 def as_text(field: T.StructField) -> Column:
@@ -43,7 +40,8 @@ def long_values(df: DataFrame, dataset_id: str) -> DataFrame:
 
 
 def value_key(value: Column) -> Column:
-    return F.when(F.length(value) <= LONG_VALUE, value).otherwise(F.concat(F.lit("sha256:"), F.sha2(value, 256)))
+    """What stands for a value of any length."""
+    return F.unhex(F.sha2(value, 256))
 
 
 def stats_sql(field: T.StructField, text: str) -> str:
@@ -82,13 +80,21 @@ def all_values(tables: dict[str, DataFrame], fields: dict[str, list[str]] | None
 
 
 def keyed_values(tables: dict[str, DataFrame]) -> DataFrame:
-    """Distinct (dataset_id, field, key, value): the key identifies the value, and short values are kept.
+    """Distinct (dataset_id, field, key) of all columns; the key is the value's digest. All tables share one shuffle."""
+    return all_values(tables).select("dataset_id", "field", value_key(F.col("value")).alias("key")).distinct()
 
-    All tables share one shuffle.
+
+def values_of(tables: dict[str, DataFrame], fields: DataFrame) -> DataFrame:
+    """(dataset_id, field, value), repeats included, of the columns named by a frame with one row per column.
+
+    The names come to the driver: there are as many as the tables have columns.
     """
-    value = F.col("value")
-    kept = F.when(F.length(value) <= LISTED_LENGTH, value).alias("value")
-    return all_values(tables).select("dataset_id", "field", value_key(value).alias("key"), kept).distinct()
+    chosen: dict[str, list[str]] = {}
+    for row in fields.select("dataset_id", "field").distinct().collect():
+        chosen.setdefault(row.dataset_id, []).append(row.field)
+    if not chosen:
+        return all_values(tables).limit(0)
+    return all_values({d: tables[d] for d in chosen}, chosen)
 
 
 def profile(tables: dict[str, DataFrame], keyed: DataFrame | None = None) -> DataFrame:
@@ -97,7 +103,7 @@ def profile(tables: dict[str, DataFrame], keyed: DataFrame | None = None) -> Dat
     ``keyed`` may be a stored result of :func:`keyed_values`.
     """
     stats = reduce(DataFrame.unionByName, [column_stats(df, d) for d, df in tables.items()])
-    keys = keyed if keyed is not None else all_values(tables).select("dataset_id", "field", value_key(F.col("value")).alias("key")).distinct()
+    keys = keyed if keyed is not None else keyed_values(tables)
     counts = keys.groupBy("dataset_id", "field").agg(F.count("*").alias("distinct_count"))
     joined = stats.join(counts, ["dataset_id", "field"], "left").fillna(0, ["distinct_count"])
     has_values = F.col("distinct_count") > 0

@@ -39,17 +39,19 @@ def home_keys(candidates: DataFrame) -> DataFrame:
 
 
 def discover_references(candidates: DataFrame, values: DataFrame) -> DataFrame:
-    """Columns whose values all occur in their group's home key.
+    """Columns whose values all occur in their group's home key. ``values`` has the distinct (dataset_id, field,
+    key) of :func:`profile.keyed_values`, so values of any length take part.
 
-    One join on (group, value): each child value meets at most one home value, so the work is linear in
+    One join on (group, key): each child value meets at most one home value, so the work is linear in
     the distinct values.
     """
     candidates = shared_checkpoint(candidates)
     homes = home_keys(candidates).select("key_group", F.col("dataset_id").alias("home_dataset"), F.col("field").alias("home_field"), F.col("basis").alias("home_basis"), F.col("review_state").alias("home_state"))
     members = candidates.join(homes, "key_group").filter(~((F.col("dataset_id") == F.col("home_dataset")) & (F.col("field") == F.col("home_field"))))
-    child_values = values.join(members.select(*FIELD, "key_group"), FIELD)
-    home_values = values.join(homes.select(F.col("home_dataset").alias("dataset_id"), F.col("home_field").alias("field"), "key_group"), FIELD).select("key_group", "value")
-    matched = child_values.join(home_values, ["key_group", "value"], "left_semi").groupBy(*FIELD).agg(F.count("*").alias("matched"))
+    # Columns and homes are as many as the tables have columns.
+    child_values = values.join(F.broadcast(members.select(*FIELD, "key_group")), FIELD)
+    home_values = values.join(F.broadcast(homes.select(F.col("home_dataset").alias("dataset_id"), F.col("home_field").alias("field"), "key_group")), FIELD).select("key_group", "key")
+    matched = child_values.join(home_values, ["key_group", "key"], "left_semi").groupBy(*FIELD).agg(F.count("*").alias("matched"))
     by_concept = F.col("key_group").startswith("concept:")
     auto = (F.col("basis") == "classifier") & (F.col("home_basis") == "classifier") & (F.col("review_state") == "auto") & (F.col("home_state") == "auto")
     return (

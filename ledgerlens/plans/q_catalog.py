@@ -1,11 +1,14 @@
 """Catalog queries over all test tables.
 
-The harvest (profiles, distinct short values, classification) is materialised once per session and
-folder in the shared checkpoint folder; catalog questions read it, as they would read a stored catalog.
+The harvest (profiles, digests of distinct values, classification) is stored once per session and state of
+the folder's files; catalog questions read it, as they would read a stored catalog.
 """
 
 from __future__ import annotations
 
+from functools import partial, reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import value_shape
@@ -47,15 +50,22 @@ class Harvest:
         self.source = tables(spark, folder)
         self.datasets = datasets(spark)
         keyed = shared_checkpoint(profile.keyed_values(self.source))
-        self.values = keyed.filter("value IS NOT NULL").select("dataset_id", "field", "value")
+        self.values = partial(profile.values_of, self.source)
         self.profile = shared_checkpoint(profile.profile(self.source, keyed))
         self.fields = classify.classify(self.profile, self.values, VOCABULARY)
         self.candidates = shared_checkpoint(references.candidate_fields(self.fields, self.datasets))
-        self.references = shared_checkpoint(references.discover_references(self.candidates, self.values))
+        self.references = shared_checkpoint(references.discover_references(self.candidates, keyed))
+
+
+def version(spark, folder) -> int:
+    """A number that changes with the tables' files: their names, sizes and times."""
+    files = [table(spark, folder, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for name, *_ in DATASETS.values()]
+    return reduce(DataFrame.union, files).agg(F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first()[0]
 
 
 def harvest(spark, folder) -> Harvest:
-    key = (spark.sparkContext.applicationId, folder)
+    """The catalog of a folder, stored once for each state of its files."""
+    key = (spark.sparkContext.applicationId, folder, version(spark, folder))
     if key not in _HARVESTS:
         _HARVESTS[key] = Harvest(spark, folder)
     return _HARVESTS[key]
@@ -147,12 +157,11 @@ _SHAPE = (
 
 @query(
     "value_shape",
-    "WITH " + VALUES + f", shaped AS (SELECT dataset_id, field, {_SHAPE} AS shape FROM vals WHERE length(value) > 0 AND dataset_id IN ('mdm.supplier', 'mdm.customer', 'dependency.part', 'clm.orders', 'risk.pages') AND field <> 'html')"
+    "WITH " + VALUES + f", shaped AS (SELECT dataset_id, field, {_SHAPE} AS shape FROM vals WHERE length(value) > 0)"
     " SELECT dataset_id, field, CASE WHEN min(shape) = max(shape) AND contains(min(shape), '\\d') THEN min(shape) END AS value_pattern FROM shaped GROUP BY 1, 2",
 )
 def shapes(spark, folder):
-    source = {d: df.drop("html") for d, df in tables(spark, folder).items() if d in ("mdm.supplier", "mdm.customer", "dependency.part", "clm.orders", "risk.pages")}
-    return classify.value_patterns(profile.distinct_values(source))
+    return classify.value_patterns(profile.all_values(tables(spark, folder)))
 
 
 @query(
@@ -260,8 +269,8 @@ def links(spark, folder):
     anchors = table(spark, folder, "supplier").select(F.lit("Supplier.supplier_id").alias("concept"), F.col("s_suppkey").cast("string").alias("anchor")).unionByName(
         table(spark, folder, "customer").select(F.lit("Customer.customer_id").alias("concept"), F.col("c_custkey").cast("string").alias("anchor"))
     )
-    chosen = {"mdm.supplier": ["s_suppkey"], "finance.lineitem": ["l_suppkey"], "mdm.customer": ["c_custkey"], "clm.orders": ["o_custkey"]}
-    return references.anchor_links(profile.distinct_values(h.source, chosen), h.fields, anchors)
+    keys = h.fields.filter(F.col("concept").isin("Supplier.supplier_id", "Customer.customer_id"))
+    return references.anchor_links(h.values(keys), h.fields, anchors)
 
 
 LINKS = (
@@ -363,14 +372,14 @@ PROPOSALS = [
     "merge_proposals",
     sql(*CLASSIFIED, "accepted AS (SELECT * FROM (VALUES ('finance.lineitem', 'l_quantity', 'Part.size', 0.7), ('finance.lineitem', 'l_extendedprice', 'Order.total', 0.95), ('performance.events', 'value', 'Part.price', 0.6)) a(dataset_id, field, p_concept, p_confidence))")
     + "SELECT dataset_id, field, role, coalesce(p_concept, concept) AS concept, CAST(CASE WHEN p_concept IS NOT NULL THEN p_confidence WHEN concept IS NOT NULL THEN 1.0 END AS DOUBLE) AS confidence, CASE WHEN p_concept IS NOT NULL THEN 'proposed' ELSE basis END AS basis,"
-    " CASE WHEN (dataset_id, field) IN (('finance.lineitem', 'l_quantity'), ('finance.lineitem', 'l_tax'), ('clm.orders', 'o_orderkey'), ('finance.lineitem', 'l_extendedprice'), ('dependency.part', 'p_type'), ('performance.events', 'value'), ('risk.documents', 'lang')) THEN 'unreviewed' ELSE 'auto' END AS review_state"
+    " CASE WHEN (dataset_id, field) IN (('finance.lineitem', 'l_quantity'), ('finance.lineitem', 'l_tax'), ('clm.orders', 'o_orderkey'), ('finance.lineitem', 'l_extendedprice'), ('dependency.part', 'p_type'), ('performance.events', 'value'), ('risk.documents', 'lang')) THEN 'unreviewed' ELSE 'auto' END AS review_state, masked"
     " FROM classified LEFT JOIN accepted USING (dataset_id, field)",
 )
 def merge_proposals(spark, folder):
     h = harvest(spark, folder)
     proposals = spark.createDataFrame(PROPOSALS, "dataset_id string, field string, class_id string, property_id string, confidence double, seq int")
     merged = classify.merge_proposals(h.fields, proposals, VOCABULARY, h.values)
-    return merged.select("dataset_id", "field", "role", F.expr("CASE WHEN class_id IS NOT NULL THEN concat_ws('.', class_id, property_id) END").alias("concept"), "confidence", "basis", "review_state")
+    return merged.select("dataset_id", "field", "role", F.expr("CASE WHEN class_id IS NOT NULL THEN concat_ws('.', class_id, property_id) END").alias("concept"), "confidence", "basis", "review_state", "masked")
 
 
 @query(

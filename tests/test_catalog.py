@@ -1,5 +1,7 @@
 """Profiles, shapes, classification and key discovery on small tables."""
 
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,19 +47,19 @@ def classified(spark):
     source = tables(spark)
     keyed = shared_checkpoint(profile.keyed_values(source))
     prof = shared_checkpoint(profile.profile(source, keyed))
-    values = keyed.select("dataset_id", "field", "value")
-    return prof, values, classify.classify(prof, values, VOCABULARY)
+    values = profile.all_values(source)
+    return prof, values, classify.classify(prof, values, VOCABULARY), keyed
 
 
 def test_profile_counts_empty_text(classified):
-    prof, _, _ = classified
+    prof, *_ = classified
     row = prof.filter("field = 'Yearly_Cost'").first()
     assert (row.row_count, row.empty_count, row.distinct_count, row.is_numeric, row.is_unique, row.null_pct, row.max_length) == (3, 1, 2, True, False, 33.33, 4)
     assert prof.filter("field = 'Contract_End_Date'").first().is_date and prof.filter("field = 'Vendor_ID'").first().is_unique
 
 
 def test_classification_by_name_then_by_value(classified):
-    _, _, fields = classified
+    _, _, fields, _ = classified
     got = {(r.dataset_id, r.field): (r.role, r.concept) for r in fields.collect()}
     assert got[("clm.master", "Vendor_ID")] == ("identifier", "Vendor.vendor_id") and got[("fin.facts", "Supplier")] == ("identifier", "Vendor.vendor_id")
     assert got[("clm.master", "Contract_End_Date")] == ("date", "Contract.end_date")
@@ -66,9 +68,9 @@ def test_classification_by_name_then_by_value(classified):
 
 
 def test_references_need_full_containment(spark, classified):
-    _, values, fields = classified
+    _, _, fields, keyed = classified
     datasets = spark.createDataFrame([("clm.master", "ownership", "Vendor_ID"), ("fin.facts", "spend", "record_id")], "dataset_id string, domain string, sole_key string")
-    refs = references.discover_references(references.candidate_fields(fields, datasets), values)
+    refs = references.discover_references(references.candidate_fields(fields, datasets), keyed)
     found = {(r.child_field, r.home_field, r.basis, r.confidence, r.review_state) for r in refs.collect()}
     assert found == {("Supplier", "Vendor_ID", "concept", 1.0, "auto"), ("Contract_ID", "Contract_ID", "concept", 1.0, "auto")}
     assert references.dataset_links(refs).first()["keys"] == ["Contract_ID -> Contract_ID", "Supplier -> Vendor_ID"]
@@ -80,7 +82,7 @@ def test_case_collisions_are_unreviewed(spark):
         df = spark.createDataFrame([("Acme", "V-001"), ("Bolt", "V-002")], "Vendor_ID string, VENDOR_ID string")
         source = {"wf.people": df.select("Vendor_ID", "VENDOR_ID")}
         keyed = profile.keyed_values(source)
-        fields = classify.classify(profile.profile(source, keyed), keyed.select("dataset_id", "field", "value"), VOCABULARY)
+        fields = classify.classify(profile.profile(source, keyed), profile.all_values(source), VOCABULARY)
         rows = {r.field: (r.name_collision, r.concept, r.confidence, r.review_state) for r in fields.collect()}
     finally:
         spark.conf.set("spark.sql.caseSensitive", "false")
@@ -88,8 +90,25 @@ def test_case_collisions_are_unreviewed(spark):
 
 
 def test_proposals_never_override_and_stay_unreviewed(spark, classified):
-    _, values, fields = classified
+    _, values, fields, _ = classified
     rows = [("fin.facts", "Other_ID", "Vendor", "vendor_id", 0.9, 1), ("clm.master", "Vendor_ID", "Contract", "contract_id", 0.9, 2), ("clm.master", "Vendor_Name", "Vendor", "name", 0.99, 3), ("clm.master", "Vendor_Name", "Vendor", "name", 0.7, 4)]
     merged = {r.field: r for r in classify.merge_proposals(fields, spark.createDataFrame(rows, "dataset_id string, field string, class_id string, property_id string, confidence double, seq int"), VOCABULARY, values).filter("dataset_id <> 'fin.facts' OR field = 'Other_ID'").collect()}
     assert merged["Other_ID"].class_id is None and merged["Other_ID"].review_state == "unreviewed"
     assert merged["Vendor_ID"].class_id == "Vendor" and merged["Vendor_ID"].confidence == 1.0
+
+
+def test_keys_of_any_length_are_found(spark):
+    """Keys far longer than a line are shapes, identifiers and references like short ones."""
+    for length in (5, 101, 301, 5000):
+        key = lambda i: f"V-{i:03d}" + "x" * (length - 5)
+        home = spark.createDataFrame([(key(i), f"n{i}") for i in range(20)], "Vendor_ID string, label string")
+        child = spark.createDataFrame([(key(i % 7), str(i)) for i in range(30)], "Ref string, n string")
+        source = {"clm.master": home, "fin.facts": child}
+        keyed = profile.keyed_values(source)
+        fields = classify.classify(profile.profile(source, keyed), partial(profile.values_of, source), VOCABULARY)
+        shapes = {r.field: r.value_pattern for r in fields.collect()}
+        assert shapes["Vendor_ID"] == r"^V-\d{3}" + "x" * (length - 5) + "$"
+        as_ids = fields.withColumn("role", F.when(F.col("field").isin("Vendor_ID", "Ref"), "identifier").otherwise(F.col("role"))).withColumn("value_pattern", F.when(F.col("field").isin("Vendor_ID", "Ref"), "p")).withColumn("concept", F.lit(None).cast("string"))
+        datasets = spark.createDataFrame([("clm.master", "ownership", "Vendor_ID"), ("fin.facts", "spend", None)], "dataset_id string, domain string, sole_key string")
+        refs = references.discover_references(references.candidate_fields(as_ids, datasets), keyed).collect()
+        assert [(r.child_field, r.home_field) for r in refs] == [("Ref", "Vendor_ID")], length
