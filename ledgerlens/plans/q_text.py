@@ -11,11 +11,17 @@ from ledgerlens.plans.tables import FISCAL_YEAR, table, vendors, with_sql
 from ledgerlens.session import spread
 
 
+def cores(spark) -> int:
+    """The test tables have one split each, so their texts are dealt over all cores."""
+    return spark.sparkContext.defaultParallelism
+
+
+
 def cards(spark, folder):
     """One fact per contract: identifier, end date and value."""
     value = F.col("o_totalprice").cast("decimal(12,2)")
     sentence = F.format_string("CTR-%06d: contract ends %s; value USD %s.", "o_orderkey", F.col("o_orderdate").cast("date").cast("string"), F.format_number(value, 2))
-    return spread(table(spark, folder, "orders")).select(F.col("o_orderkey").alias("card_id"), sentence.alias("text"))
+    return spread(table(spark, folder, "orders"), cores(spark)).select(F.col("o_orderkey").alias("card_id"), sentence.alias("text"))
 
 
 def claims(spark, folder):
@@ -29,7 +35,7 @@ def claims(spark, folder):
         .when(p == "4-NOT SPECIFIED", F.format_string("We recommend CTR-%06d at USD %s.", "o_orderkey", F.format_number(value, 2)))
         .otherwise(F.format_string("CTR-%06d has a value of %s.", "o_orderkey", value.cast("string")))
     )
-    return spread(table(spark, folder, "orders")).select(F.col("o_orderkey").alias("claim_id"), sentence.alias("text"))
+    return spread(table(spark, folder, "orders"), cores(spark)).select(F.col("o_orderkey").alias("claim_id"), sentence.alias("text"))
 
 
 _V = "CAST(o_totalprice AS DECIMAL(12,2))"
@@ -69,7 +75,7 @@ def _extract(source: str, key: str, text: str, facts: bool) -> str:
 @query("extract_values", "WITH texts AS (SELECT doc_id, text FROM documents) " + _extract("texts", "doc_id", "text", True))
 def extract_values(spark, folder):
     """Values in the whole texts of all documents."""
-    return grounding.extract_values(spread(table(spark, folder, "documents").select("doc_id", "text")), "doc_id", "text")
+    return grounding.extract_values(spread(table(spark, folder, "documents").select("doc_id", "text"), cores(spark)), "doc_id", "text")
 
 
 @query("extract_card_values", with_sql(CARDS) + _extract("cards", "card_id", "text", True))
@@ -144,8 +150,8 @@ def text_identifiers(spark, folder):
     """Identifiers in contract sentences and in the whole texts of documents and pages."""
     name = lambda prefix, column: F.concat(F.lit(prefix), F.col(column).cast("string")).alias("subject")
     texts = (
-        cards(spark, folder).select(name("card-", "card_id"), "text").unionByName(spread(table(spark, folder, "documents")).select(name("doc-", "doc_id"), "text"))
-        .unionByName(spread(table(spark, folder, "pages")).select(name("page-", "page_id"), F.col("html").alias("text")))
+        cards(spark, folder).select(name("card-", "card_id"), "text").unionByName(spread(table(spark, folder, "documents"), cores(spark)).select(name("doc-", "doc_id"), "text"))
+        .unionByName(spread(table(spark, folder, "pages"), cores(spark)).select(name("page-", "page_id"), F.col("html").alias("text")))
     )
     return grounding.text_identifiers(texts, "subject", "text", PATTERNS)
 

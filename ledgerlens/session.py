@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "ledgerlens", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "ledgerlens", master: str | None = None, shuffle_partitions: int | None = None, storage: str | None = None) -> SparkSession:
     """A session with the settings the operators assume: UTC dates and adaptive execution.
 
+    ``storage`` names the folder for intermediates, which every executor must reach.
+
     On a cluster pass neither ``master`` nor ``shuffle_partitions``: the submit configuration decides.
     """
     builder = (
@@ -24,41 +25,43 @@ def build_session(app: str = "ledgerlens", master: str | None = None, shuffle_pa
     )
     if master:
         builder = builder.master(master).config("spark.driver.memory", "8g")
+    if storage:
+        builder = builder.config("spark.checkpoint.dir", storage)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
 
 
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a local session without one gets a temporary folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-            folder = tempfile.mkdtemp(prefix="ledgerlens-checkpoint-")
-        context.setCheckpointDir(folder)
-    return context.getCheckpointDir()
+def storage_folder(spark: SparkSession) -> str:
+    """Where this application stores intermediates: below ``spark.checkpoint.dir``, which every executor must reach.
+
+    Only where that is not set, a folder of the warehouse is used. Nothing is stored in a machine-local
+    temporary folder.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/.intermediates"
+    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def shared_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with a table written in the shared checkpoint folder.
+    """Cut lineage with a table written in the storage folder.
 
     The rows are computed once, survive lost executors, are read back by column, and their size is known
-    to the planner.
+    to the planner. The files stay until :func:`release`.
     """
-    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    path = f"{storage_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a scan with fewer splits than cores over all cores before costly per-row work.
+def release(spark: SparkSession) -> None:
+    """Delete this application's stored intermediates, once the results that read them are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(storage_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Spread a scan over ``parts`` partitions before costly per-row work; without a number it stays as it is.
 
-    A large input already has more splits than the cluster has cores and is returned as it is, so the
-    shuffle happens only for inputs that a few tasks would otherwise process alone. Only for plain scans:
-    counting the partitions of a frame with shuffles would run them.
+    The caller knows whether a small input comes in too few splits; nothing is decided by its size here.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df if parts is None else df.repartition(parts)

@@ -6,7 +6,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 import __spark_entry__ as entry
-from ledgerlens.session import build_session
+from ledgerlens.session import build_session, release
 from tests.compare import compare, oracle_connection
 
 
@@ -29,6 +29,7 @@ def main():
             bad.append(name)
             print("   " + problem, flush=True)
     print("bad:", bad)
+    release(spark)
     spark.stop()
 
 

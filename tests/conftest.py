@@ -5,14 +5,15 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from ledgerlens.session import build_session
+from ledgerlens.session import build_session, release
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("tests", master="local[8]", shuffle_partitions=4)
+def spark(tmp_path_factory):
+    session = build_session("tests", master="local[8]", shuffle_partitions=4, storage=f"file://{tmp_path_factory.mktemp('shared')}")
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    release(session)
     session.stop()
 
 

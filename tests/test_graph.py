@@ -122,3 +122,27 @@ def test_entity_keys_escape_like_compact_json(spark):
     df = spark.createDataFrame([('He said "é/ü"',)], "v string")
     want = hashlib.sha256(json.dumps(["entity", "n", "C", 'He said "é/ü"'], ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
     assert df.select(entity_key("n", "C", F.col("v"))).first()[0] == want
+
+
+def test_relation_path_has_no_depth_bound(spark):
+    chain = spark.createDataFrame([(f"C{i}", "LEADS_TO", f"C{i + 1}") for i in range(14)], "source string, type string, target string")
+    found = traverse.relation_path(chain, "C0", "C14").first()
+    assert found.steps == 14 and found.path.endswith("-> C14") and traverse.relation_path(chain, "C14", "C0").first().steps == 14
+
+
+def test_patterns_with_shared_prefixes(spark):
+    edges = spark.createDataFrame([(f"a{i}", "X", "r", f"m{i}") for i in range(3)] + [(f"b{i}", "Y", f"m{i}", f"e{i}") for i in range(3)] + [("c", "Z", "e1", "f")], "key string, type string, src string, dst string")
+    start = spark.createDataFrame([("r",)], "key string")
+    named = {"one": [("X", OUT)], "two": [("X", OUT), ("Y", OUT)], "three": [("X", OUT), ("Y", OUT), ("Z", OUT)], "same": [("X", OUT), ("Y", OUT)], "back": [("Z", "in")]}
+    got = {}
+    for r in traverse.collections(start, edges, named).collect():
+        got.setdefault(r.collection, []).append(tuple(r.path_nodes))
+    assert {k: sorted(v) for k, v in got.items()} == {"one": [("r", f"m{i}") for i in range(3)], "two": [("r", f"m{i}", f"e{i}") for i in range(3)], "same": [("r", f"m{i}", f"e{i}") for i in range(3)], "three": [("r", "m1", "e1", "f")]}
+
+
+def test_long_chains_settle(spark):
+    n = 200
+    edges = spark.createDataFrame([(f"k{i:04d}", f"k{i + 1:04d}") for i in range(n) if i != 120], "src string, dst string")
+    nodes = spark.createDataFrame([(f"k{i:04d}",) for i in range(n + 2)], "key string")
+    got = {r.key: r.component for r in traverse.connected_components(nodes, edges).collect()}
+    assert all(got[f"k{i:04d}"] == ("k0000" if i <= 120 else "k0121" if i <= n else f"k{i:04d}") for i in range(n + 2))
