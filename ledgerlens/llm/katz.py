@@ -36,7 +36,7 @@ from ledgerlens.llm import textkernel as K
 from ledgerlens.llm.common import documents, ship, store, store_by
 from ledgerlens.llm.packed import bucket_edges, fold, fold_numbers, pack_keys, unfold, unfold_numbers, unpack_keys
 
-CHUNK, BUCKET_BYTES, CUT, RESERVE = 2_000_000, 8_000_000, 5, 0.001
+CHUNK, BUCKET_BYTES, CUT, RESERVE = 1_000_000, 8_000_000, 5, 0.001
 END, START = K.constants(2, 31)
 HELD_OUT = 2
 
