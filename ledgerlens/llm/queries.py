@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import hash_search, katz, mixing, near_dedup, packing, quality, quotations, suffix_dedup, surrogates, url_filter
+from ledgerlens.llm import hash_search, katz, mixing, near_dedup, oracle, packing, quality, quotations, suffix_dedup, surrogates, url_filter
 
 QUERIES = {
     "op1_minhash_tensored": near_dedup.query,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_surrogates": surrogates.query,
     "op10_bwt_merge_dedup": suffix_dedup.query,
 }
-SQL: dict[str, str] = {}
+SQL = {"op1_minhash_tensored": oracle.NEAR_DUPLICATES, "op5_quotation_linking": oracle.QUOTATIONS}
