@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm import textkernel as K
 from ledgerlens.llm.common import documents, ship, store, store_by
-from ledgerlens.llm.packed import bucket_edges, fold, pack_keys, unfold, unpack_keys
+from ledgerlens.llm.packed import bucket_edges, fold, fold_numbers, pack_keys, unfold, unfold_numbers, unpack_keys
 
-SPAN, ANCHOR, CHUNK_BYTES, BUCKET_BYTES = 50, 20, 12_000_000, 8_000_000
+SPAN, ANCHOR, CHUNK_BYTES, BUCKET_BYTES = 50, 20, 5_000_000, 8_000_000
+#: Anchors are found in blocks of this many bytes: a block takes some ninety times as much memory.
+BLOCK_BYTES = 1_000_000
 REACH = SPAN - ANCHOR
 LAST = np.iinfo(np.int64).max
 
@@ -62,14 +64,14 @@ def _gram_hash(buffer, size):
 
 
 def anchors(buffer, offsets):
-    """(position, first start, last start, hash) of each run of SPAN-byte strings with one anchor, in order.
+    """(position, first start, last start) of each run of SPAN-byte strings with one anchor, in order.
 
     Strings do not cross the texts' bounds.
     """
     hashes = _gram_hash(buffer, ANCHOR)
     n = len(buffer) - SPAN + 1
     if n <= 0:
-        return (np.empty(0, np.int64),) * 3 + (np.empty(0, K.U),)
+        return (np.empty(0, np.int64),) * 3
     # The smallest hash of each window, leftmost first: hash above, position below.
     low = (hashes & ~K.U((1 << 30) - 1)) | np.arange(len(hashes), dtype=K.U)
     width, least = 1, low
@@ -87,7 +89,7 @@ def anchors(buffer, offsets):
     position = position[starts]
     begins = np.flatnonzero(np.concatenate([[True], (position[1:] != position[:-1]) | (starts[1:] != starts[:-1] + 1)])) if len(starts) else np.empty(0, np.int64)
     ends = np.append(begins[1:], len(starts)) - 1 if len(begins) else begins
-    return position[begins], starts[begins], starts[ends], hashes[position[begins]]
+    return position[begins], starts[begins], starts[ends]
 
 
 class Chunk:
@@ -97,8 +99,9 @@ class Chunk:
         self.ids = np.array([LAST if i is None or i != i else i for i in row["doc_ids"]], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(unfold(row["lengths"], np.int64))])
         self.buffer = unfold(row["text"], np.uint8)
-        self.position, self.first, self.last = unfold(row["anchors"], np.int32).astype(np.int64).reshape(3, -1)
-        self.hash = unfold(row["hashes"], K.U)
+        self.first = np.cumsum(unfold_numbers(row["firsts"]).astype(np.int64))
+        self.position, self.last = unfold(row["runs"], np.uint8).reshape(2, -1) + self.first
+        self.hash = K.byte_hash(self.buffer, self.position, self.position + ANCHOR)
         self.owner = np.searchsorted(self.offsets, self.first, "right") - 1
         self.keys, self.key_of = np.unique(self.hash, return_inverse=True)
 
@@ -125,16 +128,16 @@ def _chunks(batches, chunk_bytes):
         shift = np.cumsum([0] + [len(h[1]) for h in held])
         ids = [i for h in held for i in h[0]]
         text, lengths = np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
-        marks = np.concatenate([np.stack(h[3][:3]) + s for h, s in zip(held, shift, strict=False)], axis=1).astype(np.int32)
-        hashes = np.concatenate([h[3][3] for h in held])
+        position, first, last = np.concatenate([np.stack(h[3]) + s for h, s in zip(held, shift, strict=False)], axis=1)
         held.clear()
         size = 0
-        flat = [pa.array([fold(x)], pa.binary()) for x in (text, lengths, marks, hashes)]
-        return pa.RecordBatch.from_arrays([pa.array([part * (1 << 32) + number], pa.int64()), pa.array([ids], pa.list_(kind)), *flat], ["chunk", "doc_ids", "text", "lengths", "anchors", "hashes"])
+        # An anchor and its last string begin at most REACH bytes after its first.
+        flat = [pa.array([x], pa.binary()) for x in (fold(text), fold(lengths), fold_numbers(np.diff(first, prepend=0)), fold(np.stack([position - first, last - first]).astype(np.uint8)))]
+        return pa.RecordBatch.from_arrays([pa.array([part * (1 << 32) + number], pa.int64()), pa.array([ids], pa.list_(kind)), *flat], ["chunk", "doc_ids", "text", "lengths", "firsts", "runs"])
 
     for batch in batches:
         kind = batch.schema.field("doc_id").type
-        for rows, data, offsets in K.blocks(batch, "text"):
+        for rows, data, offsets in K.blocks(batch, "text", BLOCK_BYTES):
             held.append((batch.column("doc_id").slice(rows.start, rows.stop - rows.start).to_pylist(), data, np.diff(offsets), anchors(data, offsets)))
             size += len(data)
             if size >= chunk_bytes:
@@ -147,10 +150,9 @@ def _ask(batches, bits):
     """A chunk's anchor hashes and whether two of its documents have them, one row per bucket."""
     for batch in batches:
         for row in batch.to_pylist():
-            hashes, marks, lengths = unfold(row["hashes"], K.U), unfold(row["anchors"], np.int32).reshape(3, -1), unfold(row["lengths"], np.int64)
-            owner = np.searchsorted(np.concatenate([[0], np.cumsum(lengths)]), marks[1], "right")
-            order = np.argsort(hashes, kind="stable")
-            key, doc = hashes[order], owner[order]
+            c = Chunk(row)
+            order = np.argsort(c.hash, kind="stable")
+            key, doc = c.hash[order], c.owner[order]
             new = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.empty(0, bool)
             at = np.flatnonzero(new)
             # Positions ascend, so a key has several documents if its first and last differ.
@@ -292,13 +294,13 @@ def _finish(chunk, shared, masks, spans):
     # A document above the smallest of the chunk that has the very same string repeats all of it.
     whole = c.ids[c.owner[at]] > least[of]
     bits = np.where(whole, np.uint32((1 << (REACH + 1)) - 1), mask[of])
-    edges = np.zeros(len(c.buffer) + 1, np.int64)
+    edges = np.zeros(len(c.buffer) + 1, np.int32)
     for o in range(REACH + 1):
         start = c.position[at] - o
         start = start[(bits >> np.uint32(o) & 1 == 1) & (start >= c.first[at]) & (start <= c.last[at])]
         np.add.at(edges, start, 1)
         np.add.at(edges, start + SPAN, -1)
-    gone = np.cumsum(edges[:-1]) > 0
+    gone = np.cumsum(edges[:-1], dtype=np.int32) > 0
     rows = []
     for i, given in enumerate(chunk.iloc[0]["doc_ids"]):
         own = slice(c.offsets[i], c.offsets[i + 1])
@@ -323,8 +325,8 @@ def deduplicate(docs: DataFrame, spans: bool = True, chunk_bytes: int = CHUNK_BY
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = int(size // BUCKET_BYTES).bit_length()
-    chunks = store_by(rows.mapInArrow(partial(_chunks, chunk_bytes=chunk_bytes), "chunk long, doc_ids array<long>, text binary, lengths binary, anchors binary, hashes binary"), "chunk", 1 << bits)
-    asked = chunks.select("chunk", "lengths", "anchors", "hashes").mapInArrow(partial(_ask, bits=bits), "bucket int, chunk long, keys binary, several binary")
+    chunks = store_by(rows.mapInArrow(partial(_chunks, chunk_bytes=chunk_bytes), "chunk long, doc_ids array<long>, text binary, lengths binary, firsts binary, runs binary"), "chunk", 1 << bits)
+    asked = chunks.mapInArrow(partial(_ask, bits=bits), "bucket int, chunk long, keys binary, several binary")
     shared = store(asked.groupBy("bucket").applyInPandas(lambda f: _shared(f), "bucket int, chunk long, answer binary, n int"))
     send = partial(_send, bits=bits)
     shards = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInPandas(lambda a, b: send(a, b), "bucket int, chunk long, keys binary, shape binary, docs binary, bytes binary")

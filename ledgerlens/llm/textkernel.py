@@ -140,8 +140,9 @@ def shingles(hashes, size):
     return np.unique(windows(hashes, min(size, len(hashes))) ^ U(0 if len(hashes) >= size else len(hashes)))
 
 
-def blocks(batch, column):
-    """(rows, bytes, offsets) of an Arrow batch's text column in blocks; a null text is empty."""
+def blocks(batch, column, limit=BLOCK_BYTES):
+    """(rows, bytes, offsets) of an Arrow batch's text column in blocks of about ``limit`` bytes; a null text is
+    empty."""
     text = batch.column(batch.schema.get_field_index(column))
     text = text.fill_null("").cast(pa.large_string())
     _, offsets, data = text.buffers()
@@ -151,7 +152,7 @@ def blocks(batch, column):
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)
     at = 0
     while at < len(text):
-        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, "right")) - 1)
+        stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
         yield slice(at, stop), data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at]
         at = stop
 
