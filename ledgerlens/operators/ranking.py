@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from ledgerlens.session import shared_checkpoint
 
-# Up to this many ordered rows are taken by one task; larger cohorts are ranked in parallel.
-SMALL_LIMIT = 10_000
-
 
 def exact_rank(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), name: str = "rank") -> DataFrame:
     """1-based position of each row within its group by the given unique order.
@@ -35,6 +32,23 @@ def exact_rank(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), n
     )
 
 
+def kth(df: DataFrame, identity: str, wanted: DataFrame, group: Sequence[str] = ()) -> DataFrame:
+    """(group, cut): the identity at the ``wanted`` place (column ``_k``) of each group, by ascending unique identity.
+
+    Only groups and identities are range-partitioned and stored. Counts per partition tell which one holds the
+    place, and only rows of that one are ranked.
+    """
+    keys = [*group, identity]
+    placed = shared_checkpoint(df.select(*keys).repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    sizes = placed.groupBy(*group, "_part").agg(F.count("*").alias("_size"))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0)))
+    offsets = offsets.join(wanted.select(*group, "_k"), list(group)) if group else offsets.withColumn("_k", wanted.select("_k").scalar())
+    holding = offsets.filter((F.col("_offset") < F.col("_k")) & (F.col("_offset") + F.col("_size") >= F.col("_k"))).select(*group, "_part", (F.col("_k") - F.col("_offset")).alias("_at"))
+    rows = placed.join(holding, [*group, "_part"]).withColumn("_n", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(identity)))
+    return rows.filter("_n = _at").select(*group, F.col(identity).alias("_cut"))
+
+
 def cohort_size(eligible: Column, percent) -> Column:
     """``round_half_up(eligible * percent / 100)`` as a whole number."""
     share = eligible.cast("decimal(20,0)") * F.lit(str(percent)).cast("decimal(9,4)") / F.lit(100).cast("decimal(3,0)")
@@ -46,13 +60,11 @@ def percent_cohort(df: DataFrame, identity: str, percent, group: Sequence[str] =
 
     Adds the group's eligible count, the unrounded equivalent, the affected count and the effective percent.
     """
-    ranked = exact_rank(df, [identity], group, "_rank")
-    counts = df.groupBy(*group).agg(F.count("*").alias("eligible_count"))
+    sized = cohort_columns(df.groupBy(*group).agg(F.count("*").alias("eligible_count")), percent)
+    cuts = kth(df, identity, sized.withColumn("_k", F.col("affected_count")), group)
     if group:
-        sized = ranked.join(counts, list(group))
-    else:
-        sized = ranked.withColumn("eligible_count", counts.scalar())
-    return cohort_columns(sized, percent).filter(F.col("_rank") <= F.col("affected_count")).drop("_rank")
+        return df.join(sized, list(group)).join(cuts, list(group)).filter(F.col(identity) <= F.col("_cut")).drop("_cut")
+    return cohort_columns(df.filter(F.col(identity) <= cuts.scalar()).withColumn("eligible_count", sized.select("eligible_count").scalar()), percent)
 
 
 def cohort_columns(df: DataFrame, percent) -> DataFrame:
@@ -73,9 +85,8 @@ def count_cohort(df: DataFrame, identity: str, count: int) -> DataFrame:
     eligible = df.agg(F.count("*").alias("n")).scalar()
     enough = F.when(eligible >= count, F.lit(True)).otherwise(F.raise_error(F.lit("requested count exceeds the eligible rows")).cast("boolean"))
     checked = df.filter(enough)
-    if count <= SMALL_LIMIT:
-        return checked.orderBy(identity).limit(count)
-    return exact_rank(checked, [identity], (), "_rank").filter(F.col("_rank") <= count).drop("_rank")
+    cut = kth(checked, identity, checked.sparkSession.range(1).select(F.lit(count).alias("_k")))
+    return checked.filter(F.col(identity) <= cut.scalar())
 
 
 def first_per_root(df: DataFrame, root: Sequence[str], order: Sequence[str], limit: int) -> DataFrame:

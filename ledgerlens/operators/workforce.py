@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.ranking import cohort_columns, exact_rank
+from ledgerlens.operators.ranking import cohort_columns, kth
 
 GROUP_ALIASES = {"Worker_Type": "WORKER_TYPE", "Onshore_Offshore": "TECH_MARKET_TYPE"}
 
@@ -58,12 +58,22 @@ def eligible_rows(selected: DataFrame, targets: Mapping[str, object]) -> Column:
     return off_target
 
 
-def whatif(assignments: DataFrame, action: str, percent=0, filters: Mapping[str, str | None] | None = None, targets: Mapping[str, object] | None = None, identity: str = "assignment_id") -> DataFrame:
+def _holds(condition: Column, message: str) -> Column:
+    """True, or an error when the query runs."""
+    return F.when(condition, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+
+
+def whatif(
+    assignments: DataFrame, action: str, percent=0, filters: Mapping[str, str | None] | None = None, targets: Mapping[str, object] | None = None, identity: str = "assignment_id",
+    ids: DataFrame | None = None,
+) -> DataFrame:
     """The overlay of a workforce scenario: every baseline row with flags and resulting columns.
 
     Adds ``selected``, ``affected``, ``removed`` and ``new_<target>`` columns plus the cohort numbers.
     Reduce removes the first ``round_half_up(eligible * percent / 100)`` eligible rows by ascending
-    identity; shift moves them to the targets; rows already at target are not eligible.
+    identity; shift moves them to the targets; rows already at target are not eligible. ``ids`` names the
+    rows to select within the filters, and every one of them must be there; a target must be a category of
+    the population.
     """
     targets = dict(targets or {})
     if action not in ("baseline", "reduce", "shift"):
@@ -76,26 +86,44 @@ def whatif(assignments: DataFrame, action: str, percent=0, filters: Mapping[str,
     for column, wanted in (filters or {}).items():
         if wanted is not None:
             marked = marked.withColumn("selected", F.col("selected") & (F.lower(F.col(column).cast("string")) == F.lower(F.lit(wanted))))
+    marked = marked.withColumn("selected", F.coalesce("selected", F.lit(False)))
+    for column, target in targets.items():
+        known = assignments.agg(F.count_if(F.col(column) == target).alias("n")).scalar()
+        marked = marked.filter(_holds(known > 0, f"no row of the population has the target {column}"))
+    if ids is not None:
+        named = ids.select(identity).distinct()
+        outside = ids_in_scope(marked.filter("selected"), named, identity)[1].agg(F.count("*").alias("n")).scalar()
+        listed = marked.join(named.withColumn("_named", F.lit(True)), identity, "left").filter(_holds(outside == 0, "an ID of the list is outside the selection"))
+        marked = listed.withColumn("selected", F.col("selected") & F.coalesce("_named", F.lit(False))).drop("_named")
     eligible = F.col("selected") & (eligible_rows(marked, targets) if action == "shift" else F.lit(True))
     marked = marked.withColumn("eligible", F.coalesce(eligible, F.lit(False)))
-    ranked = exact_rank(marked, [identity], ["eligible"], "_rank")
-    sized = cohort_columns(ranked.withColumn("eligible_count", marked.agg(F.count_if("eligible").alias("n")).scalar()), percent)
-    affected = F.col("eligible") & (F.col("_rank") <= F.col("affected_count")) if action != "baseline" else F.lit(False)
+    total = marked.agg(F.count_if("eligible").alias("eligible_count"))
+    sized = cohort_columns(marked.withColumn("eligible_count", total.scalar()), percent)
+    affected = F.lit(False)
+    if action != "baseline":
+        # Only identities of eligible rows are placed in order; the overlay itself is never ranked or moved.
+        cut = kth(marked.filter("eligible"), identity, cohort_columns(total, percent).select(F.col("affected_count").alias("_k"))).scalar()
+        affected = F.coalesce(F.col("eligible") & (F.col(identity) <= cut), F.lit(False))
     result = sized.withColumn("affected", affected).withColumn("removed", F.col("affected") & F.lit(action == "reduce"))
     for column, target in targets.items():
         result = result.withColumn(f"new_{column}", F.when(F.col("affected"), F.lit(target)).otherwise(F.col(column)))
-    return result.drop("_rank")
+    return result
 
 
 def whatif_counts(overlay: DataFrame, dimensions: Mapping[str, str]) -> DataFrame:
-    """Baseline and resulting counts per category; ``dimensions`` maps each column to its resulting column."""
+    """Counts per category before and after, of all rows and of the selected ones; ``dimensions`` maps each column to
+    its resulting column."""
     before, after = list(dimensions), list(dimensions.values())
     rows = F.array(
         F.struct(*[F.col(c).cast("string").alias(b) for b, c in zip(before, before)], F.lit(1).alias("_before"), F.lit(0).alias("_after")),
         F.struct(*[F.col(c).cast("string").alias(b) for b, c in zip(before, after)], F.lit(0).alias("_before"), F.when(F.col("removed"), 0).otherwise(1).alias("_after")),
     )
+    of = lambda flag, count: F.sum(F.when(F.col(flag), F.col(count)).otherwise(0))
     return (
-        overlay.select(F.col("affected"), F.inline(rows))
+        overlay.select("affected", "selected", F.inline(rows))
         .groupBy(*before)
-        .agg(F.sum("_before").alias("baseline_count"), F.sum("_after").alias("resulting_count"), F.sum(F.when(F.col("affected"), F.col("_before")).otherwise(0)).alias("affected_from"))
+        .agg(
+            F.sum("_before").alias("baseline_count"), F.sum("_after").alias("resulting_count"), of("affected", "_before").alias("affected_from"),
+            of("selected", "_before").alias("selected_baseline"), of("selected", "_after").alias("selected_resulting"),
+        )
     )

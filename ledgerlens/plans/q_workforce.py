@@ -84,26 +84,36 @@ def cohort_count(spark, folder):
     return ranking.count_cohort(eligible, "assignment_id", 25)
 
 
-def _whatif_sql(eligible: str, percent: str, target: str | None) -> str:
+def _whatif_sql(selected: str, eligible: str, percent: str, target: str | None) -> str:
     removed = "affected" if target is None else "FALSE"
     after_country = "country" if target is None else f"CASE WHEN affected THEN {target} ELSE country END"
     return with_sql(
-        ASSIGNMENTS, f"marked AS (SELECT *, {eligible} AS eligible FROM assignments)", "size AS (SELECT CAST(count(*) FILTER (eligible) AS BIGINT) AS n FROM marked)",
+        ASSIGNMENTS, f"marked AS (SELECT *, {selected} AS selected, {selected} AND {eligible} AS eligible FROM assignments)", "size AS (SELECT CAST(count(*) FILTER (eligible) AS BIGINT) AS n FROM marked)",
         "ranked AS (SELECT m.*, eligible AND row_number() OVER (PARTITION BY eligible ORDER BY assignment_id)"
         f" <= (SELECT CAST(floor((2 * n * {percent} + 100) / 200) AS BIGINT) FROM size) AS affected FROM marked m)",
-        f"moves AS (SELECT CAST(country AS VARCHAR) AS country, worker_type, affected, 1 AS b, 0 AS a FROM ranked UNION ALL SELECT CAST({after_country} AS VARCHAR), worker_type, affected, 0, CASE WHEN {removed} THEN 0 ELSE 1 END FROM ranked)",
+        f"moves AS (SELECT CAST(country AS VARCHAR) AS country, worker_type, affected, selected, 1 AS b, 0 AS a FROM ranked UNION ALL SELECT CAST({after_country} AS VARCHAR), worker_type, affected, selected, 0, CASE WHEN {removed} THEN 0 ELSE 1 END FROM ranked)",
     ) + (
-        "SELECT country, worker_type, CAST(sum(b) AS BIGINT) AS baseline_count, CAST(sum(a) AS BIGINT) AS resulting_count, CAST(sum(CASE WHEN affected THEN b ELSE 0 END) AS BIGINT) AS affected_from FROM moves GROUP BY 1, 2"
+        "SELECT country, worker_type, CAST(sum(b) AS BIGINT) AS baseline_count, CAST(sum(a) AS BIGINT) AS resulting_count, CAST(sum(CASE WHEN affected THEN b ELSE 0 END) AS BIGINT) AS affected_from,"
+        " CAST(sum(CASE WHEN selected THEN b ELSE 0 END) AS BIGINT) AS selected_baseline, CAST(sum(CASE WHEN selected THEN a ELSE 0 END) AS BIGINT) AS selected_resulting FROM moves GROUP BY 1, 2"
     )
 
 
-@query("whatif_reduce", _whatif_sql("worker_type = 'BUILDING'", "20", None))
+@query("whatif_reduce", _whatif_sql("worker_type = 'BUILDING'", "TRUE", "20", None))
 def whatif_reduce(spark, folder):
     overlay = workforce.whatif(assignments(spark, folder), "reduce", 20, filters={"worker_type": "building"})
     return workforce.whatif_counts(overlay, {"country": "country", "worker_type": "worker_type"})
 
 
-@query("whatif_shift", _whatif_sql("worker_type = 'MACHINERY' AND country <> 5", "50", "5"))
+@query("whatif_shift", _whatif_sql("worker_type = 'MACHINERY'", "country <> 5", "50", "5"))
 def whatif_shift(spark, folder):
     overlay = workforce.whatif(assignments(spark, folder), "shift", 50, filters={"worker_type": "Machinery"}, targets={"country": 5})
     return workforce.whatif_counts(overlay, {"country": "new_country", "worker_type": "worker_type"})
+
+
+@query("whatif_ids", _whatif_sql("worker_type = 'BUILDING' AND assignment_id % 9 = 0", "TRUE", "60", None))
+def whatif_ids(spark, folder):
+    """A scenario over a list of assignments."""
+    everyone = assignments(spark, folder)
+    ids = everyone.filter("assignment_id % 9 = 0 AND worker_type = 'BUILDING'").select("assignment_id")
+    overlay = workforce.whatif(everyone, "reduce", 60, filters={"worker_type": "building"}, ids=ids)
+    return workforce.whatif_counts(overlay, {"country": "country", "worker_type": "worker_type"})
