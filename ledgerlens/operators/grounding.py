@@ -84,11 +84,19 @@ def extract_values(texts: DataFrame, key: str, text: str, source: str = "fact")
     return kinds.select(key, F.inline(rows))
 
 
-def unsupported_claims(claims: DataFrame, cards: DataFrame, citations: DataFrame, claim: str = "claim_id", card: str = "card_id", text: str = "text") -> DataFrame:
+def summary_citations(citations: DataFrame, answers: DataFrame, claim: str = "claim_id", summary: str = "summary_id", card: str = "card_id") -> DataFrame:
+    """The citations with those of summaries: a summary (``answers`` maps it to its claims) cites every card they cite."""
+    whole = citations.join(answers.select(claim, summary), claim).select(F.col(summary).alias(claim), card)
+    return citations.select(claim, card).unionByName(whole).distinct()
+
+
+def unsupported_claims(
+    claims: DataFrame, cards: DataFrame, citations: DataFrame, claim: str = "claim_id", card: str = "card_id", text: str = "text", questions: DataFrame | None = None
+) -> DataFrame:
     """Problems in claims: values that no cited card holds, and recommendations.
 
-    A date or number must occur in a cited card; an identifier only in some card. Where another card
-    holds the value, up to three are named. The cards of a value are looked up by value and cut to three
+    A date or number must occur in a cited card; an identifier only in some card. What the claim's question
+    (``questions``: claim and text) holds needs no card. Where another card holds the value, up to three are named. The cards of a value are looked up by value and cut to three
     before they are joined, so a value held by very many cards stays cheap.
     """
     # Extracted once and stored: the values are far smaller than the texts and are joined several times.
@@ -99,6 +107,8 @@ def unsupported_claims(claims: DataFrame, cards: DataFrame, citations: DataFrame
     loose = wanted.filter("kind <> 'id'").join(cited, [claim, "kind", "value"], "left_anti")
     unknown = wanted.filter("kind = 'id'").join(in_some, ["kind", "value"], "left_anti")
     missing = loose.unionByName(unknown.select(*loose.columns))
+    if questions is not None:
+        missing = missing.join(extract_values(questions, claim, text, "fact"), [claim, "kind", "value"], "left_anti")
     looked_for = missing.select("kind", "value").distinct()
     holders = first_per_root(held.join(looked_for, ["kind", "value"], "left_semi"), ["kind", "value"], [card], 3)
     hints = holders.groupBy("kind", "value").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.col(card))), lambda c: c.cast("string")), ",").alias("held_by"))

@@ -83,24 +83,35 @@ def extract_card_values(spark, folder):
     return grounding.extract_values(cards(spark, folder), "card_id", "text")
 
 
-@query(
-    "unsupported_claims",
-    with_sql(
+_PROBLEMS = [
         CARDS, CLAIMS, "held AS (" + _extract("cards", "card_id", "text", True) + ")",
         r"plain AS (SELECT claim_id, o_orderpriority, text, regexp_replace(text, '\[?\b[FET][0-9]+\b\]?', ' ', 'g') AS body FROM claims)",
         "dated AS (SELECT claim_id, CASE WHEN o_orderpriority = '2-HIGH' THEN [strftime(strptime(regexp_extract(body, 'ends on (.*)[.]$', 1), '%d %B %Y'), '%Y-%m-%d')] ELSE [] END AS extra, CASE WHEN o_orderpriority = '2-HIGH' THEN regexp_replace(body, 'ends on .*', 'ends on .') ELSE body END AS body FROM plain)",
         "wanted AS (SELECT claim_id, 'date' AS kind, unnest(extra) AS value FROM dated UNION " + _extract("dated", "claim_id", "body", False) + ")",
         "missing AS (SELECT w.* FROM wanted w WHERE w.kind <> 'id' AND NOT EXISTS (SELECT 1 FROM held h WHERE h.card_id = w.claim_id AND h.kind = w.kind AND h.value = w.value) UNION ALL SELECT w.* FROM wanted w WHERE w.kind = 'id' AND w.value NOT IN (SELECT value FROM held WHERE kind = 'id'))",
         "hints AS (SELECT kind, value, string_agg(CAST(card_id AS VARCHAR), ',' ORDER BY card_id) AS held_by FROM (SELECT *, row_number() OVER (PARTITION BY kind, value ORDER BY card_id) AS r FROM held) WHERE r <= 3 GROUP BY 1, 2)",
-    )
-    + "SELECT claim_id, 'unsupported_' || kind AS problem, value, coalesce(held_by, '') AS held_by FROM missing LEFT JOIN hints USING (kind, value) UNION ALL SELECT claim_id, 'recommendation', '', '' FROM claims WHERE o_orderpriority = '4-NOT SPECIFIED'",
+]
+_PROBLEM_ROWS = (
+    "SELECT claim_id, 'unsupported_' || kind AS problem, value, coalesce(held_by, '') AS held_by FROM missing LEFT JOIN hints USING (kind, value) UNION ALL SELECT claim_id, 'recommendation', '', '' FROM claims WHERE o_orderpriority = '4-NOT SPECIFIED'"
 )
+
+
+@query("unsupported_claims", with_sql(*_PROBLEMS) + _PROBLEM_ROWS)
 def unsupported_claims(spark, folder):
     """Each claim cites the card of its own contract."""
     cited = table(spark, folder, "orders").select(F.col("o_orderkey").alias("claim_id"), F.col("o_orderkey").alias("card_id"))
     return grounding.unsupported_claims(claims(spark, folder), cards(spark, folder), cited)
 
 
+@query("claims_with_questions", with_sql(*_PROBLEMS) + _PROBLEM_ROWS.replace("USING (kind, value)", "USING (kind, value) WHERE claim_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')"))
+def claims_with_questions(spark, folder):
+    """The question about a closed contract repeats the claim's values, which then need no card."""
+    orders = table(spark, folder, "orders").select(F.col("o_orderkey").alias("claim_id"), "o_orderstatus")
+    questions = claims(spark, folder).join(orders.filter("o_orderstatus = 'F'").select("claim_id"), "claim_id", "left_semi")
+    cited = orders.select("claim_id", F.col("claim_id").alias("card_id"))
+    return grounding.unsupported_claims(claims(spark, folder), cards(spark, folder), cited, questions=questions)
+
+
 @query(
     "fact_cards",
     with_sql(

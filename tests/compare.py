@@ -22,12 +22,13 @@ def oracle_connection(folder: str):
 def canonical(value):
     if isinstance(value, bool) or value is None:
         return str(value)
-    if isinstance(value, (float, Decimal)):
-        if isinstance(value, float) and math.isnan(value):
-            return "nan"
-        return f"{float(value):.9g}"
+    if isinstance(value, float):
+        # The order of a sum may change the last places of a double.
+        return "nan" if math.isnan(value) else f"{value:.12g}"
+    if isinstance(value, Decimal):
+        return f"{value.normalize():f}"
     if isinstance(value, int):
-        return f"{float(value):.9g}" if abs(value) < 10**15 else str(value)
+        return str(value)
     if isinstance(value, datetime):
         return value.isoformat()
     if isinstance(value, date):

@@ -197,3 +197,14 @@ def test_digest_sees_every_column(spark, small):
     assert digest(orders.repartition(7)) == before and all(digest(df).hash_sum != before.hash_sum for df in changed)
     lists = [spark.createDataFrame([(1, v)], "id int, v array<float>") for v in ([1.0, None], [None, 1.0], [1.0], None)]
     assert len({digest(df).hash_sum for df in lists}) == 4
+
+
+def test_summaries_and_questions(spark):
+    claims = spark.createDataFrame([(1, "Spend was 100."), (2, "Spend was 200."), (3, "Spend was 100 and 200, and 300 is asked.")], "claim_id int, text string")
+    cards = spark.createDataFrame([(10, "USD 100"), (20, "USD 200")], "card_id int, text string")
+    citations = spark.createDataFrame([(1, 10), (2, 20)], "claim_id int, card_id int")
+    answers = spark.createDataFrame([(1, 3), (2, 3)], "claim_id int, summary_id int")
+    cited = grounding.summary_citations(citations, answers)
+    assert [(r.claim_id, r.value) for r in grounding.unsupported_claims(claims, cards, cited).collect()] == [(3, "300")]
+    questions = spark.createDataFrame([(3, "Is 300 right?")], "claim_id int, text string")
+    assert grounding.unsupported_claims(claims, cards, cited, questions=questions).count() == 0
