@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,19 +61,24 @@ def identifier_by_values(values: DataFrame, ontology: Ontology) -> DataFrame:
     return values.groupBy(*FIELD).agg(every.alias("all_identifiers"), only.alias("value_class"))
 
 
-def value_facts(values: DataFrame, profile: DataFrame, ontology: Ontology) -> DataFrame:
-    """Identifier facts and the shared shape of every column in one pass over its values, repeats included.
+def value_facts(values: Values, profile: DataFrame, ontology: Ontology) -> DataFrame:
+    """Identifier facts and the shared shape of every column that has values, in one pass over its values.
 
-    Values share a shape if their digit masks are equal, so the least and the greatest digest of the masks
-    decide, and values of any length are combined on the map side without a shuffle of values.
+    A column whose least or greatest value is no identifier, and whose two have different digit masks, can
+    have neither, so only the other columns are read. Values share a shape if their digit masks are equal: the
+    least and the greatest digest of the masks decide, and values of any length are combined on the map side.
     """
+    identifier = lambda name: reduce(Column.__or__, class_tests(F.col(name), ontology).values(), F.lit(False))
+    likely = (identifier("min_value") & identifier("max_value")) | (digit_mask(F.col("min_value")) == digit_mask(F.col("max_value")))
+    # One row per column: as many as the tables have columns.
+    candidates = profile.filter(likely).select(*FIELD)
     every, only = identifier_aggregates(F.col("value"), ontology)
     mask = F.sha2(digit_mask(F.col("value")), 256)
-    facts = values.groupBy(*FIELD).agg(every.alias("all_identifiers"), only.alias("value_class"), (F.min(mask) == F.max(mask)).alias("one_shape"))
-    # One row per column: as many as the tables have columns.
+    rows = _read(values, candidates).join(F.broadcast(candidates), FIELD)
+    facts = rows.groupBy(*FIELD).agg(every.alias("all_identifiers"), only.alias("value_class"), (F.min(mask) == F.max(mask)).alias("one_shape"))
     shape = value_shape(F.col("min_value"))
-    joined = facts.join(F.broadcast(profile.select(*FIELD, "min_value")), FIELD)
-    return joined.select(*FIELD, "all_identifiers", "value_class", F.when(F.col("one_shape") & F.contains(shape, F.lit(r"\d")), shape).alias("value_pattern"))
+    joined = profile.filter("distinct_count > 0").select(*FIELD, "min_value").join(F.broadcast(facts), FIELD, "left")
+    return joined.select(*FIELD, F.coalesce("all_identifiers", F.lit(False)).alias("all_identifiers"), "value_class", F.when(F.col("one_shape") & F.contains(shape, F.lit(r"\d")), shape).alias("value_pattern"))
 
 
 def name_mapping(fields: DataFrame, ontology: Ontology) -> DataFrame:
@@ -148,15 +154,16 @@ def classify(profile: DataFrame, values: Values, ontology: Ontology) -> DataFram
     that differ only by case are flagged and never mapped at full confidence.
     """
     spark = profile.sparkSession
-    facts = shared_checkpoint(value_facts(_read(values, profile), profile, ontology))
+    facts = shared_checkpoint(value_facts(values, profile, ontology))
     base = profile.join(facts, FIELD, "left")
     keys = spark.createDataFrame([(c.id, c.key) for c in ontology.classes if c.key], "class_id string, property_id string")
     from_names = name_mapping(profile, ontology).withColumn("turn", F.lit(0))
     from_values = facts.filter("value_class IS NOT NULL").select(*FIELD, F.col("value_class").alias("class_id")).join(keys, "class_id").withColumn("turn", F.lit(1))
     rules = ontology.property_rules(spark)
     candidates = from_names.unionByName(from_values).join(rules.select("class_id", "property_id", "datatype"), ["class_id", "property_id"])
-    with_role = candidates.join(base, FIELD).select(*FIELD, "class_id", "property_id", "turn", semantic_role(F.col("datatype")).alias("role"))
-    fitting = compatible(with_role, values, ontology)
+    # Tables of one row per column are stored where several later steps read them.
+    with_role = shared_checkpoint(candidates.join(base, FIELD).select(*FIELD, "class_id", "property_id", "turn", semantic_role(F.col("datatype")).alias("role")))
+    fitting = shared_checkpoint(compatible(with_role, values, ontology))
     chosen = fitting.groupBy(*FIELD).agg(F.min_by(F.struct("class_id", "property_id", "datatype", "pii", "is_key", "domain", "business_name"), "turn").alias("m")).select(*FIELD, "m.*")
     collision = F.count("*").over(Window.partitionBy("dataset_id", F.lower("field"))) > 1
     joined = base.withColumn("name_collision", collision).join(chosen, FIELD, "left")
@@ -164,8 +171,8 @@ def classify(profile: DataFrame, values: Values, ontology: Ontology) -> DataFram
     result = joined.withColumn("role", semantic_role(F.col("datatype")))
     result = result.withColumn("masked", is_sensitive(F.col("field")) | F.coalesce(F.col("pii"), F.lit(False)))
     shown = ~F.col("masked")
-    patterned = result.withColumn("value_pattern", F.when(F.col("role").isin("identifier", "date", "dimension"), F.col("value_pattern")))
-    small = result.filter(shown & (F.col("role") == "dimension") & F.col("distinct_count").between(1, MAX_VALUE_SET)).select(*FIELD)
+    patterned = shared_checkpoint(result.withColumn("value_pattern", F.when(F.col("role").isin("identifier", "date", "dimension"), F.col("value_pattern"))))
+    small = patterned.filter(shown & (F.col("role") == "dimension") & F.col("distinct_count").between(1, MAX_VALUE_SET)).select(*FIELD)
     sets = _read(values, small).join(F.broadcast(small), FIELD, "left_semi").groupBy(*FIELD).agg(F.array_sort(F.collect_set("value")).alias("value_set"))
     classified = patterned.join(sets, FIELD, "left").select(
         *FIELD, "position", "data_type", "row_count", "distinct_count", "null_pct", "is_unique", "min_value", "max_value", "role", "class_id", "property_id",
