@@ -1,13 +1,16 @@
 """Quality rules from the frequency of lines across the documents of a host.
 
 Every line is normalised (A-Z lower-cased, words joined by one space) and hashed. A line is common on a host
-when the documents that hold it are more than ``min_documents`` and more than ``share`` of the host's
-documents. Common lines are removed; a document left with less than ``min_kept`` of its words is depleted and
+when the contents that hold it are more than ``min_documents`` and more than ``share`` of the host's
+contents. Common lines are removed; a document left with less than ``min_kept`` of its words is depleted and
 rejected, as is one that fails the base rules.
 
-Copies must not make their own text common, so a document counts by its content: the smallest hash of its
-words stands for it, which exact copies share and nearly all near copies share. A line of a thousand copies of
-one text therefore counts as one or a few documents, while a line in a thousand different texts counts as many.
+Copies must not make their own text common, so documents count by content, for the line and for the host alike:
+the smallest hashes of a document's ``SHINGLE``-word windows under ``HASHES`` hash functions stand for it together.
+Exact copies share all of them, and near copies of similarity s do with a chance of about s^HASHES. Unlike
+texts share one only through a passage that both have, and all of them hardly ever, unless that passage is
+most of both. A line of a thousand copies of one text therefore counts as one or a few, while a line in a
+thousand different texts counts as many.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of its own;
 repeated rows are documents of their own, with equal results; lines without a word are ignored; an empty table
@@ -28,6 +31,9 @@ BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repea
 #: Symbols of the base rules.
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
+#: What stands for a content.
+SHINGLE, HASHES = 5, 4
+_TURN, _FACTOR, _FOLD = K.constants(HASHES, 51), K.constants(HASHES, 52) | K.U(1), K.constants(HASHES, 53) | K.U(1)
 #: What identifies a document and its outcome.
 KEYS = ["doc_id", "source", "text_key"]
 
@@ -52,6 +58,15 @@ def _repeated(hashes):
     return int((np.cumsum(edges) > 0).sum())
 
 
+def _content(hashes):
+    """The hash that stands for a text: its least windows under each of the hash functions; 0 without words."""
+    if not len(hashes):
+        return K.U(0)
+    values = K.windows(hashes, min(SHINGLE, len(hashes)))
+    least = np.array([((values ^ turn) * factor).min() for turn, factor in zip(_TURN, _FACTOR, strict=True)], K.U)
+    return K.mix((least * _FOLD).sum(dtype=K.U))
+
+
 def _line_table(texts):
     """All lines of a block: raw hash, hash of the normalised words, words, first line of each text."""
     starts, ends, first = texts.lines()
@@ -76,7 +91,7 @@ def _measure(batches):
                 dup.append(int(worded.sum()) - len(np.unique(raw[own][worded])))
                 mine = slice(texts.first[i], texts.first[i + 1])
                 repeat.append(_repeated(hashes[mine]))
-                sketch.append(lowered[mine].min() if mine.stop > mine.start else K.U(0))
+                sketch.append(_content(lowered[mine]))
                 distinct, inverse = np.unique(normal[own][worded], return_inverse=True)
                 line_hash.append(distinct)
                 line_words.append(np.bincount(inverse, words[own][worded], len(distinct)).astype(np.int32))
@@ -98,14 +113,14 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def common_lines(measured: DataFrame, share: float, min_documents: int) -> DataFrame:
-    """(source, line, n_documents) of the lines above the limit of their host.
+    """(source, line, n_documents) of the lines above the limit of their host, all counted in contents.
 
     Counting combines before the shuffle: first one row for each host, line and content, then one for each
     host and line, so a line of a third of all documents costs a row per task and content.
     """
     contents = measured.select("source", "sketch", F.explode("lines").alias("line")).distinct()
     counts = contents.groupBy("source", "line").agg(F.count("*").alias("n_documents")).where(F.col("n_documents") > min_documents)
-    hosts = measured.groupBy("source").agg(F.count("*").alias("host_documents")).withColumnRenamed("source", "host")
+    hosts = measured.select("source", "sketch").distinct().groupBy("source").agg(F.count("*").alias("host_documents")).withColumnRenamed("source", "host")
     return counts.join(hosts, F.col("source").eqNullSafe(F.col("host"))).where(F.col("n_documents") > share * F.col("host_documents")).select("source", "line", "n_documents")
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -68,6 +69,22 @@ def test_common_lines_go_and_copies_do_not_count(spark):
     assert 200 not in cleaned and cleaned[5] == text(5) and cleaned[100] == docs[60][1] and cleaned[300] == docs[-1][1]
 
 
+def test_lines_of_unlike_texts_with_common_words_are_counted(spark):
+    # Skewed words: the most frequent ones are in nearly every text.
+    r = random.Random(7)
+    text = lambda: " ".join(f"w{int(60 * r.random() ** 3)}" for _ in range(60))
+    docs = [(i, "all rights are reserved by us\n" + text(), "a") for i in range(40)] + [(100 + i, text(), "a") for i in range(300)]
+    # Copies do not raise the limit of their host: 30 of 31 contents hold the line.
+    docs += [(1000 + i, "terms of use\n" + text(), "b") for i in range(30)] + [(2000, text(), "b")] * 2000
+    # Near copies count as few: each has one word of its own.
+    base = [f"b{j}" for j in range(1000)]
+    docs += [(5000 + i, "copied line here\n" + " ".join([*base[: 25 * i], f"own{i}", *base[25 * i :]]), "c") for i in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    removed = {row.doc_id: row.removed_words for row in quality.judge(df, min_words=2).collect()}
+    assert all(removed[i] == 6 for i in range(40)) and all(removed[1000 + i] == 3 for i in range(30))
+    assert not any(removed[100 + i] for i in range(300)) and not any(removed[5000 + i] for i in range(30))
+
+
 def test_mixing(mixed, given):
     got = mixing.amounts(mixed).collect()
     assert Counter((r.doc_id, r.size) for r in got) == Counter((d, len(R.words(t))) for d, t, *_ in given)
