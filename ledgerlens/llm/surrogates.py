@@ -11,9 +11,11 @@ a given name of the title's gender.
 Equal entities get equal surrogates in all documents and formats, since the surrogate is made from the
 canonical value (lower case, separators dropped where they carry nothing). Different entities keep different
 surrogates: those that would share one, or would equal a value found in the corpus, are found by grouping and
-given further attempts until none is left. Only these few need a join; all others are computed in place.
+given further attempts until none is left. Attempts beyond ``PLAIN`` make surrogates longer, by one character
+(a name: by a syllable a word) each, so the search ends however many values a type has; only addresses of four
+parts keep their form, with 2^32 surrogates. Only these few need a join; all others are computed in place.
 
-Defined cases: null and empty texts stay as they are; a text without entities is returned unchanged byte for
+Defined cases: a key or secret has a letter or digit, so fields of punctuation alone (``password: ________``) stay; null and empty texts stay as they are; a text without entities is returned unchanged byte for
 byte; repeated rows get equal texts; an empty table gives an empty result; further columns pass through.
 """
 
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import boxed, documents, store, unboxed
 
 KEY = "corpus-surrogates"
+#: Attempts that keep a value's length.
+PLAIN = 3
 #: Titles by gender, given names by gender and script, syllables by script.
 TITLES = {
     "m": ("Mr", "Mister", "Sir", "Herr", "Monsieur", "Señor", "Signor", "Господин", "Κύριος"),
@@ -42,10 +46,11 @@ SYLLABLES = {
     "cyrillic": "ба бе би бо ва ве ви во га ге ги го да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но",
 }
 _TITLE = "|".join(t for g in TITLES.values() for t in g)
+_PREFIX = "(?:AKIA|ASIA|ghp_|gho_|xoxb-|sk_live_|sk-)(?=[_-]*[A-Za-z0-9])"
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
-    "key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA|ghp_|gho_|xoxb-|sk-|sk_live_)[A-Za-z0-9_-]{12,}",
-    "secret": r"(?<=(?:password|passwd|pwd|secret|token|api[_-]key|apikey)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?)[A-Za-z0-9+/_.-]{8,}",
+    "key": rf"(?<![A-Za-z0-9]){_PREFIX}[A-Za-z0-9_-]{{12,}}",
+    "secret": r"(?<=(?:password|passwd|pwd|secret|token|api[_-]key|apikey)[\"']?[ ]{0,3}[=:][ ]{0,3}[\"']?)(?=[+/_.-]*[A-Za-z0-9])[A-Za-z0-9+/_.-]{8,}",
     "hex": r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{32,}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?!\.?[0-9])",
@@ -68,12 +73,13 @@ def pieces(text: Column) -> Column:
 
 def kind(value: Column) -> Column:
     """The type of an entity, from its own form; titles give the gender of a name."""
-    digits = r"^[0-9 -]+$"
-    out = F.when(value.contains("@"), "email").when(value.rlike(r"^(?:AKIA|ASIA|ghp_|gho_|xoxb-|sk-|sk_live_)"), "key")
+    # A secret of few digits among separators is none of the numbers.
+    digits = r"^(?=(?:[ -]*[0-9]){8})[0-9 -]+$"
+    out = F.when(value.contains("@"), "email").when(value.rlike(rf"^{_PREFIX}[A-Za-z0-9_-]+$"), "key")
     for gender, titles in TITLES.items():
         out = out.when(value.rlike(rf"^(?:{'|'.join(titles)})\.? \p{{Lu}}"), f"name_{gender}")
     out = out.when(value.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip").when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-    out = out.when(value.rlike(r"^\+|^\(|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"), "phone").when(value.rlike(digits), "card")
+    out = out.when(value.rlike(r"^\+(?:[ .()-]*[0-9]){6,}$|^\(|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"), "phone").when(value.rlike(digits), "card")
     return out.when(value.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9 ]{12,}$"), "iban").otherwise("secret")
 
 
@@ -98,6 +104,11 @@ def _number(seed: Column, i: Column, low: int, high: int) -> Column:
     return (F.pmod(F.xxhash64(seed, i), F.lit(high - low + 1)) + low).cast("string")
 
 
+def _more(seed: Column, n: Column, options="0123456789") -> Column:
+    """What makes a surrogate longer: ``n`` further elements."""
+    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _pick(seed, i + 1000, options)), "")).otherwise("")
+
+
 def _letters(seed: Column, value: Column, keep: int = 0, hexadecimal: Column | None = None) -> Column:
     """Letters for letters, digits for digits; the first ``keep`` characters and all others stay."""
 
@@ -121,7 +132,7 @@ def _script(word: Column) -> Column:
     return F.when(word.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _name(seed: Column, gender: Column, value: Column) -> Column:
+def _name(seed: Column, gender: Column, value: Column, more: Column) -> Column:
     """A given name for the first of several words, made-up surnames for the rest, in lower case."""
     words = F.split(value, " ")
 
@@ -131,7 +142,7 @@ def _name(seed: Column, gender: Column, value: Column) -> Column:
     def made_word(own, i):
         surname, given = F.lit(None).cast("string"), F.lit(None).cast("string")
         for script in SYLLABLES:
-            made = F.concat(*(_pick(seed, i * 8 + j, SYLLABLES[script].split()) for j in range(4)))
+            made = F.concat(*(_pick(seed, i * 8 + j, SYLLABLES[script].split()) for j in range(4)), _more(seed, more, SYLLABLES[script].split()))
             surname = F.when(own == script, made).otherwise(surname)
             for g, names in GIVEN[script].items():
                 given = F.when((own == script) & (gender == f"name_{g}"), F.lower(_pick(seed, i, names.split()))).otherwise(given)
@@ -143,33 +154,34 @@ def _name(seed: Column, gender: Column, value: Column) -> Column:
 def surrogate(of: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
     """The canonical surrogate of a canonical value."""
     seed = F.xxhash64(F.sha2(F.concat_ws("|", F.lit(key), of, value, attempt.cast("string")), 256))
-    return _let(F.struct(of.alias("of"), value.alias("value"), seed.alias("seed")), lambda x: _surrogate(x["of"], x["value"], x["seed"], key))
+    parts = F.struct(of.alias("of"), value.alias("value"), seed.alias("seed"), F.greatest(attempt - PLAIN, F.lit(0)).alias("more"))
+    return _let(parts, lambda x: _surrogate(x["of"], x["value"], x["seed"], x["more"], key))
 
 
-def _email(value: Column, seed: Column, key: str) -> Column:
+def _email(value: Column, seed: Column, more: Column, key: str) -> Column:
     """All addresses of a domain keep a common domain; the top-level domain stays."""
     domain, user = F.substring_index(value, "@", -1), F.substring_index(value, "@", 1)
     site = F.xxhash64(F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256))
-    parts = F.struct(user.alias("user"), domain.alias("domain"), F.substring_index(domain, ".", -1).alias("tail"), site.alias("site"), seed.alias("seed"))
-    return _let(parts, lambda x: F.concat(_letters(x["seed"], x["user"]), F.lit("@"), _letters(x["site"], F.substring(x["domain"], F.lit(1), F.length(x["domain"]) - F.length(x["tail"]))), x["tail"]))
+    parts = F.struct(user.alias("user"), domain.alias("domain"), F.substring_index(domain, ".", -1).alias("tail"), site.alias("site"), seed.alias("seed"), _more(seed, more).alias("more"))
+    return _let(parts, lambda x: F.concat(_letters(x["seed"], x["user"]), x["more"], F.lit("@"), _letters(x["site"], F.substring(x["domain"], F.lit(1), F.length(x["domain"]) - F.length(x["tail"]))), x["tail"]))
 
 
-def _card(value: Column, seed: Column) -> Column:
-    body = F.concat(F.substring(value, 1, 1), _letters(seed, F.substring(value, F.lit(2), F.length(value) - 2)))
+def _card(value: Column, seed: Column, more: Column) -> Column:
+    body = F.concat(F.substring(value, 1, 1), _letters(seed, F.substring(value, F.lit(2), F.length(value) - 2)), _more(seed, more))
     return _let(body, lambda b: F.concat(b, F.pmod(_luhn(value) - _luhn(F.concat(b, F.lit("0"))) + 20, F.lit(10)).cast("string")))
 
 
-def _surrogate(of: Column, value: Column, seed: Column, key: str) -> Column:
+def _surrogate(of: Column, value: Column, seed: Column, more: Column, key: str) -> Column:
     digits = F.length(value)
-    ip = F.array_join(F.transform(F.split(value, r"\."), lambda p, i: _number(seed, i, 1, 254)), ".")
+    ip = F.array_join(F.transform(F.split(value, r"\."), lambda p, i: F.when(more > 0, _number(seed, i, 0, 255)).otherwise(_number(seed, i, 1, 254))), ".")
     # Leading digits of a number's parts stay away from 0 and 1; the country digit stays.
     phone = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when((i == 0) & (digits > 10), c).when((digits - i == 10) | (digits - i == 7) | (i == 0), _number(seed, i, 2, 9)).otherwise(_number(seed, i, 0, 9))), "")
-    prefix = F.regexp_extract(value, r"^(?:AKIA|ASIA|ghp_|gho_|xoxb-|sk_live_|sk-)", 0)
+    prefix = F.regexp_extract(value, rf"^{_PREFIX}", 0)
     secret = _let(value.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), lambda hexadecimal: _letters(seed, value, hexadecimal=hexadecimal))
-    out = F.when(of == "email", _email(value, seed, key)).when(of == "card", _card(value, seed)).when(of == "ip", ip).when(of == "phone", phone)
-    out = out.when(of == "ssn", _letters(seed, value)).when(of == "iban", _letters(seed, value, 2))
-    out = out.when(of == "key", F.concat(prefix, _letters(seed, F.substring(value, F.length(prefix) + 1, F.length(value)))))
-    return out.when(of.startswith("name"), _name(seed, of, value)).otherwise(secret)
+    out = F.when(of == "email", _email(value, seed, more, key)).when(of == "card", _card(value, seed, more)).when(of == "ip", ip)
+    longer = F.when(of == "phone", phone).when(of == "ssn", _letters(seed, value)).when(of == "iban", _letters(seed, value, 2))
+    longer = longer.when(of == "key", F.concat(prefix, _letters(seed, F.substring(value, F.length(prefix) + 1, F.length(value)))))
+    return out.when(of.startswith("name"), _name(seed, of, value, more)).otherwise(F.concat(longer.otherwise(secret), _more(seed, more)))
 
 
 def formatted(of: Column, original: Column, made: Column) -> Column:
@@ -177,7 +189,7 @@ def formatted(of: Column, original: Column, made: Column) -> Column:
     step = lambda s, c: F.when(
         c.rlike(r"[\p{L}\p{N}]"), F.struct(F.concat(s["out"], F.substring(made, s["k"], F.lit(1))).alias("out"), (s["k"] + 1).alias("k"))
     ).otherwise(F.struct(F.concat(s["out"], c).alias("out"), s["k"].alias("k")))
-    spaced = F.aggregate(F.split(original, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step, lambda s: s["out"])
+    spaced = F.aggregate(F.split(original, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("k")), step, lambda s: F.concat(s["out"], F.substring(made, s["k"], F.length(made))))
     # E-mail addresses are written as the original: case by position where the lengths agree.
     cased = F.array_join(F.transform(F.split(made, ""), lambda c, i: F.when(F.substring(original, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     title = F.regexp_extract(original, rf"^(?:{_TITLE})\.? ", 0)

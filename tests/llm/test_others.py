@@ -168,6 +168,28 @@ def test_surrogates(spark):
     assert other[5] != text[5]
 
 
+def test_fields_without_letters_or_digits_stay(spark):
+    stay = ["password: ________", "token = ........", "password: --------", "sk-____________ and sk------------- here", "secret=+_+_+_+_+_"]
+    go = ["password: 1-------", "password=sk-------a", "pwd: +1------"]
+    df = spark.createDataFrame([(i, f"{t} 1") for i, t in enumerate(stay + go)], "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.replace(df).collect()}
+    assert all(got[i].text == f"{t} 1" and got[i].n_entities == 0 for i, t in enumerate(stay))
+    assert all(got[i].text != f"{t} 1" and got[i].n_entities == 1 for i, t in enumerate(go, len(stay)))
+
+
+def test_more_values_than_surrogates_of_their_length(spark):
+    # Every one-digit secret of this form, and every one-letter user of a domain.
+    values = [f"password: {d}-------" for d in range(10)] + [f"{chr(97 + i)}@{d}.de" for i in range(26) for d in "ab"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string")
+    texts = [r.text for r in surrogates.replace(df).collect()]
+    assert len(set(texts)) == len(values) and not set(texts) & set(values)
+    digits = "4111111111111111"
+    made = spark.range(8).select(surrogates.surrogate(F.lit("card"), F.lit(digits), F.col("id").cast("int")).alias("m")).collect()
+    assert [len(r.m) for r in made] == [16] * 4 + [17, 18, 19, 20]
+    one = lambda s: sum(d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for i, d in enumerate(map(int, s[::-1]))) % 10
+    assert all(one(r.m) == one(digits) and r.m[0] == "4" for r in made)
+
+
 @pytest.mark.parametrize("space", [30, 25])
 def test_surrogates_stay_distinct(spark, space):
     few = lambda of, value, attempt, key: (F.pmod(F.xxhash64(value, attempt), F.lit(space)) + 4000000000000000).cast("string")
