@@ -59,8 +59,8 @@ PATTERNS = {
     "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
     "name": rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
 }
-#: Every pattern needs a digit, an @, a secret's word or a title.
-HINT = rf"[@0-9]|(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']? {{0,3}}[=:]|(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}"
+#: Every pattern needs a digit, an @, a secret's word or a title, but for keys, which may be letters alone.
+HINT = rf"[@0-9]|{PATTERNS['key']}|(?:password|passwd|pwd|secret|token|api[_-]?key)[\"']? {{0,3}}[=:]|(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}"
 _ANY = "|".join(PATTERNS.values())
 #: Marks entities in the text; the first character is escaped where a text has it.
 _ESCAPE, _MARK, _PLAIN = "﷐", "﷐﷑", "﷐﷒"
