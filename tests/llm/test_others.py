@@ -118,6 +118,16 @@ def test_urls(spark):
     assert url_filter.judge(df.limit(0)).count() == 0
 
 
+def test_repeated_urls_count_once(spark):
+    urls = [f"https://w{i}.org/{'good' if i % 2 else 'fine'}/p{i}" for i in range(60)] + [f"https://x{i}.com/de/{'bad' if i % 2 else 'poor'}{i}" for i in range(60)]
+    urls += [f"https://other{i}.net/{w}/p{i}" for i in range(10) for w in ("good", "bad")]
+    once = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    # Every labelled url many times over, more rows than the samples hold.
+    often = once.withColumn("n", F.explode(F.sequence(F.lit(1), F.when(F.col("page_id") < 120, 5 + F.col("page_id") % 50).otherwise(1).cast("int")))).drop("n")
+    figures = [{r.url: (r.score, r.verdict) for r in url_filter.judge(t, train=40).collect()} for t in (once, often)]
+    assert figures[0] == figures[1] and any(v[0] for v in figures[0].values())
+
+
 def test_character_model_is_normalised():
     order = 2
     counts = {}
