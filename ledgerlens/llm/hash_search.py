@@ -15,7 +15,8 @@ smallest ids (as many as can be asked for), so copies cost nothing. Queries meet
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or have another length than
 most, take no part, neither does a null vec_id; fewer candidates than asked for: all; ties go to the smaller
-vec_id; repeated ids are entries of their own, except the query's own id; an empty table gives an empty
+vec_id; rows with equal vec_id and vector are one; other repeated ids are entries of their own, except the
+query's own id; an empty table gives an empty
 result; further columns are ignored.
 """
 
@@ -144,7 +145,7 @@ def search(vectors: DataFrame, is_query, k: int = 20) -> DataFrame:
     vec_id), among all rows but the query's own id."""
     spark = vectors.sparkSession
     ship(spark)
-    rows = store(usable(vectors))
+    rows = store(usable(vectors).distinct())
     coder, radius = fit(rows, k)
     same = Window.partitionBy("v").orderBy("vec_id")
     # Row numbers are limited before the shuffle, so a vector of a third of all rows is a few rows per task.

@@ -62,6 +62,15 @@ MESSAGES = [
 ]
 
 
+def test_repeated_rows_are_one_entry(spark):
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.normal(size=6)]) for i in range(40)]
+    rows += [(100, rows[0][1])] + [rows[0]] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = [x.vec_id for x in hash_search.search(df, F.col("vec_id") == 0, 5).collect()]
+    assert len(got) == len(set(got)) == 5 and 0 not in got and 100 in got
+
+
 def test_quotations(spark):
     df = spark.createDataFrame([(*m, 1) for m in MESSAGES], "conv_id long, turn long, role string, text string, parent int")
     got = {(r.conv_id, r.turn): r for r in quotations.link(df).collect()}
