@@ -59,9 +59,21 @@ class WordTable:
     def clear(self):
         self.keys, self.start, self.length = np.empty(0, K.U), np.empty(0, np.int64), np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
+        self.letters = np.empty(0, np.uint8)
+        self.from_, self.to = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _tokens(self, texts, rows):
+        """Where the ids of some words of the block are, appended to the table, and how many."""
+        data = texts.buffer
+        words = [data[a:b].tobytes().decode() for a, b in zip(texts.starts[rows].tolist(), texts.ends[rows].tolist(), strict=True)]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        length = np.array([len(x) for x in found], np.int64)
+        start = len(self.ids) + np.cumsum(length) - length
+        self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
+        return start, length
 
     def lookup(self, texts):
-        """Ids and their number for every word of a block."""
+        """Ids and their number for every word of a block; a word found by its hash is compared letter by letter."""
         keys, first, inverse = np.unique(texts.word_hashes(), return_index=True, return_inverse=True)
         if len(self.keys) > WORDS:
             self.clear()
@@ -70,27 +82,25 @@ class WordTable:
         inside = at < len(self.keys)
         new[inside] = self.keys[at[inside]] != keys[inside]
         if new.any():
-            data = texts.buffer.tobytes()
-            words = [data[a:b].decode() for a, b in zip(texts.starts[first[new]].tolist(), texts.ends[first[new]].tolist(), strict=True)]
-            found = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            length = np.array([len(x) for x in found], np.int64)
-            start = len(self.ids) + np.cumsum(length) - length
-            self.ids = np.concatenate([self.ids, np.array([i for x in found for i in x], np.uint32)])
-            self.keys, self.start, self.length = (np.insert(old, at[new], add) for old, add in ((self.keys, keys[new]), (self.start, start), (self.length, length)))
+            rows = first[new]
+            start, length = self._tokens(texts, rows)
+            size = texts.ends[rows] - texts.starts[rows]
+            to = len(self.letters) + np.cumsum(size)
+            self.letters = np.concatenate([self.letters, texts.buffer[K.ranges(texts.starts[rows], size)]])
+            added = (keys[new], start, length, to - size, to)
+            self.keys, self.start, self.length, self.from_, self.to = (np.insert(old, at[new], add) for old, add in zip((self.keys, self.start, self.length, self.from_, self.to), added, strict=True))
             at = np.searchsorted(self.keys, keys)
-        return self.start[at][inverse], self.length[at][inverse]
+        of = at[inverse]
+        start, length = self.start[of], self.length[of]
+        other = np.flatnonzero(~K.same_spans(texts.buffer, texts.starts, texts.ends, self.letters, self.from_[of], self.to[of]))
+        if len(other):
+            start[other], length[other] = self._tokens(texts, other)
+        return start, length
 
 
 _TABLES: dict = {}
 
 
-def _ranges(start, length):
-    """start[0], ..., start[0] + length[0] - 1, start[1], ..."""
-    ends = np.cumsum(length)
-    out = np.arange(int(ends[-1]) if len(ends) else 0)
-    return out + np.repeat(start - (ends - length), length)
-
-
 def tokenised(texts, table):
     """Ids, tokens of each text, cut positions and their penalties for a block."""
     start, length = table.lookup(texts)
@@ -104,7 +114,7 @@ def tokenised(texts, table):
     last = np.zeros(len(ids), bool)
     last[ends - 1] = True
     ids[last] = END_ID
-    ids[~last] = table.ids[_ranges(start, length)]
+    ids[~last] = table.ids[K.ranges(start, length)]
     # Sentence ends: a word that ends with a mark, or the last word of a line.
     closing = np.isin(texts.buffer[texts.ends - 1], list(b".!?"))
     breaks = np.flatnonzero(texts.buffer == 10)
@@ -123,7 +133,7 @@ def tokenised(texts, table):
     cuts, free = cuts[keep], free[keep]
     gaps = np.diff(cuts, prepend=0)
     more = np.maximum((gaps - 1) // RUN, 0)
-    inner = _ranges(np.ones(len(gaps), np.int64), more) * RUN + np.repeat(cuts - gaps, more)
+    inner = K.ranges(np.ones(len(gaps), np.int64), more) * RUN + np.repeat(cuts - gaps, more)
     position = np.concatenate([cuts, inner])
     penalty = np.concatenate([np.where(free, 0, SENTENCE), np.full(len(inner), INSIDE)])
     order = np.argsort(position, kind="stable")

@@ -45,6 +45,7 @@ SPAN, ANCHOR, CHUNK_BYTES, BUCKET_BYTES = 50, 20, 5_000_000, 8_000_000
 BLOCK_BYTES = 1_000_000
 REACH = SPAN - ANCHOR
 LAST = np.iinfo(np.int64).max
+_FACTORS = K.constants(ANCHOR // 8 + 1, 51) | K.U(1)
 
 
 def _gram_hash(buffer, size):
@@ -52,11 +53,12 @@ def _gram_hash(buffer, size):
     n = len(buffer) - size + 1
     if n <= 0:
         return np.empty(0, K.U)
-    power, inverse = K._power(len(buffer) + 1)
-    total = np.zeros(len(buffer) + 1, K.U)
-    np.cumsum(K._BYTE[buffer] * power[: len(buffer)], out=total[1:])
-    out = total[size:] - total[:n]
-    out *= inverse[:n]
+    padded = np.concatenate([buffer, np.zeros(8, np.uint8)])
+    words = np.ndarray(len(buffer) + 1, "<u8", padded, strides=(1,))
+    out = np.zeros(n, K.U)
+    # Eight bytes at a time; the last eight end with the string.
+    for at, factor in zip([*range(0, size - 8, 8), size - 8], _FACTORS, strict=False):
+        out += (words[at : at + n] ^ (out >> K.U(29))) * factor
     out ^= out >> K.U(32)
     out *= K.U(0x9E3779B97F4A7C15)
     out ^= out >> K.U(29)

@@ -1,8 +1,9 @@
 """Vectorised work on whole UTF-8 texts inside tasks: word spans, hashes of spans, windows of words.
 
 Everything here takes the Arrow buffers of one batch and works in blocks of a few megabytes, so the memory of
-a task follows the block and its longest text, not the partition. Hashes are 64-bit polynomials over the bytes
-(random odd base, random byte values), mixed at the end; two different spans meet with a chance of about 2^-64.
+a task follows the block and its longest text, not the partition. A hash of a span adds up its eight-byte pieces,
+each scrambled together with its position, so no regular pattern of letters cancels out; two different spans meet
+with a chance of about 2^-64. Where a result must not rest on that, ``same_spans`` compares the bytes.
 """
 
 from __future__ import annotations
@@ -31,62 +32,105 @@ def constants(count, seed):
 #: Words are separated by the space and the characters 9 to 13.
 SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
+#: Terms of search and decontamination consist of letters, digits and all bytes beyond ASCII.
+TERM_SPACE = np.zeros(256, bool)
+TERM_SPACE[[*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = True
 #: A-Z to a-z, all other bytes as they are.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BYTE = constants(256, 11)
-_BASE = constants(1, 12)[0] | U(1)
-_BASE_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
-_powers = np.ones(1, U), np.ones(1, U)
+_places = np.empty(0, U)
 
 
-def _power(n):
-    """Powers of the base and of its inverse, at least ``n`` of each; kept in the worker."""
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        _powers = tuple(np.concatenate([[U(1)], np.multiply.accumulate(np.full(size - 1, b, U))]) for b in (_BASE, _BASE_INVERSE))
-    return _powers
+def _place(n):
+    """A pseudo-random value for each position 0 to n - 1; kept in the worker."""
+    global _places
+    if len(_places) < n:
+        _places = constants(1 << int(n).bit_length(), 12)
+    return _places
+
+
+def ranges(start, length):
+    """start[0], ..., start[0] + length[0] - 1, start[1], ..."""
+    ends = np.cumsum(length)
+    out = np.arange(int(ends[-1]) if len(ends) else 0)
+    return out + np.repeat(start - (ends - length), length)
+
+
+def _summed(values, length):
+    """A hash of each run of ``length`` values: every value is scrambled with its position, then added."""
+    ends = np.cumsum(length)
+    position = ranges(np.zeros(len(length), np.int64), length)
+    total = np.zeros(len(values) + 1, U)
+    np.cumsum(mix(values ^ _place(int(length.max(initial=0)))[position]), out=total[1:])
+    return total[ends] - total[ends - length]
 
 
 def span_hash(values, starts, ends):
-    """A hash of each span ``values[start:end]`` of 64-bit values; spans are in order and do not overlap."""
+    """A hash of each span ``values[start:end]`` of 64-bit values; starts and ends are in order."""
     out = np.empty(len(starts), U)
     at = 0
     while at < len(starts):
-        base = int(starts[at])
-        stop = max(at + 1, int(np.searchsorted(ends, base + BLOCK_BYTES // 2, "right")))
-        s, e = starts[at:stop] - base, ends[at:stop] - base
-        n = int(e[-1]) if len(e) else 0
-        power, inverse = _power(n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum(values[base : base + n] * power[:n], out=total[1:])
-        out[at:stop] = (total[e] - total[s]) * inverse[s]
+        stop = max(at + 1, int(np.searchsorted(ends, int(starts[at]) + BLOCK_BYTES // 8, "right")))
+        length = ends[at:stop] - starts[at:stop]
+        out[at:stop] = _summed(values[ranges(starts[at:stop], length)], length)
         at = stop
     return mix(out ^ (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
 
 
+_TAIL = np.array([~U(0) if k == 0 else U((1 << 8 * k) - 1) for k in range(8)], U)
+
+
+def pieces(buffer, starts, ends):
+    """Each span of bytes as eight-byte values (the last filled with zeros), and their number per span."""
+    length = ends - starts
+    count = -(-length // 8)
+    base = int(starts[0]) if len(starts) else 0
+    top = int(ends.max(initial=base))
+    padded = np.zeros(top - base + 8, np.uint8)
+    padded[: top - base] = buffer[base:top]
+    words = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    position = ranges(np.zeros(len(count), np.int64), count)
+    out = words[np.repeat(starts - base, count) + 8 * position]
+    ending = np.cumsum(count)[count > 0] - 1
+    out[ending] &= _TAIL[(length[count > 0]) % 8]
+    return out, count
+
+
 def byte_hash(buffer, starts, ends):
-    """A hash of each span of bytes, block by block."""
+    """A hash of each span of bytes, block by block; starts and ends are in order."""
     out = np.empty(len(starts), U)
     at = 0
     while at < len(starts):
-        base = int(starts[at])
-        stop = max(at + 1, int(np.searchsorted(ends, base + BLOCK_BYTES // 2, "right")))
-        out[at:stop] = span_hash(_BYTE[buffer[base : int(ends[stop - 1])]], starts[at:stop] - base, ends[at:stop] - base)
+        stop = max(at + 1, int(np.searchsorted(ends, int(starts[at]) + BLOCK_BYTES // 2, "right")))
+        out[at:stop] = _summed(*pieces(buffer, starts[at:stop], ends[at:stop]))
         at = stop
-    return out
+    return mix(out ^ (ends - starts).astype(U) * U(0x9E3779B97F4A7C15))
+
+
+def same_spans(one, starts, ends, other, from_, to):
+    """Whether span i of ``one`` and span i of ``other`` hold the same bytes; spans in any order."""
+    equal = (ends - starts) == (to - from_)
+    some = np.flatnonzero(equal)
+    for at in range(0, len(some), 100_000):
+        rows = some[at : at + 100_000]
+        length = ends[rows] - starts[rows]
+        differ = one[ranges(starts[rows], length)] != other[ranges(from_[rows], length)]
+        total = np.zeros(len(differ) + 1, np.int64)
+        np.cumsum(differ, out=total[1:])
+        last = np.cumsum(length)
+        equal[rows] = total[last] == total[last - length]
+    return equal
 
 
 class Texts:
     """The texts of a block: bytes, where each text begins, its words."""
 
-    def __init__(self, buffer, offsets, lower=False):
+    def __init__(self, buffer, offsets, lower=False, space=SPACE):
         self.buffer = LOWER[buffer] if lower else buffer
         self.offsets = offsets
         n = len(self.buffer)
-        self.space = SPACE[self.buffer]
+        self.space = space[self.buffer]
         edge = np.zeros(n + 1, bool)
         edge[offsets] = True
         before = np.ones(n, bool)

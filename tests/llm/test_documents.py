@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 
 from ledgerlens.llm import katz, mixing, near_dedup, packing, quality, suffix_dedup
+from ledgerlens.llm import textkernel as K
 from tests.llm import reference as R
 
 
@@ -29,6 +30,33 @@ def test_near_duplicates(mixed, given):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").select("doc_id").collect()) == sorted(d for d in ids if label[d] == d)
 
 
+def thue_morse(n):
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+def test_patterned_words_keep_apart(spark):
+    words = [thue_morse(n).translate(t) for n in (256, 512, 1024, 4096) for t in ({}, str.maketrans("ab", "ba"))]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    assert all(r.kept for r in near_dedup.groups(docs).collect())
+    table = packing.WordTable(None)
+    want = [w.ids for w in table.tokenizer.encode_batch(words, add_special_tokens=False)]
+    data = np.frombuffer(" ".join(words).encode(), np.uint8)
+    start, length = table.lookup(K.Texts(data, np.array([0, len(data)])))
+    assert [table.ids[a : a + n].tolist() for a, n in zip(start, length, strict=True)] == want
+
+
+def test_words_of_one_hash_keep_their_ids(monkeypatch):
+    monkeypatch.setattr(K.Texts, "word_hashes", lambda self: np.ones(len(self.starts), K.U))
+    table = packing.WordTable(None)
+    data = np.frombuffer(b"one other one thing", np.uint8)
+    start, length = table.lookup(K.Texts(data, np.array([0, len(data)])))
+    got = [table.ids[a : a + n].tolist() for a, n in zip(start, length, strict=True)]
+    assert got == [w.ids for w in table.tokenizer.encode_batch(["one", "other", "one", "thing"], add_special_tokens=False)]
+
+
 def test_blocks_find_links_that_stars_miss(spark):
     """A chain in which neighbours are similar and ends are not; every pair is compared in small chunks."""
     tokens = [f"t{i}" for i in range(160)]
