@@ -25,3 +25,16 @@ SELECT c.conv_id, c.turn, c.role, row_number() OVER (PARTITION BY c.conv_id ORDE
  CASE WHEN regexp_matches(text, '(?m)^(?:[ \t]*>)+') THEN regexp_replace(array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT regexp_matches(x, '^(?:[ \t]*>)+')), chr(10)), '^\s+|\s+$', '', 'g') ELSE text END AS text
 FROM conversations c JOIN paths p USING (conv_id, turn) LEFT JOIN replies r USING (conv_id, turn)
 """
+
+DECONTAMINATION = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, greatest(len(w) - 9, 1) + 1), lambda i: array_to_string(list_slice(w, i, i + 9), ' '))) AS g FROM b WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (SELECT r, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM d, sizes WHERE len(w) >= n),
+found AS (SELECT p.r, p.i, p.n, x.item_id FROM (SELECT r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') AS g FROM places) p JOIN windows x ON x.n = p.n AND x.g = p.g),
+words AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM found WHERE item_id IS NOT NULL) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN named USING (r)
+"""
