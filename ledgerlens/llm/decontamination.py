@@ -183,7 +183,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, size: int = SIZE, most: int = PA
     kinds = [x.split(" ") for x in _HIT.split(", ")]
     rows = rows.select("_row", "text", *((F.lit(0) if kind == "long" else F.array()).cast(kind).alias(name) for name, kind in kinds))
     for k in range(number):
-        segments = [(r.item_id, r.words) for r in dealt.where(F.col("pass") == k).select("item_id", "words").toLocalIterator()]
+        segments = [(r.item_id, r.words) for r in dealt.where(F.col("pass") == k).select("item_id", "words").collect()]
         table = spark.sparkContext.broadcast(WindowSet(segments, size))
         rows = rows.mapInArrow(partial(_scan, table=table), rows.schema)
         if k % CHAINED == CHAINED - 1 and k < number - 1:
