@@ -6,12 +6,14 @@ made from ``HALF`` minhashes each; table (i, j) is keyed by the pair (A_i, B_j).
 key of A and a key of B: with similarity s this fails with a chance below 2 * (1 - s^HALF)^GROUPS (3e-4 at
 0.75, 2e-5 at 0.8).
 
-Documents with equal sets form one class before anything is paired, so copies cost nothing. In each table a
-pivot is confirmed against the other members (a star, not all pairs); tables whose members then belong to one
-component are closed. Tables left open get a second star from another pivot, and what is still open is
-compared whole: its keys of A are dealt into chunks of ``CHUNK`` classes and every two chunks are compared in
-one task as blocks, which returns only links that join components. Nothing is capped: the blocks handle any
-number of members.
+Documents with equal sets form one class before anything is paired, so copies cost nothing. Each table names a
+pivot among its members, and each class is confirmed against one of them: the pivot it shares most tables with.
+Tables whose members then belong to one component are closed. In each of ``STARS`` further rounds a class of an open
+table is confirmed against one member of the largest component there. So a round has at most one link per class.
+What is still open is compared whole: its keys of A are dealt into chunks of ``CHUNK`` classes and every two chunks
+are compared in one task as blocks, which returns only links that join components. Nothing is capped: the blocks
+handle any number of members (the pairs of chunks grow with the square of the classes that one key has and no round
+could join).
 
 Defined cases: no words or null text: n_shingles 0, linked with nothing; fewer than five words: the whole
 sequence is one shingle; repeated rows share a class; a row without doc_id is a component of its own (null)
@@ -30,7 +32,7 @@ from ledgerlens.llm import textkernel as K
 from ledgerlens.llm.common import documents, ship, store
 from ledgerlens.llm.graph import components
 
-SHINGLE, GROUPS, HALF, CHUNK = 5, 16, 3, 256
+SHINGLE, GROUPS, HALF, CHUNK, STARS, SALTS = 5, 16, 3, 256, 2, 16
 PERCENT = 75
 
 _HASHES = 2 * GROUPS * HALF
@@ -127,12 +129,19 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return labelled.join(several, "t")
 
 
-def _second_star(members: DataFrame) -> DataFrame:
-    """Links from a member of a table's largest component to the members of all others."""
-    groups = members.groupBy("t", "l").agg(F.count("*").alias("n"), F.max("c").alias("pivot"))
-    main = groups.groupBy("t").agg(F.max(F.struct("n", "pivot", "l")).alias("m"))
+def _one_each(choices: DataFrame) -> DataFrame:
+    """Of the possible links (c, pivot), one row per table: for each class that to the pivot it meets most often."""
+    met = choices.groupBy("c", "pivot").agg(F.count("*").alias("n"))
+    chosen = met.groupBy("c").agg(F.max(F.struct("n", "pivot")).alias("m"))
+    return chosen.select(F.least("c", "m.pivot").alias("x"), F.greatest("c", "m.pivot").alias("y")).distinct()
+
+
+def _star(members: DataFrame, turn: int) -> DataFrame:
+    """For each class of an open table a link to a member of the largest component there; which member, changes."""
+    groups = members.groupBy("t", "l").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c")).alias("p"))
+    main = groups.groupBy("t").agg(F.max(F.struct("n", "p", "l")).alias("m"))
     rest = members.join(main, "t").where(F.col("l") != F.col("m.l"))
-    return rest.select(F.least("c", "m.pivot").alias("x"), F.greatest("c", "m.pivot").alias("y")).distinct()
+    return _one_each(rest.select("c", F.col("m.p.c").alias("pivot")))
 
 
 def _compare_blocks(frame):
@@ -172,6 +181,12 @@ def _compare_blocks(frame):
     return pd.DataFrame(out, columns=["x", "y"], dtype="int64")
 
 
+def _salted(many: DataFrame, by: str, one: DataFrame, keys: list[str]) -> DataFrame:
+    """Join rows to the single row of their key; a key with very many rows is spread over ``SALTS`` tasks."""
+    copies = one.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return many.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS))).join(copies, [*keys, "salt"]).drop("salt")
+
+
 def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between the components of open tables, from comparing chunks of their classes.
 
@@ -181,10 +196,10 @@ def _blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
     rows = members.select("a", "c", "l").distinct()
     alike = rows.groupBy("a").agg(F.count("*").alias("n"), F.sum(F.xxhash64("c").cast("decimal(38,0)")).alias("h"), F.sum((F.xxhash64("c") % 1000003)).alias("g"))
     once = alike.groupBy("n", "h", "g").agg(F.min("a").alias("a")).select("a")
-    rows = rows.join(once, "a")
+    rows = _salted(rows, "c", once, ["a"])
     sizes = rows.groupBy("a", "l").agg(F.count("*").alias("own"))
     pooled = sizes.groupBy("a").agg(F.sum(F.when(F.col("own") <= CHUNK, F.col("own")).otherwise(0)).alias("pool"))
-    rows = rows.join(sizes, ["a", "l"]).join(pooled, "a")
+    rows = _salted(rows, "c", _salted(sizes, "l", pooled, ["a"]), ["a", "l"])
     alone = F.col("own") > CHUNK
     parts = F.ceil(F.when(alone, F.col("own")).otherwise(F.col("pool")) / CHUNK)
     rows = rows.withColumn("k", F.xxhash64(F.when(alone, F.col("l")).otherwise(F.lit(0)), F.pmod(F.xxhash64("c"), parts)))
@@ -210,13 +225,13 @@ def groups(docs: DataFrame) -> DataFrame:
     sets = texts.mapInArrow(_full_sets, "n_shingles long, d1 long, d2 long, shingles array<long>").select(_class(), "shingles")
     sets = store(sets.join(candidates.select("c"), "c", "left_semi").groupBy("c").agg(F.first("shingles").alias("shingles")))
 
-    links = store(_verified(members.where("c <> pivot").select(F.col("pivot").alias("x"), F.col("c").alias("y")).distinct(), sets))
+    links = store(_verified(_one_each(members.where("c <> pivot").select("c", "pivot")), sets))
     labels = components(links)
-    for compare in (lambda m: _verified(_second_star(m), sets), lambda m: _blocks(m, sets)):
+    for turn in range(STARS + 1):
         unsettled = store(_open(members, labels).select("t", "a", "c", "l"))
         if unsettled.isEmpty():
             break
-        links = links.union(store(compare(unsettled)))
+        links = links.union(store(_verified(_star(unsettled, turn), sets) if turn < STARS else _blocks(unsettled, sets)))
         labels = components(links)
 
     named = classes.select("c", "rep").join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))

@@ -30,6 +30,17 @@ def test_near_duplicates(mixed, given):
     assert sorted(r.doc_id for r in kept.where("doc_id is not null").select("doc_id").collect()) == sorted(d for d in ids if label[d] == d)
 
 
+def test_links_stay_within_classes_and_rounds(spark, monkeypatch):
+    """800 near copies: every round confirms at most one link per class, and all of them are found."""
+    base = [f"b{i}" for i in range(150)]
+    texts = [" ".join(base[: i % 140] + [f"own{i}"] + base[i % 140 + 1 :]) for i in range(800)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked, confirm = [], near_dedup._verified
+    monkeypatch.setattr(near_dedup, "_verified", lambda links, sets: asked.append(links.count()) or confirm(links, sets))
+    assert {r.component_id for r in near_dedup.groups(docs).collect()} == {0}
+    assert asked and all(n <= 800 for n in asked) and len(asked) <= 1 + near_dedup.STARS
+
+
 def thue_morse(n):
     word = "a"
     while len(word) < n:
