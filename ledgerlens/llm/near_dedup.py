@@ -32,7 +32,7 @@ from ledgerlens.llm import textkernel as K
 from ledgerlens.llm.common import documents, ship, store
 from ledgerlens.llm.graph import components
 
-SHINGLE, GROUPS, HALF, CHUNK, STARS, SALTS = 5, 16, 3, 256, 2, 16
+SHINGLE, GROUPS, HALF, CHUNK, STARS, SALTS = 5, 16, 3, 256, 1, 16
 PERCENT = 75
 
 _HASHES = 2 * GROUPS * HALF
