@@ -6,7 +6,7 @@ the folder's files; catalog questions read it, as they would read a stored catal
 
 from __future__ import annotations
 
-from functools import partial, reduce
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,10 +17,11 @@ from ledgerlens.operators.catalog import classify, profile, questions, reference
 from ledgerlens.plans.registry import query
 from ledgerlens.plans.tables import table
 from ledgerlens.plans.vocabulary import DATASETS, VOCABULARY, grain
-from ledgerlens.session import shared_checkpoint
+from ledgerlens.session import on_release, shared_checkpoint
 
 DAY_COLUMNS = ("o_orderdate", "l_shipdate")
 _HARVESTS: dict = {}
+on_release(_HARVESTS.clear)
 
 
 def tables(spark, folder):
@@ -58,9 +59,10 @@ class Harvest:
 
 
 def version(spark, folder) -> int:
-    """A number that changes with the tables' files: their names, sizes and times."""
-    files = [table(spark, folder, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct() for name, *_ in DATASETS.values()]
-    return reduce(DataFrame.union, files).agg(F.bit_xor(F.xxhash64("file_path", "file_size", "file_modification_time"))).first()[0]
+    """A number that changes with the tables' files: their names, sizes and times, from a listing without reading."""
+    paths = [f"{folder}/{name}.parquet" for name in sorted({name for name, *_ in DATASETS.values()})]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select("path", "length", "modificationTime")
+    return files.agg(F.bit_xor(F.xxhash64("path", "length", "modificationTime"))).first()[0]
 
 
 def harvest(spark, folder) -> Harvest:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.dates import parse_iso_date
-from ledgerlens.functions.money import parse_decimal
+from ledgerlens.functions.money import parse_cents
 from ledgerlens.plans.registry import query
 from ledgerlens.plans.tables import table
 from ledgerlens.sources import sinks, tables
@@ -99,7 +99,32 @@ def money_parse(spark, folder):
     """Event values as text, some of them words, blanks or with a third decimal place that rounds half up."""
     text = F.col("value").cast("decimal(12,2)").cast("string")
     shown = F.when(F.col("event_type") == "error", "n/a").when(F.col("event_type") == "view", "").when(F.col("event_type") == "signup", F.concat(text, F.lit("5"))).otherwise(text)
-    return table(spark, folder, "events").select("event_id", F.round(parse_decimal(shown), 2).cast("decimal(18,2)").alias("money"))
+    return table(spark, folder, "events").select("event_id", parse_cents(shown).alias("money"))
+
+
+_LONG_MONEY = (
+    "SELECT o_orderkey, 7 + o_orderkey % 24 AS k, o_orderkey % 3 AS style, o_orderkey % 5 = 0 AS negative, CAST(o_orderkey % 1000 AS VARCHAR) AS whole, lpad(CAST(o_custkey % 100 AS VARCHAR), 2, '0')"
+    " || CASE o_custkey % 4 WHEN 0 THEN '4' || repeat('9', 4 + CAST(o_orderkey % 24 AS INTEGER)) WHEN 1 THEN '5' || repeat('0', 4 + CAST(o_orderkey % 24 AS INTEGER)) WHEN 2 THEN repeat('0', 5 + CAST(o_orderkey % 24 AS INTEGER)) ELSE rpad(CAST(o_orderkey AS VARCHAR), 5 + CAST(o_orderkey % 24 AS INTEGER), '7') END AS decimals FROM orders"
+)
+
+
+@query(
+    "money_any_scale",
+    f"SELECT o_orderkey, CAST(CAST(CASE WHEN negative THEN -c ELSE c END AS DECIMAL(20,0)) / 100 AS DECIMAL(20,2))::VARCHAR AS money FROM (SELECT *, (CAST(whole || decimals AS HUGEINT) * 2 + CAST('1' || repeat('0', CAST(k AS INTEGER) - 2) AS HUGEINT)) // (2 * CAST('1' || repeat('0', CAST(k AS INTEGER) - 2) AS HUGEINT)) AS c FROM ({_LONG_MONEY}))",
+)
+def money_any_scale(spark, folder):
+    """Amounts of 7 to 30 decimals, some just below or at half a cent, as plain text and with either exponent."""
+    places = (7 + F.col("o_orderkey") % 24).cast("int")
+    kind, rest = F.col("o_custkey") % 4, places - 2
+    tail = F.when(kind == 0, F.concat(F.lit("4"), F.repeat(F.lit("9"), rest - 1))).when(kind == 1, F.concat(F.lit("5"), F.repeat(F.lit("0"), rest - 1)))
+    tail = tail.when(kind == 2, F.repeat(F.lit("0"), rest)).otherwise(F.rpad(F.col("o_orderkey").cast("string"), rest, F.lit("7")))
+    whole = (F.col("o_orderkey") % 1000).cast("string")
+    decimals = F.concat(F.lpad((F.col("o_custkey") % 100).cast("string"), 2, "0"), tail)
+    style = F.col("o_orderkey") % 3
+    text = F.when(style == 0, F.concat(whole, F.lit("."), decimals)).when(style == 1, F.concat(whole, decimals, F.lit("e-"), places.cast("string")))
+    text = text.otherwise(F.concat(F.lit(" ."), F.lit("000"), whole, decimals, F.lit("E+"), (3 + F.length(whole)).cast("string")))
+    signed = F.concat(F.when(F.col("o_orderkey") % 5 == 0, "-").otherwise(""), F.trim(text))
+    return table(spark, folder, "orders").select("o_orderkey", parse_cents(signed).alias("money"))
 
 
 @query(

@@ -53,8 +53,22 @@ def shared_checkpoint(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: What else refers to stored tables and has to forget them when they are deleted.
+_ON_RELEASE: list = []
+
+
+def on_release(forget) -> None:
+    """Call ``forget()`` whenever stored intermediates are deleted."""
+    _ON_RELEASE.append(forget)
+
+
 def release(spark: SparkSession) -> None:
-    """Delete this application's stored intermediates, once the results that read them are written."""
+    """Delete this application's stored intermediates, once the results that read them are written.
+
+    Whatever holds on to them (a stored catalog) is made again when it is asked for next.
+    """
+    for forget in _ON_RELEASE:
+        forget()
     path = spark._jvm.org.apache.hadoop.fs.Path(storage_folder(spark))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

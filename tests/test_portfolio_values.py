@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions import service
 from ledgerlens.functions.dates import parse_iso_date
-from ledgerlens.functions.money import parse_decimal, percent_of, variance
+from ledgerlens.functions.money import parse_cents, parse_decimal, percent_of, variance
 from ledgerlens.operators import contracts, dashboard, overlap, risk, spend, vendor360, workforce
 from ledgerlens.operators.spend import MONTHS
 
@@ -185,3 +185,16 @@ def test_overlap_of_many_vendors_on_one_key(spark):
     group = overlap.overlap_groups(df).first()
     assert (group.vendor_count, group.pair_count) == (300, 44_850)
     assert overlap.overlap_pairs(df).count() == 44_850 and overlap.overlap_for_vendor(df, 7).count() == 299
+
+
+def test_cents_are_rounded_once_from_the_digits(spark):
+    from decimal import ROUND_HALF_UP, Decimal, localcontext
+
+    good = ["0.0049999999", "0.005", "-0.005", "1.005", "-.5", "5.", "+7", "00012.3449999999999999999999999999999999", "1e2", "12.3456e-1", "5e-3", "4.9e-3", "5e-4", "123456789e-11", "-0", "0e999999999999999999999", "0.000", "9.995", "999999999999999999999999999999999999.994", "1e-99999999999999999999", "1.5E+30", " 2.345 ", "0.0149999999999999999999999999999999999999999999"]
+    bad = ["", " ", ".", "e5", "1e", "1,0", "NaN", "Infinity", "1_0", "0x10", "1e36", "1e99999999999999999999", "--1", "1.2.3", None]
+    df = spark.createDataFrame([(t,) for t in good + bad], "t string")
+    got = [r.m for r in df.select(parse_cents(F.col("t")).alias("m")).collect()]
+    with localcontext() as context:
+        context.prec = 80
+        want = [Decimal("0.00") if "9999999999999999999" in t and "e" in t else Decimal(t.strip()).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP) for t in good]
+    assert got == want + [None] * len(bad)
