@@ -9,7 +9,8 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import NAME_PART
 
@@ -51,6 +52,20 @@ class Relation:
     disjoint_with: tuple[str, ...] = ()
 
 
+#: How a property is called, by (is it the class's key, does it add words to the class's names): which words, in order.
+#: An end date of a contract is a "Contract end date", the key of a contract a "Contract ID", a serial number itself.
+PHRASES = {(True, True): ("words",), (True, False): ("subject", "id"), (False, True): ("subject", "rest"), (False, False): ("subject", "rest")}
+
+
+def phrase() -> Column:
+    """The business name of a row of subject, labels (words of all names of the class), words (of the property), is_key."""
+    given = {"subject": F.col("subject"), "words": F.col("words"), "id": F.array(F.lit("id")), "rest": F.filter("words", lambda w: ~F.array_contains("subject", w))}
+    adds = F.exists("words", lambda w: (w != "id") & ~F.array_contains("labels", w))
+    spoken = F.coalesce(*[F.when((F.col("is_key") == key) & (adds == more), F.concat(*[given[part] for part in parts])) for (key, more), parts in PHRASES.items()])
+    text = F.array_join(F.transform(spoken, lambda w: F.when(w == "id", "ID").otherwise(w)), " ")
+    return F.concat(F.upper(F.substr(text, F.lit(1), F.lit(1))), F.substr(text, F.lit(2)))
+
+
 @dataclass
 class Ontology:
     classes: tuple[BusinessClass, ...]
@@ -72,23 +87,6 @@ class Ontology:
     def properties_of(self, class_id: str) -> list[Property]:
         return [p for c in self.ancestors(class_id) for p in self.by_id[c].properties]
 
-    def concept_name(self, class_id: str, property_id: str) -> str:
-        """Business name of a property: the subject, then what the property adds to it.
-
-        ("Contract", "end_date") reads "Contract end date". A key reads subject and "ID" if it says nothing
-        that the class's own names do not say, else its own words alone.
-        """
-        owner = self.by_id[class_id]
-        subject, said = tokens(class_id), tokens(property_id)
-        names = {part for label in (class_id, *owner.synonyms) for part in tokens(label)}
-        news = [part for part in said if part not in names and part != "id"]
-        if property_id == owner.key:
-            phrase = said if news else [*subject, "id"]
-        else:
-            phrase = [*subject, *(part for part in said if part not in subject)]
-        sentence = " ".join({"id": "ID"}.get(part, part) for part in phrase)
-        return sentence[:1].upper() + sentence[1:]
-
     # -- configuration as local relations
     def class_labels(self, spark: SparkSession) -> DataFrame:
         rows = {("_".join(tokens(label)), c.id, c.key) for c in self.classes for label in (c.id, *c.synonyms)}
@@ -107,9 +105,10 @@ class Ontology:
         for c in self.classes:
             for p in self.properties_of(c.id):
                 key_pattern = c.id_pattern if p.id == c.key else None
-                rows.append((c.id, p.id, p.datatype, p.pattern, key_pattern, list(p.enum) if p.enum is not None else None, p.pii, p.id == c.key, c.domain, self.concept_name(c.id, p.id)))
-        schema = "class_id string, property_id string, datatype string, pattern string, key_pattern string, enum_values array<string>, pii boolean, is_key boolean, domain string, business_name string"
-        return spark.createDataFrame(rows, schema)
+                labels = sorted({word for label in (c.id, *c.synonyms) for word in tokens(label)})
+                rows.append((c.id, p.id, p.datatype, p.pattern, key_pattern, list(p.enum) if p.enum is not None else None, p.pii, p.id == c.key, c.domain, tokens(c.id), labels, tokens(p.id)))
+        schema = "class_id string, property_id string, datatype string, pattern string, key_pattern string, enum_values array<string>, pii boolean, is_key boolean, domain string, subject array<string>, labels array<string>, words array<string>"
+        return spark.createDataFrame(rows, schema).withColumn("business_name", phrase()).drop("subject", "labels", "words")
 
     def relation_rules(self, spark: SparkSession) -> DataFrame:
         """Allowed (type, source class, target class) with subclasses expanded, and cardinality limits."""

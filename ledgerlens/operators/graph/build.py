@@ -150,7 +150,10 @@ def evidence(subjects: DataFrame, citations: DataFrame, documents: DataFrame) ->
 
 
 def evidence_quality(cited: DataFrame) -> DataFrame:
-    """Notes per subject about its citations; the codes are a fixed list, so each is one boolean aggregate."""
+    """Notes per subject about its citations; the codes are a fixed list, so each is one boolean aggregate.
+
+    Citations that were cut to a limit carry ``truncated``; the notes then cover only a part, and say so.
+    """
     has = F.col("document_key").isNotNull() | F.col("source_ref").isNotNull()
     notes = {
         "missing_provenance": ~F.bool_or(has),
@@ -158,5 +161,7 @@ def evidence_quality(cited: DataFrame) -> DataFrame:
         "unverified_provenance": F.bool_or(has & ((F.coalesce("review_state", F.lit("")) != "approved") | (F.coalesce("verification_state", F.lit("")) != "verified"))),
         "synthetic_provenance": F.bool_or(has & F.contains(F.lower(F.coalesce("source_ref", F.lit(""))), F.lit("synthetic"))),
     }
+    if "truncated" in cited.columns:
+        notes["truncated"] = F.bool_or("truncated")
     flagged = cited.groupBy("subject_key").agg(*[value.alias(name) for name, value in notes.items()])
     return flagged.select("subject_key", F.array_compact(F.array(*[F.when(F.col(n), F.lit(n)) for n in notes])).alias("notes"))

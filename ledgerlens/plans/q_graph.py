@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.identity import clause_key, entity_key
 from ledgerlens.operators import ranking
-from ledgerlens.operators.graph import build, traverse
+from ledgerlens.operators.graph import build, evidence, traverse
 from ledgerlens.plans import q_risk
 from ledgerlens.plans.registry import query
 from ledgerlens.plans.tables import AS_OF, CONTRACTS, MEASUREMENTS, assessments, contracts, table, with_sql
@@ -284,6 +284,67 @@ def path_focus(spark, folder):
     return traverse.focus(paths, ends, "measurements", "PerformanceMeasurement", F.col("breach")).select("root", "end")
 
 
+def contract_risk_graph(spark, folder):
+    """Contracts with vendors, funded services and applications, and what assesses, raises, affects and measures them.
+
+    Parts are services and brands applications; documents assess the vendor and the service of their number, and labels
+    are issues raised in the assessment of their document, affecting vendor, service and its application.
+    """
+    t = lambda name: table(spark, folder, name)
+    metrics = q_risk.measured(spark, folder).select(F.concat_ws("-", F.lit("MET"), F.col("vendor_id").cast("string"), "period").alias("metric"), F.col("vendor_id").alias("sla"))
+    lines, docs, affected = t("lineitem"), t("documents"), t("labels").join(t("part"), F.col("doc_id") == F.col("p_partkey"))
+    specs = [
+        ("PARTY_TO", "Supplier", "Order", lines, "l_suppkey", "l_orderkey"), ("FUNDS", "Order", "Part", lines, "l_orderkey", "l_partkey"), ("SUPPORTS", "Part", "Brand", t("part"), "p_partkey", "p_brand"),
+        ("HAS_SLA", "Part", "ServiceLevelAgreement", t("part").withColumn("sla", F.col("p_partkey")), "p_partkey", "sla"), ("MEASURED_AGAINST", "PerformanceMeasurement", "ServiceLevelAgreement", metrics, "metric", "sla"),
+        ("ASSESSES", "RiskAssessment", "Supplier", docs.withColumn("vendor", F.col("doc_id")), "doc_id", "vendor"), ("ASSESSES", "RiskAssessment", "Part", docs.withColumn("service", F.col("doc_id")), "doc_id", "service"),
+        ("RAISED_IN", "RiskIssue", "RiskAssessment", t("labels").withColumn("issue", F.col("doc_id")), "issue", "doc_id"), ("AFFECTS", "RiskIssue", "Supplier", t("labels").withColumn("vendor", F.col("doc_id")), "doc_id", "vendor"),
+        ("AFFECTS", "RiskIssue", "Part", t("labels").withColumn("service", F.col("doc_id")), "doc_id", "service"), ("AFFECTS", "RiskIssue", "Brand", affected, "doc_id", "p_brand"),
+    ]
+    return union([build.map_edges(frame, r, a, b, s, d, NS) for r, a, b, frame, s, d in specs])
+
+
+RISK_LIMIT = 3
+_VENDOR, _SERVICE = [("PARTY_TO", IN)], [("FUNDS", OUT)]
+_APPLICATION = [*_SERVICE, (("SUPPORTS", "USES_PORTAL"), OUT)]
+CONTRACT_RISK = {
+    "slas": [*_SERVICE, ("HAS_SLA", OUT)], "measurements": [*_SERVICE, ("HAS_SLA", OUT), ("MEASURED_AGAINST", IN)],
+    "vendor_assessments": [*_VENDOR, ("ASSESSES", IN)], "vendor_assessment_issues": [*_VENDOR, ("ASSESSES", IN), ("RAISED_IN", IN)],
+    "service_assessments": [*_SERVICE, ("ASSESSES", IN)], "service_assessment_issues": [*_SERVICE, ("ASSESSES", IN), ("RAISED_IN", IN)],
+    "vendor_affected_issues": [*_VENDOR, ("AFFECTS", IN)], "service_affected_issues": [*_SERVICE, ("AFFECTS", IN)], "application_affected_issues": [*_APPLICATION, ("AFFECTS", IN)],
+}
+
+
+def _risk_steps_sql() -> str:
+    k = lambda c, column: f"{ek(c, column)}"
+    hops = {
+        "party": f"SELECT DISTINCT {k('Order', 'l_orderkey')} AS a, {k('Supplier', 'l_suppkey')} AS b FROM lineitem", "funds": f"SELECT DISTINCT {k('Order', 'l_orderkey')} AS a, {k('Part', 'l_partkey')} AS b FROM lineitem",
+        "runs": f"SELECT {k('Part', 'p_partkey')} AS a, {k('Brand', 'p_brand')} AS b FROM part", "sla": f"SELECT {k('Part', 'p_partkey')} AS a, {k('ServiceLevelAgreement', 'p_partkey')} AS b FROM part",
+        "metric": f"SELECT {k('ServiceLevelAgreement', 'vendor_id')} AS a, {k('PerformanceMeasurement', chr(39) + 'MET-' + chr(39) + ' || vendor_id || ' + chr(39) + '-' + chr(39) + ' || period')} AS b FROM measured",
+        "assessed": " UNION ALL ".join(f"SELECT DISTINCT {k(c, 'doc_id')} AS a, {k('RiskAssessment', 'doc_id')} AS b FROM documents" for c in ("Supplier", "Part")), "raised": f"SELECT DISTINCT {k('RiskAssessment', 'doc_id')} AS a, {k('RiskIssue', 'doc_id')} AS b FROM labels",
+        "affected": " UNION ALL ".join(f"SELECT DISTINCT {k(c, 'doc_id')} AS a, {k('RiskIssue', 'doc_id')} AS b FROM labels" for c in ("Supplier", "Part")) + f" UNION ALL SELECT DISTINCT {k('Brand', 'p_brand')}, {k('RiskIssue', 'doc_id')} FROM labels JOIN part ON doc_id = p_partkey",
+    }
+    patterns = {
+        "slas": "funds sla", "measurements": "funds sla metric", "vendor_assessments": "party assessed", "vendor_assessment_issues": "party assessed raised", "service_assessments": "funds assessed",
+        "service_assessment_issues": "funds assessed raised", "vendor_affected_issues": "party affected", "service_affected_issues": "funds affected", "application_affected_issues": "funds runs affected",
+    }
+    parts = []
+    for name, pattern in patterns.items():
+        steps = pattern.split()
+        joins = " ".join(f"JOIN {s} AS h{i} ON h{i - 1}.b = h{i}.a" for i, s in enumerate(steps) if i)
+        trail = ", ".join(f"h{i}.b" for i in range(len(steps)))
+        parts.append(f"SELECT '{name}' AS collection, h0.a AS root, h{len(steps) - 1}.b AS e, [h0.a, {trail}] AS nodes FROM {steps[0]} AS h0 {joins}")
+    ctes = ", ".join(f"{name} AS ({sql})" for name, sql in hops.items())
+    return with_sql(MEASUREMENTS, q_risk.MEASURED) + "SELECT * FROM (WITH " + ctes + " SELECT collection, root, e AS \"end\", sha256(array_to_string(nodes, '>')) AS path, n > 3 AS truncated FROM (SELECT *, row_number() OVER w AS r, count(*) OVER (PARTITION BY collection, root) AS n FROM (" + " UNION ALL ".join(parts) + ") WINDOW w AS (PARTITION BY collection, root ORDER BY nodes)) WHERE r <= 3)"
+
+
+@query("graph_path_risk_bounded", _risk_steps_sql())
+def graph_path_risk_bounded(spark, folder):
+    """All nine collections around each contract, each with a limit and a flag of its own."""
+    start = node_parts(spark, folder)["Order"].select("key")
+    paths = traverse.bounded_collections(start, contract_risk_graph(spark, folder), CONTRACT_RISK, RISK_LIMIT)
+    return paths.select("collection", "root", "end", F.sha2(F.array_join("path_nodes", ">"), 256).alias("path"), "truncated")
+
+
 @query(
     "graph_frontier",
     f"SELECT {ek('Region', 'n_regionkey')} AS root, {ek('Order', 'o_orderkey')} AS node FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey",
@@ -376,6 +437,110 @@ def evidence_quality(spark, folder):
     return build.evidence_quality(cited(spark, folder)).withColumn("notes", F.array_join("notes", ","))
 
 
+def cited_orders(spark, folder):
+    """Orders with the citations of their lines as nested values: repeated, unsorted, and some of them invalid."""
+    line = table(spark, folder, "lineitem")
+    second, quantity = F.col("l_linenumber") % 2 == 0, F.col("l_quantity").cast("int")
+    text, none = F.lit(None).cast("string"), F.lit(None)
+    fields = {
+        "document_class": F.when(second, F.when(quantity == 50, "Part").otherwise("Document")), "document_id": F.when(second, F.col("l_suppkey").cast("string")),
+        "page": F.when(second | (quantity == 49), F.col("l_linenumber") - F.when(quantity == 48, F.col("l_linenumber")).otherwise(0)).cast("bigint"), "section": F.when(second & (quantity == 47), " 4.1").otherwise(text), "chunk_id": text,
+        "source_ref": F.when(quantity == 46, text).when(F.col("l_returnflag") == "A", "synthetic:lines").otherwise("lines"), "evidence_ref": text, "property_id": F.when(quantity == 45, "colour").when(quantity > 30, "total").otherwise(text),
+        "review_state": F.when(quantity == 44, "seen").when(F.col("l_returnflag") == "N", "approved").otherwise("proposed"), "verification_state": F.lit("verified"), "extraction_run": text,
+        "confidence": F.when(quantity == 43, F.lit(1.5)).when(quantity > 20, F.col("l_discount")).otherwise(none.cast("double")),
+    }
+    citation = F.struct(*[v.alias(k) for k, v in fields.items()])
+    grouped = line.groupBy("l_orderkey").agg(F.collect_list(citation).alias("once"))
+    return grouped.select(entity("Order", "l_orderkey").alias("subject_key"), F.concat("once", F.reverse("once")).alias("citations"))
+
+
+def checked_orders(spark, folder):
+    properties = [p.id for p in VOCABULARY.properties_of("Order")]
+    return evidence.checked(cited_orders(spark, folder), properties, ["Document"])
+
+
+_CITATION_SQL = (
+    "raw AS (SELECT l_orderkey, l_linenumber, l_linenumber % 2 = 0 AS second, CAST(l_quantity AS INTEGER) AS q, l_suppkey, l_returnflag, l_discount FROM lineitem)",
+    f"made AS (SELECT {ek('Order', 'l_orderkey')} AS subject_key, CASE WHEN second THEN CASE WHEN q = 50 THEN 'Part' ELSE 'Document' END END AS document_class, CASE WHEN second THEN CAST(l_suppkey AS VARCHAR) END AS document_id,"
+    " CASE WHEN second OR q = 49 THEN CAST(l_linenumber - CASE WHEN q = 48 THEN l_linenumber ELSE 0 END AS BIGINT) END AS page, CASE WHEN second AND q = 47 THEN ' 4.1' END AS section,"
+    " CASE WHEN q = 46 THEN NULL WHEN l_returnflag = 'A' THEN 'synthetic:lines' ELSE 'lines' END AS source_ref, CASE WHEN q = 45 THEN 'colour' WHEN q > 30 THEN 'total' END AS property_id,"
+    " CASE WHEN q = 44 THEN 'seen' WHEN l_returnflag = 'N' THEN 'approved' ELSE 'proposed' END AS review_state, CASE WHEN q = 43 THEN 1.5 WHEN q > 20 THEN l_discount END AS confidence FROM raw)",
+    "faults AS (SELECT subject_key, unnest(list_filter([CASE WHEN review_state = 'seen' THEN 'review_state' END, CASE WHEN property_id = 'colour' THEN 'property' END, CASE WHEN section LIKE ' %' THEN 'text' END, CASE WHEN page < 1 THEN 'page' END, CASE WHEN confidence > 1 THEN 'confidence' END,"
+    " CASE WHEN document_class = 'Part' THEN 'document_class' END, CASE WHEN document_id IS NULL AND page IS NOT NULL THEN 'location_without_document' END, CASE WHEN document_id IS NULL AND source_ref IS NULL THEN 'nothing_cited' END], lambda x: x IS NOT NULL)) AS code FROM made)",
+    "stored AS (SELECT *, row_number() OVER (PARTITION BY subject_key ORDER BY document_class NULLS FIRST, document_id NULLS FIRST, page NULLS FIRST, section NULLS FIRST, source_ref NULLS FIRST, property_id NULLS FIRST, review_state, confidence NULLS FIRST) AS position,"
+    f" CASE WHEN document_id IS NOT NULL THEN {ek('Document', 'document_id')} END AS document_key FROM (SELECT DISTINCT * FROM made) WHERE subject_key NOT IN (SELECT subject_key FROM faults))",
+)
+
+
+@query("citation_violations", with_sql(*_CITATION_SQL) + "SELECT subject_key, code, 2 * count(*) AS citations FROM faults GROUP BY ALL")
+def citation_violations(spark, folder):
+    """How often each rule is broken by the citations of a record, as they came (every one twice)."""
+    rows = checked_orders(spark, folder).select("subject_key", F.explode("violations").alias("v"))
+    return rows.groupBy("subject_key", F.col("v.code").alias("code")).agg(F.count("*").alias("citations"))
+
+
+@query("citation_canonical", with_sql(*_CITATION_SQL) + "SELECT subject_key, CAST(position AS INTEGER) AS position, document_key, page, source_ref, property_id, review_state, confidence FROM stored")
+def citation_canonical(spark, folder):
+    rows = evidence.listed(checked_orders(spark, folder), NS)
+    return rows.select("subject_key", "position", "document_key", "page", "source_ref", "property_id", "review_state", "confidence")
+
+
+EVIDENCE_LIMIT = 2
+
+
+def evidence_parts(spark, folder):
+    """Orders and deliveries with their citations, documents and EVIDENCED_BY edges; customers are asked for in vain."""
+    known, delivered = node_parts(spark, folder)["Order"], edges(spark, folder, {"DELIVERS"})
+    cited = evidence.listed(checked_orders(spark, folder), NS)
+    lines = table(spark, folder, "lineitem")
+    delivery = F.sha2(F.to_json(F.array(F.lit("relationship"), F.lit(NS), F.lit("DELIVERS"), entity("Supplier", "l_suppkey"), entity("Order", "l_orderkey"))), 256)
+    of_edges = lines.select(delivery.alias("subject_key"), (F.col("l_partkey") * 8 + F.col("l_linenumber")).alias("position"), entity("Document", "l_partkey").alias("document_key")).distinct()
+    documents = table(spark, folder, "documents").select(entity("Document", "doc_id").alias("key"))
+    proven = build.map_edges(lines, "EVIDENCED_BY", "Order", "Document", "l_orderkey", "l_partkey", NS)
+    asked = union([known.select(F.lit("node").alias("kind"), "key"), delivered.select(F.lit("edge").alias("kind"), "key"), table(spark, folder, "customer").select(F.lit("node").alias("kind"), entity("Customer", "c_custkey").alias("key"))])
+    citations = cited.select("subject_key", F.col("position").cast("bigint").alias("position"), "document_key").unionByName(of_edges)
+    return asked, known, delivered, citations, documents, proven
+
+
+_EVIDENCE_SQL = (
+    *_CITATION_SQL,
+    f"deliveries AS (SELECT {rk('DELIVERS', 'src', 'dst')} AS key, l_partkey, l_linenumber FROM (SELECT *, {ek('Supplier', 'l_suppkey')} AS src, {ek('Order', 'l_orderkey')} AS dst FROM lineitem))",
+    f"known AS (SELECT 'node' AS kind, {ek('Order', 'o_orderkey')} AS key FROM orders UNION ALL SELECT DISTINCT 'edge', key FROM deliveries)",
+    f"cites AS (SELECT 'node' AS kind, subject_key, position, document_key FROM stored SEMI JOIN known ON key = subject_key UNION ALL SELECT DISTINCT 'edge', key, l_partkey * 8 + l_linenumber, {ek('Document', 'l_partkey')} FROM deliveries)",
+    "first_cites AS (SELECT *, count(*) OVER (PARTITION BY kind, subject_key) > 2 AS truncated FROM cites QUALIFY row_number() OVER (PARTITION BY kind, subject_key ORDER BY position) <= 2)",
+    f"found_docs AS (SELECT DISTINCT kind, subject_key, document_key FROM first_cites WHERE document_key IN (SELECT {ek('Document', 'doc_id')} FROM documents))",
+    f"proofs AS (SELECT DISTINCT {ek('Order', 'l_orderkey')} AS subject_key, {ek('Document', 'l_partkey')} AS item_key FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))",
+)
+
+
+@query(
+    "graph_evidence_subjects",
+    with_sql(*_EVIDENCE_SQL)
+    + "SELECT kind, key AS subject_key, 'subject' AS part, 1 AS position, key AS item_key, FALSE AS truncated FROM known"
+    f" UNION ALL SELECT 'node', {ek('Customer', 'c_custkey')}, 'subject', 1, NULL, FALSE FROM customer"
+    " UNION ALL SELECT kind, subject_key, 'citation', CAST(position AS INTEGER), document_key, truncated FROM first_cites"
+    " UNION ALL SELECT kind, subject_key, 'document', CAST(row_number() OVER (PARTITION BY kind, subject_key ORDER BY document_key) AS INTEGER), document_key, FALSE FROM found_docs"
+    " UNION ALL SELECT 'node', subject_key, 'evidenced_by', CAST(r AS INTEGER), item_key, n > 2 FROM (SELECT *, row_number() OVER (PARTITION BY subject_key ORDER BY item_key) AS r, count(*) OVER (PARTITION BY subject_key) AS n FROM proofs) WHERE r <= 2",
+)
+def graph_evidence_subjects(spark, folder):
+    return evidence.lookup(*evidence_parts(spark, folder), EVIDENCE_LIMIT)
+
+
+@query(
+    "evidence_quality_bounded",
+    with_sql(CITED, "lines AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_returnflag) AS r, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)")
+    + f"SELECT {ek('Order', 'l_orderkey')} AS subject_key, concat_ws(',', CASE WHEN bool_or(l_returnflag = 'A') THEN 'synthetic_provenance' END, CASE WHEN max(n) > 2 THEN 'truncated' END) AS notes FROM lines WHERE r <= 2 GROUP BY l_orderkey",
+)
+def evidence_quality_bounded(spark, folder):
+    """Notes from at most two citations per order, which then say that there are more."""
+    cited = table(spark, folder, "lineitem").select(
+        entity("Order", "l_orderkey").alias("subject_key"), F.lit(None).cast("string").alias("document_key"), F.lit(None).cast("string").alias("document_id"), F.when(F.col("l_returnflag") == "A", "synthetic:lines").otherwise("lines").alias("source_ref"),
+        F.lit("approved").alias("review_state"), F.lit("verified").alias("verification_state"), "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag",
+    )
+    first = ranking.first_per_root(cited, ["subject_key"], ["l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"], 2)
+    return build.evidence_quality(first).withColumn("notes", F.array_join("notes", ","))
+
+
 @query(
     "bounded_truncated",
     "SELECT o_custkey, o_orderkey, n > 5 AS truncated FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) WHERE r <= 5",

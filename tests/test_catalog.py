@@ -112,3 +112,12 @@ def test_keys_of_any_length_are_found(spark):
         datasets = spark.createDataFrame([("clm.master", "ownership", "Vendor_ID"), ("fin.facts", "spend", None)], "dataset_id string, domain string, sole_key string")
         refs = references.discover_references(references.candidate_fields(as_ids, datasets), keyed).collect()
         assert [(r.child_field, r.home_field) for r in refs] == [("Ref", "Vendor_ID")], length
+
+
+def test_catalog_queries_work_after_release(spark, small):
+    import __spark_entry__ as entry
+    from ledgerlens.session import release
+
+    before = sorted(map(str, entry.queries()["describe_dataset"](spark, small).collect()))
+    release(spark)
+    assert sorted(map(str, entry.queries()["describe_dataset"](spark, small).collect())) == before

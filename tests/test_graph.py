@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.identity import entity_key
 from ledgerlens.operators.catalog.ontology import BusinessClass, Ontology, Property, Relation
-from ledgerlens.operators.graph import build, traverse
+from ledgerlens.operators.graph import build, evidence, traverse
 
 IN, OUT = traverse.IN, traverse.OUT
 
@@ -146,3 +146,62 @@ def test_long_chains_settle(spark):
     nodes = spark.createDataFrame([(f"k{i:04d}",) for i in range(n + 2)], "key string")
     got = {r.key: r.component for r in traverse.connected_components(nodes, edges).collect()}
     assert all(got[f"k{i:04d}"] == ("k0000" if i <= 120 else "k0121" if i <= n else f"k{i:04d}") for i in range(n + 2))
+
+
+def test_bounded_collections_equal_cut_whole_walks(spark):
+    """Limits per root and collection, with hubs on both ends, parallel edges and prefixes that lead nowhere."""
+    triples = [("A", f"r{i % 4}", f"m{i}") for i in range(60)] + [("B", f"m{i}", f"e{j}") for i in range(0, 60, 7) for j in range(i % 5)]
+    triples += [("B", "m1", f"e{j}") for j in range(200)] + [("C", f"x{i}", f"e{i % 9}") for i in range(40)] + [("A", "r9", "m1"), ("A2", "r1", "m1")]
+    edges = graph(spark, triples).unionByName(spark.createDataFrame([("second", "A", "r1", "m1")], "key string, type string, src string, dst string"))
+    start = spark.createDataFrame([(f"r{i}",) for i in range(10)], "key string")
+    named = {"one": [("A", OUT)], "two": [(("A", "A2"), OUT), ("B", OUT)], "three": [("A", OUT), ("B", OUT), ("C", IN)], "none": [("B", OUT)]}
+    whole = traverse.collections(start, edges, named).collect()
+    for limit in (1, 3, 10_000):
+        got = {}
+        for r in traverse.bounded_collections(start, edges, named, limit).collect():
+            got.setdefault((r.collection, r.root), []).append((r.path_nodes, r.path_edges, r.truncated))
+        want = {}
+        for r in whole:
+            want.setdefault((r.collection, r.root), []).append((r.path_nodes, r.path_edges))
+        want = {k: [(*p, len(v) > limit) for p in sorted(v)[:limit]] for k, v in want.items()}
+        assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def citation(**given):
+    names = [f.split(":")[0] for f in evidence.CITATION.removeprefix("struct<").removesuffix(">").split(",")]
+    return tuple({"review_state": "approved", "source_ref": "file"}.get(n) if n not in given else given[n] for n in names)
+
+
+def test_citations_are_checked_and_canonical(spark):
+    doc = {"document_class": "Document", "document_id": "7"}
+    wrong = {
+        "review_state": [{"review_state": None}, {"review_state": "Approved"}], "property": [{"property_id": "colour"}], "text": [{"source_ref": ""}, {"evidence_ref": " x"}, {"extraction_run": "x\n"}],
+        "page": [{**doc, "page": 0}, {**doc, "page": -3}], "confidence": [{"confidence": 1.01}, {"confidence": float("nan")}, {"confidence": float("-inf")}], "document_class": [{"document_class": "Order", "document_id": "7"}, {"document_class": None, "document_id": "7"}],
+        "location_without_document": [{"page": 2}, {"section": "4"}, {"chunk_id": "c"}], "nothing_cited": [{"source_ref": None}],
+    }
+    cases = [(f"{code}{i}", [citation(), citation(**c)], code) for code, list_ in wrong.items() for i, c in enumerate(list_)]
+    fine = [citation(**doc, page=3), citation(), citation(**doc, page=1, confidence=0.0), citation(), citation(evidence_ref="e", source_ref=None, confidence=1.0, property_id="total")]
+    rows = [(k, v) for k, v, _ in cases] + [("fine", fine), ("again", fine[::-1] + fine), ("empty", []), ("null", None)]
+    df = evidence.checked(spark.createDataFrame(rows, f"subject_key string, citations array<{evidence.CITATION}>"), ["total"], ["Document"])
+    got = {r.subject_key: r for r in df.collect()}
+    for key, _, code in cases:
+        assert [(v.position, v.code) for v in got[key].violations] == [(2, code)] and got[key].citations is None
+    assert got["fine"].citations == got["again"].citations and len(got["fine"].citations) == 4
+    assert got["fine"].violations == [] and got["empty"].citations == [] and got["null"].citations is None
+    listed = evidence.listed(df.filter("subject_key = 'fine'"), "ns").orderBy("position").collect()
+    assert [r.position for r in listed] == [1, 2, 3, 4]
+    assert [r.document_key is not None for r in listed].count(True) == 2 and spark.createDataFrame([("7",)], "i string").select(entity_key("ns", "Document", F.col("i"))).first()[0] in {r.document_key for r in listed}
+
+
+def test_evidence_of_nodes_and_relationships(spark):
+    asked = spark.createDataFrame([("node", "N1"), ("edge", "E1"), ("edge", "N1"), ("node", "gone"), ("node", "N2"), ("node", "N1")], "kind string, key string")
+    nodes, found = spark.createDataFrame([("N1",), ("N2",)], "key string"), spark.createDataFrame([("E1",)], "key string")
+    cites = spark.createDataFrame([("N1", 1, "D1"), ("N1", 2, None), ("N1", 3, "D2"), ("E1", 1, "D9"), ("E1", 2, "D1"), ("gone", 1, "D1")], "subject_key string, position int, document_key string")
+    docs = spark.createDataFrame([("D1",), ("D2",)], "key string")
+    proven = graph(spark, [("EVIDENCED_BY", "N1", "D2"), ("EVIDENCED_BY", "N1", "D1"), ("EVIDENCED_BY", "N1", "D3"), ("EVIDENCED_BY", "E1", "D1"), ("OTHER", "N2", "D1")])
+    got = {(r.kind, r.subject_key, r.part, r.position, r.item_key, r.truncated) for r in evidence.lookup(asked, nodes, found, cites, docs, proven, 2).collect()}
+    assert got == {
+        ("node", "N1", "subject", 1, "N1", False), ("edge", "E1", "subject", 1, "E1", False), ("edge", "N1", "subject", 1, None, False), ("node", "gone", "subject", 1, None, False), ("node", "N2", "subject", 1, "N2", False),
+        ("node", "N1", "citation", 1, "D1", True), ("node", "N1", "citation", 2, None, True), ("edge", "E1", "citation", 1, "D9", False), ("edge", "E1", "citation", 2, "D1", False),
+        ("node", "N1", "document", 1, "D1", False), ("edge", "E1", "document", 1, "D1", False), ("node", "N1", "evidenced_by", 1, "D1", True), ("node", "N1", "evidenced_by", 2, "D2", True),
+    }
