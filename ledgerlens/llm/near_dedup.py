@@ -9,7 +9,8 @@ key of A and a key of B: with similarity s this fails with a chance below 2 * (1
 Documents with equal sets form one class before anything is paired, so copies cost nothing. Each table names a
 pivot among its members, and each class is confirmed against one of them: the pivot it shares most tables with.
 Tables whose members then belong to one component are closed. In each of ``STARS`` further rounds a class of an open
-table is confirmed against one member of the largest component there. So a round has at most one link per class.
+table is confirmed against one member of the largest component that shares a key of A with it. So a round has at most
+one link per class.
 What is still open is compared whole: its keys of A are dealt into chunks of ``CHUNK`` classes and every two chunks
 are compared in one task as blocks, which returns only links that join components. Nothing is capped: the blocks
 handle any number of members (the pairs of chunks grow with the square of the classes that one key has and no round
@@ -137,10 +138,12 @@ def _one_each(choices: DataFrame) -> DataFrame:
 
 
 def _star(members: DataFrame, turn: int) -> DataFrame:
-    """For each class of an open table a link to a member of the largest component there; which member, changes."""
-    groups = members.groupBy("t", "l").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c")).alias("p"))
-    main = groups.groupBy("t").agg(F.max(F.struct("n", "p", "l")).alias("m"))
-    rest = members.join(main, "t").where(F.col("l") != F.col("m.l"))
+    """For each class of open tables a link to a member of the largest component under one of its keys of A; which
+    member, changes by turn. Keys of A hold whole tables, and a class has GROUPS of them instead of GROUPS^2."""
+    rows = members.select("a", "c", "l").distinct()
+    groups = rows.groupBy("a", "l").agg(F.count("*").alias("n"), F.max(F.struct(F.xxhash64("c", F.lit(turn)).alias("h"), "c")).alias("p"))
+    main = groups.groupBy("a").agg(F.max(F.struct("n", "p", "l")).alias("m"))
+    rest = _salted(rows, "c", main, ["a"]).where(F.col("l") != F.col("m.l"))
     return _one_each(rest.select("c", F.col("m.p.c").alias("pivot")))
 
 
