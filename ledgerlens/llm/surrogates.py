@@ -6,17 +6,26 @@ replaced by a value of the same type that depends on a key: letters become lette
 digits, separators, length, key prefix, country prefix and top-level domain stay; hexadecimal stays
 hexadecimal; a card number keeps its issuer digit and its check-digit residue; parts of an address stay in
 range; a name keeps its title, its number of words, its case and its script (Latin, Greek or Cyrillic) and gets
-a given name of the title's gender.
-
-Equal entities get equal surrogates in all documents and formats, since the surrogate is made from the
-canonical value (lower case, separators dropped where they carry nothing). Different entities keep different
-surrogates: those that would share one, or would equal a value found in the corpus, are found by grouping and
-given further attempts until none is left. Attempts beyond ``PLAIN`` make surrogates longer, by one character
-(a name: by a syllable a word) each, so the search ends however many values a type has; only addresses of four
-parts keep their form, with 2^32 surrogates. Only these few need a join; all others are computed in place.
+given names of the gender of its titles.
+
+An entity is made of parts that are replaced one by one. A name's last word is a surname and the words before it
+are given names, without the title, so "Mr John Smith", "Mr Smith" and "Dr John Smith" share their surrogates. The
+gender of a given name is the one of its titles in the whole corpus; a name that stands after titles of both
+genders gets a unisex one. An e-mail address has its domain, an entity of its own, and a user within the domain.
+Names are found after titles only.
+
+Equal parts get equal surrogates in all documents and formats, since the surrogate is made from the canonical
+value (lower case, separators dropped where they carry nothing). Different parts keep different surrogates: those
+that would share one, or would equal a value found in the corpus (given names, which are no person by themselves,
+may), are found by grouping and given further attempts until none is left. Given names become longer by a further
+name at each attempt. Others become longer in attempts beyond ``PLAIN``, by one character (a surname: by a
+syllable) each, so the search ends however many values a type has; only addresses of four parts keep their form,
+with 2^32 surrogates. Only what is tried again, and given names without one gender, need a join; all others are
+computed in place.
 
 Defined cases: a key or secret has a letter or digit, so fields of punctuation alone (``password: ________``) stay; null and empty texts stay as they are; a text without entities is returned unchanged byte for
-byte; repeated rows get equal texts; an empty table gives an empty result; further columns pass through.
+byte; repeated rows get equal texts; an empty table gives an empty result; further columns pass through,
+whatever their names (``n_entities`` is replaced by the count, ``n_chars`` follows the text).
 """
 
 from __future__ import annotations
@@ -90,6 +99,28 @@ def canonical(of: Column, value: Column) -> Column:
     return F.when(of == "email", F.lower(value)).when(of.startswith("name"), name).when(of.isin("phone", "card", "iban", "ssn"), bare).otherwise(value)
 
 
+def parts(entity: Column) -> Column:
+    """The (type, value) pairs an entity is replaced by: one, but for e-mail addresses and names.
+
+    A given name's type ends with the gender of the title.
+    """
+
+    def split(x):
+        value = canonical(x["of"], entity)
+        part = lambda of, v: F.struct(of.alias("type"), v.alias("value"))
+        words = F.split(value, " ")
+        named = F.transform(words, lambda w, i: part(F.when(i == F.size(words) - 1, F.lit("surname")).otherwise(F.concat(F.lit("given_"), F.substring(x["of"], 6, 1))), w))
+        email = F.array(part(F.lit("email"), value), part(F.lit("domain"), F.substring_index(value, "@", -1)))
+        return F.when(x["of"] == "email", email).when(x["of"].startswith("name"), named).otherwise(F.array(part(x["of"], value)))
+
+    return _let(F.struct(kind(entity).alias("of")), split)
+
+
+def family(of: Column) -> Column:
+    """Types whose surrogates must differ from each other: given names of all genders are one family."""
+    return F.when(of.startswith("given"), F.lit("given")).otherwise(of)
+
+
 def _let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]
@@ -132,38 +163,54 @@ def _script(word: Column) -> Column:
     return F.when(word.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _name(seed: Column, gender: Column, value: Column, more: Column) -> Column:
-    """A given name for the first of several words, made-up surnames for the rest, in lower case."""
-    words = F.split(value, " ")
+def _by_script(value: Column, made) -> Column:
+    """``made(script)`` for the script of a word."""
+
+    def choose(script):
+        out = made("latin")
+        for other in ("greek", "cyrillic"):
+            out = F.when(script == other, made(other)).otherwise(out)
+        return out
+
+    return _let(_script(value), choose)
+
+
+def _surname(value: Column, seed: Column, more: Column) -> Column:
+    """Four made-up syllables and more, in lower case."""
+
+    def made(script):
+        syllables = SYLLABLES[script].split()
+        return F.concat(*(_pick(seed, F.lit(j), syllables) for j in range(4)), _more(seed, more, syllables))
+
+    return _by_script(value, made)
+
 
-    def one(word, i):
-        return _let(_script(word), lambda script: made_word(script, i))
+def _given(of: Column, value: Column, seed: Column, attempt: Column) -> Column:
+    """One given name of the gender, and one more for each attempt, hyphenated and in lower case."""
 
-    def made_word(own, i):
-        surname, given = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for script in SYLLABLES:
-            made = F.concat(*(_pick(seed, i * 8 + j, SYLLABLES[script].split()) for j in range(4)), _more(seed, more, SYLLABLES[script].split()))
-            surname = F.when(own == script, made).otherwise(surname)
-            for g, names in GIVEN[script].items():
-                given = F.when((own == script) & (gender == f"name_{g}"), F.lower(_pick(seed, i, names.split()))).otherwise(given)
-        return F.when((i == 0) & (F.size(words) > 1), given).otherwise(surname)
+    def made(script):
+        name = lambda i: F.when(of == "given_m", _pick(seed, i, GIVEN[script]["m"].split())).when(of == "given_f", _pick(seed, i, GIVEN[script]["f"].split())).otherwise(_pick(seed, i, GIVEN[script]["n"].split()))
+        return F.lower(F.array_join(F.transform(F.sequence(F.lit(0), attempt), name), "-"))
 
-    return F.array_join(F.transform(words, one), " ")
+    return _by_script(value, made)
 
 
 def surrogate(of: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
-    """The canonical surrogate of a canonical value."""
+    """The canonical surrogate of a part's canonical value."""
     seed = F.xxhash64(F.sha2(F.concat_ws("|", F.lit(key), of, value, attempt.cast("string")), 256))
-    parts = F.struct(of.alias("of"), value.alias("value"), seed.alias("seed"), F.greatest(attempt - PLAIN, F.lit(0)).alias("more"))
-    return _let(parts, lambda x: _surrogate(x["of"], x["value"], x["seed"], x["more"], key))
+    known = F.struct(of.alias("of"), value.alias("value"), seed.alias("seed"), attempt.alias("attempt"), F.greatest(attempt - PLAIN, F.lit(0)).alias("more"))
+    return _let(known, lambda x: _surrogate(x["of"], x["value"], x["seed"], x["attempt"], x["more"]))
 
 
-def _email(value: Column, seed: Column, more: Column, key: str) -> Column:
-    """All addresses of a domain keep a common domain; the top-level domain stays."""
-    domain, user = F.substring_index(value, "@", -1), F.substring_index(value, "@", 1)
-    site = F.xxhash64(F.sha2(F.concat_ws("|", F.lit(key), F.lit("domain"), domain), 256))
-    parts = F.struct(user.alias("user"), domain.alias("domain"), F.substring_index(domain, ".", -1).alias("tail"), site.alias("site"), seed.alias("seed"), _more(seed, more).alias("more"))
-    return _let(parts, lambda x: F.concat(_letters(x["seed"], x["user"]), x["more"], F.lit("@"), _letters(x["site"], F.substring(x["domain"], F.lit(1), F.length(x["domain"]) - F.length(x["tail"]))), x["tail"]))
+def _user(value: Column, seed: Column, more: Column) -> Column:
+    """Another user of the same domain; the domain itself is replaced as a part of its own."""
+    return F.concat(_letters(seed, F.substring_index(value, "@", 1)), _more(seed, more), F.lit("@"), F.substring_index(value, "@", -1))
+
+
+def _domain(value: Column, seed: Column, more: Column) -> Column:
+    """The top-level domain stays."""
+    tail = F.substring_index(value, ".", -1)
+    return F.concat(_more(seed, more, "abcdefghijklmnopqrstuvwxyz"), _letters(seed, F.substring(value, F.lit(1), F.length(value) - F.length(tail))), tail)
 
 
 def _card(value: Column, seed: Column, more: Column) -> Column:
@@ -171,17 +218,18 @@ def _card(value: Column, seed: Column, more: Column) -> Column:
     return _let(body, lambda b: F.concat(b, F.pmod(_luhn(value) - _luhn(F.concat(b, F.lit("0"))) + 20, F.lit(10)).cast("string")))
 
 
-def _surrogate(of: Column, value: Column, seed: Column, more: Column, key: str) -> Column:
+def _surrogate(of: Column, value: Column, seed: Column, attempt: Column, more: Column) -> Column:
     digits = F.length(value)
     ip = F.array_join(F.transform(F.split(value, r"\."), lambda p, i: F.when(more > 0, _number(seed, i, 0, 255)).otherwise(_number(seed, i, 1, 254))), ".")
     # Leading digits of a number's parts stay away from 0 and 1; the country digit stays.
     phone = F.array_join(F.transform(F.split(value, ""), lambda c, i: F.when((i == 0) & (digits > 10), c).when((digits - i == 10) | (digits - i == 7) | (i == 0), _number(seed, i, 2, 9)).otherwise(_number(seed, i, 0, 9))), "")
     prefix = F.regexp_extract(value, rf"^{_PREFIX}", 0)
     secret = _let(value.rlike(r"^(?:[0-9a-f]+|[0-9A-F]+)$"), lambda hexadecimal: _letters(seed, value, hexadecimal=hexadecimal))
-    out = F.when(of == "email", _email(value, seed, more, key)).when(of == "card", _card(value, seed, more)).when(of == "ip", ip)
+    out = F.when(of == "email", _user(value, seed, more)).when(of == "domain", _domain(value, seed, more)).when(of == "card", _card(value, seed, more)).when(of == "ip", ip)
     longer = F.when(of == "phone", phone).when(of == "ssn", _letters(seed, value)).when(of == "iban", _letters(seed, value, 2))
     longer = longer.when(of == "key", F.concat(prefix, _letters(seed, F.substring(value, F.length(prefix) + 1, F.length(value)))))
-    return out.when(of.startswith("name"), _name(seed, of, value, more)).otherwise(F.concat(longer.otherwise(secret), _more(seed, more)))
+    out = out.when(of == "surname", _surname(value, seed, more)).when(of.startswith("given"), _given(of, value, seed, attempt))
+    return out.otherwise(F.concat(longer.otherwise(secret), _more(seed, more)))
 
 
 def formatted(of: Column, original: Column, made: Column) -> Column:
@@ -194,68 +242,98 @@ def formatted(of: Column, original: Column, made: Column) -> Column:
     cased = F.array_join(F.transform(F.split(made, ""), lambda c, i: F.when(F.substring(original, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)), "")
     title = F.regexp_extract(original, rf"^(?:{_TITLE})\.? ", 0)
     rest = F.substring(original, F.length(title) + 1, F.length(original))
-    name = F.concat(title, F.when(rest == F.upper(rest), F.upper(made)).otherwise(F.initcap(made)))
+    capitals = F.array_join(F.transform(F.split(made, "-"), F.initcap), "-")
+    name = F.concat(title, F.when(rest == F.upper(rest), F.upper(made)).otherwise(capitals))
     return F.when(of.isin("phone", "card", "iban", "ssn"), spaced).when(of == "email", cased).when(of.startswith("name"), name).otherwise(made)
 
 
 def entities(docs: DataFrame) -> DataFrame:
-    """(type, value) of every entity of the corpus, each canonical value once."""
+    """(type, value) of every part of an entity of the corpus, each canonical value once.
+
+    A given name that titles of different genders precede has the one gender they state, or none (``given_n``);
+    ``mixed`` then says that some of its titles alone would give another type.
+    """
     found = docs.where(F.col("text").rlike(HINT)).select(F.explode(F.filter(pieces(F.col("text")), lambda p, i: i % 2 == 1)).alias("entity"))
-    found = found.select(kind(F.col("entity")).alias("type"), "entity")
-    return found.select("type", canonical(F.col("type"), F.col("entity")).alias("value")).distinct()
+    found = found.select(F.inline(parts(F.col("entity")))).groupBy(family(F.col("type")).alias("family"), "value").agg(F.collect_set("type").alias("types"))
+    stated = F.array_remove("types", "given_n")
+    of = F.when(F.size("types") == 1, F.element_at("types", 1)).when(F.size(stated) == 1, F.element_at(stated, 1)).otherwise("given_n")
+    return found.select(of.alias("type"), "value", (F.size("types") > 1).alias("mixed"))
 
 
 def retried(found: DataFrame, key: str = KEY, make=surrogate) -> DataFrame:
-    """(type, value, made) of the entities whose first surrogate is taken; the last attempt's is free.
+    """(family, value, made) of the parts whose surrogate is not the one of their own title and first attempt.
 
-    A surrogate is taken if another entity of the type has it (the smaller value keeps it) or if it is itself
-    a value of the corpus. Rounds work on the entities still without a free one.
+    A surrogate is taken if another part of the family has it (the smaller value keeps it) or if it is itself
+    a value of the corpus. Rounds work on the parts still without a free one; given names have rounds of their
+    own, since there are few and they need more of them.
     """
-    taken = store(found.select("type", "value", F.lit(0).alias("attempt"), make(F.col("type"), F.col("value"), F.lit(0), key).alias("made")))
-    corpus = found.select("type", F.col("value").alias("made")).withColumn("real", F.lit(True))
+    given = F.col("type").startswith("given")
+    return _rounds(found.where(~given), key, make).unionByName(_rounds(found.where(given), key, make))
+
+
+def _rounds(found: DataFrame, key: str, make) -> DataFrame:
+    first = make(F.col("type"), F.col("value"), F.lit(0), key)
+    taken = store(found.select(family(F.col("type")).alias("family"), "type", "value", "mixed", F.lit(0).alias("attempt"), first.alias("made")))
+    corpus = taken.where("family <> 'given'").select("family", F.col("value").alias("made"))
     attempt = 0
     while True:
-        owners = taken.groupBy("type", "made").agg(F.min(F.struct(F.col("attempt"), F.col("value"))).alias("owner"), F.count("*").alias("n"))
-        clash = owners.where("n > 1").join(taken, ["type", "made"]).where(F.struct("attempt", "value") != F.col("owner")).select("type", "value")
-        clash = store(clash.union(taken.join(corpus, ["type", "made"]).select("type", "value")).distinct())
+        owners = taken.groupBy("family", "made").agg(F.min(F.struct(F.col("attempt"), F.col("value"))).alias("owner"), F.count("*").alias("n"))
+        clash = owners.where("n > 1").join(taken, ["family", "made"]).where(F.struct("attempt", "value") != F.col("owner"))
+        columns = ["family", "type", "value", "mixed"]
+        clash = store(clash.select(*columns).union(taken.join(corpus, ["family", "made"], "left_semi").select(*columns)).distinct())
         if clash.isEmpty():
-            return taken.where("attempt > 0").select("type", "value", "made")
+            return taken.where("attempt > 0 OR mixed").select("family", "value", "made")
         attempt += 1
-        again = clash.select("type", "value", F.lit(attempt).alias("attempt"), make(F.col("type"), F.col("value"), F.lit(attempt), key).alias("made"))
-        taken = store(taken.join(clash, ["type", "value"], "left_anti").select(*taken.columns).union(again))
+        again = clash.select(*columns, F.lit(attempt).alias("attempt"), make(F.col("type"), F.col("value"), F.lit(attempt), key).alias("made"))
+        taken = store(taken.join(clash, ["family", "value"], "left_anti").select(*taken.columns).union(again))
 
 
-def replace(docs: DataFrame, key: str = KEY, make=surrogate) -> DataFrame:
-    """The documents with surrogates in ``text``, and n_entities; all columns stay."""
-    others = retried(store(entities(docs)), key, make)
+def _slot(part: Column) -> Column:
+    return F.concat(family(part["type"]), F.lit(":"), part["value"])
+
+
+def _replaced(docs: DataFrame, key: str, make) -> DataFrame:
+    """``replace`` for rows of ``text`` and ``_row``."""
+    others = store(retried(store(entities(docs)), key, make))
     hinted = F.col("text").rlike(HINT)
     docs = docs.withColumn("_pieces", F.when(hinted, pieces(F.col("text"))))
     some = not others.isEmpty()
     if some:
-        # Documents that hold such an entity get a map of theirs, joined on the text's hash.
+        # Documents that hold such a part get a map of theirs, joined on the text's hash.
         holds = docs.where(hinted).select(F.xxhash64("text").alias("_h"), F.explode(F.array_distinct(F.filter("_pieces", lambda p, i: i % 2 == 1))).alias("entity"))
-        holds = holds.distinct().select("_h", kind(F.col("entity")).alias("type"), "entity").withColumn("value", canonical(F.col("type"), F.col("entity")))
-        maps = holds.join(others, ["type", "value"]).groupBy("_h").agg(F.map_from_entries(F.collect_list(F.struct("entity", "made"))).alias("_others"))
+        holds = holds.select("_h", F.inline(parts(F.col("entity")))).select("_h", family(F.col("type")).alias("family"), "value").distinct()
+        entry = F.struct(F.concat("family", F.lit(":"), "value").alias("slot"), "made")
+        maps = holds.join(others, ["family", "value"]).groupBy("_h").agg(F.map_from_entries(F.collect_list(entry)).alias("_others"))
         docs = docs.withColumn("_k", F.xxhash64("text")).join(store(maps), F.col("_k") == F.col("_h"), "left").drop("_h", "_k")
 
     def put(piece, i):
+        def one(part):
+            made = make(part["type"], part["value"], F.lit(0), key)
+            return F.coalesce(F.element_at("_others", _slot(part)), made) if some else made
+
+        def whole(of, made):
+            address = F.concat(F.substring_index(F.element_at(made, 1), "@", 1), F.lit("@"), F.element_at(made, -1))
+            return _let(F.when(of == "email", address).otherwise(F.array_join(made, " ")), lambda m: formatted(of, piece, m))
+
         def named(x):
-            made = make(x["of"], canonical(x["of"], piece), F.lit(0), key)
-            made = F.coalesce(F.element_at("_others", piece), made) if some else made
-            return _let(made, lambda m: formatted(x["of"], piece, m))
+            return _let(F.transform(parts(piece), one), lambda made: whole(x["of"], made))
 
         return F.when(i % 2 == 1, _let(F.struct(kind(piece).alias("of")), named)).otherwise(piece)
 
     count = F.coalesce(F.floor(F.size("_pieces") / 2), F.lit(0))
     text = F.when(F.size("_pieces") > 1, F.replace(F.array_join(F.transform("_pieces", put), ""), F.lit(_PLAIN), F.lit(_ESCAPE))).otherwise(F.col("text"))
-    out = docs.withColumn("n_entities", F.when(F.col("_pieces").isNull(), 0).otherwise(count).cast("long")).withColumn("text", text)
-    return out.drop("_pieces", "_others")
+    return docs.select("_row", text.alias("text"), F.when(F.col("_pieces").isNull(), 0).otherwise(count).cast("long").alias("n_entities"))
+
+
+def replace(docs: DataFrame, key: str = KEY, make=surrogate) -> DataFrame:
+    """The documents with surrogates in ``text``, and n_entities; all columns stay."""
+    return unboxed(_replaced(boxed(docs, "text"), key, make), [c for c in docs.columns if c != "n_entities"], "n_entities", text=F.col("text"))
 
 
 def anonymise(docs: DataFrame) -> DataFrame:
     """``replace`` with the columns of the input; n_chars follows the text."""
-    return unboxed(replace(boxed(docs, "text")), docs.columns, text=F.col("text"))
+    return unboxed(_replaced(boxed(docs, "text"), KEY, surrogate), docs.columns, text=F.col("text"))
 
 
 def query(spark, sf_dir):
-    return replace(documents(spark, sf_dir)).select("doc_id", "text", "n_entities")
+    return replace(documents(spark, sf_dir).select("doc_id", "text"))

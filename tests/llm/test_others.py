@@ -179,8 +179,8 @@ def test_surrogates(spark):
     assert re.search(r"key AKIA[A-Z]{16},", text[1]) and re.search(r"password=[0-9a-f]{18},", text[1]) and re.search(r"Госпожа [А-Я][а-я]+ [А-Я][а-я]+\.", text[1])
     one, two = re.findall(r"\S+@\S+\.com", text[1])
     assert one.lower() == two.lower() and two.split("@")[0].isupper() and one[0].isupper()
-    woman = re.search(r"Mrs\. (\w+) (\w+),", text[1])
-    assert woman[1] in surrogates.GIVEN["latin"]["f"].split() and f"Mrs. {woman[1].upper()} {woman[2].upper()}" in text[5]
+    woman = re.search(r"Mrs\. ([\w-]+) (\w+),", text[1])
+    assert set(woman[1].split("-")) <= set(surrogates.GIVEN["latin"]["f"].split()) and f"Mrs. {woman[1].upper()} {woman[2].upper()}" in text[5]
     assert text[4].startswith("\ufdd0 odd \ufdd0\ufdd1 ") and text[4].endswith(" \ufdd2") and "10.20.30.40" not in text[4]
     assert surrogates.replace(df.limit(0)).count() == 0 and surrogates.anonymise(df).columns == df.columns
     other = {r.doc_id: r.text for r in surrogates.replace(df, key="another").collect()}
@@ -225,3 +225,43 @@ def test_surrogates_stay_distinct(spark, space):
     found = [re.findall(r"\d+", t) for t in texts]
     assert all(len(set(f)) == 1 for f in found) and len({f[0] for f in found}) == 21
     assert not any(f[0] == "4000000000000003" for f in found)
+
+
+def test_names_corefer_by_part(spark):
+    texts = ["Mr John Smith met Mr Smith and Dr John Smith.", "MR JOHN SMITH came", "Mr JOHN SMITH came", "Mrs Kim Smith", "Mr Kim Jones", "Dr Kim Jones", "Prof. Jane Doe", "Mr Peter Smith", "Dr. Jane Doe", "Miss Jane Roe"]
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in enumerate(texts)], "doc_id long, text string, _h string, _others string, _row string").repartition(4)
+    got = surrogates.replace(df)
+    assert got.columns == df.columns + ["n_entities"] and {(r._h, r._others, r._row) for r in got.collect()} == {("x", "y", "z")}
+    text = {r.doc_id: r.text for r in got.collect()}
+    first = re.fullmatch(r"Mr (\S+) (\S+) met Mr (\S+) and Dr (\S+) (\S+)\.", text[0])
+    given, surname = first[1], first[2]
+    assert first[3] == surname and (first[4], first[5]) == (given, surname)
+    assert text[1] == texts[1] and text[2] == f"Mr {given.upper()} {surname.upper()}" + " came"
+    assert set(given.split("-")) <= set(surrogates.GIVEN["latin"]["m"].split())
+    kim = {text[i].split(" ")[1] for i in (3, 4, 5)}
+    assert len(kim) == 1 and set(kim.pop().split("-")) <= set(surrogates.GIVEN["latin"]["n"].split())
+    assert text[3].split(" ")[2] == surname and text[4].split(" ")[2] == text[5].split(" ")[2] != surname
+    jane = {text[i].split(" ")[1] for i in (6, 8, 9)}
+    assert len(jane) == 1 and set(jane.pop().split("-")) <= set(surrogates.GIVEN["latin"]["f"].split())
+    assert text[7].split(" ")[2] == surname and text[7].split(" ")[1] != given
+
+
+def test_given_names_stay_distinct(spark):
+    names = [f"{a}{b}{c}" for a in "BDFGK" for b in "aeiou" for c in "lmnrst"]
+    rows = [(i, f"{'Mr' if i % 2 else 'Frau'} {n} Smith") for i, n in enumerate(names)]
+    text = {r.doc_id: r.text for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len({t.split(" ")[1] for t in text.values()}) == len(names) and len({t.split(" ")[2] for t in text.values()}) == 1
+    for i, t in text.items():
+        assert set(t.split(" ")[1].split("-")) <= set(surrogates.GIVEN["latin"]["m" if i % 2 else "f"].split())
+
+
+def test_domains_are_entities(spark):
+    domains = [f"{chr(97 + i)}.io" for i in range(26)]
+    rows = [(i, f"{u}@{d}") for i, (d, u) in enumerate((d, u) for d in domains for u in ("ann", "bob"))]
+    text = {r.doc_id: r.text for r in surrogates.replace(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    made = {}
+    for i, original in rows:
+        made.setdefault(original.split("@")[1], set()).add(text[i].split("@")[1])
+    assert all(len(m) == 1 for m in made.values()) and len(set.union(*made.values())) == 26
+    assert not set.union(*made.values()) & set(domains) and len(set(text.values())) == len(rows)
+    assert all(t.endswith(".io") for t in text.values())
