@@ -1,6 +1,9 @@
 """Readers, writers, governed SQL and claim checks on files and texts made here."""
 
+import csv
+import io
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,3 +211,40 @@ def test_summaries_and_questions(spark):
     assert [(r.claim_id, r.value) for r in grounding.unsupported_claims(claims, cards, cited).collect()] == [(3, "300")]
     questions = spark.createDataFrame([(3, "Is 300 right?")], "claim_id int, text string")
     assert grounding.unsupported_claims(claims, cards, cited, questions=questions).count() == 0
+
+
+@pytest.mark.parametrize("newline", ["\n", "\r\n"])
+def test_one_file_is_read_by_several_tasks(spark, tmp_path, newline):
+    r = random.Random(5)
+    pieces = ["plain", "", 'with "quotes"', "a, comma", "two\nlines", 'x\n"\n\n,",\ny', "5 in", 'back\\slash"', "\n" * 40, "Ä ö " * 30]
+    rows = [[r.choice(pieces) + str(i) * (i % 3), r.choice(pieces), r.choice(pieces)] for i in range(2000)]
+    buffer = io.StringIO()
+    writer = csv.writer(buffer, lineterminator="\n")
+    writer.writerow(["a", "b", "c"])
+    for i, row in enumerate(rows):
+        writer.writerow(row)
+        if i % 50 == 0:
+            buffer.write("\n")
+    path = tmp_path / "large.csv"
+    path.write_bytes(("﻿" + buffer.getvalue()).replace("\n", newline).encode())
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    before = {n: spark.conf.get(n) for n in names}
+    try:
+        for n in names:
+            spark.conf.set(n, "4k" if n.endswith("maxPartitionBytes") else "0")
+        assert spark.read.text(str(path)).rdd.getNumPartitions() > 10
+        got = tables.read_csv_snapshot(spark, str(path), "large").orderBy("_source_line").collect()
+    finally:
+        for n, v in before.items():
+            spark.conf.set(n, v)
+    assert [[x.a, x.b, x.c] for x in got] == rows
+    assert [x._source_line for x in got] == list(range(2, len(rows) + 2))
+    whole = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(str(path)).na.fill("").collect()
+    assert sorted((x[0], x[1], x[2]) for x in whole) == sorted(map(tuple, rows))
+
+
+def test_stray_and_unclosed_quotes(spark, tmp_path):
+    df = tables.read_csv_snapshot(spark, write(tmp_path / "stray.csv", 'a,b\n5" pipe,x\n"y\nz",6" pipe\n'), "x").orderBy("_source_line")
+    assert [tuple(x)[:2] for x in df.collect()] == [('5" pipe', "x"), ("y\nz", '6" pipe')]
+    with pytest.raises(tables.SnapshotError, match="unclosed"):
+        tables.read_csv_snapshot(spark, write(tmp_path / "open.csv", 'a,b\n1,"x\n2,y\n'), "x")
