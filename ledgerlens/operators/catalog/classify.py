@@ -27,7 +27,7 @@ COMPATIBLE = {
 Values = DataFrame | Callable[[DataFrame], DataFrame]
 
 
-def _read(values: Values, fields: DataFrame) -> DataFrame:
+def read_values(values: Values, fields: DataFrame) -> DataFrame:
     return values if isinstance(values, DataFrame) else values(fields)
 
 
@@ -74,7 +74,7 @@ def value_facts(values: Values, profile: DataFrame, ontology: Ontology) -> DataF
     candidates = profile.filter(likely).select(*FIELD)
     every, only = identifier_aggregates(F.col("value"), ontology)
     mask = F.sha2(digit_mask(F.col("value")), 256)
-    rows = _read(values, candidates).join(F.broadcast(candidates), FIELD)
+    rows = read_values(values, candidates).join(F.broadcast(candidates), FIELD)
     facts = rows.groupBy(*FIELD).agg(every.alias("all_identifiers"), only.alias("value_class"), (F.min(mask) == F.max(mask)).alias("one_shape"))
     shape = value_shape(F.col("min_value"))
     joined = profile.filter("distinct_count > 0").select(*FIELD, "min_value").join(F.broadcast(facts), FIELD, "left")
@@ -139,7 +139,7 @@ def compatible(candidates: DataFrame, values: Values, ontology: Ontology) -> Dat
     whole = lambda p: F.concat(F.lit("^(?:"), p, F.lit(")\\z"))
     checked = ruled.filter("pattern IS NOT NULL OR key_pattern IS NOT NULL OR enum_values IS NOT NULL").select(*FIELD, "class_id", "property_id", "pattern", "key_pattern", "enum_values")
     # Rules per column: bounded by columns times properties.
-    violating = _read(values, checked).join(F.broadcast(checked), FIELD).filter(
+    violating = read_values(values, checked).join(F.broadcast(checked), FIELD).filter(
         ~F.coalesce(F.rlike(F.col("value"), whole(F.col("pattern"))), F.lit(True))
         | ~F.coalesce(F.rlike(F.col("value"), whole(F.col("key_pattern"))), F.lit(True))
         | ~F.coalesce(F.array_contains("enum_values", F.col("value")), F.lit(True))
@@ -173,7 +173,7 @@ def classify(profile: DataFrame, values: Values, ontology: Ontology) -> DataFram
     shown = ~F.col("masked")
     patterned = shared_checkpoint(result.withColumn("value_pattern", F.when(F.col("role").isin("identifier", "date", "dimension"), F.col("value_pattern"))))
     small = patterned.filter(shown & (F.col("role") == "dimension") & F.col("distinct_count").between(1, MAX_VALUE_SET)).select(*FIELD)
-    sets = _read(values, small).join(F.broadcast(small), FIELD, "left_semi").groupBy(*FIELD).agg(F.array_sort(F.collect_set("value")).alias("value_set"))
+    sets = read_values(values, small).join(F.broadcast(small), FIELD, "left_semi").groupBy(*FIELD).agg(F.array_sort(F.collect_set("value")).alias("value_set"))
     classified = patterned.join(sets, FIELD, "left").select(
         *FIELD, "position", "data_type", "row_count", "distinct_count", "null_pct", "is_unique", "min_value", "max_value", "role", "class_id", "property_id",
         F.when(mapped, F.concat_ws(".", "class_id", "property_id")).alias("concept"), F.coalesce("is_key", F.lit(False)).alias("is_key"), "domain",

@@ -1,8 +1,10 @@
 """Column profiles and distinct values.
 
 Statistics that combine on the map side (counts, extremes, lengths, all-numeric, all-date) come from one
-wide aggregate per table. Exact distinct counts come from a second pass that shuffles only (field, digest of
-the value), so values of any length are counted and compared and none is shuffled.
+wide aggregate per table. Exact distinct counts come from a second pass. Whole numbers, dates, times and
+fixed-point amounts are marked in bit sets of 64 neighbours, so dense keys shuffle one row per 64 values.
+Other values shuffle as themselves while they are short and as their digest beyond that, so values of any
+length are counted. Only columns that can be keys are stored value by value.
 """
 
 from __future__ import annotations
@@ -40,8 +42,20 @@ def long_values(df: DataFrame, dataset_id: str) -> DataFrame:
 
 
 def value_key(value: Column) -> Column:
-    """What stands for a value of any length."""
-    return F.unhex(F.sha2(value, 256))
+    """What stands for a value of any length: itself below 32 bytes, else the 32 bytes of its digest."""
+    return F.when(F.octet_length(value) < 32, value.cast("binary")).otherwise(F.unhex(F.sha2(value, 256)))
+
+
+def whole_key(field: T.StructField) -> Column | None:
+    """A 64-bit number that two values share exactly if their texts are equal; None where there is no such number."""
+    value = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.IntegralType):
+        return value.cast("long")
+    if isinstance(field.dataType, T.DateType):
+        return F.unix_date(value).cast("long")
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        return (value.cast("decimal(18,4)") * 10000).cast("long")
+    return None
 
 
 def stats_sql(field: T.StructField, text: str) -> str:
@@ -79,9 +93,36 @@ def all_values(tables: dict[str, DataFrame], fields: dict[str, list[str]] | None
     return reduce(DataFrame.unionByName, parts)
 
 
-def keyed_values(tables: dict[str, DataFrame]) -> DataFrame:
-    """Distinct (dataset_id, field, key) of all columns; the key is the value's digest. All tables share one shuffle."""
-    return all_values(tables).select("dataset_id", "field", value_key(F.col("value")).alias("key")).distinct()
+def keyed_values(tables: dict[str, DataFrame], fields: DataFrame | None = None) -> DataFrame:
+    """Distinct (dataset_id, field, key) of all columns, or of those named by a frame with one row per column."""
+    values = all_values(tables) if fields is None else values_of(tables, fields)
+    return values.select("dataset_id", "field", value_key(F.col("value")).alias("key")).distinct()
+
+
+def distinct_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(dataset_id, field, distinct_count) of every scalar column with a value, exact.
+
+    Columns are numbered, so a shuffled row is a number and a key. A whole key is a bit in the set of its 64
+    neighbours: a dense column shuffles a 64th of its values, a sparse one as many short rows as it has values.
+    """
+    columns = [(dataset_id, f) for dataset_id, df in tables.items() for f in text_fields(df)]
+    number = {(dataset_id, f.name): i for i, (dataset_id, f) in enumerate(columns)}
+    whole, other = [], []
+    for dataset_id, df in tables.items():
+        for keys, parts in ((lambda f: whole_key(f), whole), (lambda f: value_key(F.nullif(as_text(f), F.lit(""))) if whole_key(f) is None else None, other)):
+            entries = [(number[dataset_id, f.name], keys(f)) for f in text_fields(df)]
+            entries = [F.struct(F.lit(n).alias("column_no"), key.alias("key")) for n, key in entries if key is not None]
+            if entries:
+                parts.append(df.select(F.inline(F.array(*entries))).filter("key IS NOT NULL"))
+    counted = []
+    if whole:
+        marks = reduce(DataFrame.unionAll, whole).groupBy("column_no", F.shiftright("key", 6).alias("block")).agg(F.expr("bit_or(shiftleft(1L, CAST(key & 63 AS INT)))").alias("bits"))
+        counted.append(marks.groupBy("column_no").agg(F.sum(F.bit_count("bits")).alias("distinct_count")))
+    if other:
+        counted.append(reduce(DataFrame.unionAll, other).distinct().groupBy("column_no").agg(F.count("*").alias("distinct_count")))
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame([(n, *name) for name, n in number.items()], "column_no int, dataset_id string, field string")
+    return reduce(DataFrame.unionByName, counted).join(names, "column_no").drop("column_no")
 
 
 def values_of(tables: dict[str, DataFrame], fields: DataFrame) -> DataFrame:
@@ -97,14 +138,10 @@ def values_of(tables: dict[str, DataFrame], fields: DataFrame) -> DataFrame:
     return all_values({d: tables[d] for d in chosen}, chosen)
 
 
-def profile(tables: dict[str, DataFrame], keyed: DataFrame | None = None) -> DataFrame:
-    """Profile of every column of every table, with null percentage and candidate-key flag.
-
-    ``keyed`` may be a stored result of :func:`keyed_values`.
-    """
+def profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """Profile of every column of every table, with null percentage and candidate-key flag."""
     stats = reduce(DataFrame.unionByName, [column_stats(df, d) for d, df in tables.items()])
-    keys = keyed if keyed is not None else keyed_values(tables)
-    counts = keys.groupBy("dataset_id", "field").agg(F.count("*").alias("distinct_count"))
+    counts = distinct_counts(tables)
     joined = stats.join(counts, ["dataset_id", "field"], "left").fillna(0, ["distinct_count"])
     has_values = F.col("distinct_count") > 0
     real_dates = F.try_to_date(F.col("min_value"), "yyyy-MM-dd").isNotNull() & F.try_to_date(F.col("max_value"), "yyyy-MM-dd").isNotNull()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.operators.catalog.classify import FIELD
+from ledgerlens.operators.catalog.classify import FIELD, Values, read_values
 from ledgerlens.session import shared_checkpoint
 
 MIN_DISTINCT = 2
@@ -38,9 +38,10 @@ def home_keys(candidates: DataFrame) -> DataFrame:
     return candidates.filter("is_unique").withColumn("_rank", best).filter("_rank = 1").drop("_rank")
 
 
-def discover_references(candidates: DataFrame, values: DataFrame) -> DataFrame:
+def discover_references(candidates: DataFrame, values: Values) -> DataFrame:
     """Columns whose values all occur in their group's home key. ``values`` has the distinct (dataset_id, field,
-    key) of :func:`profile.keyed_values`, so values of any length take part.
+    key) of :func:`profile.keyed_values`, or is a function that reads those of the columns named by a frame, so
+    that only columns of a group with a home are read. Values of any length take part.
 
     One join on (group, key): each child value meets at most one home value, so the work is linear in
     the distinct values.
@@ -48,9 +49,13 @@ def discover_references(candidates: DataFrame, values: DataFrame) -> DataFrame:
     candidates = shared_checkpoint(candidates)
     homes = home_keys(candidates).select("key_group", F.col("dataset_id").alias("home_dataset"), F.col("field").alias("home_field"), F.col("basis").alias("home_basis"), F.col("review_state").alias("home_state"))
     members = candidates.join(homes, "key_group").filter(~((F.col("dataset_id") == F.col("home_dataset")) & (F.col("field") == F.col("home_field"))))
+    home_fields = homes.select(F.col("home_dataset").alias("dataset_id"), F.col("home_field").alias("field"), "key_group")
+    # Keys are stored, as children and homes both read them. A home without other members is not read.
+    taking_part = members.select(*FIELD).unionByName(home_fields.join(members.select("key_group"), "key_group", "left_semi").select(*FIELD))
+    values = values if isinstance(values, DataFrame) else shared_checkpoint(read_values(values, taking_part))
     # Columns and homes are as many as the tables have columns.
     child_values = values.join(F.broadcast(members.select(*FIELD, "key_group")), FIELD)
-    home_values = values.join(F.broadcast(homes.select(F.col("home_dataset").alias("dataset_id"), F.col("home_field").alias("field"), "key_group")), FIELD).select("key_group", "key")
+    home_values = values.join(F.broadcast(home_fields), FIELD).select("key_group", "key")
     matched = child_values.join(home_values, ["key_group", "key"], "left_semi").groupBy(*FIELD).agg(F.count("*").alias("matched"))
     by_concept = F.col("key_group").startswith("concept:")
     auto = (F.col("basis") == "classifier") & (F.col("home_basis") == "classifier") & (F.col("review_state") == "auto") & (F.col("home_state") == "auto")

@@ -1,6 +1,6 @@
 """Catalog queries over all test tables.
 
-The harvest (profiles, digests of distinct values, classification) is stored once per session and state of
+The harvest (profiles, classification, references) is stored once per session and state of
 the folder's files; catalog questions read it, as they would read a stored catalog.
 """
 
@@ -45,17 +45,16 @@ def profiled(spark, folder):
 
 
 class Harvest:
-    """A stored catalog: distinct values, profiles, classified fields and references."""
+    """A stored catalog: profiles, classified fields, key candidates and references."""
 
     def __init__(self, spark, folder):
         self.source = tables(spark, folder)
         self.datasets = datasets(spark)
-        keyed = shared_checkpoint(profile.keyed_values(self.source))
         self.values = partial(profile.values_of, self.source)
-        self.profile = shared_checkpoint(profile.profile(self.source, keyed))
+        self.profile = shared_checkpoint(profile.profile(self.source))
         self.fields = classify.classify(self.profile, self.values, VOCABULARY)
         self.candidates = shared_checkpoint(references.candidate_fields(self.fields, self.datasets))
-        self.references = shared_checkpoint(references.discover_references(self.candidates, keyed))
+        self.references = shared_checkpoint(references.discover_references(self.candidates, partial(profile.keyed_values, self.source)))
 
 
 def version(spark, folder) -> int:

@@ -46,7 +46,7 @@ def tables(spark):
 def classified(spark):
     source = tables(spark)
     keyed = shared_checkpoint(profile.keyed_values(source))
-    prof = shared_checkpoint(profile.profile(source, keyed))
+    prof = shared_checkpoint(profile.profile(source))
     values = profile.all_values(source)
     return prof, values, classify.classify(prof, values, VOCABULARY), keyed
 
@@ -58,6 +58,23 @@ def test_profile_counts_empty_text(classified):
     assert prof.filter("field = 'Contract_End_Date'").first().is_date and prof.filter("field = 'Vendor_ID'").first().is_unique
 
 
+def test_distinct_counts_are_exact_for_every_kind(spark):
+    """Signs, block borders, extremes, half units, times, empty and long texts, against plain distinct texts."""
+    from datetime import date, datetime
+    from decimal import Decimal
+
+    long_text = "x" * 31
+    rows = [
+        (i if i % 5 else None, [-(2**63), 2**63 - 1, -1, 0, 63, 64, -64, -65][i % 8], (i % 7) / 4 - 0.00005 * (i % 3), date(1969, 12, 1 + i % 28), datetime(2020, 1, 1, 0, 0, 0, i % 6), ["", "a", long_text, long_text + "x", long_text + "y", None][i % 6], i % 3 == 0, Decimal(i % 9) / 10, None)
+        for i in range(200)
+    ]
+    df = spark.createDataFrame(rows, "a int, b bigint, c double, d date, e timestamp_ntz, f string, g boolean, h decimal(20,2), nothing string")
+    got = {r.field: r.distinct_count for r in profile.distinct_counts({"x": df, "y": df.limit(0)}).collect()}
+    want = {f.name: df.select(profile.as_text(f).alias("t")).filter("t <> ''").distinct().count() for f in profile.text_fields(df)}
+    assert got == {name: n for name, n in want.items() if n}
+    assert profile.profile({"x": df}).filter("field = 'nothing'").first().distinct_count == 0
+
+
 def test_classification_by_name_then_by_value(classified):
     _, _, fields, _ = classified
     got = {(r.dataset_id, r.field): (r.role, r.concept) for r in fields.collect()}
@@ -81,8 +98,7 @@ def test_case_collisions_are_unreviewed(spark):
     try:
         df = spark.createDataFrame([("Acme", "V-001"), ("Bolt", "V-002")], "Vendor_ID string, VENDOR_ID string")
         source = {"wf.people": df.select("Vendor_ID", "VENDOR_ID")}
-        keyed = profile.keyed_values(source)
-        fields = classify.classify(profile.profile(source, keyed), profile.all_values(source), VOCABULARY)
+        fields = classify.classify(profile.profile(source), profile.all_values(source), VOCABULARY)
         rows = {r.field: (r.name_collision, r.concept, r.confidence, r.review_state) for r in fields.collect()}
     finally:
         spark.conf.set("spark.sql.caseSensitive", "false")
@@ -104,8 +120,8 @@ def test_keys_of_any_length_are_found(spark):
         home = spark.createDataFrame([(key(i), f"n{i}") for i in range(20)], "Vendor_ID string, label string")
         child = spark.createDataFrame([(key(i % 7), str(i)) for i in range(30)], "Ref string, n string")
         source = {"clm.master": home, "fin.facts": child}
-        keyed = profile.keyed_values(source)
-        fields = classify.classify(profile.profile(source, keyed), partial(profile.values_of, source), VOCABULARY)
+        keyed = partial(profile.keyed_values, source)
+        fields = classify.classify(profile.profile(source), partial(profile.values_of, source), VOCABULARY)
         shapes = {r.field: r.value_pattern for r in fields.collect()}
         assert shapes["Vendor_ID"] == r"^V-\d{3}" + "x" * (length - 5) + "$"
         as_ids = fields.withColumn("role", F.when(F.col("field").isin("Vendor_ID", "Ref"), "identifier").otherwise(F.col("role"))).withColumn("value_pattern", F.when(F.col("field").isin("Vendor_ID", "Ref"), "p")).withColumn("concept", F.lit(None).cast("string"))
