@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.operators.catalog.references import dataset_links
+
 
 def overview(fields: DataFrame, datasets: DataFrame, links: DataFrame) -> DataFrame:
     """Per system and dataset: rows, fields, mapped, auto, unreviewed, collisions and linked contracts."""
@@ -64,20 +68,48 @@ def datasets_for_anchor(links: DataFrame, datasets: DataFrame, concept: str, anc
     return links.filter((F.col("concept") == concept) & (F.col("anchor") == anchor)).join(datasets.select("dataset_id", "system"), "dataset_id").select("dataset_id", "system", "via_field")
 
 
-def catalog_graph(fields: DataFrame, datasets: DataFrame, references: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The catalog as nodes (class_id, identity) and edges (type, source, target)."""
-    node = lambda df, cls, column: df.select(F.lit(cls).alias("class_id"), F.col(column).cast("string").alias("identity")).distinct()
-    named = fields.withColumn("field_id", F.concat_ws(".", "dataset_id", "field"))
-    nodes = node(datasets, "SourceSystem", "system")
-    for part in (node(datasets, "BusinessDomain", "domain"), node(datasets, "Dataset", "dataset_id"), node(named, "DataField", "field_id"), node(fields.filter("concept IS NOT NULL"), "Concept", "concept"), node(links, "Anchor", "anchor")):
-        nodes = nodes.unionByName(part)
-    edge = lambda df, kind, a, b: df.select(F.lit(kind).alias("type"), F.col(a).alias("source"), F.col(b).alias("target"))
-    across = references.filter("child_dataset <> home_dataset").select("child_dataset", "home_dataset").distinct()
-    pairs = references.select(F.concat_ws(".", "child_dataset", "child_field").alias("a"), F.concat_ws(".", "home_dataset", "home_field").alias("b"))
-    edges = edge(datasets, "PUBLISHES", "system", "dataset_id")
-    for part in (
-        edge(datasets, "IN_DOMAIN", "dataset_id", "domain"), edge(named, "HAS_FIELD", "dataset_id", "field_id"), edge(named.filter("concept IS NOT NULL"), "MAPS_TO", "field_id", "concept"),
-        edge(links, "HAS_RECORDS_FOR", "dataset_id", "anchor"), edge(pairs, "REFERENCES", "a", "b"), edge(across, "JOINABLE_WITH", "child_dataset", "home_dataset"),
-    ):
-        edges = edges.unionByName(part)
-    return nodes, edges
+def catalog_graph(fields: DataFrame, datasets: DataFrame, references: DataFrame, links: DataFrame, parties: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The catalog as nodes (branch, class_id, identity, properties) and edges (branch, type, source_class, source, target_class, target, properties).
+
+    Properties are JSON objects without empty values. The branch is the dataset that a part describes, or "catalog".
+    ``links`` are anchors found in datasets, and ``parties`` (source_class, source, target_class, target) anchors
+    that deal with each other.
+    """
+    shared, none = F.lit("catalog"), F.lit("{}")
+    of = lambda *names: F.to_json(F.struct(*names))
+    field_id = F.concat_ws(".", "dataset_id", "field")
+    anchor_class = F.concat(F.substring_index("concept", ".", 1), F.lit("Anchor"))
+    days = [F.when(F.col("role") == "date", F.col(c)).alias(c) for c in ("min_value", "max_value")]
+    sized = datasets.join(fields.groupBy("dataset_id").agg(F.max("row_count").alias("row_count")), "dataset_id")
+    mapped = fields.filter("concept IS NOT NULL")
+
+    def node(df, branch, cls, identity, properties):
+        return df.select(branch.alias("branch"), cls.alias("class_id"), identity.cast("string").alias("identity"), properties.alias("properties"))
+
+    def edge(df, branch, kind, source, target, properties):
+        ends = [c.cast("string").alias(n) for c, n in zip((*source, *target), ("source_class", "source", "target_class", "target"))]
+        return df.select(branch.alias("branch"), F.lit(kind).alias("type"), *ends, properties.alias("properties"))
+
+    own = F.col("dataset_id")
+    anchors = links.select(anchor_class.alias("cls"), "anchor").unionByName(parties.select(F.col("source_class").alias("cls"), F.col("source").alias("anchor"))).unionByName(
+        parties.select(F.col("target_class").alias("cls"), F.col("target").alias("anchor"))
+    )
+    nodes = [
+        node(datasets.select("system").distinct(), shared, F.lit("SourceSystem"), F.col("system"), none), node(datasets.select("domain").distinct(), shared, F.lit("BusinessDomain"), F.col("domain"), none),
+        node(sized, own, F.lit("Dataset"), own, of("grain", "row_count")), node(fields, own, F.lit("DataField"), field_id, of("position", "role", "distinct_count", *days, "masked", "review_state")),
+        node(mapped.groupBy("concept").agg(F.bool_or("is_key").alias("is_key")), shared, F.lit("Concept"), F.col("concept"), of("is_key")), node(anchors.distinct(), shared, F.col("cls"), F.col("anchor"), none),
+    ]
+    dataset, data_field = (F.lit("Dataset"), own), (F.lit("DataField"), field_id)
+    child, home = F.concat_ws(".", "child_dataset", "child_field"), F.concat_ws(".", "home_dataset", "home_field")
+    ends = [F.col(c) for c in ("source_class", "source", "target_class", "target")]
+    edges = [
+        edge(datasets, own, "PUBLISHES", (F.lit("SourceSystem"), F.col("system")), dataset, none),
+        edge(datasets, own, "IN_DOMAIN", dataset, (F.lit("BusinessDomain"), F.col("domain")), of(F.lit("source_system").alias("basis"))),
+        edge(fields, own, "HAS_FIELD", dataset, data_field, none),
+        edge(mapped, own, "MAPS_TO", data_field, (F.lit("Concept"), F.col("concept")), of("basis")),
+        edge(links, own, "HAS_RECORDS_FOR", dataset, (anchor_class, F.col("anchor")), of("via_field")),
+        edge(references, F.col("child_dataset"), "REFERENCES", (F.lit("DataField"), child), (F.lit("DataField"), home), of("containment_pct", "basis", "confidence", "review_state")),
+        edge(dataset_links(references), F.col("child_dataset"), "JOINABLE_WITH", (F.lit("Dataset"), F.col("child_dataset")), (F.lit("Dataset"), F.col("home_dataset")), of("keys")),
+        edge(parties.distinct(), shared, "ANCHOR_PARTY_TO", ends[:2], ends[2:], none),
+    ]
+    return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)

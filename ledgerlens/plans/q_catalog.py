@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import value_shape
 from ledgerlens.operators import ranking
-from ledgerlens.operators.catalog import classify, profile, questions, references
+from ledgerlens.operators.catalog import classify, identity, profile, questions, references
 from ledgerlens.plans.registry import query
 from ledgerlens.plans.tables import table
 from ledgerlens.plans.vocabulary import DATASETS, VOCABULARY, grain
@@ -369,27 +369,111 @@ PROPOSALS = [
 ]
 
 
-@query(
-    "merge_proposals",
-    sql(*CLASSIFIED, "accepted AS (SELECT * FROM (VALUES ('finance.lineitem', 'l_quantity', 'Part.size', 0.7), ('finance.lineitem', 'l_extendedprice', 'Order.total', 0.95), ('performance.events', 'value', 'Part.price', 0.6)) a(dataset_id, field, p_concept, p_confidence))")
-    + "SELECT dataset_id, field, role, coalesce(p_concept, concept) AS concept, CAST(CASE WHEN p_concept IS NOT NULL THEN p_confidence WHEN concept IS NOT NULL THEN 1.0 END AS DOUBLE) AS confidence, CASE WHEN p_concept IS NOT NULL THEN 'proposed' ELSE basis END AS basis,"
+ACCEPTED = (
+    "accepted AS (SELECT * FROM (VALUES ('finance.lineitem', 'l_quantity', 'Part.size', 0.7), ('finance.lineitem', 'l_extendedprice', 'Order.total', 0.95), ('performance.events', 'value', 'Part.price', 0.6)) a(dataset_id, field, p_concept, p_confidence))"
+)
+MERGED = (
+    "SELECT dataset_id, field, role, coalesce(p_concept, concept) AS concept, CAST(CASE WHEN p_concept IS NOT NULL THEN p_confidence WHEN concept IS NOT NULL THEN 1.0 END AS DOUBLE) AS confidence, CASE WHEN p_concept IS NOT NULL THEN 'proposed' ELSE basis END AS basis,"
     " CASE WHEN (dataset_id, field) IN (('finance.lineitem', 'l_quantity'), ('finance.lineitem', 'l_tax'), ('clm.orders', 'o_orderkey'), ('finance.lineitem', 'l_extendedprice'), ('dependency.part', 'p_type'), ('performance.events', 'value'), ('risk.documents', 'lang')) THEN 'unreviewed' ELSE 'auto' END AS review_state, masked"
-    " FROM classified LEFT JOIN accepted USING (dataset_id, field)",
+    " FROM classified LEFT JOIN accepted USING (dataset_id, field)"
 )
+
+
+def reviewed(spark, h):
+    """The classified fields after the proposals."""
+    proposals = spark.createDataFrame(PROPOSALS, "dataset_id string, field string, class_id string, property_id string, confidence double, seq int")
+    return classify.merge_proposals(h.fields, proposals, VOCABULARY, h.values)
+
+
+@query("merge_proposals", sql(*CLASSIFIED, ACCEPTED) + MERGED)
 def merge_proposals(spark, folder):
+    return reviewed(spark, harvest(spark, folder)).select("dataset_id", "field", "role", F.expr("CASE WHEN class_id IS NOT NULL THEN concat_ws('.', class_id, property_id) END").alias("concept"), "confidence", "basis", "review_state", "masked")
+
+
+PARTIES = "parties AS (SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS supplier, CAST(o_custkey AS VARCHAR) AS customer FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey IS NOT NULL AND o_custkey IS NOT NULL)"
+
+
+def parts_sql(fields: str, tag: str) -> tuple[str, str]:
+    """Nodes and edges of the catalog whose fields the relation ``fields`` holds."""
+    day = lambda c: f"CASE WHEN role = 'date' AND {c} IS NOT NULL THEN '\"{c}\":\"' || {c} || '\",' ELSE '' END"
+    quoted = "'[' || string_agg('\"' || child_field || ' -> ' || home_field || '\"', ',' ORDER BY child_field || ' -> ' || home_field) || ']'"
+    anchors = "SELECT split_part(concept, '.', 1) || 'Anchor' AS cls, anchor FROM links UNION SELECT 'SupplierAnchor', supplier FROM parties UNION SELECT 'CustomerAnchor', customer FROM parties"
+    nodes = (
+        f"nodes{tag} AS (SELECT DISTINCT 'catalog' AS branch, 'SourceSystem' AS class_id, system AS identity, '{{}}' AS properties FROM sole UNION ALL SELECT DISTINCT 'catalog', 'BusinessDomain', domain, '{{}}' FROM sole"
+        f" UNION ALL SELECT dataset_id, 'Dataset', dataset_id, '{{\"grain\":\"' || any_value(grain) || '\",\"row_count\":' || max(row_count) || '}}' FROM {fields} JOIN sole USING (dataset_id) GROUP BY dataset_id"
+        f" UNION ALL SELECT dataset_id, 'DataField', dataset_id || '.' || field, '{{\"position\":' || position || ',\"role\":\"' || role || '\",\"distinct_count\":' || distinct_count || ',' || {day('min_value')} || {day('max_value')} || '\"masked\":' || masked || ',\"review_state\":\"' || review_state || '\"}}' FROM {fields}"
+        f" UNION ALL SELECT 'catalog', 'Concept', concept, '{{\"is_key\":' || bool_or(concept IN (SELECT m.concept FROM mapping m WHERE m.is_identifier)) || '}}' FROM {fields} WHERE concept IS NOT NULL GROUP BY concept UNION ALL SELECT 'catalog', cls, anchor, '{{}}' FROM ({anchors}))"
+    )
+    edges = (
+        f"edges{tag} AS (SELECT dataset_id AS branch, 'PUBLISHES' AS type, 'SourceSystem' AS source_class, system AS source, 'Dataset' AS target_class, dataset_id AS target, '{{}}' AS properties FROM sole"
+        f" UNION ALL SELECT dataset_id, 'IN_DOMAIN', 'Dataset', dataset_id, 'BusinessDomain', domain, '{{\"basis\":\"source_system\"}}' FROM sole UNION ALL SELECT dataset_id, 'HAS_FIELD', 'Dataset', dataset_id, 'DataField', dataset_id || '.' || field, '{{}}' FROM {fields}"
+        f" UNION ALL SELECT dataset_id, 'MAPS_TO', 'DataField', dataset_id || '.' || field, 'Concept', concept, '{{\"basis\":\"' || basis || '\"}}' FROM {fields} WHERE concept IS NOT NULL"
+        f" UNION ALL SELECT dataset_id, 'HAS_RECORDS_FOR', 'Dataset', dataset_id, split_part(concept, '.', 1) || 'Anchor', anchor, '{{\"via_field\":\"' || via_field || '\"}}' FROM links"
+        f" UNION ALL SELECT child_dataset, 'REFERENCES', 'DataField', child_dataset || '.' || child_field, 'DataField', home_dataset || '.' || home_field, '{{\"containment_pct\":' || containment_pct || ',\"basis\":\"' || basis || '\",\"confidence\":' || confidence || ',\"review_state\":\"' || review_state || '\"}}' FROM refs"
+        f" UNION ALL SELECT child_dataset, 'JOINABLE_WITH', 'Dataset', child_dataset, 'Dataset', home_dataset, '{{\"keys\":' || {quoted} || '}}' FROM refs WHERE child_dataset <> home_dataset GROUP BY child_dataset, home_dataset"
+        " UNION ALL SELECT 'catalog', 'ANCHOR_PARTY_TO', 'SupplierAnchor', supplier, 'CustomerAnchor', customer, '{}' FROM parties)"
+    )
+    return nodes, edges
+
+
+def named_parts(tag: str) -> str:
+    return f"parts{tag} AS (SELECT branch, class_id || ' ' || identity AS part, properties FROM nodes{tag} UNION ALL SELECT branch, concat_ws(' ', source_class, source, type, target_class, target), properties FROM edges{tag})"
+
+
+PAYLOAD = (*CLASSIFIED, *HOMES, LINKS, PARTIES, "before AS (SELECT *, 'auto' AS review_state FROM classified)", *parts_sql("before", ""))
+
+
+def payload(spark, folder, fields=None):
+    """Nodes and edges of the catalog, with suppliers as parties to the customers whose orders they deliver."""
     h = harvest(spark, folder)
-    proposals = spark.createDataFrame(PROPOSALS, "dataset_id string, field string, class_id string, property_id string, confidence double, seq int")
-    merged = classify.merge_proposals(h.fields, proposals, VOCABULARY, h.values)
-    return merged.select("dataset_id", "field", "role", F.expr("CASE WHEN class_id IS NOT NULL THEN concat_ws('.', class_id, property_id) END").alias("concept"), "confidence", "basis", "review_state", "masked")
+    lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
+    served = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).filter("l_suppkey IS NOT NULL AND o_custkey IS NOT NULL").select("l_suppkey", "o_custkey").distinct()
+    parties = served.select(F.lit("SupplierAnchor").alias("source_class"), F.col("l_suppkey").cast("string").alias("source"), F.lit("CustomerAnchor").alias("target_class"), F.col("o_custkey").cast("string").alias("target"))
+    return questions.catalog_graph(h.fields if fields is None else fields, h.datasets, h.references, links(spark, folder), parties)
+
+
+@query("catalog_graph", sql(*PAYLOAD) + "SELECT type, source_class, source, target_class, target, properties FROM edges")
+def catalog_graph(spark, folder):
+    return payload(spark, folder)[1].drop("branch")
+
+
+@query("catalog_nodes", sql(*PAYLOAD) + "SELECT class_id, identity, properties FROM nodes")
+def catalog_nodes(spark, folder):
+    return payload(spark, folder)[0].drop("branch")
+
+
+_FOLDED = (
+    named_parts(""), "leaves AS (SELECT branch, ('0x' || substr(sha256(CAST(to_json([branch, part, properties]) AS VARCHAR)), 1, 15))::BIGINT AS leaf FROM parts)",
+    "folded AS (SELECT branch, count(*) AS parts, CAST(sum(leaf) AS DECIMAL(38,0)) AS hash_sum, bit_xor(leaf) AS hash_xor FROM leaves GROUP BY branch)",
+    "root AS (SELECT CAST(sum(parts) AS BIGINT) AS parts, CAST(sum(hash_sum) AS DECIMAL(38,0)) AS hash_sum, bit_xor(hash_xor) AS hash_xor FROM folded)",
+)
 
 
 @query(
-    "catalog_graph",
-    sql(*CLASSIFIED, *HOMES, LINKS)
-    + "SELECT 'PUBLISHES' AS type, system AS source, dataset_id AS target FROM sole UNION ALL SELECT 'IN_DOMAIN', dataset_id, domain FROM sole UNION ALL SELECT 'HAS_FIELD', dataset_id, dataset_id || '.' || field FROM classified"
-    " UNION ALL SELECT 'MAPS_TO', dataset_id || '.' || field, concept FROM classified WHERE concept IS NOT NULL UNION ALL SELECT 'HAS_RECORDS_FOR', dataset_id, anchor FROM links"
-    " UNION ALL SELECT 'REFERENCES', child_dataset || '.' || child_field, home_dataset || '.' || home_field FROM refs UNION ALL SELECT DISTINCT 'JOINABLE_WITH', child_dataset, home_dataset FROM refs WHERE child_dataset <> home_dataset",
+    "catalog_identity",
+    sql(*PAYLOAD, *_FOLDED) + "SELECT branch, parts, CAST(hash_sum AS VARCHAR) AS hash_sum, hash_xor, NULL AS run_id FROM folded"
+    " UNION ALL SELECT NULL, parts, CAST(hash_sum AS VARCHAR), hash_xor, 'harvest-' || substr(sha256(concat_ws(':', CAST(parts AS VARCHAR), CAST(hash_sum AS VARCHAR), CAST(hash_xor AS VARCHAR))), 1, 16) FROM root",
 )
-def catalog_graph(spark, folder):
+def catalog_identity(spark, folder):
+    """Every branch of the hash tree and, without a branch, its root with the run ID."""
+    folded = shared_checkpoint(identity.branches(identity.leaves(*payload(spark, folder))))
+    return folded.withColumn("run_id", F.lit(None).cast("string")).unionByName(identity.run_id(folded).withColumn("branch", F.lit(None).cast("string")))
+
+
+_AFTER = (
+    ACCEPTED, f"merged AS ({MERGED})", "after AS (SELECT c.* REPLACE (m.role AS role, m.concept AS concept, m.basis AS basis, m.masked AS masked), m.review_state FROM classified c JOIN merged m USING (dataset_id, field))",
+    *parts_sql("after", "_after"), named_parts(""), named_parts("_after"),
+)
+
+
+@query(
+    "catalog_changes",
+    sql(*PAYLOAD, *_AFTER) + "SELECT branch, part, CASE WHEN b.properties IS NULL THEN 'added' WHEN a.properties IS NULL THEN 'removed' ELSE 'changed' END AS change FROM parts b FULL JOIN parts_after a USING (branch, part) WHERE b.properties IS DISTINCT FROM a.properties",
+)
+def catalog_changes(spark, folder):
+    """What the proposals change in the catalog."""
     h = harvest(spark, folder)
-    return questions.catalog_graph(h.fields, h.datasets, h.references, links(spark, folder))[1]
+    decided = reviewed(spark, h).select(*classify.FIELD, "role", "class_id", "property_id", F.expr("CASE WHEN class_id IS NOT NULL THEN concat_ws('.', class_id, property_id) END").alias("concept"), "basis", "review_state", "masked")
+    kept = h.fields.drop(*[c for c in decided.columns if c not in classify.FIELD])
+    before, after = (shared_checkpoint(identity.leaves(*payload(spark, folder, f))) for f in (h.fields, kept.join(decided, classify.FIELD)))
+    return identity.changes(before, after)
