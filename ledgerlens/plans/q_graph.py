@@ -380,6 +380,72 @@ def graph_relation_path(spark, folder):
     return traverse.relation_path(used, "Part", "Region")
 
 
+_USED = (
+    "used AS (SELECT 'Nation' AS source, 'IN_REGION' AS type, 'Region' AS target, count(*) AS weight FROM nation UNION ALL SELECT 'Supplier', 'LOCATED_IN', 'Nation', count(*) FROM supplier UNION ALL SELECT 'Customer', 'LOCATED_IN', 'Nation', count(*) FROM customer"
+    " UNION ALL SELECT 'Order', 'OWNED_BY', 'Customer', count(*) FROM orders UNION ALL SELECT 'Supplier', 'DELIVERS', 'Order', count(DISTINCT (l_suppkey, l_orderkey)) FROM lineitem"
+    " UNION ALL SELECT 'Supplier', CASE WHEN l_returnflag = 'R' THEN 'USES_PORTAL' ELSE 'SUPPORTS' END, 'Part', count(DISTINCT (l_suppkey, l_partkey)) FROM lineitem GROUP BY 2)",
+    "onward AS (SELECT source, target, ' -' || type || '-> ' AS arrow, weight FROM used WHERE weight > 0)", "eitherway AS (FROM onward UNION ALL SELECT target, source, ' <-' || type || '- ', weight FROM used WHERE weight > 0)",
+)
+
+
+def _walks(name: str, hops: str) -> str:
+    """All simple paths, of which the least by length and steps is kept per pair."""
+    return (
+        f"{name}_all AS (SELECT source, target, [arrow || target] AS steps_text, [source, target] AS been, weight FROM {hops} UNION ALL SELECT w.source, h.target, list_append(w.steps_text, h.arrow || h.target), list_append(w.been, h.target), least(w.weight, h.weight)"
+        f" FROM {name}_all w JOIN {hops} h ON w.target = h.source WHERE NOT list_contains(w.been, h.target)), {name} AS (SELECT source, target, source || array_to_string(steps_text, '') AS path, CAST(len(steps_text) AS INTEGER) AS steps, weight FROM {name}_all"
+        " QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY len(steps_text), steps_text) = 1)"
+    )
+
+
+@query(
+    "graph_relation_paths",
+    "WITH RECURSIVE " + ", ".join([*_USED, _walks("along", "onward"), _walks("around", "eitherway")])
+    + " SELECT source, target, path, steps, TRUE AS directed, weight FROM along UNION ALL SELECT source, target, path, steps, FALSE, weight FROM around WHERE (source, target) NOT IN (SELECT (source, target) FROM along)",
+)
+def graph_relation_paths(spark, folder):
+    """How any two classes of the vocabulary are related in the data, and how often the rarest relation on the way occurs."""
+    used = edges(spark, folder).groupBy(F.col("src_class").alias("source"), "type", F.col("dst_class").alias("target")).agg(F.count("*").alias("weight"))
+    return traverse.relation_paths(used)
+
+
+def dated_edges(spark, folder):
+    """Customers to orders for 120 days, orders to suppliers for 60 days from shipping, suppliers to nations at any time."""
+    day = lambda c, more=0: F.date_add(F.col(c).cast("date"), more)
+    edge = lambda df, kind, a, b, since, until, quantity: df.select(F.lit(kind).alias("type"), a.alias("src"), b.alias("dst"), since.cast("date").alias("valid_from"), until.cast("date").alias("valid_to"), quantity.cast("double").alias("quantity"))
+    none = F.lit(None)
+    return union([
+        edge(table(spark, folder, "orders"), "OWNS", entity("Customer", "o_custkey"), entity("Order", "o_orderkey"), day("o_orderdate"), day("o_orderdate", 120), none),
+        edge(table(spark, folder, "lineitem"), "DELIVERED_BY", entity("Order", "l_orderkey"), entity("Supplier", "l_suppkey"), day("l_shipdate"), day("l_shipdate", 60), F.col("l_quantity")),
+        edge(table(spark, folder, "supplier"), "LOCATED_IN", entity("Supplier", "s_suppkey"), entity("Nation", "s_nationkey"), none, none, none),
+    ])
+
+
+def _maximal(name: str, rows: str) -> str:
+    return f"{name} AS (SELECT * FROM {rows} x WHERE NOT EXISTS (SELECT 1 FROM {rows} y WHERE y.root = x.root AND y.node = x.node AND y.f <= x.f AND y.t >= x.t AND (y.f < x.f OR y.t > x.t)))"
+
+
+@query(
+    "graph_bfs_dated",
+    with_sql(
+        "held AS (SELECT DISTINCT o_custkey AS root, o_orderkey AS node, CAST(o_orderdate AS DATE) AS f, CAST(o_orderdate AS DATE) + 120 AS t FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus <> 'P')", _maximal("one", "held"),
+        "sent AS (SELECT DISTINCT l_orderkey, l_suppkey, CAST(l_shipdate AS DATE) AS f, CAST(l_shipdate AS DATE) + 60 AS t FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity >= 10 AND s_acctbal > 0)",
+        "met AS (SELECT DISTINCT root, l_suppkey AS node, greatest(o.f, s.f) AS f, least(o.t, s.t) AS t FROM one o JOIN sent s ON o.node = s.l_orderkey WHERE greatest(o.f, s.f) <= least(o.t, s.t))", _maximal("two", "met"),
+        "placed AS (SELECT DISTINCT root, s_nationkey AS node, f, t FROM two JOIN supplier ON node = s_suppkey)", _maximal("three", "placed"),
+        f"found AS (SELECT {ek('Customer', 'c_custkey')} AS root, {ek('Customer', 'c_custkey')} AS node, 0 AS depth, NULL::DATE AS f, NULL::DATE AS t FROM customer UNION ALL SELECT {ek('Customer', 'root')}, {ek('Order', 'node')}, 1, f, t FROM one"
+        f" UNION ALL SELECT {ek('Customer', 'root')}, {ek('Supplier', 'node')}, 2, f, t FROM two UNION ALL SELECT {ek('Customer', 'root')}, {ek('Nation', 'node')}, 3, f, t FROM three)",
+    )
+    + "SELECT root, node, depth, CAST(f AS VARCHAR) AS valid_from, CAST(t AS VARCHAR) AS valid_to FROM found",
+)
+def graph_bfs_dated(spark, folder):
+    """Orders, suppliers in credit and nations that every customer reaches by large deliveries in effect together."""
+    allowed = union([
+        orders(spark, folder).filter("o_orderstatus <> 'P'").select(entity("Order", "o_orderkey").alias("key")), table(spark, folder, "supplier").filter("s_acctbal > 0").select(entity("Supplier", "s_suppkey").alias("key")),
+        table(spark, folder, "nation").select(entity("Nation", "n_nationkey").alias("key")),
+    ])
+    start = table(spark, folder, "customer").select(entity("Customer", "c_custkey").alias("key"))
+    return traverse.bfs_in_time(start, dated_edges(spark, folder), 3, node_filter=allowed, edge_filter=F.coalesce(F.col("quantity") >= 10, F.lit(True)))
+
+
 def thread_graph(spark, folder):
     """Conversation turns linked in a chain, and orders linked to their customers."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn")

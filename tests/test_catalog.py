@@ -137,3 +137,21 @@ def test_catalog_queries_work_after_release(spark, small):
     before = sorted(map(str, entry.queries()["describe_dataset"](spark, small).collect()))
     release(spark)
     assert sorted(map(str, entry.queries()["describe_dataset"](spark, small).collect())) == before
+
+
+def test_catalog_identity_ignores_order_and_finds_changes(spark):
+    from ledgerlens.operators.catalog import identity
+
+    node_rows = [("d1", "Dataset", "d1", "{}"), ("d1", "DataField", "d1.a", '{"role":"text"}'), ("d2", "Dataset", "d2", "{}"), ("catalog", "Concept", "C.x", "{}")]
+    edge_rows = [("d1", "HAS_FIELD", "Dataset", "d1", "DataField", "d1.a", "{}"), ("catalog", "ANCHOR_PARTY_TO", "A", "1", "B", "1", "{}")]
+    as_nodes = lambda rows: spark.createDataFrame(rows, "branch string, class_id string, identity string, properties string")
+    as_edges = lambda rows: spark.createDataFrame(rows, "branch string, type string, source_class string, source string, target_class string, target string, properties string")
+    run = lambda n, e: identity.run_id(identity.branches(identity.leaves(as_nodes(n), as_edges(e)))).first()
+    first = run(node_rows, edge_rows)
+    assert first.parts == 6 and first.run_id == run(node_rows[::-1], edge_rows[::-1]).run_id
+    changed = [node_rows[0], ("d1", "DataField", "d1.a", '{"role":"date"}'), ("d1", "DataField", "d1.b", "{}"), node_rows[2]]
+    assert run(changed, edge_rows).run_id != first.run_id
+    before, after = identity.leaves(as_nodes(node_rows), as_edges(edge_rows)), identity.leaves(as_nodes(changed), as_edges(edge_rows))
+    found = {(r.branch, r.part, r.change) for r in identity.changes(before, after).collect()}
+    assert found == {("d1", "DataField d1.a", "changed"), ("d1", "DataField d1.b", "added"), ("catalog", "Concept C.x", "removed")}
+    assert identity.changes(before, before).count() == 0 and run([], []).parts == 0

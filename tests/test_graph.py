@@ -205,3 +205,50 @@ def test_evidence_of_nodes_and_relationships(spark):
         ("node", "N1", "citation", 1, "D1", True), ("node", "N1", "citation", 2, None, True), ("edge", "E1", "citation", 1, "D9", False), ("edge", "E1", "citation", 2, "D1", False),
         ("node", "N1", "document", 1, "D1", False), ("edge", "E1", "document", 1, "D1", False), ("node", "N1", "evidenced_by", 1, "D1", True), ("node", "N1", "evidenced_by", 2, "D2", True),
     }
+
+
+def test_paths_end_when_their_edges_are_never_in_effect_together(spark):
+    """Against all walks written out: open ends, touching days, contained intervals, cycles, filters, dead edges."""
+    from datetime import date
+    from itertools import product
+
+    day = lambda n: None if n is None else date(2024, 1, n)
+    rows = [
+        ("a", "b", 1, 10), ("a", "b", 3, 5), ("a", "b", 8, 20), ("b", "c", 10, 12), ("b", "c", None, 2), ("b", "c", 21, None), ("c", "a", 1, 30), ("a", "c", 11, 11), ("c", "d", None, None), ("d", "e", 9, 3),
+        ("d", "f", 2, 2), ("b", "x", 1, 30), ("f", "g", 2, None), (None, "b", 1, 2), ("c", "c", 1, 30), ("a", "b", 1, 10),
+    ]
+    edges = spark.createDataFrame([(s, t, "R", day(f), day(u)) for s, t, f, u in rows], "src string, dst string, type string, valid_from date, valid_to date")
+    start = spark.createDataFrame([("a",), ("d",), ("nowhere",)], "key string")
+    entered = spark.createDataFrame([(k,) for k in "abcdefg"], "key string")
+
+    def brute(depth):
+        low, high = 0, 99
+        found = {(r, r): [(0, low, high)] for r in ("a", "d", "nowhere")}
+        level = [(r, r, low, high) for r in ("a", "d", "nowhere")]
+        for d in range(1, depth + 1):
+            walked = {(r, t, max(f, low if ef is None else ef), min(u, high if eu is None else eu)) for (r, n, f, u), (s, t, ef, eu) in product(level, rows) if s == n and t in "abcdefg" and (ef or low) <= (high if eu is None else eu)}
+            walked = {w for w in walked if w[2] <= w[3]}
+            kept = {w for w in walked if not any(o != w and o[:2] == w[:2] and o[2] <= w[2] and o[3] >= w[3] for o in walked) and not any(f <= w[2] and u >= w[3] for _, f, u in found.get(w[:2], []))}
+            for r, n, f, u in kept:
+                found.setdefault((r, n), []).append((d, f, u))
+            level = list(kept)
+        return {(r, n, d, day(f or None), day(None if u == high else u)) for (r, n), xs in found.items() for d, f, u in xs}
+
+    for depth in (0, 1, 3, 6):
+        got = traverse.bfs_in_time(start, edges, depth, types=["R"], node_filter=entered, edge_filter=F.col("src").isNotNull()).collect()
+        assert len(got) == len(set(map(tuple, got))) and {tuple(r) for r in got} == brute(depth), depth
+    assert traverse.bfs_in_time(start.limit(0), edges, 3).count() == 0 and traverse.bfs_in_time(start, edges.limit(0), 3).count() == 3
+
+
+def test_relation_paths_of_all_pairs(spark):
+    chain = [(f"C{i:02d}", "LEADS_TO", f"C{i + 1:02d}", 10 + i) for i in range(9)]
+    rows = [*chain, ("C00", "SKIPS", "C05", 3), ("C00", "ALSO", "C05", 4), ("C02", "SELF", "C02", 1)]
+    relations = spark.createDataFrame(rows, "source string, type string, target string, weight bigint")
+    got = {(r.source, r.target): r for r in traverse.relation_paths(relations).collect()}
+    assert len(got) == 90 and all(s != t for s, t in got)
+    assert got["C00", "C05"].path == "C00 -ALSO-> C05" and got["C00", "C05"].weight == 4
+    assert (got["C01", "C09"].steps, got["C01", "C09"].directed, got["C01", "C09"].weight) == (8, True, 11)
+    assert got["C05", "C00"].path == "C05 <-ALSO- C00" and not got["C05", "C00"].directed
+    for source, target in (("C00", "C09"), ("C09", "C03"), ("C04", "C00")):
+        single = traverse.relation_path(relations, source, target).first()
+        assert (single.path, single.steps) == (got[source, target].path, got[source, target].steps)
