@@ -187,6 +187,19 @@ def test_overlap_of_many_vendors_on_one_key(spark):
     assert overlap.overlap_pairs(df).count() == 44_850 and overlap.overlap_for_vendor(df, 7).count() == 299
 
 
+def test_overlap_pairs_by_blocks(spark):
+    """Blocks of two vendors give the pairs of every organization, each once, with the context of both sides."""
+    index = [(v, v % 2, "product", "P") for v in range(12)] + [(v, v % 2, "application", f"A{v // 4}") for v in range(12)] + [(3, 1, "product", "P")]
+    index += [(12, 0, "service", "S"), (13, 1, "service", "S"), (14, None, "product", "P"), (None, 0, "product", "P")]
+    df = spark.createDataFrame(index, "vendor_id int, organization_id int, kind string, key string")
+    context = spark.createDataFrame([(v, v * 10) for v in range(5)], "vendor_id int, amount int")
+    found = overlap.overlap_pairs(df, ["organization_id"], context, block=2)
+    assert found.columns == ["organization_id", "vendor_a", "vendor_b", "shared_products", "shared_applications", "shared_services", "amount_a", "amount_b"]
+    own = lambda v: v * 10 if v < 5 else None
+    wanted = [(a % 2, a, b, ["P"], [f"A{a // 4}"] if a // 4 == b // 4 else [], [], own(a), own(b)) for a in range(12) for b in range(a + 1, 12) if a % 2 == b % 2]
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+
+
 def test_cents_are_rounded_once_from_the_digits(spark):
     from decimal import ROUND_HALF_UP, Decimal, localcontext
 
