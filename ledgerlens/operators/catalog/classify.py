@@ -65,20 +65,22 @@ def value_facts(values: Values, profile: DataFrame, ontology: Ontology) -> DataF
     """Identifier facts and the shared shape of every column that has values, in one pass over its values.
 
     A column whose least or greatest value is no identifier, and whose two have different digit masks, can
-    have neither, so only the other columns are read. Values share a shape if their digit masks are equal: the
-    least and the greatest digest of the masks decide, and values of any length are combined on the map side.
+    have neither, so only the other columns are read, and columns whose profile tells the shape only for
+    identifiers. Values share a shape if all have the digit mask of the least; truth values combine on the map side.
     """
     identifier = lambda name: reduce(Column.__or__, class_tests(F.col(name), ontology).values(), F.lit(False))
-    likely = (identifier("min_value") & identifier("max_value")) | (digit_mask(F.col("min_value")) == digit_mask(F.col("max_value")))
+    named = identifier("min_value") & identifier("max_value")
+    known = F.col("one_shape") if "one_shape" in profile.columns else F.lit(None).cast("boolean")
+    likely = named | (known.isNull() & (digit_mask(F.col("min_value")) == digit_mask(F.col("max_value"))))
     # One row per column: as many as the tables have columns.
-    candidates = profile.filter(likely).select(*FIELD)
+    candidates = profile.filter(likely).select(*FIELD, digit_mask(F.col("min_value")).alias("_mask"))
     every, only = identifier_aggregates(F.col("value"), ontology)
-    mask = F.sha2(digit_mask(F.col("value")), 256)
     rows = read_values(values, candidates).join(F.broadcast(candidates), FIELD)
-    facts = rows.groupBy(*FIELD).agg(every.alias("all_identifiers"), only.alias("value_class"), (F.min(mask) == F.max(mask)).alias("one_shape"))
+    facts = rows.groupBy(*FIELD).agg(every.alias("all_identifiers"), only.alias("value_class"), F.bool_and(digit_mask(F.col("value")) == F.col("_mask")).alias("_one"))
     shape = value_shape(F.col("min_value"))
-    joined = profile.filter("distinct_count > 0").select(*FIELD, "min_value").join(F.broadcast(facts), FIELD, "left")
-    return joined.select(*FIELD, F.coalesce("all_identifiers", F.lit(False)).alias("all_identifiers"), "value_class", F.when(F.col("one_shape") & F.contains(shape, F.lit(r"\d")), shape).alias("value_pattern"))
+    joined = profile.filter("distinct_count > 0").select(*FIELD, "min_value", known.alias("_known")).join(F.broadcast(facts), FIELD, "left")
+    one = F.coalesce("_known", "_one")
+    return joined.select(*FIELD, F.coalesce("all_identifiers", F.lit(False)).alias("all_identifiers"), "value_class", F.when(one & F.contains(shape, F.lit(r"\d")), shape).alias("value_pattern"))
 
 
 def name_mapping(fields: DataFrame, ontology: Ontology) -> DataFrame:
@@ -173,7 +175,7 @@ def classify(profile: DataFrame, values: Values, ontology: Ontology) -> DataFram
     shown = ~F.col("masked")
     patterned = shared_checkpoint(result.withColumn("value_pattern", F.when(F.col("role").isin("identifier", "date", "dimension"), F.col("value_pattern"))))
     small = patterned.filter(shown & (F.col("role") == "dimension") & F.col("distinct_count").between(1, MAX_VALUE_SET)).select(*FIELD)
-    sets = read_values(values, small).join(F.broadcast(small), FIELD, "left_semi").groupBy(*FIELD).agg(F.array_sort(F.collect_set("value")).alias("value_set"))
+    sets = read_values(values, small).join(F.broadcast(small), FIELD, "left_semi").distinct().groupBy(*FIELD).agg(F.array_sort(F.collect_set("value")).alias("value_set"))
     classified = patterned.join(sets, FIELD, "left").select(
         *FIELD, "position", "data_type", "row_count", "distinct_count", "null_pct", "is_unique", "min_value", "max_value", "role", "class_id", "property_id",
         F.when(mapped, F.concat_ws(".", "class_id", "property_id")).alias("concept"), F.coalesce("is_key", F.lit(False)).alias("is_key"), "domain",

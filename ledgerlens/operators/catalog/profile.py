@@ -1,7 +1,7 @@
 """Column profiles and distinct values.
 
-Statistics that combine on the map side (counts, extremes, lengths, all-numeric, all-date) come from one
-wide aggregate per table. Exact distinct counts come from a second pass. Whole numbers, dates, times and
+Statistics of texts that combine on the map side (counts, extremes, lengths, all-numeric, all-date) come from one
+wide aggregate per table; those of numbers and dates follow from the keys of the distinct count. Exact distinct counts come from a second pass. Whole numbers, dates, times and
 fixed-point amounts are marked in bit sets of 64 neighbours, so dense keys shuffle one row per 64 values.
 Other values shuffle as themselves while they are short and as their digest beyond that, so values of any
 length are counted. Only columns that can be keys are stored value by value.
@@ -15,8 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerlens.functions.text import digit_mask
+
 NUMERIC = "^-?[0-9]+([.][0-9]+)?$"
 ISO_DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
+STATS = "struct<empty_count: bigint, min_value: string, max_value: string, max_length: int, all_numeric: boolean, all_dates: boolean>"
 
 
 def as_text(field: T.StructField) -> Column:
@@ -54,10 +57,27 @@ def whole_key(field: T.StructField) -> Column | None:
     if isinstance(field.dataType, T.DateType):
         return F.unix_date(value).cast("long")
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-        return (value.cast("decimal(18,4)") * 10000).cast("long")
+        # Most doubles are far from the middle of two steps, where one multiplication rounds as the decimal does.
+        scaled = value.cast("double") * 10000
+        near = (F.abs(value) < 1e9) & (F.abs(scaled - F.rint(scaled)) < 0.49)
+        return F.when(near, F.rint(scaled).cast("long")).otherwise((value.cast("decimal(18,4)") * 10000).cast("long"))
     return None
 
 
+def whole_class(key: Column, data_type: Column) -> Column:
+    """A class of the whole keys of a column, an interval: inside one, texts have one digit mask, and their order is that of the keys or its reverse."""
+    day = F.date_from_unix_date(key.cast("int"))
+    usual = day.between(F.lit("0001-01-01").cast("date"), F.lit("9999-12-31").cast("date"))
+    return F.when(data_type == "date", F.when(usual, 1_000_000_000).otherwise(F.year(day))).otherwise(F.length(key.cast("string")) * 2 + (key < 0).cast("int"))
+
+
+def whole_text(key: Column, data_type: Column) -> Column:
+    """The text at rest of a whole key of a column of the named type."""
+    fraction = (key.cast("decimal(20,0)") * F.lit("0.0001").cast("decimal(5,4)")).cast("decimal(18,4)").cast("string")
+    day = F.when(data_type == "date", F.date_from_unix_date(key.cast("int")).cast("string"))
+    return F.when(data_type.isin("double", "float"), fraction).otherwise(F.coalesce(day, key.cast("string")))
+
+
 def stats_sql(field: T.StructField, text: str) -> str:
     """The statistics of one text column as a struct. Typed columns need no pattern matching."""
     present = f"nullif({text}, '')"
@@ -74,11 +94,14 @@ def stats_sql(field: T.StructField, text: str) -> str:
 
 
 def column_stats(df: DataFrame, dataset_id: str) -> DataFrame:
-    """One row per column from one aggregate without a shuffle of values."""
+    """One row per column from one aggregate without a shuffle of values; statistics of whole columns are NULL here."""
     fields = text_fields(df)
-    texts = df.select(*[as_text(f).alias(f"t{i}") for i, f in enumerate(fields)])
-    wide = texts.selectExpr("count(*) AS row_count", *[f"{stats_sql(f, f't{i}')} AS c{i}" for i, f in enumerate(fields)])
-    rows = ", ".join(f"struct('{f.name}' AS field, {i + 1} AS position, '{f.dataType.simpleString()}' AS data_type, c{i} AS stats)" for i, f in enumerate(fields))
+    read = [(i, f) for i, f in enumerate(fields) if whole_key(f) is None]
+    texts = df.select(*[as_text(f).alias(f"t{i}") for i, f in read])
+    wide = texts.selectExpr("count(*) AS row_count", *[f"{stats_sql(f, f't{i}')} AS c{i}" for i, f in read])
+    wide = wide.selectExpr("*", f"CAST(NULL AS {STATS}) AS c")
+    text = {i for i, _ in read}
+    rows = ", ".join(f"struct('{f.name}' AS field, {i + 1} AS position, '{f.dataType.simpleString()}' AS data_type, {f'CAST(c{i} AS {STATS})' if i in text else 'c'} AS stats)" for i, f in enumerate(fields))
     return wide.selectExpr(f"'{dataset_id}' AS dataset_id", "row_count", f"inline(array({rows}))").selectExpr("dataset_id", "row_count", "field", "position", "data_type", "stats.*")
 
 
@@ -100,29 +123,51 @@ def keyed_values(tables: dict[str, DataFrame], fields: DataFrame | None = None)
 
 
 def distinct_counts(tables: dict[str, DataFrame]) -> DataFrame:
-    """(dataset_id, field, distinct_count) of every scalar column with a value, exact.
+    """(dataset_id, field, distinct_count) of every scalar column with a value, exact, with the statistics of whole columns.
 
     Columns are numbered, so a shuffled row is a number and a key. A whole key is a bit in the set of its 64
     neighbours: a dense column shuffles a 64th of its values, a sparse one as many short rows as it has values.
+    The least and the greatest key of each class give the extremes of the texts, so no text is made for a row.
     """
     columns = [(dataset_id, f) for dataset_id, df in tables.items() for f in text_fields(df)]
     number = {(dataset_id, f.name): i for i, (dataset_id, f) in enumerate(columns)}
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame([(number[d, f.name], d, f.name, f.dataType.simpleString()) for d, f in columns], "column_no int, dataset_id string, field string, _type string")
     whole, other = [], []
     for dataset_id, df in tables.items():
-        for keys, parts in ((lambda f: whole_key(f), whole), (lambda f: value_key(F.nullif(as_text(f), F.lit(""))) if whole_key(f) is None else None, other)):
-            entries = [(number[dataset_id, f.name], keys(f)) for f in text_fields(df)]
-            entries = [F.struct(F.lit(n).alias("column_no"), key.alias("key")) for n, key in entries if key is not None]
+        fields = [(number[dataset_id, f.name], f, whole_key(f)) for f in text_fields(df)]
+        numbers = [F.struct(F.lit(n).alias("column_no"), key.alias("key")) for n, f, key in fields if key is not None]
+        texts = [F.struct(F.lit(n).alias("column_no"), value_key(F.nullif(as_text(f), F.lit(""))).alias("key")) for n, f, key in fields if key is None]
+        for entries, parts in ((numbers, whole), (texts, other)):
             if entries:
                 parts.append(df.select(F.inline(F.array(*entries))).filter("key IS NOT NULL"))
     counted = []
     if whole:
-        marks = reduce(DataFrame.unionAll, whole).groupBy("column_no", F.shiftright("key", 6).alias("block")).agg(F.expr("bit_or(shiftleft(1L, CAST(key & 63 AS INT)))").alias("bits"))
-        counted.append(marks.groupBy("column_no").agg(F.sum(F.bit_count("bits")).alias("distinct_count")))
+        marks = reduce(DataFrame.unionAll, whole).groupBy("column_no", F.shiftright("key", 6).alias("block")).agg(
+            F.expr("bit_or(shiftleft(1L, CAST(key & 63 AS INT)))").alias("bits"), F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most")
+        )
+        marks = marks.join(F.broadcast(names), "column_no")
+        # A set of neighbours is in one class but for the few sets with a border of classes inside; those are taken key by key.
+        one = whole_class(F.col("least"), F.col("_type")) == whole_class(F.col("most"), F.col("_type"))
+        entry = lambda least, most, n, d: F.struct(least.alias("least"), most.alias("most"), n.alias("n"), d.alias("d"))
+        marked = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.expr("bits").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)
+        each = F.transform(marked, lambda i, at: entry(F.shiftleft("block", 6) + i, F.shiftleft("block", 6) + i, F.when(at == 0, F.col("n")).otherwise(0), F.lit(1)))
+        entries = marks.select("column_no", "_type", F.inline(F.when(one, F.array(entry(F.col("least"), F.col("most"), F.col("n"), F.bit_count("bits")))).otherwise(each)))
+        classes = entries.groupBy("column_no", "_type", whole_class(F.col("least"), F.col("_type")).alias("class")).agg(
+            F.sum("d").alias("d"), F.sum("n").alias("n"), F.min("least").alias("least"), F.max("most").alias("most")
+        )
+        ends = classes.select("column_no", "d", "n", whole_text(F.col("least"), F.col("_type")).alias("a"), whole_text(F.col("most"), F.col("_type")).alias("b"))
+        counted.append(
+            ends.groupBy("column_no").agg(
+                F.sum("d").alias("distinct_count"), F.sum("n").alias("_present"), F.min(F.least("a", "b")).alias("_min"), F.max(F.greatest("a", "b")).alias("_max"),
+                F.max(F.greatest(F.length("a"), F.length("b"))).alias("_length"), (F.min(digit_mask(F.col("a"))) == F.max(digit_mask(F.col("a")))).alias("one_shape"),
+            )
+        )
     if other:
         counted.append(reduce(DataFrame.unionAll, other).distinct().groupBy("column_no").agg(F.count("*").alias("distinct_count")))
-    spark = next(iter(tables.values())).sparkSession
-    names = spark.createDataFrame([(n, *name) for name, n in number.items()], "column_no int, dataset_id string, field string")
-    return reduce(DataFrame.unionByName, counted).join(names, "column_no").drop("column_no")
+    for name, kind in (("_present", "long"), ("_min", "string"), ("_max", "string"), ("_length", "int"), ("one_shape", "boolean")):
+        counted = [c if name in c.columns else c.withColumn(name, F.lit(None).cast(kind)) for c in counted]
+    return reduce(DataFrame.unionByName, counted).join(names, "column_no").drop("column_no", "_type")
 
 
 def values_of(tables: dict[str, DataFrame], fields: DataFrame) -> DataFrame:
@@ -139,17 +184,28 @@ def values_of(tables: dict[str, DataFrame], fields: DataFrame) -> DataFrame:
 
 
 def profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """Profile of every column of every table, with null percentage and candidate-key flag."""
+    """Profile of every column of every table, with null percentage and candidate-key flag.
+
+    ``one_shape`` tells whether all texts of a whole column have one digit mask; for other columns it is NULL.
+    """
     stats = reduce(DataFrame.unionByName, [column_stats(df, d) for d, df in tables.items()])
     counts = distinct_counts(tables)
     joined = stats.join(counts, ["dataset_id", "field"], "left").fillna(0, ["distinct_count"])
     has_values = F.col("distinct_count") > 0
+    # Whole columns have no statistics from texts: theirs follow from the keys, and from the type.
+    joined = joined.withColumns(
+        {
+            "empty_count": F.coalesce("empty_count", F.col("row_count") - F.coalesce("_present", F.lit(0))), "min_value": F.coalesce("min_value", "_min"), "max_value": F.coalesce("max_value", "_max"),
+            "max_length": F.coalesce("max_length", "_length", F.lit(0)), "all_numeric": F.coalesce("all_numeric", F.col("data_type") != "date"), "all_dates": F.coalesce("all_dates", F.col("data_type") == "date"),
+        }
+    )
     real_dates = F.try_to_date(F.col("min_value"), "yyyy-MM-dd").isNotNull() & F.try_to_date(F.col("max_value"), "yyyy-MM-dd").isNotNull()
     return joined.select(
         "dataset_id", "field", "position", "data_type", "row_count", "empty_count", "distinct_count", "min_value", "max_value", "max_length",
         (F.col("all_numeric") & has_values).alias("is_numeric"), F.when(F.col("all_dates") & has_values, real_dates).otherwise(False).alias("is_date"),
         F.when(F.col("row_count") > 0, F.round(F.col("empty_count") * 100 / F.col("row_count"), 2)).otherwise(0.0).alias("null_pct"),
         ((F.col("row_count") > 0) & (F.col("empty_count") == 0) & (F.col("distinct_count") == F.col("row_count"))).alias("is_unique"),
+        "one_shape",
     )
 
 

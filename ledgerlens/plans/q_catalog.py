@@ -129,7 +129,7 @@ def sql(*extra: str) -> str:
     sql() + "SELECT dataset_id, field, position, data_type, row_count, empty_count, distinct_count, min_value, max_value, max_length, is_numeric, is_date, round(raw_pct, 2) AS null_pct, is_unique FROM prof",
 )
 def column_profile(spark, folder):
-    return profiled(spark, folder)
+    return profiled(spark, folder).drop("one_shape")
 
 
 @query(
@@ -162,7 +162,10 @@ _SHAPE = (
     " SELECT dataset_id, field, CASE WHEN min(shape) = max(shape) AND contains(min(shape), '\\d') THEN min(shape) END AS value_pattern FROM shaped GROUP BY 1, 2",
 )
 def shapes(spark, folder):
-    return classify.value_patterns(profile.all_values(tables(spark, folder)))
+    """The profile tells the shape of numbers and dates; texts are read where the least and the greatest have one mask."""
+    source = tables(spark, folder)
+    facts = classify.value_facts(partial(profile.values_of, source), shared_checkpoint(profile.profile(source)), VOCABULARY)
+    return facts.select("dataset_id", "field", "value_pattern")
 
 
 @query(

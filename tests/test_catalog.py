@@ -75,6 +75,30 @@ def test_distinct_counts_are_exact_for_every_kind(spark):
     assert profile.profile({"x": df}).filter("field = 'nothing'").first().distinct_count == 0
 
 
+def test_statistics_of_numbers_and_dates_are_those_of_their_texts(spark):
+    """Signs, lengths, half units, extremes and odd years, against plain texts; shapes without a sort of the values."""
+    rows = [
+        ([-(2**63), 2**63 - 1, -1, 0, 9, 10, -10, -9, 100, None][i % 10], 100 + i, [0.00005, -0.00005, 2.5, 9.99995, 10.0, -0.0, 1e9 + 0.5, 123456.78905, None][i % 9], i / 100, [f"{y:04}-12-{1 + i % 28:02}" for y in (1, 1969, 9999)][i % 3])
+        for i in range(270)
+    ]
+    df = spark.createDataFrame(rows, "a bigint, b int, c double, d double, e string").withColumn("e", F.col("e").cast("date")).withColumn("f", F.make_date(F.lit(9999) + F.col("b"), F.lit(1), F.lit(2)))
+    df = df.withColumn("g", F.col("c").cast("float")).withColumn("h", F.lit(None).cast("int"))
+    prof = profile.profile({"x": df})
+    got = {r.field: r for r in prof.collect()}
+    for f in profile.text_fields(df):
+        texts = [r.t for r in df.select(profile.as_text(f).alias("t")).collect()]
+        some = [t for t in texts if t is not None]
+        row = got[f.name]
+        want = (len(texts), len(texts) - len(some), len(set(some)), min(some, default=None), max(some, default=None), max(map(len, some), default=0))
+        assert (row.row_count, row.empty_count, row.distinct_count, row.min_value, row.max_value, row.max_length) == want, f.name
+        masks = {"".join("0" if c.isdigit() else c for c in t) for t in some}
+        assert (row.one_shape, row.is_numeric) == ((len(masks) == 1, f.name not in "ef") if some else (None, False)), f.name
+    facts = classify.value_facts(partial(profile.values_of, {"x": df.withColumn("v", F.lit("V-001"))}), shared_checkpoint(profile.profile({"x": df.withColumn("v", F.lit("V-001"))})), VOCABULARY)
+    day = r"-\d{2}-\d{2}$"
+    assert {r.field: r.value_pattern for r in facts.filter("value_pattern IS NOT NULL").collect()} == {"b": r"^\d{3}$", "d": r"^\d{1}\.\d{4}$", "e": r"^\d{4}" + day, "f": r"^\+\d{5}" + day, "v": r"^V-\d{3}$"}
+    assert "SortAggregate" not in facts._jdf.queryExecution().sparkPlan().toString()
+
+
 def test_classification_by_name_then_by_value(classified):
     _, _, fields, _ = classified
     got = {(r.dataset_id, r.field): (r.role, r.concept) for r in fields.collect()}
