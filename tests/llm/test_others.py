@@ -137,6 +137,40 @@ def test_repeated_urls_count_once(spark):
     assert figures[0] == figures[1] and any(v[0] for v in figures[0].values())
 
 
+def test_every_labelled_url_is_learned_from(spark):
+    """The scores and the cut are those of a plain model of all labelled urls, more than any earlier bound took."""
+    n = 30_000
+    urls = spark.range(n).select(F.when(F.col("id") % 2 == 0, F.concat(F.lit("https://w.org/"), F.hex("id"))).otherwise(F.concat(F.lit("https://x.com/de/"), F.hex(F.col("id") * 37))).alias("url"))
+    urls = [r.url for r in urls.collect()] + [f"https://o{i}.net/{i}é" for i in range(40)] + ["https://other.net/"] * 3 + ["https://é", "none"]
+    urls += [f"https://w.org/{i}/more" for i in range(30_000)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(5)
+    held = {r.url for r in df.where(F.pmod(F.xxhash64(F.lit(3), "url"), F.lit(url_filter.HELD_OUT)) == 0).collect()}
+    models = {}
+    for label, mark in ((True, "w.org"), (False, "x.com")):
+        counts = {}
+        for u in {u for u in urls if mark in u} - held:
+            for context, gram in url_filter._grams(url_filter.scored_part(u), url_filter.ORDER):
+                for key in zip(url_filter.K.signed(context).tolist(), url_filter.K.signed(gram).tolist(), strict=True):
+                    counts[key] = counts.get(key, 0) + 1
+        models[label] = url_filter.CharacterModel(*(np.array(x) for x in (*zip(*counts, strict=True), list(counts.values()))))
+    got = url_filter.judge(df).collect()
+    assert len(got) == len(urls) and any(r.score for r in got)
+    for r in got:
+        assert (r.score is None) == (r.rule is not None)
+        assert r.rule or abs(r.score - url_filter.score(r.url, models, url_filter.ORDER)) < 1e-8, r.url
+
+
+def test_cut_of_scores(spark):
+    """The distributed cut is the best one over all places between scores."""
+    r = random.Random(5)
+    for n in (0, 1, 2, 9, 300):
+        rows = [(r.randrange(-9, 9) / 8, r.random() < 0.5) for _ in range(n)]
+        cut = url_filter.threshold(spark.createDataFrame(rows, "score double, accepted boolean").repartition(3))
+        yes, no = sum(a for _, a in rows), sum(not a for _, a in rows)
+        gain = lambda c: sum((yes if not a else -no) for s, a in rows if s < c)  # noqa: E731, B023
+        assert gain(cut) == max(gain(c) for c in [cut, *(s for s, _ in rows), 9.0]) if yes and no else cut == 0.0
+
+
 def test_character_model_is_normalised():
     order = 2
     counts = {}
