@@ -1,8 +1,9 @@
-"""Shuffles of scans in parts of bounded size."""
+"""Shuffles of scans in parts of bounded size, and the vendor keys that are read from them."""
 
 import re
 
-from ledgerlens.plans import load_all
+from ledgerlens.operators import overlap
+from ledgerlens.plans import load_all, q_portfolio
 from ledgerlens.session import in_parts
 
 
@@ -25,3 +26,12 @@ def test_lines_of_the_vendor_view_are_dealt_before_they_are_grouped(spark):
     plan = load_all()[0]["vendor_360"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     dealt = re.findall(r"Exchange hashpartitioning\((\w+)[^\n]*REPARTITION_BY_NUM", plan)
     assert {"o_orderkey", "vendor_id"} <= set(dealt)
+
+
+def test_applications_without_a_described_part_are_keys(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, 10), (2, 10), (1, 77), (2, 77), (1, 77), (3, None)], "l_suppkey long, l_partkey long").write.parquet(f"{folder}/lineitem.parquet")
+    spark.createDataFrame([(10, "b", "t")], "p_partkey long, p_brand string, p_type string").write.parquet(f"{folder}/part.parquet")
+    spark.createDataFrame([(1, "x", 0), (2, "y", 0), (3, "z", 0)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
+    groups = {(r.kind, r.key, r.vendor_count) for r in overlap.overlap_groups(q_portfolio.keys(spark, folder)).collect()}
+    assert groups == {("application", "10", 2), ("application", "77", 2), ("product", "b", 2), ("service", "t", 2)}
