@@ -1,8 +1,9 @@
-"""Shuffles of scans in parts of bounded size, and the vendor keys that are read from them."""
+"""Shuffles of scans in parts of bounded size, the vendor keys read from them, and the order of written edges."""
 
 import re
 
 from ledgerlens.operators import overlap
+from ledgerlens.operators.graph import build
 from ledgerlens.plans import load_all, q_portfolio
 from ledgerlens.session import in_parts
 
@@ -35,3 +36,15 @@ def test_applications_without_a_described_part_are_keys(spark, tmp_path):
     spark.createDataFrame([(1, "x", 0), (2, "y", 0), (3, "z", 0)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{folder}/supplier.parquet")
     groups = {(r.kind, r.key, r.vendor_count) for r in overlap.overlap_groups(q_portfolio.keys(spark, folder)).collect()}
     assert groups == {("application", "10", 2), ("application", "77", 2), ("product", "b", 2), ("service", "t", 2)}
+
+
+def test_edges_of_a_source_are_written_next_to_each_other(spark):
+    """A written table then does not repeat the source's key in full for every edge; texts and numbers give the same keys."""
+    pairs = spark.range(3000).selectExpr("(id * 7919) % 50 AS s", "id % 400 AS t")
+    edges = build.map_edges(pairs, "SUPPORTS", "Supplier", "Part", "s", "t", "portfolio", by_source=True)
+    parts = edges.select("src").rdd.mapPartitions(lambda rows: [[r.src for r in rows]]).collect()
+    for sources in parts:
+        runs = [s for i, s in enumerate(sources) if i == 0 or sources[i - 1] != s]
+        assert len(runs) == len(set(runs))
+    texts = build.map_edges(pairs.selectExpr("CAST(s AS STRING) AS s", "CAST(t AS STRING) AS t"), "SUPPORTS", "Supplier", "Part", "s", "t", "portfolio")
+    assert sorted(edges.collect()) == sorted(texts.collect())
