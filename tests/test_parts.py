@@ -2,8 +2,10 @@
 
 import re
 
+from pyspark.sql import functions as F
+
 from ledgerlens.operators import overlap
-from ledgerlens.operators.graph import build
+from ledgerlens.operators.graph import build, traverse
 from ledgerlens.plans import load_all, q_portfolio
 from ledgerlens.session import in_parts
 
@@ -48,3 +50,17 @@ def test_edges_of_a_source_are_written_next_to_each_other(spark):
         assert len(runs) == len(set(runs))
     texts = build.map_edges(pairs.selectExpr("CAST(s AS STRING) AS s", "CAST(t AS STRING) AS t"), "SUPPORTS", "Supplier", "Part", "s", "t", "portfolio")
     assert sorted(edges.collect()) == sorted(texts.collect())
+
+
+def test_search_on_binary_keys_stores_edges_once(spark, monkeypatch):
+    """Binary keys give the nodes, depths and predecessors of their texts; an undirected edge is stored once."""
+    pairs = [("aa", "0b"), ("aa", "ff"), ("0b", "c0"), ("ff", "c0"), ("c0", "d1")]
+    texts = spark.createDataFrame(pairs, "src string, dst string")
+    start = spark.createDataFrame([("aa",)], "key string")
+    stored = []
+    monkeypatch.setattr(traverse, "shared_checkpoint", lambda df: stored.append(df.count()) or df.localCheckpoint())
+    plain = {tuple(r) for r in traverse.bfs(start, texts, 3, directed=False).collect()}
+    assert stored[0] == len(pairs)
+    found = traverse.bfs(start.select(F.unhex("key").alias("key")), texts.select(F.unhex("src").alias("src"), F.unhex("dst").alias("dst")), 3, directed=False)
+    assert {tuple(r) for r in found.select(F.lower(F.hex("node")), "depth", F.lower(F.hex("predecessor"))).collect()} == plain
+    assert ("c0", 2, "0b") in plain and ("d1", 3, "c0") in plain
