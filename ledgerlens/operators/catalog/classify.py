@@ -23,14 +23,19 @@ COMPATIBLE = {
 }
 
 
-#: Values of columns: a frame (dataset_id, field, value), or a function that reads the columns named by a frame.
-Values = DataFrame | Callable[[DataFrame], DataFrame]
+#: Values of columns: a frame (dataset_id, field, value), or a function that reads the columns named by a frame, each value once if ``distinct``.
+Values = DataFrame | Callable[..., DataFrame]
 
 
 def read_values(values: Values, fields: DataFrame) -> DataFrame:
     return values if isinstance(values, DataFrame) else values(fields)
 
 
+def read_distinct(values: Values, fields: DataFrame) -> DataFrame:
+    """Every value of the named columns once. There is one name per column of the tables."""
+    return values.join(F.broadcast(fields.select(*FIELD)), FIELD, "left_semi").distinct() if isinstance(values, DataFrame) else values(fields, distinct=True)
+
+
 def value_patterns(values: DataFrame) -> DataFrame:
     """One shape per column, when all its values share it and it has digits; two aggregates decide, no set is built."""
     mask = F.sha2(digit_mask(F.col("value")), 256)
@@ -67,14 +72,15 @@ def value_facts(values: Values, profile: DataFrame, ontology: Ontology) -> DataF
     A column whose least or greatest value is no identifier, and whose two have different digit masks, can
     have neither, so only the other columns are read, and columns whose profile tells the shape only for
     identifiers. Values share a shape if all have the digit mask of the least; truth values combine on the map side.
+    Identifier patterns are tried only on columns whose least and greatest value are identifiers.
     """
     identifier = lambda name: reduce(Column.__or__, class_tests(F.col(name), ontology).values(), F.lit(False))
     named = identifier("min_value") & identifier("max_value")
     known = F.col("one_shape") if "one_shape" in profile.columns else F.lit(None).cast("boolean")
     likely = named | (known.isNull() & (digit_mask(F.col("min_value")) == digit_mask(F.col("max_value"))))
     # One row per column: as many as the tables have columns.
-    candidates = profile.filter(likely).select(*FIELD, digit_mask(F.col("min_value")).alias("_mask"))
-    every, only = identifier_aggregates(F.col("value"), ontology)
+    candidates = profile.filter(likely).select(*FIELD, digit_mask(F.col("min_value")).alias("_mask"), F.coalesce(named, F.lit(False)).alias("_named"))
+    every, only = identifier_aggregates(F.when(F.col("_named"), F.col("value")), ontology)
     rows = read_values(values, candidates).join(F.broadcast(candidates), FIELD)
     facts = rows.groupBy(*FIELD).agg(every.alias("all_identifiers"), only.alias("value_class"), F.bool_and(digit_mask(F.col("value")) == F.col("_mask")).alias("_one"))
     shape = value_shape(F.col("min_value"))
@@ -175,7 +181,7 @@ def classify(profile: DataFrame, values: Values, ontology: Ontology) -> DataFram
     shown = ~F.col("masked")
     patterned = shared_checkpoint(result.withColumn("value_pattern", F.when(F.col("role").isin("identifier", "date", "dimension"), F.col("value_pattern"))))
     small = patterned.filter(shown & (F.col("role") == "dimension") & F.col("distinct_count").between(1, MAX_VALUE_SET)).select(*FIELD)
-    sets = read_values(values, small).join(F.broadcast(small), FIELD, "left_semi").distinct().groupBy(*FIELD).agg(F.array_sort(F.collect_set("value")).alias("value_set"))
+    sets = read_distinct(values, small).groupBy(*FIELD).agg(F.array_sort(F.collect_set("value")).alias("value_set"))
     classified = patterned.join(sets, FIELD, "left").select(
         *FIELD, "position", "data_type", "row_count", "distinct_count", "null_pct", "is_unique", "min_value", "max_value", "role", "class_id", "property_id",
         F.when(mapped, F.concat_ws(".", "class_id", "property_id")).alias("concept"), F.coalesce("is_key", F.lit(False)).alias("is_key"), "domain",

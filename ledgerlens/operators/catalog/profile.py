@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -78,14 +78,27 @@ def whole_text(key: Column, data_type: Column) -> Column:
     return F.when(data_type.isin("double", "float"), fraction).otherwise(F.coalesce(day, key.cast("string")))
 
 
+def whole_kind(data_type: Column) -> Column:
+    """What the whole keys of a named type count. Inside a kind, keys are equal where texts are; texts of two kinds never are. NULL for other types."""
+    integral, fraction = data_type.isin("tinyint", "smallint", "int", "bigint"), data_type.isin("double", "float")
+    return F.when(integral, "integral").when(fraction, "fraction").when(data_type == "date", "date")
+
+
+def key_marks(entries: DataFrame, *more: Column) -> DataFrame:
+    """Whole keys (column_no, key) as bit sets of 64 neighbours: column_no, block, bits."""
+    return entries.groupBy("column_no", F.shiftright("key", 6).alias("block")).agg(F.expr("bit_or(shiftleft(1L, CAST(key & 63 AS INT)))").alias("bits"), *more)
+
+
 def stats_sql(field: T.StructField, text: str) -> str:
-    """The statistics of one text column as a struct. Typed columns need no pattern matching."""
+    """The statistics of one text column as a struct. Typed columns need no pattern matching, nor do texts with another first character."""
     present = f"nullif({text}, '')"
-    numeric, dates = f"{present} RLIKE '{NUMERIC}'", f"{present} RLIKE '{ISO_DATE}'"
+    numeric, dates = (f"({present} >= '{first}' AND {present} < ':' AND {present} RLIKE '{pattern}')" for first, pattern in (("-", NUMERIC), ("0", ISO_DATE)))
     if isinstance(field.dataType, T.NumericType):
         numeric, dates = f"{present} IS NOT NULL", "false"
     elif isinstance(field.dataType, T.DateType):
         numeric, dates = "false", f"{present} IS NOT NULL"
+    elif isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
+        numeric = dates = "false"
     every = lambda test: f"coalesce(bool_and(CASE WHEN {present} IS NOT NULL THEN {test} END), false)"
     return (
         f"struct(count_if({present} IS NULL) AS empty_count, min({present}) AS min_value, max({present}) AS max_value, coalesce(max(length({text})), 0) AS max_length,"
@@ -105,6 +118,12 @@ def column_stats(df: DataFrame, dataset_id: str) -> DataFrame:
     return wide.selectExpr(f"'{dataset_id}' AS dataset_id", "row_count", f"inline(array({rows}))").selectExpr("dataset_id", "row_count", "field", "position", "data_type", "stats.*")
 
 
+def numbered(columns: list[tuple[str, T.StructField]], spark: SparkSession) -> tuple[dict, DataFrame]:
+    """A number for each (dataset, field), so that a shuffled row is short, and the frame that names them again."""
+    number = {(d, f.name): i for i, (d, f) in enumerate(columns)}
+    return number, spark.createDataFrame([(number[d, f.name], d, f.name, f.dataType.simpleString()) for d, f in columns], "column_no int, dataset_id string, field string, _type string")
+
+
 def all_values(tables: dict[str, DataFrame], fields: dict[str, list[str]] | None = None) -> DataFrame:
     """(dataset_id, field, value) of all tables, or of the chosen columns, as one frame."""
     parts = []
@@ -117,9 +136,26 @@ def all_values(tables: dict[str, DataFrame], fields: dict[str, list[str]] | None
 
 
 def keyed_values(tables: dict[str, DataFrame], fields: DataFrame | None = None) -> DataFrame:
-    """Distinct (dataset_id, field, key) of all columns, or of those named by a frame with one row per column."""
-    values = all_values(tables) if fields is None else values_of(tables, fields)
-    return values.select("dataset_id", "field", value_key(F.col("value")).alias("key")).distinct()
+    """Distinct (dataset_id, field, key) of all columns, or of those named by a frame with one row per column.
+
+    Where the frame says so in a column ``marked``, whole columns come as bit sets of 64 neighbours: key is then the
+    text of the set's number and ``bits`` the set; ``bits`` is NULL for single values.
+    """
+    if fields is None or "marked" not in fields.columns:
+        values = all_values(tables) if fields is None else values_of(tables, fields)
+        return values.select("dataset_id", "field", value_key(F.col("value")).alias("key")).distinct()
+    single = keyed_values(tables, fields.filter("NOT marked").select("dataset_id", "field")).withColumn("bits", F.lit(None).cast("long"))
+    chosen = {(r.dataset_id, r.field) for r in fields.filter("marked").select("dataset_id", "field").distinct().collect()}
+    if not chosen:
+        return single
+    columns = [(d, f) for d, df in tables.items() for f in text_fields(df) if (d, f.name) in chosen]
+    number, names = numbered(columns, fields.sparkSession)
+    parts = []
+    for dataset_id in dict.fromkeys(d for d, _ in columns):
+        entries = [F.struct(F.lit(number[d, f.name]).alias("column_no"), whole_key(f).alias("key")) for d, f in columns if d == dataset_id]
+        parts.append(tables[dataset_id].select(F.inline(F.array(*entries))).filter("key IS NOT NULL"))
+    marks = key_marks(reduce(DataFrame.unionAll, parts)).join(F.broadcast(names), "column_no")
+    return single.unionByName(marks.select("dataset_id", "field", F.col("block").cast("string").cast("binary").alias("key"), "bits"))
 
 
 def distinct_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -129,10 +165,7 @@ def distinct_counts(tables: dict[str, DataFrame]) -> DataFrame:
     neighbours: a dense column shuffles a 64th of its values, a sparse one as many short rows as it has values.
     The least and the greatest key of each class give the extremes of the texts, so no text is made for a row.
     """
-    columns = [(dataset_id, f) for dataset_id, df in tables.items() for f in text_fields(df)]
-    number = {(dataset_id, f.name): i for i, (dataset_id, f) in enumerate(columns)}
-    spark = next(iter(tables.values())).sparkSession
-    names = spark.createDataFrame([(number[d, f.name], d, f.name, f.dataType.simpleString()) for d, f in columns], "column_no int, dataset_id string, field string, _type string")
+    number, names = numbered([(dataset_id, f) for dataset_id, df in tables.items() for f in text_fields(df)], next(iter(tables.values())).sparkSession)
     whole, other = [], []
     for dataset_id, df in tables.items():
         fields = [(number[dataset_id, f.name], f, whole_key(f)) for f in text_fields(df)]
@@ -143,10 +176,11 @@ def distinct_counts(tables: dict[str, DataFrame]) -> DataFrame:
                 parts.append(df.select(F.inline(F.array(*entries))).filter("key IS NOT NULL"))
     counted = []
     if whole:
-        marks = reduce(DataFrame.unionAll, whole).groupBy("column_no", F.shiftright("key", 6).alias("block")).agg(
-            F.expr("bit_or(shiftleft(1L, CAST(key & 63 AS INT)))").alias("bits"), F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most")
+        marks = key_marks(reduce(DataFrame.unionAll, whole), F.count("*").alias("n")).join(F.broadcast(names), "column_no")
+        # The ends of a set are those of its binary number.
+        marks = marks.withColumn("_bin", F.bin("bits")).withColumns(
+            {"least": F.shiftleft("block", 6) + (F.length("_bin") - F.length(F.rtrim("_bin", F.lit("0")))), "most": F.shiftleft("block", 6) + (F.length("_bin") - 1)}
         )
-        marks = marks.join(F.broadcast(names), "column_no")
         # A set of neighbours is in one class but for the few sets with a border of classes inside; those are taken key by key.
         one = whole_class(F.col("least"), F.col("_type")) == whole_class(F.col("most"), F.col("_type"))
         entry = lambda least, most, n, d: F.struct(least.alias("least"), most.alias("most"), n.alias("n"), d.alias("d"))
@@ -170,8 +204,8 @@ def distinct_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, counted).join(names, "column_no").drop("column_no", "_type")
 
 
-def values_of(tables: dict[str, DataFrame], fields: DataFrame) -> DataFrame:
-    """(dataset_id, field, value), repeats included, of the columns named by a frame with one row per column.
+def values_of(tables: dict[str, DataFrame], fields: DataFrame, distinct: bool = False) -> DataFrame:
+    """(dataset_id, field, value), repeats included unless ``distinct``, of the columns named by a frame with one row per column.
 
     The names come to the driver: there are as many as the tables have columns.
     """
@@ -180,7 +214,7 @@ def values_of(tables: dict[str, DataFrame], fields: DataFrame) -> DataFrame:
         chosen.setdefault(row.dataset_id, []).append(row.field)
     if not chosen:
         return all_values(tables).limit(0)
-    return all_values({d: tables[d] for d in chosen}, chosen)
+    return (distinct_values if distinct else all_values)({d: tables[d] for d in chosen}, chosen)
 
 
 def profile(tables: dict[str, DataFrame]) -> DataFrame:
@@ -210,8 +244,14 @@ def profile(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def distinct_values(tables: dict[str, DataFrame], fields: dict[str, list[str]] | None = None) -> DataFrame:
-    """Distinct (dataset_id, field, value) of the chosen columns, whole values, in one shuffle."""
-    return all_values(tables, fields).distinct()
+    """Distinct (dataset_id, field, value) of the chosen columns, whole values, in one shuffle of numbered columns."""
+    columns = [(d, f) for d, df in tables.items() for f in text_fields(df) if fields is None or f.name in fields.get(d, ())]
+    number, names = numbered(columns, next(iter(tables.values())).sparkSession)
+    parts = []
+    for dataset_id in dict.fromkeys(d for d, _ in columns):
+        entries = [F.struct(F.lit(number[d, f.name]).alias("column_no"), as_text(f).alias("value")) for d, f in columns if d == dataset_id]
+        parts.append(tables[dataset_id].select(F.inline(F.array(*entries))).filter(F.col("value") != ""))
+    return reduce(DataFrame.unionAll, parts).distinct().join(F.broadcast(names), "column_no").select("dataset_id", "field", "value")
 
 
 def masked_sample(df: DataFrame, order: list[str], masked: list[str], rows: int, text_limit: int = 80) -> DataFrame:

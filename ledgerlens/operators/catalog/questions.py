@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.catalog.references import dataset_links
@@ -72,44 +72,62 @@ def catalog_graph(fields: DataFrame, datasets: DataFrame, references: DataFrame,
     """The catalog as nodes (branch, class_id, identity, properties) and edges (branch, type, source_class, source, target_class, target, properties).
 
     Properties are JSON objects without empty values. The branch is the dataset that a part describes, or "catalog".
-    ``links`` are anchors found in datasets, and ``parties`` (source_class, source, target_class, target) anchors
+    ``links`` are anchors found in datasets, and ``parties`` (source_class, source, target_class, target, distinct) anchors
     that deal with each other.
     """
-    shared, none = F.lit("catalog"), F.lit("{}")
-    of = lambda *names: F.to_json(F.struct(*names))
+    described, known = field_parts(fields, datasets, references), anchor_parts(links, parties)
+    return described[0].unionByName(known[0]), described[1].unionByName(known[1])
+
+
+SHARED, NONE = "catalog", "{}"
+
+
+def _of(*names) -> Column:
+    return F.to_json(F.struct(*names))
+
+
+def _node(df: DataFrame, branch: Column, cls: Column, identity: Column, properties: Column) -> DataFrame:
+    return df.select(branch.alias("branch"), cls.alias("class_id"), identity.cast("string").alias("identity"), properties.alias("properties"))
+
+
+def _edge(df: DataFrame, branch: Column, kind: str, source: tuple[Column, Column], target: tuple[Column, Column], properties: Column) -> DataFrame:
+    ends = [c.cast("string").alias(n) for c, n in zip((*source, *target), ("source_class", "source", "target_class", "target"))]
+    return df.select(branch.alias("branch"), F.lit(kind).alias("type"), *ends, properties.alias("properties"))
+
+
+def field_parts(fields: DataFrame, datasets: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of systems, datasets, fields and concepts: as many as the tables have columns, squared at most."""
+    shared, none = F.lit(SHARED), F.lit(NONE)
     field_id = F.concat_ws(".", "dataset_id", "field")
-    anchor_class = F.concat(F.substring_index("concept", ".", 1), F.lit("Anchor"))
     days = [F.when(F.col("role") == "date", F.col(c)).alias(c) for c in ("min_value", "max_value")]
     sized = datasets.join(fields.groupBy("dataset_id").agg(F.max("row_count").alias("row_count")), "dataset_id")
     mapped = fields.filter("concept IS NOT NULL")
-
-    def node(df, branch, cls, identity, properties):
-        return df.select(branch.alias("branch"), cls.alias("class_id"), identity.cast("string").alias("identity"), properties.alias("properties"))
-
-    def edge(df, branch, kind, source, target, properties):
-        ends = [c.cast("string").alias(n) for c, n in zip((*source, *target), ("source_class", "source", "target_class", "target"))]
-        return df.select(branch.alias("branch"), F.lit(kind).alias("type"), *ends, properties.alias("properties"))
-
     own = F.col("dataset_id")
-    anchors = links.select(anchor_class.alias("cls"), "anchor").unionByName(parties.select(F.col("source_class").alias("cls"), F.col("source").alias("anchor"))).unionByName(
-        parties.select(F.col("target_class").alias("cls"), F.col("target").alias("anchor"))
-    )
     nodes = [
-        node(datasets.select("system").distinct(), shared, F.lit("SourceSystem"), F.col("system"), none), node(datasets.select("domain").distinct(), shared, F.lit("BusinessDomain"), F.col("domain"), none),
-        node(sized, own, F.lit("Dataset"), own, of("grain", "row_count")), node(fields, own, F.lit("DataField"), field_id, of("position", "role", "distinct_count", *days, "masked", "review_state")),
-        node(mapped.groupBy("concept").agg(F.bool_or("is_key").alias("is_key")), shared, F.lit("Concept"), F.col("concept"), of("is_key")), node(anchors.distinct(), shared, F.col("cls"), F.col("anchor"), none),
+        _node(datasets.select("system").distinct(), shared, F.lit("SourceSystem"), F.col("system"), none), _node(datasets.select("domain").distinct(), shared, F.lit("BusinessDomain"), F.col("domain"), none),
+        _node(sized, own, F.lit("Dataset"), own, _of("grain", "row_count")), _node(fields, own, F.lit("DataField"), field_id, _of("position", "role", "distinct_count", *days, "masked", "review_state")),
+        _node(mapped.groupBy("concept").agg(F.bool_or("is_key").alias("is_key")), shared, F.lit("Concept"), F.col("concept"), _of("is_key")),
     ]
     dataset, data_field = (F.lit("Dataset"), own), (F.lit("DataField"), field_id)
     child, home = F.concat_ws(".", "child_dataset", "child_field"), F.concat_ws(".", "home_dataset", "home_field")
-    ends = [F.col(c) for c in ("source_class", "source", "target_class", "target")]
     edges = [
-        edge(datasets, own, "PUBLISHES", (F.lit("SourceSystem"), F.col("system")), dataset, none),
-        edge(datasets, own, "IN_DOMAIN", dataset, (F.lit("BusinessDomain"), F.col("domain")), of(F.lit("source_system").alias("basis"))),
-        edge(fields, own, "HAS_FIELD", dataset, data_field, none),
-        edge(mapped, own, "MAPS_TO", data_field, (F.lit("Concept"), F.col("concept")), of("basis")),
-        edge(links, own, "HAS_RECORDS_FOR", dataset, (anchor_class, F.col("anchor")), of("via_field")),
-        edge(references, F.col("child_dataset"), "REFERENCES", (F.lit("DataField"), child), (F.lit("DataField"), home), of("containment_pct", "basis", "confidence", "review_state")),
-        edge(dataset_links(references), F.col("child_dataset"), "JOINABLE_WITH", (F.lit("Dataset"), F.col("child_dataset")), (F.lit("Dataset"), F.col("home_dataset")), of("keys")),
-        edge(parties.distinct(), shared, "ANCHOR_PARTY_TO", ends[:2], ends[2:], none),
+        _edge(datasets, own, "PUBLISHES", (F.lit("SourceSystem"), F.col("system")), dataset, none),
+        _edge(datasets, own, "IN_DOMAIN", dataset, (F.lit("BusinessDomain"), F.col("domain")), _of(F.lit("source_system").alias("basis"))),
+        _edge(fields, own, "HAS_FIELD", dataset, data_field, none),
+        _edge(mapped, own, "MAPS_TO", data_field, (F.lit("Concept"), F.col("concept")), _of("basis")),
+        _edge(references, F.col("child_dataset"), "REFERENCES", (F.lit("DataField"), child), (F.lit("DataField"), home), _of("containment_pct", "basis", "confidence", "review_state")),
+        _edge(dataset_links(references), F.col("child_dataset"), "JOINABLE_WITH", (F.lit("Dataset"), F.col("child_dataset")), (F.lit("Dataset"), F.col("home_dataset")), _of("keys")),
     ]
     return reduce(DataFrame.unionByName, nodes), reduce(DataFrame.unionByName, edges)
+
+
+def anchor_parts(links: DataFrame, parties: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the anchors: where they have records, and whom they deal with. They do not depend on how fields are described."""
+    shared, none = F.lit(SHARED), F.lit(NONE)
+    anchor_class = F.concat(F.substring_index("concept", ".", 1), F.lit("Anchor"))
+    anchors = links.select(anchor_class.alias("cls"), "anchor").unionByName(parties.select(F.col("source_class").alias("cls"), F.col("source").alias("anchor"))).unionByName(
+        parties.select(F.col("target_class").alias("cls"), F.col("target").alias("anchor"))
+    )
+    ends = [F.col(c) for c in ("source_class", "source", "target_class", "target")]
+    found = _edge(links, F.col("dataset_id"), "HAS_RECORDS_FOR", (F.lit("Dataset"), F.col("dataset_id")), (anchor_class, F.col("anchor")), _of("via_field"))
+    return _node(anchors.distinct(), shared, F.col("cls"), F.col("anchor"), none), found.unionByName(_edge(parties, shared, "ANCHOR_PARTY_TO", ends[:2], ends[2:], none))

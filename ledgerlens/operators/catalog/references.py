@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.operators.catalog.classify import FIELD, Values, read_values
+from ledgerlens.operators.catalog.profile import whole_kind
 from ledgerlens.session import shared_checkpoint
 
 MIN_DISTINCT = 2
@@ -41,22 +42,29 @@ def home_keys(candidates: DataFrame) -> DataFrame:
 def discover_references(candidates: DataFrame, values: Values) -> DataFrame:
     """Columns whose values all occur in their group's home key. ``values`` has the distinct (dataset_id, field,
     key) of :func:`profile.keyed_values`, or is a function that reads those of the columns named by a frame, so
-    that only columns of a group with a home are read. Values of any length take part.
+    that only columns of a group with a home are read. Values of any length take part. A function also gets, in
+    ``marked``, which columns it can give as bit sets (key, bits): those whose whole keys are of the home's kind.
 
     One join on (group, key): each child value meets at most one home value, so the work is linear in
     the distinct values.
     """
     candidates = shared_checkpoint(candidates)
-    homes = home_keys(candidates).select("key_group", F.col("dataset_id").alias("home_dataset"), F.col("field").alias("home_field"), F.col("basis").alias("home_basis"), F.col("review_state").alias("home_state"))
+    homes = home_keys(candidates).select("key_group", F.col("dataset_id").alias("home_dataset"), F.col("field").alias("home_field"), F.col("basis").alias("home_basis"), F.col("review_state").alias("home_state"), whole_kind(F.col("data_type")).alias("home_kind"))
     members = candidates.join(homes, "key_group").filter(~((F.col("dataset_id") == F.col("home_dataset")) & (F.col("field") == F.col("home_field"))))
-    home_fields = homes.select(F.col("home_dataset").alias("dataset_id"), F.col("home_field").alias("field"), "key_group")
-    # Keys are stored, as children and homes both read them. A home without other members is not read.
-    taking_part = members.select(*FIELD).unionByName(home_fields.join(members.select("key_group"), "key_group", "left_semi").select(*FIELD))
-    values = values if isinstance(values, DataFrame) else shared_checkpoint(read_values(values, taking_part))
+    members = members.withColumn("marked", F.coalesce(whole_kind(F.col("data_type")) == F.col("home_kind"), F.lit(False)))
+    if isinstance(values, DataFrame):
+        members, keyed = members.withColumn("marked", F.lit(False)), values.select(*FIELD, "key", F.lit(None).cast("long").alias("bits"))
+    # Each home once as its members need it. A home without other members is not read.
+    home_fields = members.select(F.col("home_dataset").alias("dataset_id"), F.col("home_field").alias("field"), "key_group", "marked").distinct()
+    if not isinstance(values, DataFrame):
+        # Keys are stored, as children and homes both read them.
+        keyed = shared_checkpoint(read_values(values, members.select(*FIELD, "marked").unionByName(home_fields.select(*FIELD, "marked"))))
+    keyed = keyed.withColumn("marked", F.col("bits").isNotNull())
     # Columns and homes are as many as the tables have columns.
-    child_values = values.join(F.broadcast(members.select(*FIELD, "key_group")), FIELD)
-    home_values = values.join(F.broadcast(home_fields), FIELD).select("key_group", "key")
-    matched = child_values.join(home_values, ["key_group", "key"], "left_semi").groupBy(*FIELD).agg(F.count("*").alias("matched"))
+    child_values = keyed.join(F.broadcast(members.select(*FIELD, "key_group", "marked")), [*FIELD, "marked"])
+    home_values = keyed.join(F.broadcast(home_fields), [*FIELD, "marked"]).select("key_group", "marked", "key", F.col("bits").alias("home_bits"))
+    common = F.coalesce(F.bit_count(F.col("bits").bitwiseAND(F.col("home_bits"))), F.lit(1))
+    matched = child_values.join(home_values, ["key_group", "marked", "key"]).groupBy(*FIELD).agg(F.sum(common).alias("matched"))
     by_concept = F.col("key_group").startswith("concept:")
     auto = (F.col("basis") == "classifier") & (F.col("home_basis") == "classifier") & (F.col("review_state") == "auto") & (F.col("home_state") == "auto")
     return (

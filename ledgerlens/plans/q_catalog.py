@@ -6,7 +6,7 @@ the folder's files; catalog questions read it, as they would read a stored catal
 
 from __future__ import annotations
 
-from functools import partial
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,16 +45,28 @@ def profiled(spark, folder):
 
 
 class Harvest:
-    """A stored catalog: profiles, classified fields, key candidates and references."""
+    """A stored catalog: profiles, classified fields, key candidates and references, each worked out when it is first asked for."""
 
     def __init__(self, spark, folder):
         self.source = tables(spark, folder)
         self.datasets = datasets(spark)
         self.values = partial(profile.values_of, self.source)
-        self.profile = shared_checkpoint(profile.profile(self.source))
-        self.fields = classify.classify(self.profile, self.values, VOCABULARY)
-        self.candidates = shared_checkpoint(references.candidate_fields(self.fields, self.datasets))
-        self.references = shared_checkpoint(references.discover_references(self.candidates, partial(profile.keyed_values, self.source)))
+
+    @cached_property
+    def profile(self):
+        return shared_checkpoint(profile.profile(self.source))
+
+    @cached_property
+    def fields(self):
+        return classify.classify(self.profile, self.values, VOCABULARY)
+
+    @cached_property
+    def candidates(self):
+        return shared_checkpoint(references.candidate_fields(self.fields, self.datasets))
+
+    @cached_property
+    def references(self):
+        return shared_checkpoint(references.discover_references(self.candidates, partial(profile.keyed_values, self.source)))
 
 
 def version(spark, folder) -> int:
@@ -274,7 +286,7 @@ def links(spark, folder):
         table(spark, folder, "customer").select(F.lit("Customer.customer_id").alias("concept"), F.col("c_custkey").cast("string").alias("anchor"))
     )
     keys = h.fields.filter(F.col("concept").isin("Supplier.supplier_id", "Customer.customer_id"))
-    return references.anchor_links(h.values(keys), h.fields, anchors)
+    return references.anchor_links(h.values(keys, distinct=True), h.fields, anchors)
 
 
 LINKS = (
@@ -426,13 +438,17 @@ def named_parts(tag: str) -> str:
 PAYLOAD = (*CLASSIFIED, *HOMES, LINKS, PARTIES, "before AS (SELECT *, 'auto' AS review_state FROM classified)", *parts_sql("before", ""))
 
 
-def payload(spark, folder, fields=None):
-    """Nodes and edges of the catalog, with suppliers as parties to the customers whose orders they deliver."""
-    h = harvest(spark, folder)
+def parties(spark, folder):
+    """Suppliers as parties to the customers whose orders they deliver."""
     lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders")
     served = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).filter("l_suppkey IS NOT NULL AND o_custkey IS NOT NULL").select("l_suppkey", "o_custkey").distinct()
-    parties = served.select(F.lit("SupplierAnchor").alias("source_class"), F.col("l_suppkey").cast("string").alias("source"), F.lit("CustomerAnchor").alias("target_class"), F.col("o_custkey").cast("string").alias("target"))
-    return questions.catalog_graph(h.fields if fields is None else fields, h.datasets, h.references, links(spark, folder), parties)
+    return served.select(F.lit("SupplierAnchor").alias("source_class"), F.col("l_suppkey").cast("string").alias("source"), F.lit("CustomerAnchor").alias("target_class"), F.col("o_custkey").cast("string").alias("target"))
+
+
+def payload(spark, folder):
+    """Nodes and edges of the catalog."""
+    h = harvest(spark, folder)
+    return questions.catalog_graph(h.fields, h.datasets, h.references, links(spark, folder), parties(spark, folder))
 
 
 @query("catalog_graph", sql(*PAYLOAD) + "SELECT type, source_class, source, target_class, target, properties FROM edges")
@@ -478,5 +494,8 @@ def catalog_changes(spark, folder):
     h = harvest(spark, folder)
     decided = reviewed(spark, h).select(*classify.FIELD, "role", "class_id", "property_id", F.expr("CASE WHEN class_id IS NOT NULL THEN concat_ws('.', class_id, property_id) END").alias("concept"), "basis", "review_state", "masked")
     kept = h.fields.drop(*[c for c in decided.columns if c not in classify.FIELD])
-    before, after = (shared_checkpoint(identity.leaves(*payload(spark, folder, f))) for f in (h.fields, kept.join(decided, classify.FIELD)))
+    # Both catalogs know the same anchors; each leaf is digested and stored once.
+    anchors = shared_checkpoint(identity.leaves(*questions.anchor_parts(links(spark, folder), parties(spark, folder))))
+    own = (shared_checkpoint(identity.leaves(*questions.field_parts(f, h.datasets, h.references))) for f in (h.fields, kept.join(decided, classify.FIELD)))
+    before, after = (leaves.unionByName(anchors) for leaves in own)
     return identity.changes(before, after)
