@@ -74,5 +74,17 @@ def clause_key(namespace: Column | str, contract: Column, class_id: Column | str
     return digest("clause", namespace, contract, class_id, occurrence)
 
 
+def short_clause_key(contract: Column, class_id: Column | str, occurrence: Column) -> Column:
+    """``class/occurrence/contract`` of a clause whose class and occurrence are known and hold no slash; an unknown contract is left out."""
+    return F.concat_ws("/", F.lit(class_id) if isinstance(class_id, str) else class_id, occurrence, contract.cast("string"))
+
+
+def clause_key_of(namespace: Column | str, short: Column) -> Column:
+    """The canonical key of a short clause key."""
+    head = F.substring_index(short, "/", 2)
+    contract = F.when(F.length(short) > F.length(head), F.substr(short, F.length(head) + 2))
+    return F.when(short.isNotNull(), _digest_of(namespace, "clause", contract, F.substring_index(head, "/", 1), F.substring_index(head, "/", -1)))
+
+
 def relationship_key(namespace: Column | str, relation: Column | str, source: Column, target: Column) -> Column:
     return digest("relationship", namespace, relation, source, target)

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.identity import clause_key, entity_key, entity_key_of, order_of, short_key, short_relationship_key, with_canonical
+from ledgerlens.functions.identity import clause_key, clause_key_of, entity_key, entity_key_of, order_of, short_clause_key, short_key, short_relationship_key, with_canonical
 from ledgerlens.operators import ranking
 from ledgerlens.operators.graph import build, evidence, traverse
 from ledgerlens.plans import q_risk
@@ -98,18 +98,15 @@ EDGES = f"edges AS (SELECT sha256(CAST(to_json(['relationship', '{NS}', type, sr
 CLAUSE_CLASS = {"1-URGENT": "RenewalClause", "2-HIGH": "RenewalClause", "3-MEDIUM": "PaymentTermsClause", "4-NOT SPECIFIED": "TerminationClause", "5-LOW": "NoticeClause"}
 
 
-def clauses(spark, folder):
-    """One clause per contract, its class given by the contract's priority."""
+def short_clauses(spark, folder):
+    """One clause per contract, its class given by the contract's priority, without a canonical key."""
     kind = F.create_map(*[F.lit(v) for pair in CLAUSE_CLASS.items() for v in pair])[F.col("priority")]
-    rows = contracts(spark, folder).select(F.col("contract_id").cast("string").alias("contract_identity"), kind.alias("class_id"), F.lit("occ1").alias("identity"))
-    return rows.select(clause_key(NS, F.col("contract_identity"), F.col("class_id"), F.col("identity")).alias("key"), "class_id", "identity", "contract_identity")
+    return contracts(spark, folder).select(F.col("contract_id").cast("string").alias("contract_identity"), kind.alias("class_id"), F.lit("occ1").alias("identity"))
 
 
-def clause_edges(spark, folder):
-    return clauses(spark, folder).select(
-        F.sha2(F.to_json(F.array(F.lit("relationship"), F.lit(NS), F.lit("HAS_CLAUSE"), entity_key(NS, "Order", F.col("contract_identity")), F.col("key"))), 256).alias("key"), F.lit("HAS_CLAUSE").alias("type"),
-        entity_key(NS, "Order", F.col("contract_identity")).alias("src"), F.col("key").alias("dst"),
-    )
+def clauses(spark, folder):
+    rows = short_clauses(spark, folder)
+    return rows.select(clause_key(NS, F.col("contract_identity"), F.col("class_id"), F.col("identity")).alias("key"), "class_id", "identity", "contract_identity")
 
 
 CLAUSES = "clauses AS (SELECT {key} AS key, class_id, 'occ1' AS identity, contract_identity FROM (SELECT CAST(contract_id AS VARCHAR) AS contract_identity, CASE priority {whens} END AS class_id FROM contracts))".format(
@@ -252,9 +249,11 @@ def graph_path_dependencies(spark, folder):
     with_sql(CONTRACTS, CLAUSES) + f"SELECT {ek('Order', 'contract_identity')} AS root, key AS \"end\", 2 AS path_length FROM clauses WHERE class_id IN ('RenewalClause', 'TerminationClause', 'PaymentTermsClause')",
 )
 def graph_path_clauses(spark, folder):
-    start = node_parts(spark, folder)["Order"]
-    paths = traverse.expand_paths(start, clause_edges(spark, folder), [("HAS_CLAUSE", OUT)], clauses(spark, folder), ["RenewalClause", "TerminationClause", "PaymentTermsClause"])
-    return paths.select("root", "end", F.size("path_nodes").alias("path_length"))
+    start = node_parts(spark, folder, short=True)["Order"].select("key")
+    named = short_clauses(spark, folder).select("class_id", "contract_identity", short_clause_key(F.col("contract_identity"), F.col("class_id"), F.col("identity")).alias("key"))
+    owned = walked_short(named.select(F.lit("HAS_CLAUSE").alias("type"), short_key("Order", F.col("contract_identity")).alias("src"), F.col("key").alias("dst")))
+    paths = traverse.expand_paths(start, owned, [("HAS_CLAUSE", OUT)], named, ["RenewalClause", "TerminationClause", "PaymentTermsClause"])
+    return paths.select(entity_key_of(NS, F.col("root")).alias("root"), clause_key_of(NS, F.col("end")).alias("end"), F.size("path_nodes").alias("path_length"))
 
 
 def risk_graph(spark, folder):
@@ -426,14 +425,15 @@ def graph_relation_paths(spark, folder):
 
 
 def dated_edges(spark, folder):
-    """Customers to orders for 120 days, orders to suppliers for 60 days from shipping, suppliers to nations at any time."""
+    """Customers to orders for 120 days, orders to suppliers for 60 days from shipping, suppliers to nations at any time; under short keys."""
     day = lambda c, more=0: F.date_add(F.col(c).cast("date"), more)
+    key = lambda cls, column: short_key(cls, F.col(column))
     edge = lambda df, kind, a, b, since, until, quantity: df.select(F.lit(kind).alias("type"), a.alias("src"), b.alias("dst"), since.cast("date").alias("valid_from"), until.cast("date").alias("valid_to"), quantity.cast("double").alias("quantity"))
     none = F.lit(None)
     return union([
-        edge(table(spark, folder, "orders"), "OWNS", entity("Customer", "o_custkey"), entity("Order", "o_orderkey"), day("o_orderdate"), day("o_orderdate", 120), none),
-        edge(table(spark, folder, "lineitem"), "DELIVERED_BY", entity("Order", "l_orderkey"), entity("Supplier", "l_suppkey"), day("l_shipdate"), day("l_shipdate", 60), F.col("l_quantity")),
-        edge(table(spark, folder, "supplier"), "LOCATED_IN", entity("Supplier", "s_suppkey"), entity("Nation", "s_nationkey"), none, none, none),
+        edge(table(spark, folder, "orders"), "OWNS", key("Customer", "o_custkey"), key("Order", "o_orderkey"), day("o_orderdate"), day("o_orderdate", 120), none),
+        edge(table(spark, folder, "lineitem"), "DELIVERED_BY", key("Order", "l_orderkey"), key("Supplier", "l_suppkey"), day("l_shipdate"), day("l_shipdate", 60), F.col("l_quantity")),
+        edge(table(spark, folder, "supplier"), "LOCATED_IN", key("Supplier", "s_suppkey"), key("Nation", "s_nationkey"), none, none, none),
     ])
 
 
@@ -455,12 +455,14 @@ def _maximal(name: str, rows: str) -> str:
 )
 def graph_bfs_dated(spark, folder):
     """Orders, suppliers in credit and nations that every customer reaches by large deliveries in effect together."""
+    key = lambda cls, column: short_key(cls, F.col(column)).alias("key")
     allowed = union([
-        orders(spark, folder).filter("o_orderstatus <> 'P'").select(entity("Order", "o_orderkey").alias("key")), table(spark, folder, "supplier").filter("s_acctbal > 0").select(entity("Supplier", "s_suppkey").alias("key")),
-        table(spark, folder, "nation").select(entity("Nation", "n_nationkey").alias("key")),
+        orders(spark, folder).filter("o_orderstatus <> 'P'").select(key("Order", "o_orderkey")), table(spark, folder, "supplier").filter("s_acctbal > 0").select(key("Supplier", "s_suppkey")),
+        table(spark, folder, "nation").select(key("Nation", "n_nationkey")),
     ])
-    start = table(spark, folder, "customer").select(entity("Customer", "c_custkey").alias("key"))
-    return traverse.bfs_in_time(start, dated_edges(spark, folder), 3, node_filter=allowed, edge_filter=F.coalesce(F.col("quantity") >= 10, F.lit(True)))
+    start = table(spark, folder, "customer").select(key("Customer", "c_custkey"))
+    found = traverse.bfs_in_time(start, dated_edges(spark, folder), 3, node_filter=allowed, edge_filter=F.coalesce(F.col("quantity") >= 10, F.lit(True)))
+    return found.withColumns({end: entity_key_of(NS, F.col(end)) for end in ("root", "node")})
 
 
 def thread_graph(spark, folder):
