@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerlens.session import shared_checkpoint
+
+#: Twigs of a branch.
+TWIGS = 4096
 FOLD = ["parts", "hash_sum", "hash_xor"]
 
 
@@ -22,9 +26,9 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return parts.select("branch", "part", F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long").alias("leaf"))
 
 
-def branches(parts: DataFrame) -> DataFrame:
-    """One row per branch: its number of leaves, and the sum and exclusive-or of their digests."""
-    return parts.groupBy("branch").agg(F.count("*").alias("parts"), F.sum(F.col("leaf").cast("decimal(38,0)")).cast("decimal(38,0)").alias("hash_sum"), F.bit_xor("leaf").alias("hash_xor"))
+def branches(parts: DataFrame, *by: str) -> DataFrame:
+    """One row per branch (and ``by``): its number of leaves, and the sum and exclusive-or of their digests."""
+    return parts.groupBy("branch", *by).agg(F.count("*").alias("parts"), F.sum(F.col("leaf").cast("decimal(38,0)")).cast("decimal(38,0)").alias("hash_sum"), F.bit_xor("leaf").alias("hash_xor"))
 
 
 def run_id(folded: DataFrame) -> DataFrame:
@@ -36,11 +40,14 @@ def run_id(folded: DataFrame) -> DataFrame:
 def changes(before: DataFrame, after: DataFrame) -> DataFrame:
     """(branch, part, change) between two frames of :func:`leaves`: added, removed or changed.
 
-    Each frame is read twice, once for its branches and once for the leaves of the branches that differ.
+    Branches are compared in twigs, the leaves of which have one remainder of their part's hash. Each frame is read twice,
+    once for its twigs and once for the leaves of the twigs that differ, so what is equal in a branch is not shuffled.
     """
-    old, new = branches(before), branches(after)
+    before, after = (parts.withColumn("twig", F.pmod(F.xxhash64("part"), F.lit(TWIGS))) for parts in (before, after))
+    old, new = branches(before, "twig"), branches(after, "twig")
     same = [old[c].eqNullSafe(new[c]) for c in FOLD]
-    touched = old.join(new, "branch", "full").filter(~(same[0] & same[1] & same[2])).select("branch")
-    inside = lambda parts, name: parts.join(touched, "branch", "left_semi").select("branch", "part", F.col("leaf").alias(name))
+    # At most the branches times the twigs of one.
+    touched = F.broadcast(shared_checkpoint(old.join(new, ["branch", "twig"], "full").filter(~(same[0] & same[1] & same[2])).select("branch", "twig")))
+    inside = lambda parts, name: parts.join(touched, ["branch", "twig"], "left_semi").select("branch", "part", F.col("leaf").alias(name))
     both = inside(before, "was").join(inside(after, "now"), ["branch", "part"], "full").filter("NOT was <=> now")
     return both.select("branch", "part", F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed").alias("change"))

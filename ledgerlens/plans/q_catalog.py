@@ -494,8 +494,9 @@ def catalog_changes(spark, folder):
     h = harvest(spark, folder)
     decided = reviewed(spark, h).select(*classify.FIELD, "role", "class_id", "property_id", F.expr("CASE WHEN class_id IS NOT NULL THEN concat_ws('.', class_id, property_id) END").alias("concept"), "basis", "review_state", "masked")
     kept = h.fields.drop(*[c for c in decided.columns if c not in classify.FIELD])
-    # Both catalogs know the same anchors; each leaf is digested and stored once.
-    anchors = shared_checkpoint(identity.leaves(*questions.anchor_parts(links(spark, folder), parties(spark, folder))))
+    # Both catalogs know the same anchors; nodes and edges read what is stored, and each leaf is digested and stored once.
+    known = (shared_checkpoint(df) for df in (links(spark, folder), parties(spark, folder)))
+    anchors = shared_checkpoint(identity.leaves(*questions.anchor_parts(*known)))
     own = (shared_checkpoint(identity.leaves(*questions.field_parts(f, h.datasets, h.references))) for f in (h.fields, kept.join(decided, classify.FIELD)))
     before, after = (leaves.unionByName(anchors) for leaves in own)
     return identity.changes(before, after)
