@@ -9,9 +9,11 @@ scores; all others go on with more cells, so results are exact. First the positi
 among the rows of its label, then, for every positive's score, the window of rows of other labels.
 
 Scores are inner products of whole numbers. Equal vectors of one label are one entry with its smallest ids, as many
-as a result can hold, so copies cost nothing. Anchors travel to the cells they ask for; a cell with many entries is
+as a result can hold, so copies cost nothing. Anchors travel to the runs of ``RUN`` cells next to each other that hold
+what they ask for, once per run, and are compared with the entries of the asked cells there; a run with many entries is
 cut into parts of about ``BLOCK`` and one with many anchors into lanes of about ``LANE``, so no task grows with the
-input. Only the codebooks are fitted on a sample, of at most ``SAMPLE`` vectors; every row is indexed. Codebooks have
+input. Cells are planned for about ``CHUNK`` anchors at a time; anchors and entries are shuffled, only the numbers
+of parts and lanes of each run are broadcast. Only the codebooks are fitted on a sample, of at most ``SAMPLE`` vectors; every row is indexed. Codebooks have
 at most ``CODEWORDS`` centres, so the lists of radii and of cells in use that the tasks are sent stay small.
 
 Defined cases: rows with a null vec_id, label or vector, or with a null or non-finite component, and vectors of
@@ -35,6 +37,7 @@ from ledgerlens.llm.common import ship, store
 
 POSITIVES, NEGATIVES, LOW, HIGH, SCALE = 5, 5, 80, 100, 256
 CODEWORDS, CELL, SAMPLE, TURNS, BLOCK, LANE, FIRST, GROWTH = 128, 256, 10_000, 10, 4096, 2048, 16, 8
+RUN, CHUNK = BLOCK // CELL, 256
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -108,26 +111,26 @@ class Index:
                     heapq.heappush(heap, (-(one[a] + two[b]), a, b))
 
 
-_PLANNED = "anchor_id long, a long, label long, v array<long>, windows array<struct<limit:long,floor:long>>, seen int, cells array<int>, bound long"
+_PLANNED = "anchor_id long, a long, label long, v array<long>, windows array<struct<limit:long,floor:long>>, seen int, cells array<array<int>>, bound long"
 
 
 def _plan(batches, index, size):
-    """The next ``size`` cells of each anchor and the bound of the cell after them (null: none is left)."""
-    for batch in batches:
+    """The next ``size`` cells of each anchor by runs, and the bound of the cell after them (null: none is left)."""
+    for batch in (b.slice(at, CHUNK) for b in batches for at in range(0, b.num_rows, CHUNK)):
         cells, bounds = [], []
         for anchor, seen in zip(_matrix(batch.column("v"), np.float64), batch.column("seen").to_pylist(), strict=True):
-            mine, bound = [], None
+            mine, bound = {}, None
             for place, (high, cell) in enumerate(index.visits(anchor)):
                 if place == seen + size:
                     bound = high
                     break
                 if place >= seen:
-                    mine.append(cell)
-            cells.append(mine)
+                    mine.setdefault(cell // RUN, []).append(cell)
+            cells.append(list(mine.values()))
             bounds.append(bound)
         seen = pa.array([s + size for s in batch.column("seen").to_pylist()], pa.int32())
         kept = [batch.column(c) for c in ("anchor_id", "a", "label", "v", "windows")]
-        yield pa.RecordBatch.from_arrays([*kept, seen, pa.array(cells, pa.list_(pa.int32())), pa.array(bounds, pa.int64())], [x.split(" ")[0] for x in _PLANNED.split(", ")])
+        yield pa.RecordBatch.from_arrays([*kept, seen, pa.array(cells, pa.list_(pa.list_(pa.int32()))), pa.array(bounds, pa.int64())], [x.split(" ")[0] for x in _PLANNED.split(", ")])
 
 
 def products(anchors, rows):
@@ -138,13 +141,15 @@ def products(anchors, rows):
 
 
 def _score(left, right, same, k, low, high):
-    """The best entries of one part of a cell for every anchor and window: at most k ids each."""
+    """The best entries of one part of a run, in the cells asked for, for every anchor and window: at most k ids each."""
     out = []
     if left.num_rows and right.num_rows:
         scores = products(_matrix(left["v"]), _matrix(right["v"]))
-        labels, ids = np.asarray(right["label"].combine_chunks()), right["ids"].to_pylist()
-        for i, row in enumerate(left.select(["anchor_id", "a", "label", "windows"]).to_pylist()):
-            fits = np.flatnonzero((labels == row["label"]) if same else (labels != row["label"]))
+        labels, ids, place = np.asarray(right["label"].combine_chunks()), right["ids"].to_pylist(), np.asarray(right["cell"].combine_chunks()) % RUN
+        for i, row in enumerate(left.select(["anchor_id", "a", "label", "windows", "cells"]).to_pylist()):
+            asked = np.zeros(RUN, bool)
+            asked[[cell % RUN for cell in row["cells"]]] = True
+            fits = np.flatnonzero(asked[place] & ((labels == row["label"]) if same else (labels != row["label"])))
             own = scores[i, fits]
             for window in row["windows"]:
                 limit, floor = window["limit"], window["floor"]
@@ -169,17 +174,17 @@ def _in_cells(same, k, low, high):
 
 
 def _visit(planned: DataFrame, entries: DataFrame, same: bool, k: int, low, high) -> DataFrame:
-    """Bring anchors to the parts of the cells they ask for."""
-    key = (lambda: F.xxhash64("label", "cell")) if same else (lambda: F.col("cell").cast("long"))
-    asked = planned.select("anchor_id", "a", "label", "v", "windows", F.explode("cells").alias("cell")).withColumn("key", key()).drop("cell")
-    held = entries.select("cell", "label", "v", "ids").withColumn("key", key()).drop("cell")
-    parts = held.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
-    lanes = asked.groupBy("key").agg(F.ceil(F.count("*") / LANE).alias("lanes"))
-    shape = parts.join(lanes, "key")
+    """Bring anchors to the parts of the runs that hold the cells they ask for."""
+    asked = planned.select("anchor_id", "a", "label", "v", "windows", F.explode("cells").alias("cells")).withColumn("run", F.expr(f"cells[0] div {RUN}"))
+    held = entries.select("cell", "label", "v", "ids", F.expr(f"cell div {RUN}").alias("run"))
+    parts = held.groupBy("run").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    lanes = asked.groupBy("run").agg(F.ceil(F.count("*") / LANE).alias("lanes"))
+    # One row per run, and at most CODEWORDS^2 / RUN of them. By its files ``planned`` looks small enough to be broadcast; exploded it is not.
+    shape = F.broadcast(parts.join(lanes, "run"))
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    asked = asked.join(shape, "key").withColumn("lane", F.pmod("a", "lanes")).withColumn("part", upto("parts")).drop("parts", "lanes")
-    held = held.join(shape, "key").withColumn("part", F.pmod(F.xxhash64("v", "label"), "parts")).withColumn("lane", upto("lanes")).drop("parts", "lanes")
-    sides = asked.groupBy("key", "part", "lane").cogroup(held.groupBy("key", "part", "lane"))
+    asked = asked.join(shape, "run").withColumn("lane", F.pmod("a", "lanes")).withColumn("part", upto("parts")).drop("parts", "lanes")
+    held = held.join(shape, "run").withColumn("part", F.pmod(F.xxhash64("v", "label"), "parts")).withColumn("lane", upto("lanes")).drop("parts", "lanes")
+    sides = asked.groupBy("run", "part", "lane").cogroup(held.groupBy("run", "part", "lane"))
     return sides.applyInArrow(_in_cells(same, k, low, high), "anchor_id long, a long, limit long, vec_id long, score long")
 
 
@@ -190,7 +195,8 @@ def _pursue(anchors: DataFrame, entries: DataFrame, index: Index, same: bool, k:
     best, size, search = None, FIRST, ["anchor_id", "a", "limit"]
     rank = F.row_number().over(Window.partitionBy(*search).orderBy(F.desc("score"), "vec_id"))
     while True:
-        planned = store(pending.mapInArrow(partial(_plan, index=index, size=size), _PLANNED))
+        # Few rows that grow a lot: spread by their number, not by their bytes.
+        planned = store(pending.repartition(max(1, -(-pending.count() // CHUNK)), "a").mapInArrow(partial(_plan, index=index, size=size), _PLANNED))
         found = _visit(planned, entries, same, k, low, high)
         best = store((found if best is None else best.union(found)).withColumn("n", rank).where(F.col("n") <= k).drop("n"))
         state = best.groupBy(*search).agg(F.count("*").alias("n"), F.min("score").alias("worst"))

@@ -4,6 +4,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +71,24 @@ def test_cells_come_by_falling_bounds_that_hold():
         assert all(a >= b for (a, _), (b, _) in zip(visits, visits[1:], strict=False))
         best = {c: int((x[cell == c] @ anchor).max()) for _, c in visits}
         assert all(best[c] <= bound for bound, c in visits)
+
+
+def test_anchors_travel_once_per_run_and_are_not_broadcast(spark):
+    r = np.random.default_rng(2)
+    n = 12_000
+    rows = spark.createDataFrame([(i, int(r.integers(0, 3)), x) for i, x in enumerate(np.floor(256 * r.normal(size=(n, 4))).astype(int).tolist())], "vec_id long, label long, v array<long>")
+    entries, index = hard_negatives.build(rows, 6)
+    batch = pa.RecordBatch.from_pylist([{"anchor_id": i, "a": i, "label": 0, "v": [300 * i, -5, 7, i], "windows": [{"limit": 9, "floor": None}], "seen": 0} for i in range(600)])
+    planned = pa.Table.from_batches(hard_negatives._plan([batch], index, 40))
+    assert [len(b) for b in planned.to_batches()] == [256, 256, 88]
+    for runs in planned["cells"].to_pylist():
+        assert sum(map(len, runs)) == 40 and len({c for run in runs for c in run}) == 40
+        assert all(len({c // hard_negatives.RUN for c in run}) == 1 for run in runs) and len({run[0] // hard_negatives.RUN for run in runs}) == len(runs)
+    asked = spark.createDataFrame(planned.to_pylist(), hard_negatives._PLANNED)
+    # A threshold under which Spark takes the anchors for small.
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        plan = hard_negatives._visit(asked, entries, True, 5, None, None)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("rightHint=(strategy=broadcast)") == 2
