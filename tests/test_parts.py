@@ -64,3 +64,16 @@ def test_search_on_binary_keys_stores_edges_once(spark, monkeypatch):
     found = traverse.bfs(start.select(F.unhex("key").alias("key")), texts.select(F.unhex("src").alias("src"), F.unhex("dst").alias("dst")), 3, directed=False)
     assert {tuple(r) for r in found.select(F.lower(F.hex("node")), "depth", F.lower(F.hex("predecessor"))).collect()} == plain
     assert ("c0", 2, "0b") in plain and ("d1", 3, "c0") in plain
+
+
+def test_ranged_edges_hold_few_sources_and_targets_in_runs(spark):
+    """Nearby sources share targets: a written part holds neither key in full for every edge; the edges are the same."""
+    pairs = spark.range(0, 60_000, 1, 1).selectExpr("id div 6000 * 40 + (id * 7919) % 40 AS s", "id div 6000 * 1000 + id % 1500 div 3 AS t")
+    plain = sorted(build.map_edges(pairs, "DELIVERS", "Supplier", "Order", "s", "t", "portfolio").collect())
+    assert sorted(build.map_edges(pairs, "DELIVERS", "Supplier", "Order", "s", "t", "portfolio", ranged="target").collect()) == plain
+    edges = build.map_edges(pairs, "DELIVERS", "Supplier", "Order", "s", "t", "portfolio", ranged="source")
+    assert sorted(edges.collect()) == plain
+    parts = edges.select("src", "dst").rdd.mapPartitions(lambda rows: [[(r.src, r.dst) for r in rows]]).collect()
+    assert len(parts) == build.PARTS_PER_SPLIT and max(len({s for s, _ in p}) for p in parts) < 80
+    runs = [[t for i, (_, t) in enumerate(p) if i == 0 or p[i - 1][1] != t] for p in parts]
+    assert all(len(r) == len(set(r)) for r in runs) and 2 * sum(map(len, runs)) < len(plain)
