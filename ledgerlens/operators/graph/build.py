@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
@@ -105,10 +105,13 @@ def apply_merge(existing: DataFrame, incoming: DataFrame, decided: DataFrame, ke
     return existing.join(decided.filter(F.col("action").isin("keep", "unchanged")).select(key), key, "left_semi").unionByName(written)
 
 
-def topology_report(nodes: DataFrame, edges: DataFrame, ontology: Ontology, references: DataFrame | None = None) -> DataFrame:
+def topology_report(nodes: DataFrame, edges: DataFrame, ontology: Ontology, references: DataFrame | None = None, key_of: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
     """Violations as (code, subject): duplicates, endpoints, references, classes, clause agreement, cardinality, disjointness.
 
-    Every check is a grouping or an anti-join on keys; none pairs rows within a group.
+    Every check is a grouping or an anti-join on keys; none pairs rows within a group. ``key_of`` gives the key of an edge that is
+    told by its type, source and target; such keys are made for the report only, and not shuffled or stored.
+
+    Equal edges are counted where they have met their target, in the same shuffle, and stored once with their number.
     """
     spark = nodes.sparkSession
     issue = lambda df, code, subject: df.select(F.lit(code).alias("code"), F.col(subject).alias("subject"))
@@ -119,21 +122,27 @@ def topology_report(nodes: DataFrame, edges: DataFrame, ontology: Ontology, refe
     source = known.select(F.col("key").alias("src"), F.col("node.class_id").alias("src_class"), *([F.col("node.identity").alias("src_identity")] if clauses else []))
     target = known.select(F.col("key").alias("dst"), F.col("node.class_id").alias("dst_class"), *([F.col("node.contract").alias("dst_contract")] if clauses else []))
     rules = ontology.relation_rules(spark).select("type", F.col("source_class").alias("src_class"), F.col("target_class").alias("dst_class"), F.lit(True).alias("allowed"))
-    ends = edges.select("key", "type", "src", "dst").join(source, "src", "left").join(target, "dst", "left").join(rules, ["type", "src_class", "dst_class"], "left")
+    told = ["type", "src", "dst"] if key_of else ["key", "type", "src", "dst"]
+    ends = edges.select(*told).join(source, "src", "left").join(target, "dst", "left").join(rules, ["type", "src_class", "dst_class"], "left")
     whole = F.col("src_class").isNotNull() & F.col("dst_class").isNotNull()
+    ends = ends.groupBy(*ends.columns).agg(F.count("*").alias("n"))
     ends = shared_checkpoint(ends.withColumn("state", F.when(~whole, "missing_endpoint").when(F.col("allowed").isNull(), "invalid_relationship").otherwise("valid")).drop("src_class", "dst_class", "allowed"))
+    key = key_of(F.col("type"), F.col("src"), F.col("dst")) if key_of else F.col("key")
+    again = ends if key_of else ends.groupBy("key").agg(F.sum("n").alias("n"))
     parts = [
         issue(known.filter("n > 1"), "duplicate_node", "key"),
-        issue(ends.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "duplicate_relationship", "key"),
-        ends.filter("state <> 'valid'").select(F.col("state").alias("code"), F.col("key").alias("subject")),
+        again.filter("n > 1").select(F.lit("duplicate_relationship").alias("code"), key.alias("subject")),
+        ends.filter("state <> 'valid'").select(F.col("state").alias("code"), F.explode(F.array_repeat(key, F.col("n").cast("int"))).alias("subject")),
     ]
     if references is not None:
         parts.append(issue(references.join(known.select(F.col("key").alias("reference")), "reference", "left_anti").select("subject").distinct(), "missing_reference", "subject"))
     # Cardinality, clauses and exclusion hold for relationships that are valid themselves.
     valid = ends.filter("state = 'valid'")
     if clauses:
-        parts.append(issue(valid.filter((F.col("type") == "HAS_CLAUSE") & ~F.col("dst_contract").eqNullSafe(F.col("src_identity"))), "clause_contract", "key"))
-    triples = valid.select("type", "src", "dst").distinct()
+        wrong = valid.filter((F.col("type") == "HAS_CLAUSE") & ~F.col("dst_contract").eqNullSafe(F.col("src_identity")))
+        parts.append(wrong.select(F.lit("clause_contract").alias("code"), F.explode(F.array_repeat(key, F.col("n").cast("int"))).alias("subject")))
+    # Told by these three, edges are distinct already.
+    triples = valid.select("type", "src", "dst") if key_of and not clauses else valid.select("type", "src", "dst").distinct()
     out_one = [r.type for r in ontology.relations if r.cardinality in ("one_to_one", "many_to_one")]
     in_one = [r.type for r in ontology.relations if r.cardinality in ("one_to_one", "one_to_many")]
     for types, side in ((out_one, "src"), (in_one, "dst")):

@@ -210,7 +210,7 @@ def graph_topology(spark, folder):
     parts = node_parts(spark, folder, short=True)
     kept = union([*parts.values(), parts["Region"]]).filter(F.coalesce(F.col("props")["status"], F.lit("")) != "P")
     references = table(spark, folder, "orders").select(short_key("Customer", F.col("o_custkey")).alias("subject"), short_key("Order", F.col("o_orderkey")).alias("reference"))
-    report = build.topology_report(kept, edges(spark, folder, short=True), VOCABULARY, references)
+    report = build.topology_report(kept, edges(spark, folder, short=True), VOCABULARY, references, short_relationship_key)
     # Checked under short keys; the report names its subjects canonically.
     of_edge = F.col("code").isin("duplicate_relationship", "missing_endpoint", "invalid_relationship")
     disjoint = F.col("code") == "disjoint_relationships"
